@@ -133,3 +133,208 @@ s AS (SELECT q.question_id, e.vec_id, e.label, {cosine('q.qv', 'e.embedding')} A
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, vec_id) AS rank FROM s)
 SELECT question_id, rank::BIGINT AS rank, vec_id, label::BIGINT AS label, round(distance, 6) AS distance
 FROM r WHERE rank <= 5"""
+
+
+# ------------------------------------------------------------------ web
+from ..functions import html as H  # noqa: E402
+from ..functions import urls as U  # noqa: E402
+from ..functions.text import ENTITIES  # noqa: E402
+from ..operators.web import CONTAINER_TAGS, PRINT_TAGS  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip1(x: str) -> str:
+    return f"(CASE WHEN ends_with({x}, '/') THEN left({x}, length({x}) - 1) ELSE {x} END)"
+
+
+def netloc(x: str) -> str:
+    return f"regexp_extract({x}, {lit(U.NETLOC_RE)}, 1)"
+
+
+def scheme(x: str) -> str:
+    return f"regexp_extract({x}, {lit(U.SCHEME_RE)}, 1)"
+
+
+def skip_prefix(x: str) -> str:
+    return f"(starts_with({x}, '#') OR starts_with({x}, 'mailto:') OR starts_with({x}, 'tel:'))"
+
+
+def clean_link(h: str, bs: str, bn: str, limit: bool) -> str:
+    kept = f"(CASE WHEN {netloc(h)} = {bn} THEN {h} ELSE '' END)" if limit else h
+    rel = f"(CASE WHEN starts_with({h}, '/') THEN substr({h}, 2) ELSE {h} END)"
+    cleaned = (f"(CASE WHEN regexp_matches({h}, {lit(U.ABSOLUTE_RE)}) THEN {kept} "
+               f"ELSE {bs} || '://' || {bn} || '/' || {rel} END)")
+    return f"(CASE WHEN {skip_prefix(h)} THEN {h} ELSE {strip1(cleaned)} END)"
+
+
+def clean_link_legacy(h: str, bn: str) -> str:
+    rel = f"substr({h}, 2)"
+    out = (f"(CASE WHEN regexp_matches({h}, {lit(U.ABSOLUTE_RE)}) THEN (CASE WHEN {netloc(h)} = {bn} THEN {h} END) "
+           f"WHEN starts_with({h}, '/') THEN 'https://' || {bn} || '/' || {rel} "
+           f"WHEN starts_with({h}, '#') OR starts_with({h}, 'mailto:') THEN NULL "
+           f"ELSE 'https://' || {bn} || '/' || {h} END)")
+    return strip1(out)
+
+
+def page_key(url: str) -> str:
+    u = strip1(url)
+    path = f"regexp_extract({u}, {lit(U.PATH_RE)}, 1)"
+    stem = f"regexp_replace({path}, {lit(U.EXT_RE)}, '\\1')"
+    stem2 = f"(CASE WHEN starts_with({stem}, '/') THEN substr({stem}, 2) ELSE {stem} END)"
+    return f"(CASE WHEN {path} = '' THEN 'home' ELSE replace({stem2}, '/', '_') END)"
+
+
+def unescape(x: str) -> str:
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
+    return x
+
+
+def remove_elements(x: str, tags=H.DROPPED_TAGS) -> str:
+    for t in [t for t in tags if t in H.RAW_TEXT_TAGS]:
+        x = f"regexp_replace({x}, {lit(H.element_re(t))}, '', 'g')"
+    x = f"regexp_replace({x}, {lit(H.COMMENT_RE)}, '', 'g')"
+    for t in [t for t in tags if t not in H.RAW_TEXT_TAGS]:
+        x = f"regexp_replace({x}, {lit(H.element_re(t))}, '', 'g')"
+    return x
+
+
+def body(x: str) -> str:
+    return f"regexp_extract({x}, {lit(H.BODY_RE)}, 1)"
+
+
+def title(x: str) -> str:
+    t = unescape(f"regexp_extract({x}, {lit(H.TITLE_RE)}, 1)")
+    return f"(CASE WHEN {t} <> '' THEN {t} END)"
+
+
+def tag_text(x: str) -> str:
+    return unescape(f"regexp_replace({x}, {lit(H.TAG_RE)}, '', 'g')")
+
+
+def href_value(tag: str) -> str:
+    raw = f"regexp_extract({tag}, {lit(H.HREF_VALUE_RE)}, 1)"
+    unq = (f"(CASE WHEN starts_with({raw}, '\"') OR starts_with({raw}, '''') "
+           f"THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END)")
+    return unescape(unq)
+
+
+def hrefs(x: str) -> str:
+    return (f"list_transform(list_filter(regexp_extract_all({x}, {lit(H.ANCHOR_OPEN_RE)}), "
+            f"lambda t: regexp_matches(t, {lit(H.HAS_HREF_RE)})), lambda t: {href_value('t')})")
+
+
+def interleave(x: str, pattern: str, piece_fn, match_fn) -> str:
+    """Mirror of the split + zip rewrite: text between matches through
+    ``piece_fn``, each match through ``match_fn`` (SQL builders)."""
+    pieces = f"string_split_regex({x}, {lit(pattern)})"
+    matches = f"regexp_extract_all({x}, {lit(pattern)})"
+    return (f"list_transform([struct_pack(p := {pieces}, m := {matches})], lambda z: "
+            f"CASE WHEN len(z.m) = 0 THEN {piece_fn(x)} ELSE "
+            f"array_to_string(list_transform(range(1, len(z.m) + 1), lambda i: "
+            f"{piece_fn('z.p[i]')} || {match_fn('z.m[i]')}), '') || {piece_fn('z.p[len(z.p)]')} END)[1]")
+
+
+def inline_links(b: str, bs: str, bn: str) -> str:
+    def render(a):
+        href = href_value(a)
+        inner = f"regexp_extract({a}, {lit('(?is)^<a[^>]*>(.*)</a' + H.WS + '*>$')}, 1)"
+        shown = f"(CASE WHEN {href} = '' THEN {href} ELSE {clean_link(href, bs, bn, False)} END)"
+        return f"(CASE WHEN {href} = '#' THEN '' ELSE {tag_text(inner)} || ' ' || {shown} || ' ' END)"
+    return interleave(b, H.ANCHOR_RE, tag_text, render)
+
+
+def rewrite_hrefs(b: str, bs: str, bn: str) -> str:
+    def fix(tag):
+        raw = f"regexp_extract({tag}, {lit(H.HREF_VALUE_RE)}, 1)"
+        h = href_value(tag)
+        new = clean_link(h, bs, bn, False)
+        skip = f"({h} = '' OR starts_with({h}, 'tel:') OR starts_with({h}, 'mailto:') OR {new} = {h})"
+        pre = f"regexp_extract({tag}, {lit('(?is)^(<a' + H.WS + '[^>]*?href' + H.WS + '*=' + H.WS + '*)')}, 1)"
+        post = f"substr({tag}, length({pre}) + length({raw}) + 1)"
+        return (f"(CASE WHEN {skip} THEN {tag} ELSE {pre} || '\"' || replace({new}, '\"', '&quot;') || '\"' "
+                f"|| {post} END)")
+    return interleave(b, H.ANCHOR_OPEN_RE, lambda p: p, fix)
+
+
+SITE = f"""site AS (
+  SELECT page_id, url, html, {scheme('url')} AS bs, {netloc('url')} AS bn, {page_key('url')} AS page_key
+  FROM pages)"""
+
+ORACLE["page_key"] = f"""WITH {SITE}
+SELECT page_id, url, bn AS netloc, page_key FROM site"""
+
+LINKS_CTE = f"""{SITE},
+h AS (SELECT page_id, url, bs, bn, unnest({hrefs(body(remove_elements('html')))}) AS h FROM site),
+f AS (SELECT page_id, url, bs, bn, CASE WHEN h = '' THEN h ELSE {clean_link('h', 'bs', 'bn', False)} END AS h1 FROM h),
+links AS (SELECT DISTINCT page_id, url, link FROM (
+  SELECT page_id, url, {clean_link('h1', 'bs', 'bn', True)} AS link FROM f
+  WHERE h1 <> '' AND NOT {skip_prefix('h1')}) WHERE link <> '')"""
+
+ORACLE["links"] = f"""WITH {LINKS_CTE}
+SELECT page_id, url, link FROM links"""
+
+ORACLE["links_legacy"] = f"""WITH {SITE},
+h AS (SELECT DISTINCT page_id, url, bn, unnest({hrefs(remove_elements('html', H.RAW_TEXT_TAGS))}) AS h FROM site)
+SELECT DISTINCT page_id, url, link FROM (SELECT page_id, url, {clean_link_legacy('h', 'bn')} AS link FROM h)
+WHERE link IS NOT NULL"""
+
+ORACLE["page_dedup"] = f"""WITH {SITE}
+SELECT bn AS netloc, page_key, count(*)::BIGINT AS n_versions, max(page_id) AS page_id,
+       arg_max(url, page_id) AS url
+FROM site WHERE page_key <> '' GROUP BY bn, page_key"""
+
+ORACLE["simplify_html"] = f"""WITH {SITE},
+b AS (SELECT page_id, url, bs, bn, page_key, {title('html')} AS title,
+             regexp_replace({body(remove_elements('html'))}, {lit(H.CLASS_ATTR_RE)}, '', 'g') AS b FROM site)
+SELECT page_id, url, bn AS netloc, page_key, title, {rewrite_hrefs('b', 'bs', 'bn')} AS html FROM b"""
+
+ORACLE["page_text"] = f"""WITH {SITE},
+b AS (SELECT page_id, url, bs, bn, page_key, {title('html')} AS title, {body(remove_elements('html'))} AS b FROM site),
+t AS (SELECT page_id, url, bn, page_key, title, {clean(inline_links('b', 'bs', 'bn'))} AS txt FROM b)
+SELECT page_id, url, bn AS netloc, page_key,
+       CASE WHEN title IS NULL THEN txt ELSE title || chr(10) || chr(10) || txt END AS text,
+       page_key <> '' AS saved
+FROM t"""
+
+ORACLE["page_text_plain"] = f"""SELECT page_id, url, replace(substr(url, 9), '/', '_') || '.txt' AS page_key,
+  replace(replace(replace(replace({tag_text(body(remove_elements('html', H.RAW_TEXT_TAGS)))},
+    chr(10), ' '), '\\n', ' '), '  ', ' '), '  ', ' ') AS text
+FROM pages"""
+
+
+def block(tag: str) -> str:
+    return lit(r"(?is)(<" + tag + r"(?:" + H.WS + r"[^>]*)?>.*?</" + tag + H.WS + r"*>)")
+
+
+ORACLE["page_parts"] = f"""WITH b AS (
+  SELECT page_id, url,
+         nullif(regexp_extract(html, {block('header')}, 1), '') AS header,
+         nullif(regexp_extract(html, {lit('(?is)(<body(?:' + H.WS + '[^>]*)?>.*?(?:</body' + H.WS + '*>|\\z))')}, 1), '') AS body,
+         nullif(regexp_extract(html, {block('footer')}, 1), '') AS footer
+  FROM pages)
+SELECT page_id, url, header, body, footer, length(header)::BIGINT AS header_len,
+       length(body)::BIGINT AS body_len, length(footer)::BIGINT AS footer_len FROM b"""
+
+KNOWN_TAGS = "[" + ", ".join(lit(t) for t in PRINT_TAGS + CONTAINER_TAGS) + "]"
+
+ORACLE["tag_audit"] = f"""WITH {SITE},
+b AS (SELECT page_id, url, bs, bn,
+             regexp_replace({body(remove_elements('html'))}, {lit(H.CLASS_ATTR_RE)}, '', 'g') AS b FROM site),
+s AS (SELECT page_id, url, {rewrite_hrefs('b', 'bs', 'bn')} AS h FROM b),
+n AS (SELECT page_id, url, list_sort(list_distinct(list_transform(
+        regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)))) AS names FROM s),
+u AS (SELECT page_id, url, names, list_sort(list_filter(names, lambda x: NOT list_contains({KNOWN_TAGS}, x))) AS unh FROM n)
+SELECT page_id, url, array_to_string(names, ',') AS tags, array_to_string(unh, ',') AS unhandled,
+       len(unh) = 0 AS convertible FROM u"""
+
+ORACLE["frontier"] = f"""WITH RECURSIVE {LINKS_CTE},
+edges AS (SELECT DISTINCT {strip1('url')} AS src, link AS dst FROM links),
+walk(url, depth) AS (
+  SELECT DISTINCT {strip1('url')}, 1 FROM pages
+  UNION
+  SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 2)
+SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url"""

@@ -107,3 +107,68 @@ QUERIES = {
     "context": q_context,
     "nearest": q_nearest,
 }
+
+
+# -------------------------------------------------------------------- web
+from ..operators import frontier as FR  # noqa: E402
+from ..operators import web as W  # noqa: E402
+
+
+def q_page_key(spark, sf_dir) -> DataFrame:
+    p = W.with_site(S.pages(spark, sf_dir))
+    return p.select("page_id", "url", "netloc", "page_key")
+
+
+def q_links(spark, sf_dir) -> DataFrame:
+    return W.page_links(S.pages(spark, sf_dir))
+
+
+def q_links_legacy(spark, sf_dir) -> DataFrame:
+    return W.page_links_legacy(S.pages(spark, sf_dir))
+
+
+def q_page_dedup(spark, sf_dir) -> DataFrame:
+    d = W.dedup_pages(S.pages(spark, sf_dir), cols=("page_id", "url"))
+    return d.select("netloc", "page_key", F.col("n_versions").cast("long").alias("n_versions"),
+                    "page_id", "url")
+
+
+def q_simplify_html(spark, sf_dir) -> DataFrame:
+    return W.simplify_pages(S.pages(spark, sf_dir))
+
+
+def q_page_text(spark, sf_dir) -> DataFrame:
+    return W.page_texts(S.pages(spark, sf_dir))
+
+
+def q_page_text_plain(spark, sf_dir) -> DataFrame:
+    return W.page_texts_plain(S.pages(spark, sf_dir))
+
+
+def q_page_parts(spark, sf_dir) -> DataFrame:
+    return W.page_parts(S.pages(spark, sf_dir))
+
+
+def q_tag_audit(spark, sf_dir) -> DataFrame:
+    return W.tag_audit(S.pages(spark, sf_dir))
+
+
+def q_frontier(spark, sf_dir) -> DataFrame:
+    pages = S.pages(spark, sf_dir)
+    links = W.page_links(pages)
+    f = FR.crawl_frontier(pages, links, max_depth=2)
+    return f.select("url", F.col("depth").cast("long").alias("depth"))
+
+
+QUERIES.update({
+    "page_key": q_page_key,
+    "links": q_links,
+    "links_legacy": q_links_legacy,
+    "page_dedup": q_page_dedup,
+    "simplify_html": q_simplify_html,
+    "page_text": q_page_text,
+    "page_text_plain": q_page_text_plain,
+    "page_parts": q_page_parts,
+    "tag_audit": q_tag_audit,
+    "frontier": q_frontier,
+})
