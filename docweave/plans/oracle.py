@@ -338,3 +338,169 @@ walk(url, depth) AS (
   UNION
   SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 2)
 SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url"""
+
+
+# ------------------------------------------------------------- sections
+WB_CLASS = r"[,;: ()\[\]{}\t\n]"
+WB_NOT = r"[^,;: ()\[\]{}\t\n]"
+
+
+def _end(t: str, n: str, nxt: str) -> str:
+    fw = f"substr({t}, {nxt} + 1001, 100)"
+    k = f"length(regexp_extract({fw}, '^[^.!?]*'))"
+    last_wb = f"(length({fw}) - length(regexp_extract({fw}, '{WB_NOT}*$')) - 1)"
+    return f"""(CASE WHEN {nxt} + 1000 >= {n} THEN {n}
+      WHEN regexp_matches({fw}, '[.!?]') THEN {nxt} + 1000 + {k} + 1
+      WHEN {nxt} + 1100 >= {n} THEN {n}
+      WHEN regexp_matches(substr({t}, {nxt} + 1101, 1), '[.!?]') THEN {nxt} + 1101
+      WHEN regexp_matches({fw}, '{WB_CLASS}') THEN {nxt} + 1000 + {last_wb} + 1
+      ELSE {nxt} + 1101 END)"""
+
+
+def _start(t: str, nxt: str, e: str) -> str:
+    lo = f"greatest(0, {e} - 1200)"
+    bw = f"substr({t}, {lo} + 2, {nxt} - {lo})"
+    last_se = f"(length({bw}) - length(regexp_extract({bw}, '[^.!?]*$')) - 1)"
+    first_wb = f"length(regexp_extract({bw}, '^{WB_NOT}*'))"
+    plus = f"(CASE WHEN {lo} > 0 THEN {lo} + 1 ELSE {lo} END)"
+    return f"""(CASE WHEN {nxt} <= 0 THEN 0
+      WHEN {nxt} > {lo} AND regexp_matches({bw}, '[.!?]') THEN {lo} + 2 + {last_se}
+      WHEN regexp_matches(substr({t}, {lo} + 1, 1), '[.!?]') THEN {plus}
+      WHEN {nxt} > {lo} AND regexp_matches({bw}, '{WB_CLASS}') THEN {lo} + 2 + {first_wb}
+      ELSE {plus} END)"""
+
+
+def _carry(t: str, a: str, e: str) -> str:
+    sec = f"substr({t}, {a} + 1, {e} - {a})"
+    lt = f"(CASE WHEN strpos({sec}, '<table') > 0 THEN length(regexp_extract({sec}, '(?s)^(.*)<table', 1)) ELSE -1 END)"
+    ltc = f"(CASE WHEN strpos({sec}, '</table') > 0 THEN length(regexp_extract({sec}, '(?s)^(.*)</table', 1)) ELSE -1 END)"
+    return f"(CASE WHEN {lt} > 200 AND {lt} > {ltc} THEN least({e} - 100, {a} + {lt}) ELSE {e} - 100 END)"
+
+
+def sections_cte(docs: str) -> str:
+    """``docs(sourcefile, t, n)`` -> spans(sourcefile, section_no, a, e)."""
+    return f"""steps(sourcefile, i, nxt, a, e, emit, pa, pe) AS (
+  SELECT sourcefile, 0, 0, x.a, x.e, true, x.a, x.e FROM {docs} d,
+    LATERAL (SELECT {_end('d.t', 'd.n', '0')} AS e) y,
+    LATERAL (SELECT 0 AS a, y.e AS e) x
+  WHERE 100 < d.n
+  UNION ALL
+  SELECT s.sourcefile, s.i + 1, p.nxt, q.a, r.e, NOT (q.a = s.pa AND r.e = s.pe),
+         CASE WHEN s.emit THEN s.a ELSE s.pa END, CASE WHEN s.emit THEN s.e ELSE s.pe END
+  FROM steps s JOIN {docs} d ON d.sourcefile = s.sourcefile,
+    LATERAL (SELECT CASE WHEN s.emit THEN {_carry('d.t', 's.a', 's.e')} ELSE s.e - 100 END AS nxt) p,
+    LATERAL (SELECT {_end('d.t', 'd.n', 'p.nxt')} AS e) r,
+    LATERAL (SELECT {_start('d.t', 'p.nxt', 'r.e')} AS a) q
+  WHERE p.nxt + 100 < d.n),
+spans AS (
+  SELECT sourcefile, (row_number() OVER (PARTITION BY sourcefile ORDER BY i) - 1) AS section_no, a, e
+  FROM steps WHERE emit)"""
+
+
+def blob_name(f: str, page: str) -> str:
+    base = f"regexp_extract({f}, '([^/]*)$', 1)"
+    stem = f"regexp_replace({base}, {lit(U.EXT_RE)}, '\\1')"
+    ext = f"substr({base}, length({stem}) + 1)"
+    return f"(CASE WHEN lower({ext}) = '.pdf' THEN {stem} || '-' || CAST({page} AS VARCHAR) || '.pdf' ELSE {base} END)"
+
+
+def sanitize(x: str) -> str:
+    return f"regexp_replace({x}, '[^0-9a-zA-Z_-]', '_', 'g')"
+
+
+DOC_SECTIONS = f"""docs AS (
+  SELECT CAST(d.doc_id AS VARCHAR) || '.txt' AS sourcefile, d.text AS t, length(d.text) AS n,
+         'quality=' || CAST(l.quality AS VARCHAR) AS category, l.toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL),
+{sections_cte('docs')},
+sections AS (
+  SELECT {sanitize("s.sourcefile || '-' || CAST(s.section_no AS VARCHAR)")} AS id,
+         substr(d.t, s.a + 1, s.e - s.a) AS content, d.category,
+         {blob_name('s.sourcefile', '0')} AS sourcepage, s.sourcefile,
+         s.section_no, s.a AS start, s.e AS "end", 0 AS page_num, d.toxic
+  FROM spans s JOIN docs d ON d.sourcefile = s.sourcefile)"""
+
+ORACLE["sections"] = f"""WITH RECURSIVE {DOC_SECTIONS}
+SELECT id, content, category, sourcepage, sourcefile, section_no::BIGINT AS section_no,
+       start::BIGINT AS start, "end"::BIGINT AS "end", page_num::BIGINT AS page_num FROM sections"""
+
+CONV_PAGES = """pm AS (
+  SELECT CAST(conv_id AS VARCHAR) || '.pdf' AS sourcefile, turn::INTEGER AS page_num, text,
+         coalesce(sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS page_off
+  FROM conversations)"""
+
+ORACLE["page_map"] = f"""WITH {CONV_PAGES}
+SELECT sourcefile, page_num::BIGINT AS page_num, page_off::BIGINT AS page_off, text FROM pm"""
+
+ORACLE["section_pages"] = f"""WITH RECURSIVE {CONV_PAGES},
+docs AS (SELECT sourcefile, string_agg(coalesce(text, ''), '' ORDER BY page_num) AS t,
+                length(string_agg(coalesce(text, ''), '' ORDER BY page_num)) AS n FROM pm GROUP BY sourcefile),
+{sections_cte('docs')},
+pg AS (SELECT s.sourcefile, s.section_no, s.a, s.e,
+              (SELECT max(page_num) FROM pm WHERE pm.sourcefile = s.sourcefile AND pm.page_off <= s.a) AS page_num
+       FROM spans s)
+SELECT {sanitize("pg.sourcefile || '-' || CAST(pg.section_no AS VARCHAR)")} AS id,
+       substr(d.t, pg.a + 1, pg.e - pg.a) AS content, {blob_name('pg.sourcefile', 'pg.page_num')} AS sourcepage,
+       pg.sourcefile, pg.section_no::BIGINT AS section_no, pg.a::BIGINT AS start, pg.e::BIGINT AS "end",
+       pg.page_num::BIGINT AS page_num
+FROM pg JOIN docs d ON d.sourcefile = pg.sourcefile"""
+
+ALL_PAGES = f"""{CONV_PAGES},
+allpages AS (
+  SELECT sourcefile, page_num, text FROM pm
+  UNION ALL
+  SELECT CAST(doc_id AS VARCHAR) || '.txt', 0, text FROM documents)"""
+
+ORACLE["blob_names"] = f"""WITH {ALL_PAGES}
+SELECT sourcefile, page_num::BIGINT AS page_num, {blob_name('sourcefile', 'page_num')} AS blob_name FROM allpages"""
+
+def is_pdf(f: str) -> str:
+    base = f"regexp_extract({f}, '([^/]*)$', 1)"
+    stem = f"regexp_replace({base}, {lit(U.EXT_RE)}, '\\1')"
+    return f"(lower(substr({base}, length({stem}) + 1)) = '.pdf')"
+
+
+BLOBS = f"""{ALL_PAGES},
+blobs AS (
+  SELECT {blob_name('sourcefile', 'page_num')} AS blob_name, sourcefile, page_num, text
+  FROM allpages WHERE {is_pdf('sourcefile')}
+  UNION ALL
+  SELECT regexp_extract(sourcefile, '([^/]*)$', 1), sourcefile, 0, string_agg(text, '' ORDER BY page_num)
+  FROM allpages WHERE NOT {is_pdf('sourcefile')}
+  GROUP BY sourcefile)"""
+
+ORACLE["page_blobs"] = f"""WITH {BLOBS}
+SELECT blob_name, sourcefile, page_num::BIGINT AS page_num, text FROM blobs"""
+
+ORACLE["remove_pages"] = f"""WITH {BLOBS},
+gone AS (SELECT DISTINCT regexp_replace(CAST(conv_id AS VARCHAR) || '.pdf', {lit(U.EXT_RE)}, '\\1') AS stem
+         FROM conversations WHERE role = 'system')
+SELECT blob_name, sourcefile, page_num::BIGINT AS page_num, text FROM blobs
+WHERE regexp_extract(blob_name, '^(.*)-[0-9]+\\.pdf$', 1) NOT IN (SELECT stem FROM gone)"""
+
+INDEX = f"""{DOC_SECTIONS},
+existing AS (SELECT id, content, NULL::VARCHAR AS category, sourcepage, sourcefile FROM sections),
+incoming AS (SELECT id, content, category, sourcepage, sourcefile FROM sections WHERE category IS NOT NULL),
+idx AS (SELECT * FROM incoming UNION ALL SELECT * FROM existing WHERE id NOT IN (SELECT id FROM incoming))"""
+
+ORACLE["index_upsert"] = f"""WITH RECURSIVE {INDEX}
+SELECT * FROM idx"""
+
+ORACLE["index_delete"] = f"""WITH RECURSIVE {INDEX}
+SELECT * FROM idx WHERE sourcefile NOT IN (
+  SELECT CAST(doc_id AS VARCHAR) || '.txt' FROM labels WHERE toxic = 1)"""
+
+ORACLE["index_lookup"] = f"""WITH RECURSIVE {INDEX}
+SELECT *, (SELECT count(*) FROM idx)::BIGINT AS total_count FROM idx ORDER BY id LIMIT 1000"""
+
+ORACLE["index_facets"] = f"""WITH RECURSIVE {INDEX}
+SELECT facet, value, count(*)::BIGINT AS count FROM (
+  SELECT 'category' AS facet, category AS value FROM idx
+  UNION ALL SELECT 'sourcepage', sourcepage FROM idx
+  UNION ALL SELECT 'sourcefile', sourcefile FROM idx) GROUP BY facet, value"""
+
+ORACLE["content_postings"] = f"""WITH RECURSIVE {INDEX}
+SELECT term, id, count(*)::BIGINT AS tf FROM (
+  SELECT id, unnest(regexp_extract_all(lower(content), '\\p{{L}}+|\\p{{N}}+')) AS term FROM idx)
+GROUP BY term, id"""

@@ -172,3 +172,125 @@ QUERIES.update({
     "tag_audit": q_tag_audit,
     "frontier": q_frontier,
 })
+
+
+# --------------------------------------------------------------- sections
+from ..functions import urls as U  # noqa: E402
+from ..operators import index as IX  # noqa: E402
+from ..operators import sections as SE  # noqa: E402
+
+
+def _sec_out(df: DataFrame, content: bool = True) -> DataFrame:
+    cols = ["id"] + (["content"] if content else []) + ["category", "sourcepage", "sourcefile"]
+    return df.select(*[c for c in cols if c in df.columns], *_long("section_no", "start", "end", "page_num"))
+
+
+def doc_section_input(spark, sf_dir) -> DataFrame:
+    """Documents as text files, with a category tag from the labels
+    (``quality=<0|1>``; NULL when unlabelled) and the toxic flag."""
+    d = S.doc_files(spark, sf_dir).filter(F.col("text").isNotNull())
+    lab = S.labels(spark, sf_dir)
+    return (d.join(lab, "doc_id", "left")
+             .select("sourcefile", "text",
+                     F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("category"),
+                     "toxic"))
+
+
+def doc_sections(spark, sf_dir) -> DataFrame:
+    return SE.sections(doc_section_input(spark, sf_dir), category="category")
+
+
+def q_sections(spark, sf_dir) -> DataFrame:
+    return _sec_out(doc_sections(spark, sf_dir))
+
+
+def conv_page_map(spark, sf_dir) -> DataFrame:
+    return SE.page_map(S.conversation_pages(spark, sf_dir))
+
+
+def q_page_map(spark, sf_dir) -> DataFrame:
+    pm = conv_page_map(spark, sf_dir)
+    return pm.select("sourcefile", *_long("page_num", "page_off"), "text")
+
+
+def q_section_pages(spark, sf_dir) -> DataFrame:
+    docs = SE.assemble(conv_page_map(spark, sf_dir))
+    s = SE.sections(docs)
+    return s.select("id", "content", "sourcepage", "sourcefile",
+                    *_long("section_no", "start", "end", "page_num"))
+
+
+def all_pages(spark, sf_dir) -> DataFrame:
+    """Page map of every file: conversations (paged) and documents (one page)."""
+    conv = conv_page_map(spark, sf_dir).select("sourcefile", "page_num", "text")
+    docs = S.doc_files(spark, sf_dir).select("sourcefile", F.lit(0).alias("page_num"), "text")
+    return conv.unionByName(docs)
+
+
+def q_blob_names(spark, sf_dir) -> DataFrame:
+    p = all_pages(spark, sf_dir)
+    return p.select("sourcefile", *_long("page_num"), U.blob_name("sourcefile", "page_num").alias("blob_name"))
+
+
+def blobs_df(spark, sf_dir) -> DataFrame:
+    return IX.page_blobs(all_pages(spark, sf_dir))
+
+
+def q_page_blobs(spark, sf_dir) -> DataFrame:
+    return blobs_df(spark, sf_dir).select("blob_name", "sourcefile", *_long("page_num"), "text")
+
+
+def q_remove_pages(spark, sf_dir) -> DataFrame:
+    """Remove the page blobs of the conversations that carry a system turn."""
+    conv = S.table(spark, sf_dir, "conversations").select("conv_id", "role")
+    gone = conv.filter(F.col("role") == "system").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("sourcefile"))
+    out = IX.remove_blobs(blobs_df(spark, sf_dir), gone)
+    return out.select("blob_name", "sourcefile", *_long("page_num"), "text")
+
+
+def section_index(spark, sf_dir) -> DataFrame:
+    """Index after two loads: every document untagged, then the labelled
+    ones re-sent with their category (upsert by id)."""
+    secs = doc_sections(spark, sf_dir)
+    existing = secs.withColumn("category", F.lit(None).cast("string"))
+    incoming = secs.filter(F.col("category").isNotNull())
+    return IX.upsert(existing, incoming)
+
+
+def q_index_upsert(spark, sf_dir) -> DataFrame:
+    return section_index(spark, sf_dir)
+
+
+def q_index_delete(spark, sf_dir) -> DataFrame:
+    """Remove the sections of documents labelled toxic."""
+    lab = S.labels(spark, sf_dir).filter(F.col("toxic") == 1)
+    files = lab.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("sourcefile"))
+    return IX.delete(section_index(spark, sf_dir), files)
+
+
+def q_index_lookup(spark, sf_dir) -> DataFrame:
+    return IX.lookup(section_index(spark, sf_dir))
+
+
+def q_index_facets(spark, sf_dir) -> DataFrame:
+    return IX.facets(section_index(spark, sf_dir))
+
+
+def q_content_postings(spark, sf_dir) -> DataFrame:
+    return IX.postings(section_index(spark, sf_dir)).select("term", "id", F.col("tf").cast("long"))
+
+
+QUERIES.update({
+    "sections": q_sections,
+    "page_map": q_page_map,
+    "section_pages": q_section_pages,
+    "blob_names": q_blob_names,
+    "page_blobs": q_page_blobs,
+    "remove_pages": q_remove_pages,
+    "index_upsert": q_index_upsert,
+    "index_delete": q_index_delete,
+    "index_lookup": q_index_lookup,
+    "index_facets": q_index_facets,
+    "content_postings": q_content_postings,
+})
