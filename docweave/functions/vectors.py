@@ -27,6 +27,12 @@ def cosine_distance(a, b) -> Column:
     return F.abs(F.lit(1.0) - F.try_divide(num, F.when(den != 0, den)))
 
 
+def cosine_from_norms(dot_ab, sq_a, sq_b) -> Column:
+    """Same value as ``cosine_distance`` given a.b, |a|^2 and |b|^2."""
+    den = F.sqrt(_c(sq_a) * _c(sq_b))
+    return F.abs(F.lit(1.0) - F.try_divide(_c(dot_ab), F.when(den != 0, den)))
+
+
 def token_buckets(text, dim: int = EMBED_DIM) -> Column:
     """ARRAY<INT>: bucket of each word = first 32 bits of md5(word) mod dim."""
     words = F.regexp_extract_all(F.lower(_c(text)), F.lit(EMBED_TOKEN_PATTERN), 0)

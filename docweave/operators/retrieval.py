@@ -1,17 +1,21 @@
 """Nearest chunks per question and budgeted context assembly.
 
-Plan: questions are broadcast (their number is checked first; beyond
-``max_broadcast`` they go in bounded batches), each chunk is scored
-map-side, a per-question ``row_number() <= limit`` runs as a partial +
-final WindowGroupLimit around one exchange, and only then the running
-token budget is taken. At most ``max_len // per_chunk`` rows can fit the
+Plan: the question matrix is broadcast (its row count is checked first;
+beyond ``max_broadcast`` it goes in bounded batches); each partition of
+chunks is scored with one numpy matmul per Arrow batch and keeps only
+its best ``limit`` rows per question, then one exchange by question, a
+``row_number() <= limit`` (WindowGroupLimit), and only then the running
+token budget. At most ``max_len // per_chunk`` rows can fit the
 budget (each costs at least ``per_chunk``), so the cut is exact.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -39,15 +43,84 @@ def _question_batches(questions: DataFrame, max_broadcast: int):
     return [tagged.filter(F.col("_qb") == i).drop("_qb") for i in range(k)]
 
 
+def _topk_batches(batches, bq, cap, payload, budget=None):
+    """Score one Arrow batch of chunks against the broadcast question
+    matrix (one matmul) and keep each question's best ``cap`` rows of the
+    batch by (distance, chunk_id); zero vectors get a NULL distance,
+    ranked after every real one."""
+    qids, qmat = bq.value
+    qsq = np.einsum("ij,ij->i", qmat, qmat)
+    for pdf in batches:
+        if len(pdf) == 0 or len(qids) == 0:
+            continue
+        emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+        dots = emb @ qmat.T                                   # n x Q
+        csq = np.einsum("ij,ij->i", emb, emb)
+        den = np.sqrt(csq[:, None] * qsq[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.abs(1.0 - dots / den)
+        dist[den == 0] = np.nan
+        key = np.where(np.isnan(dist), np.inf, dist)
+        cid = pdf["chunk_id"].to_numpy()
+        n, nq = key.shape
+        if cap is not None and n > cap:
+            # candidates: rows not worse than each question's cap-th key
+            kth = np.partition(key, cap - 1, axis=0)[cap - 1]
+            r, c = np.nonzero(key <= kth[None, :])
+        else:
+            r, c = np.divmod(np.arange(n * nq), nq)
+        o = np.lexsort((cid[r], key[r, c], c))
+        r, c = r[o], c[o]
+        if cap is not None:
+            # rank inside each question's run; keep the first cap
+            starts = np.searchsorted(c, np.arange(nq))
+            rank = np.arange(len(c)) - starts[c]
+            keep = rank < cap
+            r, c = r[keep], c[keep]
+        if budget is not None:
+            # exact prune: a row of the global budget prefix is also inside
+            # the budget when only the rows of its own batch are counted
+            max_len, per_chunk, tok_col = budget
+            cost = pdf[tok_col].to_numpy(dtype=np.float64)[r] + per_chunk
+            cum = np.cumsum(cost)
+            starts = np.searchsorted(c, np.arange(nq))
+            base = np.concatenate([[0.0], cum])[starts[c]]
+            keep = (cum - base) <= max_len
+            r, c = r[keep], c[keep]
+        out = pdf[payload].iloc[r].reset_index(drop=True)
+        d = dist[r, c]
+        out["question_id"] = qids[c]
+        out["distance"] = pd.Series(np.where(np.isnan(d), None, d), dtype="object")
+        yield out
+
+
 def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-          tie_digits: int = TIE_DIGITS) -> DataFrame:
+          tie_digits: int = TIE_DIGITS, cap: int | None = None, budget=None) -> DataFrame:
     """chunks(chunk_id, embedding, ...) x questions(question_id, q_embedding)
-    -> + distance, rank_key. Questions broadcast in bounded batches."""
+    -> (payload..., question_id, distance, rank_key).
+
+    The question matrix is size-checked (``max_broadcast`` rows per
+    batch) and broadcast; chunks are scored where they are, batch by
+    batch, with numpy. With ``cap`` each batch keeps only its best
+    ``cap`` rows per question before anything is shuffled."""
+    spark = chunks.sparkSession
+    payload = [c for c in chunks.columns if c != "embedding"]
+    fields = [f for f in chunks.schema.fields if f.name != "embedding"]
+    schema = T.StructType(fields + [T.StructField("question_id", questions.schema["question_id"].dataType),
+                                    T.StructField("distance", T.DoubleType())])
     out = None
-    for qb in _question_batches(questions, max_broadcast):
-        s = chunks.crossJoin(F.broadcast(qb)).withColumn(
-            "distance", V.cosine_distance("q_embedding", "embedding")).drop("q_embedding", "embedding")
+    for qb in _question_batches(questions.select("question_id", "q_embedding"), max_broadcast):
+        rows = qb.collect()          # bounded: at most max_broadcast rows
+        qids = np.array([r["question_id"] for r in rows])
+        qmat = np.array([np.asarray(r["q_embedding"] or [], dtype=np.float64) for r in rows])
+        if len(rows) == 0:
+            continue
+        bq = spark.sparkContext.broadcast((qids, qmat))
+        s = chunks.select(*payload, "embedding").mapInPandas(
+            lambda it, bq=bq: _topk_batches(it, bq, cap, payload, budget), schema)
         out = s if out is None else out.unionByName(s)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     key = F.col("distance") if tie_digits is None else F.round("distance", tie_digits)
     return out.withColumn("rank_key", key)
 
@@ -59,7 +132,7 @@ def _order():
 
 def nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, **kw) -> DataFrame:
     """Top-k chunks per question by cosine distance (ties by chunk id)."""
-    s = score(chunks, questions, **kw)
+    s = score(chunks, questions, cap=k, **kw)
     return s.withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= k)
 
 
@@ -67,8 +140,8 @@ def context_rows(chunks: DataFrame, questions: DataFrame, max_len: int = MAX_CON
                  per_chunk: int = PER_CHUNK_OVERHEAD, **kw) -> DataFrame:
     """Chunks kept per question: ascending distance, stopping at the first
     one that would push ``sum(n_tokens + per_chunk)`` over ``max_len``."""
-    s = score(chunks, questions, **kw)
     cap = max_len // per_chunk if per_chunk > 0 else None
+    s = score(chunks, questions, cap=cap, budget=(max_len, per_chunk, "n_tokens"), **kw)
     ranked = s.withColumn("rank", F.row_number().over(_order()))
     if cap is not None:
         ranked = ranked.filter(F.col("rank") <= cap)

@@ -504,3 +504,41 @@ ORACLE["content_postings"] = f"""WITH RECURSIVE {INDEX}
 SELECT term, id, count(*)::BIGINT AS tf FROM (
   SELECT id, unnest(regexp_extract_all(lower(content), '\\p{{L}}+|\\p{{N}}+')) AS term FROM idx)
 GROUP BY term, id"""
+
+
+# -------------------------------------------------------------- prompts
+PROMPT_CTX = f"""{CONTEXT_CTE},
+k AS (SELECT question_id, string_agg(text, chr(10) || chr(10) || '###' || chr(10) || chr(10) ORDER BY rn) AS context
+      FROM run WHERE used <= 1800 GROUP BY question_id),
+qc AS (SELECT b.item_id AS question_id, b.text AS question, coalesce(k.context, '') AS context
+       FROM benchmark b LEFT JOIN k ON k.question_id = b.item_id)"""
+
+INSTR = lit("Answer the question based on the context below, and if the question can't be answered "
+            "based on the context, say \"I don't know\"")
+
+ORACLE["chat_prompt"] = f"""WITH {PROMPT_CTX}
+SELECT question_id, 'system' AS system_role, {INSTR} || chr(10) || chr(10) || 'Context: ' || context AS system_prompt,
+       'user' AS user_role, 'Question: ' || question AS user_prompt,
+       0.2::DOUBLE AS temperature, 150::BIGINT AS max_tokens, 0.8::DOUBLE AS top_p
+FROM qc"""
+
+ORACLE["completion_prompt"] = f"""WITH {PROMPT_CTX}
+SELECT question_id, {INSTR} || chr(10) || chr(10) || 'Context: ' || context || chr(10) || chr(10) || '---'
+       || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt,
+       0.0::DOUBLE AS temperature, 150::BIGINT AS max_tokens, 1.0::DOUBLE AS top_p
+FROM qc"""
+
+ORACLE["questions_json"] = """SELECT item_id AS question_id,
+       json_extract_string(json_object('query', text), '$.query') AS question FROM benchmark"""
+
+EXPORT = f"""{chunks_cte(False)},
+ex AS (SELECT doc_id, chunk_no, text, {tok('text')} AS n_tokens,
+              CAST(to_json(list_transform({embed('text')}, lambda v: v::FLOAT)) AS VARCHAR) AS embeddings FROM chunks)"""
+
+ORACLE["export_vectors"] = f"""WITH {EXPORT}
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, text, n_tokens::BIGINT AS n_tokens, embeddings FROM ex"""
+
+ORACLE["parse_vectors"] = f"""WITH {EXPORT},
+pv AS (SELECT doc_id, chunk_no, CAST(embeddings AS JSON)::DOUBLE[] AS vec FROM ex)
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, len(vec)::BIGINT AS dim,
+       list_reduce(vec, lambda a, x: a + x, 0.0::DOUBLE) AS total FROM pv"""

@@ -294,3 +294,65 @@ QUERIES.update({
     "index_facets": q_index_facets,
     "content_postings": q_content_postings,
 })
+
+
+# ---------------------------------------------------------------- prompts
+from ..operators import prompts as PR  # noqa: E402
+from ..sources import files as FI  # noqa: E402
+
+
+def contexts_with_questions(spark, sf_dir) -> DataFrame:
+    ctx = q_context(spark, sf_dir)
+    return ctx.join(S.questions(spark, sf_dir), "question_id")
+
+
+def q_chat_prompt(spark, sf_dir) -> DataFrame:
+    p = PR.chat_prompt(contexts_with_questions(spark, sf_dir))
+    return p.select("question_id",
+                    F.col("messages")[0]["role"].alias("system_role"),
+                    F.col("messages")[0]["content"].alias("system_prompt"),
+                    F.col("messages")[1]["role"].alias("user_role"),
+                    F.col("messages")[1]["content"].alias("user_prompt"),
+                    F.col("settings.temperature").alias("temperature"),
+                    F.col("settings.max_tokens").cast("long").alias("max_tokens"),
+                    F.col("settings.top_p").alias("top_p"))
+
+
+def q_completion_prompt(spark, sf_dir) -> DataFrame:
+    p = PR.completion_prompt(contexts_with_questions(spark, sf_dir))
+    return p.select("question_id", "prompt",
+                    F.col("settings.temperature").alias("temperature"),
+                    F.col("settings.max_tokens").cast("long").alias("max_tokens"),
+                    F.col("settings.top_p").alias("top_p"))
+
+
+def q_questions_json(spark, sf_dir) -> DataFrame:
+    """Benchmark items sent as request bodies ``{"query": ...}`` and parsed back."""
+    b = S.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    bodies = b.select("item_id", F.to_json(F.struct(F.col("text").alias("query"))).alias("body"))
+    q = FI.parse_question_bodies(bodies, "body")
+    return q.select(F.col("item_id").alias("question_id"), "question")
+
+
+def q_export_vectors(spark, sf_dir) -> DataFrame:
+    """Chunk table in the CSV-compatible form: vector as a JSON list."""
+    e = embedded_chunks(spark, sf_dir)
+    return FI.vectors_to_text(e, "embedding", "embeddings").select(
+        "doc_id", *_long("chunk_no"), "text", *_long("n_tokens"), "embeddings")
+
+
+def q_parse_vectors(spark, sf_dir) -> DataFrame:
+    """Vector strings of the exported chunk table parsed back to arrays."""
+    t = FI.vectors_to_text(embedded_chunks(spark, sf_dir), "embedding", "embeddings")
+    p = FI.parse_vectors(t, "embeddings", "vec")
+    return p.select("doc_id", *_long("chunk_no"), F.size("vec").cast("long").alias("dim"),
+                    F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x).alias("total"))
+
+
+QUERIES.update({
+    "chat_prompt": q_chat_prompt,
+    "completion_prompt": q_completion_prompt,
+    "questions_json": q_questions_json,
+    "export_vectors": q_export_vectors,
+    "parse_vectors": q_parse_vectors,
+})

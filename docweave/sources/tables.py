@@ -16,12 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions
+    than the cluster can run at once (e.g. one large row group). On a
+    large input the scan already has thousands of splits and this is a
+    no-op, so no extra shuffle is added at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def doc_corpus_input(spark, sf_dir) -> DataFrame:
@@ -44,7 +55,7 @@ def doc_files(spark, sf_dir) -> DataFrame:
 def conversation_pages(spark, sf_dir) -> DataFrame:
     """(sourcefile, page_num, text): a conversation as a paged document,
     one page per turn (``<conv_id>.pdf``)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return c.select(F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("sourcefile"),
                     F.col("turn").cast("int").alias("page_num"), "text")
 
