@@ -7,6 +7,7 @@ classes instead of ``\\s``, no look-around, no back-references.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,7 +96,6 @@ def html_unescape_full(col) -> Column:
     """Every HTML5 character reference, via an Arrow-batched pandas UDF
     on the standard library's ``html.unescape``."""
     from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
     @pandas_udf("string")
     def _unescape(s: pd.Series) -> pd.Series:
@@ -138,7 +138,6 @@ class PandasTokenCounter(TokenCounter):
 
     def count(self, col) -> Column:
         from pyspark.sql.functions import pandas_udf
-        import pandas as pd
         encode = self.encode
 
         @pandas_udf("int")
@@ -149,7 +148,6 @@ class PandasTokenCounter(TokenCounter):
 
     def count_each(self, arr) -> Column:
         from pyspark.sql.functions import pandas_udf
-        import pandas as pd
         encode = self.encode
 
         @pandas_udf("array<int>")

@@ -3,6 +3,7 @@ deterministic offline hashing embedder."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,7 +57,6 @@ def udf_embedder(embed_fn, dim: int | None = None):
     """Wrap a user ``embed_fn(list[str]) -> list[list[float]]`` (e.g. a
     service client) as an Arrow-batched pandas UDF: one call per batch."""
     from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
     @pandas_udf("array<float>")
     def _embed(s: pd.Series) -> pd.Series:

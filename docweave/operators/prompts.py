@@ -6,6 +6,7 @@ reply gives ''."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,6 @@ def answer(prompts: DataFrame, complete_fn=None, prompt_col: str = "prompt") ->
     if complete_fn is None:
         return prompts.withColumn("answer", F.lit(""))
     from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
     @pandas_udf("string")
     def _complete(s: pd.Series) -> pd.Series:

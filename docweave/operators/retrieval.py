@@ -79,13 +79,15 @@ def _topk_batches(batches, bq, cap, payload, budget=None):
             r, c = r[keep], c[keep]
         if budget is not None:
             # exact prune: a row of the global budget prefix is also inside
-            # the budget when only the rows of its own batch are counted
+            # the budget when only the rows of its own batch are counted.
+            # The first row over budget is kept too: it may be the global
+            # stop row, and later rows must not pass it.
             max_len, per_chunk, tok_col = budget
             cost = pdf[tok_col].to_numpy(dtype=np.float64)[r] + per_chunk
             cum = np.cumsum(cost)
             starts = np.searchsorted(c, np.arange(nq))
             base = np.concatenate([[0.0], cum])[starts[c]]
-            keep = (cum - base) <= max_len
+            keep = (cum - cost - base) <= max_len
             r, c = r[keep], c[keep]
         out = pdf[payload].iloc[r].reset_index(drop=True)
         d = dist[r, c]

@@ -134,3 +134,12 @@ def tag_audit(pages: DataFrame) -> DataFrame:
                        F.array_join(names, ",").alias("tags"),
                        F.array_join(unhandled, ",").alias("unhandled"),
                        (F.size(unhandled) == 0).alias("convertible"))
+
+
+def route_pages(captured: DataFrame, type_col: str = "content_type") -> DataFrame:
+    """Route captured responses by content type: containing 'pdf' ->
+    'pdf' (paged document), else containing 'html' -> 'html'; anything
+    else is dropped (case-sensitive, as received)."""
+    t = F.col(type_col)
+    route = F.when(t.contains("pdf"), F.lit("pdf")).when(t.contains("html"), F.lit("html"))
+    return captured.withColumn("route", route).filter(F.col("route").isNotNull())

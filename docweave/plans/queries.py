@@ -356,3 +356,17 @@ QUERIES.update({
     "export_vectors": q_export_vectors,
     "parse_vectors": q_parse_vectors,
 })
+
+
+# ------------------------------------------------------------- tree lines
+from ..operators import html_tree as HT  # noqa: E402
+
+
+def q_tag_lines(spark, sf_dir) -> DataFrame:
+    """One text line per text-bearing element of each simplified page
+    (tree walk in document order; no SQL form)."""
+    simp = W.simplify_pages(S.pages(spark, sf_dir))
+    return HT.tag_lines(simp, "html", "page_id")
+
+
+QUERIES["tag_lines"] = q_tag_lines
