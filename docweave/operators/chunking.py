@@ -85,17 +85,25 @@ def chunks(corpus_df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def token_histogram(df: DataFrame, col: str = "n_tokens", bins: int = 10) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed), all bins
     listed, empty ones with count 0; a single distinct value falls in the
-    middle bin as in numpy. (bin 1-based, lo, hi, count)."""
+    middle bin as in numpy. (bin 1-based, lo, hi, count).
+
+    One pass over the data: per-value counts (partially aggregated),
+    then min/max and binning on that small table; the value-count
+    exchange is reused by both branches."""
     v = F.col(col).cast("long")
-    stats = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    counts = df.select(v.alias("v")).groupBy("v").agg(F.count("*").alias("c"))
+    # sum(c) keeps the optimiser from folding min/max back onto the raw
+    # rows, so both branches share the one value-count exchange
+    stats = (counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("_n"))
+                   .select(F.when(F.col("_n") > 0, F.col("lo")).alias("lo"),
+                           F.when(F.col("_n") > 0, F.col("hi")).alias("hi")))
     # one-row frame: broadcasting it is bounded by construction
     idx = (F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2 + 1))
-            .otherwise(F.least(F.floor((v - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1,
+            .otherwise(F.least(F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))) + 1,
                                F.lit(bins))))
-    binned = (df.select(v.alias(col)).crossJoin(F.broadcast(stats))
-                .select(idx.cast("long").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")))
+    binned = (counts.crossJoin(F.broadcast(stats))
+                .select(idx.cast("long").alias("bin"), "c").groupBy("bin").agg(F.sum("c").alias("n")))
     all_bins = stats.select("lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return (all_bins.withColumn("bin", F.col("bin").cast("long"))
-            .join(binned, "bin", "left")
-            .select("bin", F.col("lo").alias("lo"), F.col("hi").alias("hi"),
-                    F.coalesce("n", F.lit(0)).cast("long").alias("count")))
+            .join(F.broadcast(binned), "bin", "left")
+            .select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).cast("long").alias("count")))
