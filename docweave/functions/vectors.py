@@ -37,6 +37,12 @@ def cosine_from_norms(dot_ab, sq_a, sq_b) -> Column:
 def token_buckets(text, dim: int = EMBED_DIM) -> Column:
     """ARRAY<INT>: bucket of each word = first 32 bits of md5(word) mod dim."""
     words = F.regexp_extract_all(F.lower(_c(text)), F.lit(EMBED_TOKEN_PATTERN), 0)
+    if dim <= 256 and dim & (dim - 1) == 0:
+        # dim divides 256: the value mod dim only depends on hex digits 7-8
+        # of the md5 prefix; md5 runs once per word (lambdas get no
+        # common-subexpression elimination, so the digits are bound first)
+        digits = F.transform(words, lambda w: F.substring(F.md5(w), 7, 2))
+        return F.transform(digits, lambda h: F.pmod(F.conv(h, 16, 10).cast("int"), F.lit(dim)))
     return F.transform(words, lambda w: F.pmod(
         F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 

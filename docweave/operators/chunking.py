@@ -74,12 +74,15 @@ def chunks(corpus_df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     skipped. Row-local: a posexplode, no shuffle."""
     counter = counter or TX.DEFAULT_COUNTER
     src = corpus_df.filter(F.col(text_col).isNotNull())
-    n = counter.count(F.col(text_col))
-    parts = F.when(n > max_tokens,
-                   pack_sentences(F.col(text_col), max_tokens, keep_tail, counter)) \
-             .otherwise(F.array(F.col(text_col)))
-    out = src.select(F.col(id_col), F.posexplode(parts).alias("chunk_no", "text"))
-    return out.withColumn("n_tokens", counter.count(F.col("text")))
+    src = src.withColumn("_n", counter.count(F.col(text_col)))
+    # a text kept whole already has its count; only packed chunks are recounted
+    packed = F.transform(pack_sentences(F.col(text_col), max_tokens, keep_tail, counter),
+                         lambda t: F.struct(t.alias("t"), F.lit(None).cast("int").alias("n")))
+    whole = F.array(F.struct(F.col(text_col).alias("t"), F.col("_n").cast("int").alias("n")))
+    parts = F.when(F.col("_n") > max_tokens, packed).otherwise(whole)
+    out = src.select(F.col(id_col), F.posexplode(parts).alias("chunk_no", "p"))
+    return out.select(id_col, "chunk_no", F.col("p.t").alias("text"),
+                      F.coalesce(F.col("p.n"), counter.count(F.col("p.t"))).alias("n_tokens"))
 
 
 def token_histogram(df: DataFrame, col: str = "n_tokens", bins: int = 10) -> DataFrame:

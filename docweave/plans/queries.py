@@ -252,7 +252,9 @@ def q_remove_pages(spark, sf_dir) -> DataFrame:
 def section_index(spark, sf_dir) -> DataFrame:
     """Index after two loads: every document untagged, then the labelled
     ones re-sent with their category (upsert by id)."""
-    secs = doc_sections(spark, sf_dir)
+    # written once to the shared checkpoint folder: both loads read it
+    # instead of running the section splitter twice
+    secs = doc_sections(spark, sf_dir).checkpoint()
     existing = secs.withColumn("category", F.lit(None).cast("string"))
     incoming = secs.filter(F.col("category").isNotNull())
     return IX.upsert(existing, incoming)
