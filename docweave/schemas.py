@@ -99,3 +99,10 @@ MESSAGE = T.StructType([
 ])
 
 QUESTION_BODY = T.StructType([T.StructField("query", T.StringType())])
+
+PAGE_BLOB = T.StructType([
+    T.StructField("blob_name", T.StringType()),
+    T.StructField("page_num", T.IntegerType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("sourcefile", T.StringType()),     # partition column
+])
