@@ -70,3 +70,23 @@ def test_tree_lines_and_nested_anchor_text():
 def test_parts_missing_blocks(spark):
     r = W.page_parts(pages(spark, "<body><header>h</header><p>x</p></body>")).first()
     assert r["header_len"] == len("<header>h</header>") and r["footer"] is None and r["footer_len"] is None
+
+
+def test_link_modes(spark):
+    from docweave.functions import html as H
+    html = "<p>see <a href='/x'>X</a> and <a href='#'>top</a></p>"
+    df = spark.createDataFrame([(html,)], "h string")
+
+    def render(mode):
+        return df.select(H.inline_links("h", F.lit("https"), F.lit("h.com"), mode).alias("o")).first()["o"]
+
+    assert render("text_href") == "see X https://h.com/x  and "
+    assert render("text_colon") == "see X: https://h.com/x  and "
+    assert render("plain") == "see X and top"
+    assert render("tag") == "see <a href='/x'>X</a> and <a href='#'>top</a>"
+
+
+def test_legacy_plain_text_keeps_literal_backslash_n_rule(spark):
+    html = "<body><p>a\\nb</p>\n<p>c  d</p></body>"
+    r = W.page_texts_plain(pages(spark, html, "https://s.com/x/y")).first()
+    assert r["text"] == "a b c d" and r["page_key"] == "s.com_x_y.txt"

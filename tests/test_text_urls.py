@@ -81,3 +81,13 @@ def test_blob_names_and_ids(spark):
     assert got == ["a-3.pdf", "B-0.pdf", "x.txt", "noext"]
     r = spark.createDataFrame([("my file.pdf-3",)], "v string").select(U.sanitize_id("v").alias("o")).first()
     assert r["o"] == "my_file_pdf-3"
+
+
+def test_pluggable_token_counter(spark):
+    # a Python encoder wrapped as Arrow-batched UDFs (stands in for a tokenizer vocabulary)
+    c = TX.PandasTokenCounter(lambda s: s.split())
+    df = spark.createDataFrame([("a b  c",)], "v string")
+    r = df.select(c.count(F.col("v")).alias("n"), c.count_each(F.split(F.col("v"), ",")).alias("e")).first()
+    assert r["n"] == 3 and r["e"] == [3]
+    tk = TX.tiktoken_counter()
+    assert tk is None or isinstance(tk, TX.PandasTokenCounter)
