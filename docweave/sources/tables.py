@@ -21,8 +21,14 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     than the cluster can run at once (e.g. one large row group). On a
     large input the scan already has thousands of splits and this is a
     no-op, so no extra shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is
+        return df
+    if have < target:
+        # round-robin: rows are sorted before the split, so a retried
+        # task rebuilds the same partitions
         return df.repartition(target)
     return df
 
