@@ -39,18 +39,21 @@ def element_re(tag: str) -> str:
             r"[^>]*)?>.*?</" + tag + WS + r"*>")
 
 
+def removal_re(tags=DROPPED_TAGS) -> str:
+    """One alternation matching, at each position, a raw-text element
+    (script, style), a comment, or another dropped element, in that
+    priority: a single left-to-right pass in document order, so code in
+    a script that looks like markup (``"</p>"``, ``"<!--"``) is skipped
+    with the script, and markup inside a comment goes with the comment."""
+    parts = [element_re(t)[len("(?is)"):] for t in tags if t in RAW_TEXT_TAGS]
+    parts.append(COMMENT_RE[len("(?s)"):])
+    parts += [element_re(t)[len("(?is)"):] for t in tags if t not in RAW_TEXT_TAGS]
+    return "(?is)" + "|".join(parts)
+
+
 def remove_elements(html, tags=DROPPED_TAGS) -> Column:
-    """Drop comments and the given elements with their content.
-
-    Raw-text elements (script, style) go first: their code may hold
-    markup-like strings such as ``"</p>"`` or ``"<!--"``."""
-    c = _c(html)
-    for t in [t for t in tags if t in RAW_TEXT_TAGS]:
-        c = F.regexp_replace(c, element_re(t), "")
-    c = F.regexp_replace(c, COMMENT_RE, "")
-    for t in [t for t in tags if t not in RAW_TEXT_TAGS]:
-        c = F.regexp_replace(c, element_re(t), "")
-    return c
+    """Drop comments and the given elements with their content (one pass)."""
+    return F.regexp_replace(_c(html), removal_re(tags), "")
 
 
 def title(html) -> Column:

@@ -126,11 +126,11 @@ def page_parts(pages: DataFrame) -> DataFrame:
 def tag_audit(pages: DataFrame) -> DataFrame:
     """Distinct tag names of each simplified page and the ones neither
     printed nor known containers; ``convertible`` when none is left."""
-    simp = simplify_pages(pages)
+    # tag names of the simplified page: href rewriting never changes them
     known = F.array(*[F.lit(t) for t in PRINT_TAGS + CONTAINER_TAGS])
-    names = H.tag_names("html")
+    names = H.tag_names(H.drop_class_attrs(H.body(H.remove_elements("html"))))
     unhandled = F.array_sort(F.array_except(names, known))
-    return simp.select("page_id", "url",
+    return pages.select("page_id", "url",
                        F.array_join(names, ",").alias("tags"),
                        F.array_join(unhandled, ",").alias("unhandled"),
                        (F.size(unhandled) == 0).alias("convertible"))

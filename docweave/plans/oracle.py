@@ -194,12 +194,7 @@ def unescape(x: str) -> str:
 
 
 def remove_elements(x: str, tags=H.DROPPED_TAGS) -> str:
-    for t in [t for t in tags if t in H.RAW_TEXT_TAGS]:
-        x = f"regexp_replace({x}, {lit(H.element_re(t))}, '', 'g')"
-    x = f"regexp_replace({x}, {lit(H.COMMENT_RE)}, '', 'g')"
-    for t in [t for t in tags if t not in H.RAW_TEXT_TAGS]:
-        x = f"regexp_replace({x}, {lit(H.element_re(t))}, '', 'g')"
-    return x
+    return f"regexp_replace({x}, {lit(H.removal_re(tags))}, '', 'g')"
 
 
 def body(x: str) -> str:
@@ -321,12 +316,10 @@ SELECT page_id, url, header, body, footer, length(header)::BIGINT AS header_len,
 
 KNOWN_TAGS = "[" + ", ".join(lit(t) for t in PRINT_TAGS + CONTAINER_TAGS) + "]"
 
-ORACLE["tag_audit"] = f"""WITH {SITE},
-b AS (SELECT page_id, url, bs, bn,
-             regexp_replace({body(remove_elements('html'))}, {lit(H.CLASS_ATTR_RE)}, '', 'g') AS b FROM site),
-s AS (SELECT page_id, url, {rewrite_hrefs('b', 'bs', 'bn')} AS h FROM b),
+ORACLE["tag_audit"] = f"""WITH b AS (
+  SELECT page_id, url, regexp_replace({body(remove_elements('html'))}, {lit(H.CLASS_ATTR_RE)}, '', 'g') AS h FROM pages),
 n AS (SELECT page_id, url, list_sort(list_distinct(list_transform(
-        regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)))) AS names FROM s),
+        regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)))) AS names FROM b),
 u AS (SELECT page_id, url, names, list_sort(list_filter(names, lambda x: NOT list_contains({KNOWN_TAGS}, x))) AS unh FROM n)
 SELECT page_id, url, array_to_string(names, ',') AS tags, array_to_string(unh, ',') AS unhandled,
        len(unh) = 0 AS convertible FROM u"""
