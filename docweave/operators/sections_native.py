@@ -1,0 +1,120 @@
+"""The section splitter as JVM expressions: one higher-order fold per
+document, no Python. Same rules as ``sections.split_spans`` (which stays
+as the reference implementation for tests).
+
+State of the fold: next start candidate, last emitted (start, end),
+done flag, emitted spans. Each step finds the end (forward search for a
+sentence ending or word break), walks the start back, skips a span equal
+to the last one (the endless-loop guard), and computes the next start
+(``end - overlap`` or the start of an unclosed ``<table``).
+
+The fold is nested: an outer loop of about sqrt(2n) steps, each running
+an inner loop of about sqrt(2n) steps only while the document is not
+done. 2n + 4 steps always suffice (the end grows at least every second
+step), and a finished document costs only the outer checks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import rfind
+from .sections import MAX_SECTION_LENGTH, SECTION_OVERLAP, SENTENCE_SEARCH_LIMIT
+
+SE_CLASS = "[.!?]"
+NOT_SE = "[^.!?]"
+WB_CLASS = r"[,;: ()\[\]{}\t\n]"
+NOT_WB = r"[^,;: ()\[\]{}\t\n]"
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (lambdas get no
+    common-subexpression elimination)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _end(t, n, nxt, M, L):
+    def on(fw):
+        k = F.length(F.regexp_extract(fw, "^" + NOT_SE + "*", 0))
+        last_wb = F.length(fw) - F.length(F.regexp_extract(fw, NOT_WB + r"*\z", 0)) - 1
+        return (F.when(nxt + M >= n, n)
+                 .when(fw.rlike(SE_CLASS), nxt + M + k + 1)
+                 .when(nxt + M + L >= n, n)
+                 .when(F.substring(t, nxt + M + L + 1, 1).rlike(SE_CLASS), nxt + M + L + 1)
+                 .when(fw.rlike(WB_CLASS), nxt + M + last_wb + 1)
+                 .otherwise(nxt + M + L + 1))
+    return let(F.substring(t, nxt + M + 1, L), on)
+
+
+def _start(t, nxt, e, M, L):
+    def on(lo):
+        def with_bw(bw):
+            last_se = F.length(bw) - F.length(F.regexp_extract(bw, NOT_SE + r"*\z", 0)) - 1
+            first_wb = F.length(F.regexp_extract(bw, "^" + NOT_WB + "*", 0))
+            plus = F.when(lo > 0, lo + 1).otherwise(lo)
+            return (F.when(nxt <= 0, F.lit(0))
+                     .when(bw.rlike(SE_CLASS), lo + 2 + last_se)
+                     .when(F.substring(t, lo + 1, 1).rlike(SE_CLASS), plus)
+                     .when(bw.rlike(WB_CLASS), lo + 2 + first_wb)
+                     .otherwise(plus))
+        return let(F.substring(t, lo + 2, nxt - lo), with_bw)
+    return let(F.greatest(F.lit(0), e - (M + 2 * L)), on)
+
+
+def _carry(t, a, e, L, O):
+    def on(sec):
+        lt, ltc = rfind(sec, "<table"), rfind(sec, "</table")
+        return F.when((lt > 2 * L) & (lt > ltc), F.least(e - O, a + lt)).otherwise(e - O)
+    return let(F.substring(t, a + 1, e - a), on)
+
+
+def span_array(text, max_len: int = MAX_SECTION_LENGTH, search: int = SENTENCE_SEARCH_LIMIT,
+               overlap: int = SECTION_OVERLAP) -> Column:
+    """ARRAY<STRUCT<a INT, e INT>> of section spans of ``text``."""
+    t = F.col(text) if isinstance(text, str) else text
+    M, L, O = max_len, search, overlap
+    n = F.length(t)
+    empty = F.array().cast("array<struct<a:int,e:int>>")
+    init = F.struct(F.lit(0).alias("nxt"), F.lit(-1).alias("pa"), F.lit(-1).alias("pe"),
+                    (n <= O).alias("done"), empty.alias("out"))
+
+    def step(acc, _):
+        def with_e(e):
+            def with_a(a):
+                rep = (a == acc["pa"]) & (e == acc["pe"])
+                nxt = F.when(rep, e - O).otherwise(_carry(t, a, e, L, O))
+                return F.struct(nxt.alias("nxt"),
+                                F.when(rep, acc["pa"]).otherwise(a).alias("pa"),
+                                F.when(rep, acc["pe"]).otherwise(e).alias("pe"),
+                                (nxt + O >= n).alias("done"),
+                                F.when(rep, acc["out"]).otherwise(
+                                    F.array_append(acc["out"], F.struct(a.alias("a"), e.alias("e")))).alias("out"))
+            return let(_start(t, acc["nxt"], e, M, L), with_a)
+        return F.when(acc["done"], acc).otherwise(let(_end(t, n, acc["nxt"], M, L), with_e))
+
+    total = 2 * n + 4
+    inner = F.floor(F.sqrt(total.cast("double"))).cast("int") + 1
+    outer = F.floor(total / inner).cast("int") + 1
+    run = F.aggregate(F.sequence(F.lit(1), outer), init,
+                      lambda acc, _: F.when(acc["done"], acc).otherwise(
+                          F.aggregate(F.sequence(F.lit(1), inner), acc, step)))
+    return F.when(t.isNull(), empty).otherwise(run["out"])
+
+
+def split_sections(docs: DataFrame, max_len: int = MAX_SECTION_LENGTH,
+                   search: int = SENTENCE_SEARCH_LIMIT, overlap: int = SECTION_OVERLAP,
+                   carry: tuple = ()) -> DataFrame:
+    """Same output as ``sections.split_sections`` (one row per section,
+    with ``page_num`` = last page whose offset is <= start)."""
+    if "page_offsets" not in docs.columns:
+        docs = docs.withColumn("page_offsets", F.array(F.lit(0).cast("long")))
+    spans = span_array(F.col("text"), max_len, search, overlap)
+    out = docs.select("sourcefile", "text", "page_offsets", *carry,
+                      F.posexplode(spans).alias("section_no", "s"))
+    a, e = F.col("s.a"), F.col("s.e")
+    page = F.greatest(F.size(F.filter("page_offsets", lambda o: o <= a)) - 1, F.lit(0))
+    return out.select("sourcefile", F.col("section_no").cast("int").alias("section_no"),
+                      a.alias("start"), e.alias("end"),
+                      F.substring(F.col("text"), a + 1, e - a).alias("content"),
+                      page.cast("int").alias("page_num"), *[F.col(c).cast("string") for c in carry])
