@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import ensure_checkpoint_dir
 
 MAX_CONTEXT_TOKENS = 1800   # context budget
 PER_CHUNK_OVERHEAD = 4      # tokens added per chunk
@@ -43,61 +44,79 @@ def _question_batches(questions: DataFrame, max_broadcast: int):
     return [tagged.filter(F.col("_qb") == i).drop("_qb") for i in range(k)]
 
 
-def _topk_batches(batches, bq, cap, payload, budget=None):
+BLOCK_CELLS = 4_000_000     # distance-matrix cells per block (32 MB of doubles)
+
+
+def _topk_block(key, dist, cid, tok, qids, cap, budget):
+    """Row / question-column indices kept for one block of questions."""
+    n, nq = key.shape
+    if cap is not None and n > cap:
+        # candidates: rows not worse than each question's cap-th key
+        kth = np.partition(key, cap - 1, axis=0)[cap - 1]
+        r, c = np.nonzero(key <= kth[None, :])
+    else:
+        r, c = np.divmod(np.arange(n * nq), nq)
+    o = np.lexsort((cid[r], key[r, c], c))
+    r, c = r[o], c[o]
+    starts = np.searchsorted(c, np.arange(nq))
+    if cap is not None:
+        # rank inside each question's run; keep the first cap
+        rank = np.arange(len(c)) - starts[c]
+        keep = rank < cap
+        r, c = r[keep], c[keep]
+        starts = np.searchsorted(c, np.arange(nq))
+    if budget is not None:
+        # exact prune: a row of the global budget prefix is also inside
+        # the budget when only the rows of its own batch are counted.
+        # The first row over budget is kept too: it may be the global
+        # stop row, and later rows must not pass it.
+        max_len, per_chunk = budget
+        cost = tok[r] + per_chunk
+        cum = np.cumsum(cost)
+        base = np.concatenate([[0.0], cum])[starts[c]]
+        keep = (cum - cost - base) <= max_len
+        r, c = r[keep], c[keep]
+    return r, c
+
+
+def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELLS):
     """Score one Arrow batch of chunks against the broadcast question
-    matrix (one matmul) and keep each question's best ``cap`` rows of the
-    batch by (distance, chunk_id); zero vectors get a NULL distance,
-    ranked after every real one."""
+    matrix (one matmul per block of questions, the block sized so the
+    distance matrix stays within ``BLOCK_CELLS``) and keep each
+    question's best ``cap`` rows of the batch by (distance, chunk_id);
+    zero vectors get a NULL distance, ranked after every real one."""
     qids, qmat = bq.value
     qsq = np.einsum("ij,ij->i", qmat, qmat)
     for pdf in batches:
         if len(pdf) == 0 or len(qids) == 0:
             continue
         emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-        dots = emb @ qmat.T                                   # n x Q
         csq = np.einsum("ij,ij->i", emb, emb)
-        den = np.sqrt(csq[:, None] * qsq[None, :])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.abs(1.0 - dots / den)
-        dist[den == 0] = np.nan
-        key = np.where(np.isnan(dist), np.inf, dist)
         cid = pdf["chunk_id"].to_numpy()
-        n, nq = key.shape
-        if cap is not None and n > cap:
-            # candidates: rows not worse than each question's cap-th key
-            kth = np.partition(key, cap - 1, axis=0)[cap - 1]
-            r, c = np.nonzero(key <= kth[None, :])
-        else:
-            r, c = np.divmod(np.arange(n * nq), nq)
-        o = np.lexsort((cid[r], key[r, c], c))
-        r, c = r[o], c[o]
-        if cap is not None:
-            # rank inside each question's run; keep the first cap
-            starts = np.searchsorted(c, np.arange(nq))
-            rank = np.arange(len(c)) - starts[c]
-            keep = rank < cap
-            r, c = r[keep], c[keep]
-        if budget is not None:
-            # exact prune: a row of the global budget prefix is also inside
-            # the budget when only the rows of its own batch are counted.
-            # The first row over budget is kept too: it may be the global
-            # stop row, and later rows must not pass it.
-            max_len, per_chunk, tok_col = budget
-            cost = pdf[tok_col].to_numpy(dtype=np.float64)[r] + per_chunk
-            cum = np.cumsum(cost)
-            starts = np.searchsorted(c, np.arange(nq))
-            base = np.concatenate([[0.0], cum])[starts[c]]
-            keep = (cum - cost - base) <= max_len
-            r, c = r[keep], c[keep]
-        out = pdf[payload].iloc[r].reset_index(drop=True)
-        d = dist[r, c]
-        out["question_id"] = qids[c]
-        out["distance"] = pd.Series(np.where(np.isnan(d), None, d), dtype="object")
-        yield out
+        tok = pdf[budget[2]].to_numpy(dtype=np.float64) if budget is not None else None
+        step = max(1, block_cells // len(pdf))
+        for q0 in range(0, len(qids), step):
+            q1 = min(len(qids), q0 + step)
+            dots = emb @ qmat[q0:q1].T                       # n x block
+            den = np.sqrt(csq[:, None] * qsq[None, q0:q1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.abs(1.0 - dots / den)
+            dist[den == 0] = np.nan
+            key = np.where(np.isnan(dist), np.inf, dist)
+            r, c = _topk_block(key, dist, cid, tok, qids, cap,
+                               None if budget is None else budget[:2])
+            if len(r) == 0:
+                continue
+            out = pdf[payload].iloc[r].reset_index(drop=True)
+            d = dist[r, c]
+            out["question_id"] = qids[q0:q1][c]
+            out["distance"] = pd.Series(np.where(np.isnan(d), None, d), dtype="object")
+            yield out
 
 
 def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-          tie_digits: int = TIE_DIGITS, cap: int | None = None, budget=None) -> DataFrame:
+          tie_digits: int = TIE_DIGITS, cap: int | None = None, budget=None,
+          block_cells: int = BLOCK_CELLS) -> DataFrame:
     """chunks(chunk_id, embedding, ...) x questions(question_id, q_embedding)
     -> (payload..., question_id, distance, rank_key).
 
@@ -111,7 +130,13 @@ def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROA
     schema = T.StructType(fields + [T.StructField("question_id", questions.schema["question_id"].dataType),
                                     T.StructField("distance", T.DoubleType())])
     out = None
-    for qb in _question_batches(questions.select("question_id", "q_embedding"), max_broadcast):
+    batches = _question_batches(questions.select("question_id", "q_embedding"), max_broadcast)
+    if len(batches) > 1:
+        # several passes over the chunks: materialise them once in the
+        # shared checkpoint folder instead of recomputing them per batch
+        ensure_checkpoint_dir(spark)
+        chunks = chunks.select(*payload, "embedding").checkpoint()
+    for qb in batches:
         rows = qb.collect()          # bounded: at most max_broadcast rows
         qids = np.array([r["question_id"] for r in rows])
         qmat = np.array([np.asarray(r["q_embedding"] or [], dtype=np.float64) for r in rows])
@@ -119,7 +144,7 @@ def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROA
             continue
         bq = spark.sparkContext.broadcast((qids, qmat))
         s = chunks.select(*payload, "embedding").mapInPandas(
-            lambda it, bq=bq: _topk_batches(it, bq, cap, payload, budget), schema)
+            lambda it, bq=bq: _topk_batches(it, bq, cap, payload, budget, block_cells), schema)
         out = s if out is None else out.unionByName(s)
     if out is None:
         out = spark.createDataFrame([], schema)

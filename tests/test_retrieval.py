@@ -65,3 +65,12 @@ def test_prompts_and_answers(spark):
 
     assert PR.answer(PR.completion_prompt(df), boom).first()["answer"] == ""
     assert PR.answer(PR.completion_prompt(df)).first()["answer"] == ""
+
+
+def test_question_blocks_inside_a_batch(spark):
+    c, q = frames(spark)
+    a = sorted((r["question_id"], r["context"]) for r in R.build_context(c, q, max_len=30).collect())
+    # one question per block, all chunks in one batch
+    b = sorted((r["question_id"], r["context"])
+               for r in R.build_context(c.coalesce(1), q, max_len=30, block_cells=1).collect())
+    assert a == b
