@@ -19,6 +19,14 @@ def read_text_folder(spark: SparkSession, path: str, glob: str = "*.txt",
     return df.select(F.col("_metadata.file_path").alias("fname"), F.col("value").alias("text"))
 
 
+def read_raw_pages(spark: SparkSession, path: str, glob: str = "*.html",
+                   recursive: bool = True) -> DataFrame:
+    """(path, html) of raw captured bodies stored as files (UTF-8)."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", recursive).load(path)
+    return df.select("path", F.decode(F.col("content"), "UTF-8").alias("html"))
+
+
 def read_paged_documents(spark: SparkSession, path: str) -> DataFrame:
     """(sourcefile, page_num, text) from a parquet/JSON page table."""
     return spark.read.parquet(path).select("sourcefile", F.col("page_num").cast("int"), "text")

@@ -90,3 +90,20 @@ def test_legacy_plain_text_keeps_literal_backslash_n_rule(spark):
     html = "<body><p>a\\nb</p>\n<p>c  d</p></body>"
     r = W.page_texts_plain(pages(spark, html, "https://s.com/x/y")).first()
     assert r["text"] == "a b c d" and r["page_key"] == "s.com_x_y.txt"
+
+
+def test_tree_link_mode_repeats_nested_anchor_text(spark):
+    html = "<title>T</title><body><p>a<a href='/x'><b>B</b>tail</a>c</p><a href='#'>top</a></body>"
+    r = W.page_texts(pages(spark, html), link_mode="tree").first()
+    assert r["text"] == "T\n\naBtail https://h.com/x Bc"
+    assert W.page_texts(pages(spark, html)).first()["text"] == "T\n\naBtail https://h.com/x c"
+
+
+def test_raw_page_files(spark, tmp):
+    import os
+    from docweave.sources import files as FI
+    os.makedirs(os.path.join(tmp, "site", "a"))
+    with open(os.path.join(tmp, "site", "a", "p.html"), "w", encoding="utf-8") as f:
+        f.write("<body>é</body>")
+    rows = FI.read_raw_pages(spark, os.path.join(tmp, "site")).collect()
+    assert len(rows) == 1 and rows[0]["html"] == "<body>é</body>" and rows[0]["path"].endswith("a/p.html")
