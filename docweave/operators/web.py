@@ -40,25 +40,27 @@ def simplify_pages(pages: DataFrame) -> DataFrame:
                     H.simplify("html", "scheme", "netloc").alias("html"))
 
 
-def page_texts(pages: DataFrame, link_mode: str = "text_href") -> DataFrame:
+def page_texts(pages: DataFrame, link_mode: str = "text_href", keep: tuple = ()) -> DataFrame:
     """(page_id, url, netloc, page_key, text): the page's text file.
     ``saved`` is false for a page whose key is '' (not written).
 
     ``link_mode="tree"`` renders anchors on a parsed tree (text nested
     deeper inside an anchor is repeated after it, as a tree walk does);
-    the other modes are regex based and JVM-side."""
+    the other modes are regex based and JVM-side. ``keep`` columns are
+    carried through."""
     p = with_site(pages)
+    keep = tuple(keep)
     if link_mode == "tree":
         from .html_tree import anchor_texts
-        b = p.select("page_id", "url", "netloc", "page_key", H.title("html").alias("title"),
+        b = p.select("page_id", "url", "netloc", "page_key", *keep, H.title("html").alias("title"),
                      H.rewrite_hrefs(H.body(H.remove_elements("html")), F.col("scheme"), F.col("netloc"))
                      .alias("body"))
         r = anchor_texts(b, "body", "body_text")
         txt = TX.clean_text("body_text")
         text = F.when(F.col("title").isNull(), txt).otherwise(F.concat("title", F.lit("\n\n"), txt))
-        return r.select("page_id", "url", "netloc", "page_key", text.alias("text"),
+        return r.select("page_id", "url", "netloc", "page_key", *keep, text.alias("text"),
                         (F.col("page_key") != "").alias("saved"))
-    return p.select("page_id", "url", "netloc", "page_key",
+    return p.select("page_id", "url", "netloc", "page_key", *keep,
                     H.page_text("html", "scheme", "netloc", link_mode).alias("text"),
                     (F.col("page_key") != "").alias("saved"))
 

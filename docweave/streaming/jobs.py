@@ -44,9 +44,15 @@ def answer_stream(spark: SparkSession, source_dir: str, chunks: DataFrame, sink_
     chunks = chunks.persist()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select(F.xxhash64(F.lit(batch_id), "question").alias("question_id"), "question")
-        out = answer_batch(b, chunks, embedder, complete_fn)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        # unique ids per question row (equal questions stay separate);
+        # persisted so every action of this batch sees the same ids
+        b = batch.select((F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id())
+                         .alias("question_id"), "question").persist()
+        try:
+            out = answer_batch(b, chunks, embedder, complete_fn)
+            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+        finally:
+            b.unpersist()
 
     w = qs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if trigger_once:
@@ -55,9 +61,18 @@ def answer_stream(spark: SparkSession, source_dir: str, chunks: DataFrame, sink_
 
 
 def page_text_stream(spark: SparkSession, source_dir: str, sink_path: str, checkpoint: str,
-                     trigger_once: bool = False):
-    pages = spark.readStream.schema(schemas.PAGE).parquet(source_dir)
-    texts = W.page_texts(pages).filter(F.col("saved")).dropDuplicates(["netloc", "page_key"])
+                     trigger_once: bool = False, event_time: str | None = None,
+                     watermark: str = "1 day", schema=schemas.PAGE):
+    """Without ``event_time`` every (netloc, page_key) ever seen is kept in
+    the state store (use the RocksDB state store for large sites); with
+    an event-time column, duplicates are dropped within ``watermark``
+    and older state is evicted."""
+    pages = spark.readStream.schema(schema).parquet(source_dir)
+    texts = W.page_texts(pages, keep=(event_time,) if event_time else ()).filter(F.col("saved"))
+    if event_time:
+        texts = texts.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["netloc", "page_key"])
+    else:
+        texts = texts.dropDuplicates(["netloc", "page_key"])
     w = (texts.writeStream.format("parquet").option("path", sink_path)
          .option("checkpointLocation", checkpoint).outputMode("append"))
     if trigger_once:

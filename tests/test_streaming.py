@@ -28,7 +28,7 @@ def test_page_text_stream_equals_batch(spark, tmp):
 def test_answer_stream_equals_batch(spark, tmp):
     src, sink, ck = (os.path.join(tmp, x) for x in ("q", "out", "ck"))
     os.makedirs(src)
-    qs = ["alpha beta", "gamma delta alpha"]
+    qs = ["alpha beta", "gamma delta alpha", "alpha beta"]
     with open(os.path.join(src, "b1.json"), "w") as f:
         for q in qs:
             f.write(json.dumps({"query": q}) + "\n")
@@ -40,7 +40,7 @@ def test_answer_stream_equals_batch(spark, tmp):
     got = sorted((r["question"], r["context"]) for r in spark.read.parquet(sink).collect())
     qdf = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "question_id long, question string")
     want = sorted((r["question"], r["context"]) for r in J.answer_batch(qdf, chunks).collect())
-    assert got == want and len(got) == 2
+    assert got == want and len(got) == 3
 
 
 def test_section_index_stream_equals_batch(spark, tmp):
@@ -55,3 +55,18 @@ def test_section_index_stream_equals_batch(spark, tmp):
     want = sorted(tuple(r) for r in SE.sections(docs, category="category")
                   .select("id", "content", "category", "sourcepage", "sourcefile").collect())
     assert got == want and len(got) > 2
+
+
+def test_page_text_stream_with_watermark(spark, tmp):
+    import datetime as dt
+    src, sink, ck = (os.path.join(tmp, x) for x in ("src", "sink", "ck"))
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, u, h, t0 + dt.timedelta(minutes=i)) for i, u, h in PAGES] + \
+           [(9, "https://s.com/a/", "<body>again</body>", t0 + dt.timedelta(minutes=9))]
+    schema = "page_id long, url string, html string, fetched_at timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    q = J.page_text_stream(spark, src, sink, ck, trigger_once=True, event_time="fetched_at",
+                           watermark="1 hour", schema=schema)
+    q.awaitTermination(120)
+    got = spark.read.parquet(sink).collect()
+    assert sorted(r["page_key"] for r in got) == ["a", "b", "home"]
