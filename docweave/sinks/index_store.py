@@ -1,23 +1,29 @@
 """Section index on storage: a parquet table partitioned by
-``sourcefile`` (filterable field -> partition pruning on lookups).
+``sourcefile`` (filterable field -> partition pruning on lookups), or,
+with ``buckets=N``, by ``file_bucket = pmod(xxhash64(sourcefile), N)``
+so that millions of source files do not become millions of partition
+folders. Pass the same ``buckets`` value for a table on every call.
 
 * ``create``: make the table if absent, with the fixed schema.
 * ``upsert_into``: merge by id, rewriting only the touched partitions
   (dynamic partition overwrite). The merged rows are checkpointed to the
   cluster's shared checkpoint folder first, so the table is never
   overwritten while it is being read.
-* ``delete_from``: drop whole source files (their partition files) or all.
+* ``delete_from``: drop the rows of whole source files, or all rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import index as IX
 from ..session import ensure_checkpoint_dir
 
+BUCKET_COL = "file_bucket"
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -30,47 +36,90 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def create(spark: SparkSession, path: str) -> None:
+def _part(buckets):
+    return BUCKET_COL if buckets else "sourcefile"
+
+
+def _schema(buckets):
+    if not buckets:
+        return schemas.SECTION
+    return T.StructType(list(schemas.SECTION.fields) + [T.StructField(BUCKET_COL, T.IntegerType())])
+
+
+def bucket_of(col, buckets: int):
+    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
+
+
+def _with_bucket(df: DataFrame, buckets):
+    return df.withColumn(BUCKET_COL, bucket_of(F.col("sourcefile"), buckets)) if buckets else df
+
+
+def create(spark: SparkSession, path: str, buckets: int | None = None) -> None:
     if not exists(spark, path):
-        (spark.createDataFrame([], schemas.SECTION).write.mode("errorifexists")
-              .partitionBy("sourcefile").parquet(path))
+        (spark.createDataFrame([], _schema(buckets)).write.mode("errorifexists")
+              .partitionBy(_part(buckets)).parquet(path))
+
 
+def _raw(spark, path, buckets):
+    return spark.read.schema(_schema(buckets)).parquet(path)
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SECTION).parquet(path).select(*IX.INDEX_FIELDS)
 
+def read(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
+    return _raw(spark, path, buckets).select(*IX.INDEX_FIELDS)
 
-def upsert_into(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
+
+def _drop_partitions(spark, path, buckets, parts: DataFrame) -> int:
+    """Delete the storage files of the given partition values."""
+    col = _part(buckets)
+    t = _raw(spark, path, buckets).select(col, F.col("_metadata.file_path").alias("fp"))
+    t = t.join(parts.select(col).distinct(), col, "left_semi")
+    paths = [r["fp"] for r in t.select("fp").distinct().collect()]   # metadata-sized list
+    fs, _, jvm = _fs(spark, path)
+    return sum(1 for p in paths if fs.delete(jvm.org.apache.hadoop.fs.Path(p), False))
+
+
+def _rewrite(spark, path, buckets, rows: DataFrame, touched: DataFrame) -> None:
+    """Replace the touched partitions by ``rows`` (which hold every row
+    those partitions keep). Partitions left empty are deleted."""
+    col = _part(buckets)
+    staged = _with_bucket(rows, buckets).checkpoint()       # materialised away from the table
+    emptied = touched.select(col).distinct().join(staged.select(col).distinct(), col, "left_anti")
+    _drop_partitions(spark, path, buckets, emptied)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy(col).parquet(path))
+
+
+def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | None = None) -> DataFrame:
     """Upsert ``incoming`` sections; returns the per-file report
     (sent, succeeded) of this batch."""
-    create(spark, path)
+    create(spark, path, buckets)
     ensure_checkpoint_dir(spark)
-    existing = read(spark, path)
+    col = _part(buckets)
+    raw = _raw(spark, path, buckets)
     inc = IX.dedup_incoming(incoming).select(*IX.INDEX_FIELDS)
-    moved = existing.join(inc.select("id"), "id", "left_semi").select("sourcefile")
-    touched = inc.select("sourcefile").union(moved).distinct()
-    merged = IX.upsert(existing.join(touched, "sourcefile", "left_semi"), inc)
-    staged = merged.checkpoint()          # materialised away from the table
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("sourcefile").parquet(path))
+    moved = raw.join(inc.select("id"), "id", "left_semi").select("sourcefile")
+    touched = _with_bucket(inc.select("sourcefile").union(moved).distinct(), buckets).select(col).distinct()
+    existing = raw.join(touched, col, "left_semi").select(*IX.INDEX_FIELDS)
+    _rewrite(spark, path, buckets, IX.upsert(existing, inc), touched)
     return IX.upsert_report(incoming)
 
 
-def delete_from(spark: SparkSession, path: str, files: DataFrame | None = None) -> int:
-    """Delete the rows of the given source files (whole partitions), or
-    all rows. Returns the number of files removed from storage."""
+def delete_from(spark: SparkSession, path: str, files: DataFrame | None = None,
+                buckets: int | None = None) -> int:
+    """Delete the rows of the given source files (matched by base name),
+    or all rows. Returns the number of storage files removed or rewritten."""
     if not exists(spark, path):
         return 0
-    t = (spark.read.schema(schemas.SECTION).parquet(path)
-              .select("sourcefile", F.col("_metadata.file_path").alias("file_path")))
-    if files is not None:
-        names = files.select(F.regexp_extract("sourcefile", r"([^/]*)$", 1).alias("sourcefile"))
-        t = t.join(names, "sourcefile", "left_semi")
-    # storage paths of the affected partitions (a metadata-sized list)
-    data_files = [r["file_path"] for r in t.select("file_path").distinct().collect()]
-    fs, _, jvm = _fs(spark, path)
-    n = 0
-    for f in data_files:
-        if fs.delete(jvm.org.apache.hadoop.fs.Path(f), False):
-            n += 1
+    col = _part(buckets)
+    raw = _raw(spark, path, buckets)
+    if files is None:
+        return _drop_partitions(spark, path, buckets, raw.select(col))
+    names = files.select(F.regexp_extract("sourcefile", r"([^/]*)$", 1).alias("sourcefile")).distinct()
+    if not buckets:
+        return _drop_partitions(spark, path, buckets, names)
+    ensure_checkpoint_dir(spark)
+    touched = _with_bucket(names, buckets).select(col).distinct()
+    keep = raw.join(touched, col, "left_semi").join(names, "sourcefile", "left_anti").select(*IX.INDEX_FIELDS)
+    n = touched.count()
+    _rewrite(spark, path, buckets, keep, touched)
     return n

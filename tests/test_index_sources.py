@@ -89,3 +89,18 @@ def test_vectors_and_question_bodies(spark):
     assert FI.parse_vectors(t, "embeddings", "v").first()["v"] == [0.5, 2.0]
     b = spark.createDataFrame([('{"query": "what?"}',), ('{"other": 1}',)], "body string")
     assert [r["question"] for r in FI.parse_question_bodies(b).collect()] == ["what?", None]
+
+
+def test_bucketed_index_store(spark, tmp):
+    path = os.path.join(tmp, "bidx")
+    ST.upsert_into(spark, path, idx(spark), buckets=4)
+    ST.upsert_into(spark, path, idx(spark, [("a_txt-1", "beta v2", "new", "a.txt", "a.txt")]), buckets=4)
+    got = {r["id"]: r["content"] for r in ST.read(spark, path, buckets=4).collect()}
+    assert got == {"a_txt-0": "alpha beta", "a_txt-1": "beta v2", "b_pdf-0": "gamma 12"}
+    ST.delete_from(spark, path, spark.createDataFrame([("b.pdf",)], "sourcefile string"), buckets=4)
+    assert sorted(r["id"] for r in ST.read(spark, path, buckets=4).collect()) == ["a_txt-0", "a_txt-1"]
+    ST.delete_from(spark, path, spark.createDataFrame([("a.txt",)], "sourcefile string"), buckets=4)
+    assert ST.read(spark, path, buckets=4).count() == 0
+    ST.upsert_into(spark, path, idx(spark), buckets=4)
+    ST.delete_from(spark, path, buckets=4)
+    assert ST.read(spark, path, buckets=4).count() == 0
