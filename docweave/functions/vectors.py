@@ -20,18 +20,21 @@ def dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def _clamped(dot_ab: Column, den: Column) -> Column:
+    # |1 - a.b/den| clamped to [0, 2]; a zero vector has no direction: the
+    # ratio is undefined and the clamp turns it into 0 (most similar)
+    return F.when(den == 0, F.lit(0.0)).otherwise(
+        F.least(F.abs(F.lit(1.0) - dot_ab / den), F.lit(2.0)))
+
+
 def cosine_distance(a, b) -> Column:
-    """|1 - a.b / sqrt(|a|^2 |b|^2)|; NULL when either vector is zero
-    (sorted after every real distance, as NaN is)."""
-    num = dot(a, b)
-    den = F.sqrt(dot(a, a) * dot(b, b))
-    return F.abs(F.lit(1.0) - F.try_divide(num, F.when(den != 0, den)))
+    """Cosine distance in [0, 2]; 0 when either vector is zero."""
+    return _clamped(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def cosine_from_norms(dot_ab, sq_a, sq_b) -> Column:
     """Same value as ``cosine_distance`` given a.b, |a|^2 and |b|^2."""
-    den = F.sqrt(_c(sq_a) * _c(sq_b))
-    return F.abs(F.lit(1.0) - F.try_divide(_c(dot_ab), F.when(den != 0, den)))
+    return _clamped(_c(dot_ab), F.sqrt(_c(sq_a) * _c(sq_b)))
 
 
 def token_buckets(text, dim: int = EMBED_DIM) -> Column:

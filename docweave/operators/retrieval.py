@@ -83,8 +83,8 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
     """Score one Arrow batch of chunks against the broadcast question
     matrix (one matmul per block of questions, the block sized so the
     distance matrix stays within ``BLOCK_CELLS``) and keep each
-    question's best ``cap`` rows of the batch by (distance, chunk_id);
-    zero vectors get a NULL distance, ranked after every real one."""
+    question's best ``cap`` rows of the batch by (distance, chunk_id).
+    Distances are clamped to [0, 2]; a zero vector gets 0."""
     qids, qmat = bq.value
     qsq = np.einsum("ij,ij->i", qmat, qmat)
     for pdf in batches:
@@ -100,9 +100,9 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
             dots = emb @ qmat[q0:q1].T                       # n x block
             den = np.sqrt(csq[:, None] * qsq[None, q0:q1])
             with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.abs(1.0 - dots / den)
-            dist[den == 0] = np.nan
-            key = np.where(np.isnan(dist), np.inf, dist)
+                dist = np.minimum(np.abs(1.0 - dots / den), 2.0)
+            dist[den == 0] = 0.0          # zero vector: clamped to 0
+            key = dist
             r, c = _topk_block(key, dist, cid, tok, qids, cap,
                                None if budget is None else budget[:2])
             if len(r) == 0:
@@ -110,7 +110,7 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
             out = pdf[payload].iloc[r].reset_index(drop=True)
             d = dist[r, c]
             out["question_id"] = qids[q0:q1][c]
-            out["distance"] = pd.Series(np.where(np.isnan(d), None, d), dtype="object")
+            out["distance"] = d
             yield out
 
 

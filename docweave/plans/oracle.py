@@ -77,7 +77,7 @@ def dot(a: str, b: str) -> str:
 
 def cosine(a: str, b: str) -> str:
     den = f"sqrt({dot(a, a)} * {dot(b, b)})"
-    return f"(CASE WHEN {den} = 0 THEN NULL ELSE abs(1.0 - {dot(a, b)} / {den}) END)"
+    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE least(abs(1.0 - {dot(a, b)} / {den}), 2.0) END)"
 
 
 ORACLE: dict[str, str] = {}

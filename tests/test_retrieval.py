@@ -28,13 +28,23 @@ def test_first_chunk_over_budget_gives_empty_context(spark):
     assert ctx(spark, 13)[7] == ("", 0)
 
 
-def test_zero_vectors_rank_last(spark):
+def test_zero_vectors_are_at_distance_zero(spark):
+    # an undefined cosine (zero vector) is clamped to 0: it ranks with the
+    # best matches, ties broken by chunk id
     got = ctx(spark, 100)
-    assert got[7] == ("t1\n\n###\n\nt2\n\n###\n\nt3\n\n###\n\nt4", 42)
-    # a zero question: every distance is NULL, order by chunk id
+    assert got[7] == ("t1\n\n###\n\nt2\n\n###\n\nt4\n\n###\n\nt3", 42)
     assert got[8][0] == "t1\n\n###\n\nt2\n\n###\n\nt3\n\n###\n\nt4"
 
 
+def test_distance_values(spark):
+    from pyspark.sql import functions as F
+    from docweave.functions import vectors as V
+    df = spark.createDataFrame([([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 2.0]), ([3.0, 4.0], [3.0, 4.0])],
+                               "a array<double>, b array<double>")
+    got = [round(r["d"], 12) for r in df.select(V.cosine_distance("a", "b").alias("d")).collect()]
+    assert got == [2.0, 0.0, 0.0]
+
+
 def test_nearest_topk(spark):
     c, q = frames(spark)
     got = [(r["question_id"], r["rank"], r["chunk_id"]) for r in
