@@ -535,3 +535,6 @@ ORACLE["parse_vectors"] = f"""WITH {EXPORT},
 pv AS (SELECT doc_id, chunk_no, CAST(embeddings AS JSON)::DOUBLE[] AS vec FROM ex)
 SELECT doc_id, chunk_no::BIGINT AS chunk_no, len(vec)::BIGINT AS dim,
        list_reduce(vec, lambda a, x: a + x, 0.0::DOUBLE) AS total FROM pv"""
+
+ORACLE["csv_roundtrip"] = f"""WITH {CORPUS}
+SELECT fname AS title, text FROM corpus"""

@@ -372,3 +372,17 @@ def q_tag_lines(spark, sf_dir) -> DataFrame:
 
 
 QUERIES["tag_lines"] = q_tag_lines
+
+
+def q_csv_roundtrip(spark, sf_dir) -> DataFrame:
+    """Corpus rows written as CSV (header, quoted multi-line fields) to a
+    new folder under the shared checkpoint folder, read back as (title, text)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/corpus-csv-{uuid.uuid4().hex}"
+    FI.write_corpus_csv(corpus_df(spark, sf_dir).select("fname", "text"), path)
+    return FI.read_corpus_csv(spark, path)
+
+
+QUERIES["csv_roundtrip"] = q_csv_roundtrip

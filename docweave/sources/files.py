@@ -36,13 +36,16 @@ def write_corpus_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Corpus rows (fname, text) as CSV with a header; quotes, commas and
     newlines inside fields round-trip."""
     (df.select("fname", "text").write.mode(mode)
-       .option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+       .option("header", True).option("escape", '"').option("multiLine", True)
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .csv(path))
 
 
 def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
     """Corpus CSV read back with the columns renamed to (title, text)."""
     df = (spark.read.schema(schemas.CORPUS).option("header", True).option("escape", '"')
-          .option("multiLine", True).csv(path))
+          .option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).csv(path))
     return df.toDF("title", "text")
 
 
