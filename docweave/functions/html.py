@@ -23,9 +23,11 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 TAG_RE = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
 ANCHOR_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>.*?</a" + WS + r"*>"
 ANCHOR_OPEN_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>"
-HREF_VALUE_RE = (r"(?is)^<a" + WS + r"[^>]*?href" + WS + r"*=" + WS +
+# the attribute name must follow a blank (so "data-href" is not "href")
+HREF_PRE_RE = r"(?is)^(<a[^>]*?" + WS + r"href" + WS + r"*=" + WS + r"*)"
+HREF_VALUE_RE = (r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*=" + WS +
                  r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f>]+)""")
-HAS_HREF_RE = r"(?is)^<a" + WS + r"[^>]*?href" + WS + r"*="
+HAS_HREF_RE = r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*="
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title" + WS + r"*>"
 BODY_RE = r"(?is)<body(?:" + WS + r"[^>]*)?>(.*?)(?:</body" + WS + r"*>|\z)"
 CLASS_ATTR_RE = r"""(?i)""" + WS + r"""+class""" + WS + r"""*=""" + WS + \
@@ -108,7 +110,7 @@ def rewrite_hrefs(html, base_scheme, base_netloc) -> Column:
         new = clean_link(h, bs, bn, False)
         skip = (h == "") | h.startswith("tel:") | h.startswith("mailto:") | (new == h)
         # split the tag around the raw value; the new value is written quoted
-        pre = F.regexp_extract(tag, r"(?is)^(<a" + WS + r"[^>]*?href" + WS + r"*=" + WS + r"*)", 1)
+        pre = F.regexp_extract(tag, HREF_PRE_RE, 1)
         post = F.substring(tag, F.length(pre) + F.length(raw) + 1, 1 << 30)
         return F.when(skip, tag).otherwise(
             F.concat(pre, F.lit('"'), F.replace(new, F.lit('"'), F.lit("&quot;")), F.lit('"'), post))

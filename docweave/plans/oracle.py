@@ -248,7 +248,7 @@ def rewrite_hrefs(b: str, bs: str, bn: str) -> str:
         h = href_value(tag)
         new = clean_link(h, bs, bn, False)
         skip = f"({h} = '' OR starts_with({h}, 'tel:') OR starts_with({h}, 'mailto:') OR {new} = {h})"
-        pre = f"regexp_extract({tag}, {lit('(?is)^(<a' + H.WS + '[^>]*?href' + H.WS + '*=' + H.WS + '*)')}, 1)"
+        pre = f"regexp_extract({tag}, {lit(H.HREF_PRE_RE)}, 1)"
         post = f"substr({tag}, length({pre}) + length({raw}) + 1)"
         return (f"(CASE WHEN {skip} THEN {tag} ELSE {pre} || '\"' || replace({new}, '\"', '&quot;') || '\"' "
                 f"|| {post} END)")

@@ -107,3 +107,11 @@ def test_raw_page_files(spark, tmp):
         f.write("<body>é</body>")
     rows = FI.read_raw_pages(spark, os.path.join(tmp, "site")).collect()
     assert len(rows) == 1 and rows[0]["html"] == "<body>é</body>" and rows[0]["path"].endswith("a/p.html")
+
+
+def test_href_attribute_name_is_exact(spark):
+    html = '<body><a data-href="/no" href="/yes">y</a><a\nhref=/bare>b</a></body>'
+    got = sorted(r["link"] for r in W.page_links(pages(spark, html)).collect())
+    assert got == ["https://h.com/bare", "https://h.com/yes"]
+    simp = W.simplify_pages(pages(spark, html)).first()["html"]
+    assert 'data-href="/no" href="https://h.com/yes"' in simp and 'href="https://h.com/bare"' in simp
