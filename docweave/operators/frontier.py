@@ -5,7 +5,8 @@ keeps the URLs not yet visited (left anti join) at depth d + 1. Pages at
 ``max_depth`` are not expanded. The link table is hash-partitioned by
 source URL and checkpointed once, so each round shuffles only the new
 frontier; each round's result is checkpointed (lineage stays flat). A
-URL gets its shortest depth.
+URL gets its shortest depth. The visited set is never reshuffled (see
+``expand``).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip_one_trailing_slash
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_partitioned, ensure_checkpoint_dir
 
 
 def fetch_key(url_col) -> F.Column:
@@ -26,24 +27,35 @@ def fetch_key(url_col) -> F.Column:
 
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 2,
            partitions: int | None = None) -> DataFrame:
-    """seeds(url) at depth 1, edges(src, dst) -> (url, depth), depth <= max_depth."""
+    """seeds(url) at depth 1, edges(src, dst) -> (url, depth), depth <= max_depth.
+
+    The visited set is kept as checkpointed pieces (one per round), each
+    hash-partitioned by url into the same number of partitions as the
+    new candidates, so the anti joins move only the candidates: the
+    visited set is never shuffled again."""
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select("src", "dst").repartition(n, "src").checkpoint()
-    visited = seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(1)).checkpoint()
-    frontier = visited
+    e = checkpoint_partitioned(edges.select("src", "dst").repartition(n, "src"))
+    first = checkpoint_partitioned(seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(1))
+                                   .repartition(n, "url"))
+    pieces = [first]
+    frontier = first
     for d in range(1, max_depth):
-        nxt = (frontier.select(F.col("url").alias("src"))
-               .join(e, "src").select(F.col("dst").alias("url")).distinct()
-               .join(visited.select("url"), "url", "left_anti")
-               .withColumn("depth", F.lit(d + 1))
-               .checkpoint())
+        cand = (frontier.select(F.col("url").alias("src"))
+                .join(e, "src").select(F.col("dst").alias("url"))
+                .repartition(n, "url").dropDuplicates(["url"]))
+        for v in pieces:
+            cand = cand.join(v.select("url"), "url", "left_anti")
+        nxt = checkpoint_partitioned(cand.withColumn("depth", F.lit(d + 1)).repartition(n, "url"))
         if nxt.isEmpty():
             break
-        visited = visited.unionByName(nxt)
+        pieces.append(nxt)
         frontier = nxt
-    return visited
+    out = pieces[0]
+    for v in pieces[1:]:
+        out = out.unionByName(v)
+    return out
 
 
 def crawl_frontier(pages: DataFrame, links: DataFrame, max_depth: int = 2,

@@ -48,3 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="docweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def checkpoint_partitioned(df):
+    """Eager ``checkpoint()`` that keeps the DataFrame's hash partitioning
+    (e.g. after ``repartition(n, key)``), so later joins on that key do not
+    shuffle it again. Under adaptive execution the plan root reports an
+    unknown partitioning and the checkpoint would forget it, so the
+    materialising job runs with adaptive execution off."""
+    ensure_checkpoint_dir(df.sparkSession)
+    conf = df.sparkSession.conf
+    old = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", old)
