@@ -14,26 +14,27 @@ from . import index_store, site_store
 
 def prepare_documents(spark: SparkSession, mode: str, index_path: str, blobs_path: str | None = None,
                       pages: DataFrame | None = None, files: DataFrame | None = None,
-                      category: str | None = None, skip_blobs: bool = False) -> DataFrame | None:
+                      category: str | None = None, skip_blobs: bool = False,
+                      buckets: int | None = None) -> DataFrame | None:
     """``pages``: (sourcefile, page_num, text) of the files to add;
     ``files``: (sourcefile) of the files to remove. Returns the upload
     report for ``add``."""
     if mode == "removeall":
         if blobs_path:
             site_store.remove_blobs(spark, blobs_path, None)
-        index_store.delete_from(spark, index_path, None)
+        index_store.delete_from(spark, index_path, None, buckets=buckets)
         return None
     if mode == "remove":
         if blobs_path:
             site_store.remove_blobs(spark, blobs_path, files)
-        index_store.delete_from(spark, index_path, files)
+        index_store.delete_from(spark, index_path, files, buckets=buckets)
         return None
     if mode != "add":
         raise ValueError(f"unknown mode {mode!r}")
-    index_store.create(spark, index_path)
+    index_store.create(spark, index_path, buckets)
     pm = SE.page_map(pages)
     if blobs_path and not skip_blobs:
         site_store.upload_blobs(pm.select("sourcefile", "page_num", "text"), blobs_path)
     docs = SE.assemble(pm)
     secs = SE.sections(docs.withColumn("category", F.lit(category).cast("string")), category="category")
-    return index_store.upsert_into(spark, index_path, secs)
+    return index_store.upsert_into(spark, index_path, secs, buckets=buckets)

@@ -12,19 +12,23 @@ def pages(spark):
                                  "sourcefile string, page_num int, text string")
 
 
-def test_prepare_add_remove_removeall(spark, tmp):
+import pytest
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_prepare_add_remove_removeall(spark, tmp, buckets):
     idx, blobs = os.path.join(tmp, "idx"), os.path.join(tmp, "blobs")
-    rep = P.prepare_documents(spark, "add", idx, blobs, pages=pages(spark), category="docs")
+    rep = P.prepare_documents(spark, "add", idx, blobs, pages=pages(spark), category="docs", buckets=buckets)
     assert {r["sourcefile"] for r in rep.collect()} == {"r.pdf", "n.txt"}
-    rows = ST.read(spark, idx).collect()
+    rows = ST.read(spark, idx, buckets).collect()
     assert {r["category"] for r in rows} == {"docs"} and {r["sourcefile"] for r in rows} == {"r.pdf", "n.txt"}
     assert {r["sourcepage"] for r in rows if r["sourcefile"] == "r.pdf"} <= {"r-0.pdf", "r-1.pdf"}
     assert sorted(r["blob_name"] for r in SS.read_blobs(spark, blobs).collect()) == ["n.txt", "r-0.pdf", "r-1.pdf"]
     gone = spark.createDataFrame([("r.pdf",), ("n.txt",)], "sourcefile string")
-    P.prepare_documents(spark, "remove", idx, blobs, files=gone)
-    assert ST.read(spark, idx).count() == 0
+    P.prepare_documents(spark, "remove", idx, blobs, files=gone, buckets=buckets)
+    assert ST.read(spark, idx, buckets).count() == 0
     assert [r["blob_name"] for r in SS.read_blobs(spark, blobs).collect()] == ["n.txt"]   # text blob stays
-    P.prepare_documents(spark, "removeall", idx, blobs)
+    P.prepare_documents(spark, "removeall", idx, blobs, buckets=buckets)
     assert SS.read_blobs(spark, blobs).count() == 0
 
 
