@@ -89,7 +89,10 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
     for pdf in batches:
         if len(pdf) == 0 or len(qids) == 0:
             continue
-        emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
+        dim = qmat.shape[1]
+        # a missing vector counts as a zero vector (distance clamped to 0)
+        emb = np.stack([np.zeros(dim) if v is None else np.asarray(v, dtype=np.float64)
+                        for v in pdf["embedding"]])
         csq = np.einsum("ij,ij->i", emb, emb)
         cid = pdf["chunk_id"].to_numpy()
         tok = pdf[budget[2]].to_numpy(dtype=np.float64) if budget is not None else None

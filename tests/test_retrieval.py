@@ -84,3 +84,11 @@ def test_question_blocks_inside_a_batch(spark):
     b = sorted((r["question_id"], r["context"])
                for r in R.build_context(c.coalesce(1), q, max_len=30, block_cells=1).collect())
     assert a == b
+
+
+def test_missing_embedding_is_a_zero_vector(spark):
+    c = spark.createDataFrame([(1, "a", 1, [1.0, 0.0]), (2, "b", 1, None)],
+                              "chunk_id long, text string, n_tokens int, embedding array<float>")
+    q = spark.createDataFrame([(7, [0.0, 1.0])], "question_id long, q_embedding array<float>")
+    got = [(r["chunk_id"], r["distance"]) for r in R.nearest(c, q, k=2).orderBy("rank").collect()]
+    assert got == [(2, 0.0), (1, 1.0)]
