@@ -50,7 +50,9 @@ def answer_stream(spark: SparkSession, source_dir: str, chunks: DataFrame, sink_
                          .alias("question_id"), "question").persist()
         try:
             out = answer_batch(b, chunks, embedder, complete_fn)
-            out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_path)
+            # one folder per micro-batch, overwritten on replay: a batch
+            # re-run after a failure replaces its own output (exactly once)
+            out.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
         finally:
             b.unpersist()
 
