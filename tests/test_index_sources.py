@@ -107,3 +107,13 @@ def test_bucketed_index_store(spark, tmp):
     ST.upsert_into(spark, path, idx(spark), buckets=4)
     ST.delete_from(spark, path, buckets=4)
     assert ST.read(spark, path, buckets=4).count() == 0
+
+
+def test_sanitised_id_collision_last_upload_wins(spark):
+    from docweave.operators import sections as SE
+    text = "One sentence here. " * 10
+    docs = spark.createDataFrame([("a b.txt", text), ("a_b.txt", text + "More.")], "sourcefile string, text string")
+    secs = SE.sections(docs)
+    assert secs.select("id").distinct().count() == 1          # both are a_b_txt-0
+    merged = IX.upsert(idx(spark, []), secs).collect()
+    assert [(r["id"], r["sourcefile"]) for r in merged] == [("a_b_txt-0", "a_b.txt")]
