@@ -70,26 +70,47 @@ def html_escape(col) -> Column:
     return F.replace(c, F.lit("'"), F.lit("&#x27;"))
 
 
-# Named and numeric character references decoded natively,
-# in this order; "&amp;" comes last so "&amp;lt;" decodes once to "&lt;".
+# Character references decoded natively, as (name, text,
+# may-omit-semicolon). The names that may omit the semicolon are the
+# legacy ones of HTML5 (e.g. "&amp" followed by text decodes too).
 ENTITIES = [
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&trade;", "™"),
-    ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+    ("nbsp", "\u00a0", True), ("copy", "\u00a9", True), ("reg", "\u00ae", True),
+    ("middot", "\u00b7", True), ("quot", '"', True), ("lt", "<", True), ("gt", ">", True),
+    ("amp", "&", True), ("apos", "'", False), ("hellip", "\u2026", False),
+    ("mdash", "\u2014", False), ("ndash", "\u2013", False), ("lsquo", "\u2018", False),
+    ("rsquo", "\u2019", False), ("ldquo", "\u201c", False), ("rdquo", "\u201d", False),
+    ("trade", "\u2122", False), ("#39", "'", False), ("#x27", "'", False),
 ]
 
 
-def html_unescape(col) -> Column:
-    """Decode the character references of ``ENTITIES`` (JVM-side).
+def _entity_rules():
+    """(prefix, text) checks in order: with ';' before the bare legacy form."""
+    rules = []
+    for name, ch, legacy in ENTITIES:
+        rules.append((name + ";", ch))
+        if legacy:
+            rules.append((name, ch))
+    return rules
 
-    Use :func:`html_unescape_full` for every HTML5 reference."""
-    c = _c(col)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+
+def html_unescape(col) -> Column:
+    """Decode the character references of ``ENTITIES`` in one left-to-right
+    pass, JVM-side: the text is split at every '&' and each piece starting
+    with a known name is decoded, so decoded text is never decoded again
+    ("&amp;amp;" -> "&amp;"). Use :func:`html_unescape_full` for every
+    HTML5 reference."""
+    pieces = F.split(_c(col), "&", -1)
+
+    def decode(p):
+        out = None
+        for prefix, ch in _entity_rules():
+            cond = p.startswith(prefix)
+            val = F.concat(F.lit(ch), F.substring(p, len(prefix) + 1, 1 << 30))
+            out = F.when(cond, val) if out is None else out.when(cond, val)
+        return out.otherwise(F.concat(F.lit("&"), p))
+
+    rest = F.transform(F.slice(pieces, 2, 1 << 30), decode)
+    return F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
 
 
 def html_unescape_full(col) -> Column:

@@ -13,6 +13,10 @@ def tok(x: str) -> str:
     return f"len(regexp_extract_all({x}, '{TOKEN_PATTERN}'))"
 
 
+def py_strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+$', '', 'g')"
+
+
 def flatten(x: str) -> str:
     return f"replace(replace(replace({x}, chr(10), ' '), '  ', ' '), '  ', ' ')"
 
@@ -188,9 +192,11 @@ def page_key(url: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return x
+    from ..functions.text import _entity_rules
+    cases = " ".join(f"WHEN starts_with(p, {lit(prefix)}) THEN {lit(ch)} || substr(p, {len(prefix) + 1})"
+                     for prefix, ch in _entity_rules())
+    return (f"list_transform([string_split({x}, '&')], lambda ps: ps[1] || array_to_string("
+            f"list_transform(ps[2:], lambda p: CASE {cases} ELSE '&' || p END), ''))[1]")
 
 
 def remove_elements(x: str, tags=H.DROPPED_TAGS) -> str:
@@ -538,3 +544,55 @@ SELECT doc_id, chunk_no::BIGINT AS chunk_no, len(vec)::BIGINT AS dim,
 
 ORACLE["csv_roundtrip"] = f"""WITH {CORPUS}
 SELECT fname AS title, text FROM corpus"""
+
+
+# ------------------------------------------------------------ tag lines
+from ..operators.html_tree import VOID  # noqa: E402
+
+TOKEN_RE = r"</?[a-zA-Z][^>]*>|[^<]+|<"
+NAME_RE = r"^</?([a-zA-Z][^\t\n\r\f />]*)"
+VOID_LIST = "[" + ", ".join(lit(t) for t in sorted(VOID)) + "]"
+PRINT_LIST = "[" + ", ".join(lit(t) for t in PRINT_TAGS) + "]"
+
+
+def _kind(t: str) -> str:
+    name = f"lower(regexp_extract({t}, {lit(NAME_RE)}, 1))"
+    return (f"(CASE WHEN regexp_matches({t}, '^<[a-zA-Z]') THEN "
+            f"(CASE WHEN ends_with({t}, '/>') OR list_contains({VOID_LIST}, {name}) THEN 'v' ELSE 's' END) "
+            f"WHEN regexp_matches({t}, '^</[a-zA-Z]') THEN 'e' ELSE 't' END)")
+
+
+_NAMES = "list_transform(st.stack, lambda z: z.name)"
+_TOP = f"(len(st.stack) - list_position(list_reverse({_NAMES}), x.name) + 1)"
+
+ORACLE["tag_lines"] = f"""WITH {SITE},
+b AS (SELECT page_id, bs, bn,
+             regexp_replace({body(remove_elements('html'))}, {lit(H.CLASS_ATTR_RE)}, '', 'g') AS b FROM site),
+s AS (SELECT page_id, {rewrite_hrefs('b', 'bs', 'bn')} AS h FROM b),
+tk AS (SELECT page_id, regexp_extract_all(h, {lit(TOKEN_RE)}) AS t FROM s),
+cls AS (SELECT page_id, t, len(t) AS n,
+               list_transform(range(1, len(t) + 1), lambda k: struct_pack(
+                   i := k, kind := {_kind('t[k]')},
+                   name := lower(regexp_extract(t[k], {lit(NAME_RE)}, 1)))) AS toks FROM tk),
+folded AS (SELECT page_id, t, n, list_reduce(toks, lambda st, x: CASE
+      WHEN x.kind = 's' THEN struct_pack(stack := list_append(st.stack, struct_pack(i := x.i, name := x.name)),
+                                         ends := st.ends)
+      WHEN x.kind = 'v' THEN struct_pack(stack := st.stack,
+                                         ends := list_append(st.ends, struct_pack(i := x.i, e := x.i + 1)))
+      WHEN x.kind = 'e' AND list_contains({_NAMES}, x.name) THEN struct_pack(
+             stack := st.stack[1:{_TOP} - 1],
+             ends := list_concat(st.ends, list_transform(st.stack[{_TOP}:], lambda z: struct_pack(i := z.i, e := x.i))))
+      ELSE st END,
+      struct_pack(stack := []::STRUCT(i BIGINT, name VARCHAR)[], ends := []::STRUCT(i BIGINT, e BIGINT)[])) AS st
+    FROM cls),
+el AS (SELECT page_id, t, unnest(list_concat(st.ends, list_transform(st.stack, lambda z: struct_pack(i := z.i, e := n + 1))))
+              AS sp FROM folded),
+elem AS (SELECT page_id, sp.i AS i, sp.e AS e, t[sp.i] AS tag, lower(regexp_extract(t[sp.i], {lit(NAME_RE)}, 1)) AS name,
+                {unescape(f"array_to_string(list_filter(t[sp.i + 1:sp.e - 1], lambda z: NOT regexp_matches(z, '^</?[a-zA-Z]')), '')")} AS txt
+         FROM el),
+lines AS (SELECT page_id, i,
+                 CASE WHEN name = 'a' THEN {py_strip_sql('txt')} || ' ' || {href_value('tag')}
+                      ELSE {py_strip_sql('txt')} END AS line
+          FROM elem
+          WHERE list_contains({PRINT_LIST}, name) AND (name <> 'a' OR regexp_matches(tag, {lit(H.HAS_HREF_RE)})))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS line_no, line FROM lines"""

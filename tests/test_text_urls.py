@@ -91,3 +91,12 @@ def test_pluggable_token_counter(spark):
     assert r["n"] == 3 and r["e"] == [3]
     tk = TX.tiktoken_counter()
     assert tk is None or isinstance(tk, TX.PandasTokenCounter)
+
+
+def test_unescape_single_pass_and_legacy_names(spark):
+    import html
+    cases = ["&amp;amp;", "&amp", "x&ampy", "&amplt;", "&am", "&", "a&&b", "&copyright", "&nbsp;x&nbspy",
+             "&lt&gt&quot&#39;", "&hellip", "&hellip;", "& amp;", "&ampcopy", "&middot; end"]
+    df = spark.createDataFrame([(c,) for c in cases], "v string")
+    got = [r["o"] for r in df.select(TX.html_unescape(F.col("v")).alias("o")).collect()]
+    assert got == [html.unescape(c) for c in cases]
