@@ -366,7 +366,7 @@ from ..operators import html_tree as HT  # noqa: E402
 
 def q_tag_lines(spark, sf_dir) -> DataFrame:
     """One text line per text-bearing element of each simplified page
-    (tree walk in document order; no SQL form)."""
+    (tree walk in document order; the oracle rebuilds the tree with a stack fold)."""
     simp = W.simplify_pages(S.pages(spark, sf_dir))
     return HT.tag_lines(simp, "html", "page_id")
 
