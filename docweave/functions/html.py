@@ -34,6 +34,12 @@ CLASS_ATTR_RE = r"""(?i)""" + WS + r"""+class""" + WS + r"""*=""" + WS + \
     r"""*(?:"[^"]*"|'[^']*'|[^ \t\n\r\f>]+)"""
 
 
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn``: expressions inside
+    higher-order lambdas get no common-subexpression elimination."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def element_re(tag: str) -> str:
     if tag in VOID_TAGS:
         return r"(?is)<" + tag + r"(?:" + WS + r"[^>]*)?/?>"
@@ -105,15 +111,17 @@ def rewrite_hrefs(html, base_scheme, base_netloc) -> Column:
     bs, bn = _c(base_scheme), _c(base_netloc)
 
     def fix(tag):
-        raw = F.regexp_extract(tag, HREF_VALUE_RE, 1)
-        h = href_value(tag)
-        new = clean_link(h, bs, bn, False)
-        skip = (h == "") | h.startswith("tel:") | h.startswith("mailto:") | (new == h)
-        # split the tag around the raw value; the new value is written quoted
-        pre = F.regexp_extract(tag, HREF_PRE_RE, 1)
-        post = F.substring(tag, F.length(pre) + F.length(raw) + 1, 1 << 30)
-        return F.when(skip, tag).otherwise(
-            F.concat(pre, F.lit('"'), F.replace(new, F.lit('"'), F.lit("&quot;")), F.lit('"'), post))
+        def with_h(h):          # the decoded href, bound once per anchor
+            def with_new(new):
+                raw = F.regexp_extract(tag, HREF_VALUE_RE, 1)
+                skip = (h == "") | h.startswith("tel:") | h.startswith("mailto:") | (new == h)
+                # split the tag around the raw value; the new value is written quoted
+                pre = F.regexp_extract(tag, HREF_PRE_RE, 1)
+                post = F.substring(tag, F.length(pre) + F.length(raw) + 1, 1 << 30)
+                return F.when(skip, tag).otherwise(
+                    F.concat(pre, F.lit('"'), F.replace(new, F.lit('"'), F.lit("&quot;")), F.lit('"'), post))
+            return _let(clean_link(h, bs, bn, False), with_new)
+        return _let(href_value(tag), with_h)
 
     return _interleave(_c(html), ANCHOR_OPEN_RE, fix)
 
@@ -147,12 +155,14 @@ def inline_links(html, base_scheme, base_netloc, link_mode: str = "text_href") -
     def render(a):
         if link_mode == "tag":
             return a
-        href = href_value(a)
-        inner = F.regexp_extract(a, r"(?is)^<a[^>]*>(.*)</a" + WS + r"*>$", 1)
-        text = tag_text(inner)
-        shown = F.when(href == "", href).otherwise(clean_link(href, bs, bn, False))
-        sep = F.lit(": ") if link_mode == "text_colon" else F.lit(" ")
-        return F.when(href == "#", F.lit("")).otherwise(F.concat(text, sep, shown, F.lit(" ")))
+
+        def with_href(href):    # the decoded href, bound once per anchor
+            inner = F.regexp_extract(a, r"(?is)^<a[^>]*>(.*)</a" + WS + r"*>$", 1)
+            text = tag_text(inner)
+            shown = F.when(href == "", href).otherwise(clean_link(href, bs, bn, False))
+            sep = F.lit(": ") if link_mode == "text_colon" else F.lit(" ")
+            return F.when(href == "#", F.lit("")).otherwise(F.concat(text, sep, shown, F.lit(" ")))
+        return _let(href_value(a), with_href)
 
     # render anchors first, then strip the remaining markup of the gaps
     pieces = F.split(h, ANCHOR_RE, -1)

@@ -99,8 +99,6 @@ def html_unescape(col) -> Column:
     with a known name is decoded, so decoded text is never decoded again
     ("&amp;amp;" -> "&amp;"). Use :func:`html_unescape_full` for every
     HTML5 reference."""
-    pieces = F.split(_c(col), "&", -1)
-
     def decode(p):
         out = None
         for prefix, ch in _entity_rules():
@@ -109,8 +107,15 @@ def html_unescape(col) -> Column:
             out = F.when(cond, val) if out is None else out.when(cond, val)
         return out.otherwise(F.concat(F.lit("&"), p))
 
-    rest = F.transform(F.slice(pieces, 2, 1 << 30), decode)
-    return F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
+    def run(v):
+        pieces = F.split(v, "&", -1)
+        rest = F.transform(F.slice(pieces, 2, 1 << 30), decode)
+        # text without '&' (nearly all of it) skips the split
+        return F.when(F.instr(v, "&") == 0, v).otherwise(
+            F.concat(F.element_at(pieces, 1), F.array_join(rest, "")))
+
+    # the input is evaluated once (a one-element transform binds it)
+    return F.element_at(F.transform(F.array(_c(col)), run), 1)
 
 
 def html_unescape_full(col) -> Column:
