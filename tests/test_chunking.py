@@ -53,3 +53,12 @@ def test_histogram_bins(spark):
     assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0, 10: 3}
     one = spark.createDataFrame([(4,), (4,)], "n long")
     assert {r["bin"]: r["count"] for r in CH.token_histogram(one, "n", 10).collect()}[6] == 2
+
+
+def test_chunks_with_pluggable_counter(spark):
+    from docweave.functions import text as TX
+    c = TX.PandasTokenCounter(lambda s: s.split())       # stands in for a tokenizer vocabulary
+    docs = spark.createDataFrame([(1, ". ".join(["a b c"] * 30)), (2, "short")], "doc_id long, text string")
+    rows = CH.chunks(docs, max_tokens=10, counter=c).orderBy("doc_id", "chunk_no").collect()
+    assert rows[0]["text"] == "a b c. a b c." and rows[0]["n_tokens"] == 6
+    assert (rows[-1]["doc_id"], rows[-1]["text"], rows[-1]["n_tokens"]) == (2, "short", 1)
