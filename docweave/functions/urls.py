@@ -18,6 +18,7 @@ SKIP_PREFIXES = ("#", "mailto:", "tel:")
 # splitext: the last dot of the last path segment, if a non-dot character
 # precedes it in that segment.
 EXT_RE = r"^((?:.*/)?\.*[^/.][^/]*)\.[^/.]*$"
+PARAMS_RE = r";[^/]*$"
 
 
 def scheme(url) -> Column:
@@ -87,7 +88,8 @@ def page_key(url) -> Column:
     drop its extension, drop one leading '/', '/' -> '_'; no path -> 'home'.
     A path of exactly '/' gives '' (the page is not saved)."""
     u = strip_one_trailing_slash(_c(url))
-    path = url_path(u)
+    # the path without ";params" of its last segment (as urlparse splits it)
+    path = F.regexp_replace(url_path(u), PARAMS_RE, "")
     stem = F.regexp_replace(path, EXT_RE, "$1")
     stem = F.when(stem.startswith("/"), stem.substr(F.lit(2), F.length(stem))).otherwise(stem)
     return F.when(path == "", F.lit("home")).otherwise(F.replace(stem, F.lit("/"), F.lit("_")))

@@ -185,7 +185,7 @@ def clean_link_legacy(h: str, bn: str) -> str:
 
 def page_key(url: str) -> str:
     u = strip1(url)
-    path = f"regexp_extract({u}, {lit(U.PATH_RE)}, 1)"
+    path = f"regexp_replace(regexp_extract({u}, {lit(U.PATH_RE)}, 1), {lit(U.PARAMS_RE)}, '')"
     stem = f"regexp_replace({path}, {lit(U.EXT_RE)}, '\\1')"
     stem2 = f"(CASE WHEN starts_with({stem}, '/') THEN substr({stem}, 2) ELSE {stem} END)"
     return f"(CASE WHEN {path} = '' THEN 'home' ELSE replace({stem2}, '/', '_') END)"

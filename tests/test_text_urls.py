@@ -69,7 +69,8 @@ def test_page_key(spark):
     cases = [("https://x.com/", "home"), ("https://x.com", "home"), ("https://x.com/a/b.html", "a_b"),
              ("https://x.com/?q=1", ""), ("https://x.com/a.b/c", "a.b_c"), ("https://x.com/a/.hidden", "a_.hidden"),
              ("https://x.com/x/a..b", "x_a."), ("https://x.com/en/5/", "en_5"), ("https://x.com/p#top", "p"),
-             ("https://x.com/a/?q=1", "a_")]
+             ("https://x.com/a/?q=1", "a_"), ("https://x.com/a/b.jsp;jsessionid=1?x", "a_b"),
+             ("https://x.com/a;p/b", "a;p_b")]
     df = spark.createDataFrame(cases, "u string, want string")
     got = df.select("want", U.page_key("u").alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
