@@ -60,10 +60,10 @@ def lookup(index: DataFrame, sourcefile: str | None = None, top: int = LOOKUP_TO
 
 def facets(index: DataFrame, fields=FACET_FIELDS) -> DataFrame:
     """(facet, value, count) for every facetable field, one scan and one
-    partially aggregated shuffle."""
+    partially aggregated shuffle. A missing value is in no bucket."""
     pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"))
                       for f in fields])
-    return (index.select(F.explode(pairs).alias("p"))
+    return (index.select(F.explode(pairs).alias("p")).filter(F.col("p.value").isNotNull())
                  .groupBy(F.col("p.facet").alias("facet"), F.col("p.value").alias("value"))
                  .agg(F.count("*").alias("count")))
 

@@ -497,7 +497,7 @@ ORACLE["index_facets"] = f"""WITH RECURSIVE {INDEX}
 SELECT facet, value, count(*)::BIGINT AS count FROM (
   SELECT 'category' AS facet, category AS value FROM idx
   UNION ALL SELECT 'sourcepage', sourcepage FROM idx
-  UNION ALL SELECT 'sourcefile', sourcefile FROM idx) GROUP BY facet, value"""
+  UNION ALL SELECT 'sourcefile', sourcefile FROM idx) WHERE value IS NOT NULL GROUP BY facet, value"""
 
 ORACLE["content_postings"] = f"""WITH RECURSIVE {INDEX}
 SELECT term, id, count(*)::BIGINT AS tf FROM (

@@ -36,7 +36,8 @@ def test_delete_lookup_facets_postings(spark):
     assert [r["id"] for r in lk] == ["a_txt-0", "a_txt-1"] and lk[0]["total_count"] == 3
     assert IX.lookup(idx(spark), sourcefile="b.pdf").first()["total_count"] == 1
     f = {(r["facet"], r["value"]): r["count"] for r in IX.facets(idx(spark)).collect()}
-    assert f[("sourcefile", "a.txt")] == 2 and f[("category", None)] == 2 and f[("sourcepage", "b-0.pdf")] == 1
+    assert f[("sourcefile", "a.txt")] == 2 and f[("category", "x")] == 1 and f[("sourcepage", "b-0.pdf")] == 1
+    assert ("category", None) not in f                   # a missing value is in no bucket
     p = {(r["term"], r["id"]): r["tf"] for r in IX.postings(idx(spark)).collect()}
     assert p[("beta", "a_txt-0")] == 1 and p[("12", "b_pdf-0")] == 1
 
