@@ -92,3 +92,30 @@ def test_missing_embedding_is_a_zero_vector(spark):
     q = spark.createDataFrame([(7, [0.0, 1.0])], "question_id long, q_embedding array<float>")
     got = [(r["chunk_id"], r["distance"]) for r in R.nearest(c, q, k=2).orderBy("rank").collect()]
     assert got == [(2, 0.0), (1, 1.0)]
+
+
+def test_context_equals_brute_force_on_fixture(spark):
+    import os
+    import numpy as np
+    from docweave.plans import queries as Q
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    chunks = Q.embedded_chunks(spark, sf).select("chunk_id", "text", "n_tokens", "embedding").repartition(4)
+    qs = Q.embedded_questions(spark, sf).select("question_id", "q_embedding")
+    got = {r["question_id"]: r["context"] for r in R.build_context(chunks, qs, max_len=600).collect()}
+    c = chunks.toPandas().sort_values("chunk_id")
+    emb = np.stack([np.asarray(v, dtype=np.float64) for v in c["embedding"]])
+    for r in qs.collect():
+        q = np.asarray(r["q_embedding"], dtype=np.float64)
+        den = np.sqrt((emb * emb).sum(1) * (q @ q))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(den == 0, 0.0, np.minimum(np.abs(1 - emb @ q / den), 2.0))
+        order = np.lexsort((c["chunk_id"].to_numpy(), d))
+        used, kept = 0, []
+        for i in order:                                   # the reference loop
+            used += int(c["n_tokens"].iloc[i]) + 4
+            if used > 600:
+                break
+            kept.append(c["text"].iloc[i])
+        assert got[r["question_id"]] == "\n\n###\n\n".join(kept)
