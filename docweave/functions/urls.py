@@ -1,6 +1,6 @@
 """URL column functions: link cleaning, same-site test, page keys and
 blob names. Parsing follows RFC 3986 by regex (``parse_url`` drops the
-port and rejects URLs with blanks, the reference keeps both)."""
+port and rejects URLs with blanks; the same-site test needs both)."""
 
 from __future__ import annotations
 
