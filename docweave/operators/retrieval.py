@@ -1,7 +1,8 @@
 """Nearest chunks per question and budgeted context assembly.
 
-Plan: the question matrix is broadcast (its row count is checked first;
-beyond ``max_broadcast`` it goes in bounded batches); each partition of
+Plan: the question matrix is broadcast (its row count and vector size are
+checked first; beyond ``max_broadcast`` rows or 64 MB it goes in bounded
+batches); each partition of
 chunks is scored with one numpy matmul per Arrow batch and keeps only
 its best ``limit`` rows per question, then one exchange by question, a
 ``row_number() <= limit`` (WindowGroupLimit), and only then the running
@@ -34,11 +35,20 @@ def embed(df: DataFrame, text_col: str = "text", out: str = "embedding",
     return df.withColumn(out, fn(F.col(text_col)))
 
 
+MAX_BROADCAST_BYTES = 64 << 20    # question matrix bytes per broadcast batch (float64)
+
+
 def _question_batches(questions: DataFrame, max_broadcast: int):
-    n = questions.count()
-    if n <= max_broadcast:
+    """Split the questions so that each broadcast batch holds at most
+    ``max_broadcast`` rows and ``MAX_BROADCAST_BYTES`` of vectors (row
+    count and largest dimension come from one small job)."""
+    st = questions.agg(F.count("*").alias("n"),
+                       F.coalesce(F.max(F.size("q_embedding")), F.lit(0)).alias("dim")).first()
+    n, dim = st["n"], max(int(st["dim"]), 1)
+    per_batch = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // (dim * 8)))
+    if n <= per_batch:
         return [questions]
-    k = -(-n // max_broadcast)
+    k = -(-n // per_batch)
     tagged = questions.withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.lit(k)))
     return [tagged.filter(F.col("_qb") == i).drop("_qb") for i in range(k)]
 
