@@ -50,3 +50,22 @@ def test_every_query_matches_its_oracle(spark):
         if a != b:
             bad.append((k, "values"))
     assert bad == []
+
+
+@pytest.mark.skipif(not HAVE_DATA, reason="fixture tables not present")
+def test_entry_from_another_working_directory(tmp):
+    """Python workers import the package shipped with addPyFile, not from
+    the caller's working directory."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            "import __spark_entry__ as E\n"
+            "print('ROWS', len(E.entry(s).collect()))\n"
+            "print('SECTIONS', E.queries()['sections'](s, %r).count())\n") % (repo, SMOKE)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 40" in out.stdout and "SECTIONS" in out.stdout, out.stderr[-2000:]
