@@ -64,3 +64,9 @@ def remove_blobs(spark: SparkSession, path: str, files: DataFrame | None = None)
         t = t.join(pdf, "sourcefile", "left_semi").filter(F.col("blob_name").rlike(r"-[0-9]+\.pdf$"))
     paths = [r["fp"] for r in t.select("fp").distinct().collect()]
     return sum(1 for p in paths if fs.delete(jvm.org.apache.hadoop.fs.Path(p), False))
+
+
+def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
+    """Answer sink: (question_id, question, prompt, answer) rows."""
+    cols = [c for c in ("question_id", "question", "context", "prompt", "answer") if c in answers.columns]
+    answers.select(*cols).write.mode(mode).parquet(path)

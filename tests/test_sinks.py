@@ -40,3 +40,13 @@ def test_site_files_last_writer(spark, tmp):
     SS.write_site_files(df, out)
     got = {(r["netloc"], r["page_key"]): (r["title"], r["text"]) for r in spark.read.parquet(out).collect()}
     assert got == {("s.com", "a"): ("new", "new\n\ny b https://s.com/b"), ("t.org", "home"): (None, "home")}
+
+
+def test_write_answers(spark, tmp):
+    from docweave.operators import prompts as PR
+    df = spark.createDataFrame([(1, "Q?", "C")], "question_id long, question string, context string")
+    a = PR.answer(PR.completion_prompt(df), lambda ps: ["ok" for _ in ps])
+    out = os.path.join(tmp, "answers")
+    SS.write_answers(a, out)
+    r = spark.read.parquet(out).first()
+    assert (r["question_id"], r["answer"]) == (1, "ok") and r["prompt"].endswith("Answer:")
