@@ -1,35 +1,47 @@
-"""Keep or drop rows of a table by a list of ids, for filtering stages."""
+"""Keep or drop rows of a table by (id, hash of the text), for filtering stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import stage
+from docweave.llm.common import small, stage
 
-ID = "__keep_id"
+ID, KEY = "__keep_id", "__keep_key"
 
 
-def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame, one_row: bool = False) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (one column, distinct, null
-    matches null), columns unchanged. ``one_row``: of several rows with the
-    same id one stays, the smallest in the order of a hash of all columns."""
-    ids = ids.select(F.col(ids.columns[0]).alias(ID))
-    kept = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[ID]), "left_semi")
-    if not one_row:
-        return kept
-    many = stage(docs.groupBy(F.col(id_col).cast("long").alias(ID)).count().filter("count > 1").select(ID))
+def row_key(text):
+    """Tells rows with one id apart; null text counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _match(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame):
+    return docs[id_col].cast("long").eqNullSafe(keys[ID]) & (row_key(docs[text_col]) == keys[KEY])
+
+
+def _named(keys: DataFrame) -> DataFrame:
+    a, b = keys.columns
+    return small(stage(keys.select(F.col(a).alias(ID), F.col(b).alias(KEY))))
+
+
+def keep_one(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (id, key) is in ``keys`` (two columns, distinct;
+    a null id matches null), columns unchanged. Of several rows with one (id,
+    key) one stays, the least in the order of a hash of all columns."""
+    keys = _named(keys)
+    kept = docs.join(keys, _match(docs, id_col, text_col, keys), "left_semi")
+    many = stage(docs.groupBy(docs[id_col].cast("long").alias(ID), row_key(docs[text_col]).alias(KEY)).count()
+                 .filter("count > 1").select(ID, KEY))
     if many.isEmpty():
         return kept
-    match = kept[id_col].cast("long").eqNullSafe(many[ID])
-    once = kept.join(many, match, "left_anti")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = (kept.join(many, match, "left_semi").groupBy(F.col(id_col).cast("long").alias(ID))
+    twice = kept.join(many, _match(kept, id_col, text_col, many), "left_semi")
+    first = (twice.groupBy(twice[id_col].cast("long").alias(ID), row_key(twice[text_col]).alias(KEY))
              .agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*"))
-    return once.unionByName(first)
+    return kept.join(many, _match(kept, id_col, text_col, many), "left_anti").unionByName(first)
 
 
-def drop_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids`` (null matches null)."""
-    ids = ids.select(F.col(ids.columns[0]).alias(ID))
-    return docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[ID]), "left_anti")
+def drop_rows(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (id, key) is not in ``keys`` (null matches null)."""
+    keys = _named(keys)
+    return docs.join(keys, _match(docs, id_col, text_col, keys), "left_anti")

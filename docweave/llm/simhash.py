@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.common import components, partitions, row_blocks, stage, text_bytes
+from docweave.llm.keep import keep_one, row_key
 
 SHINGLE = 3
 DISTANCE = 3
@@ -59,17 +60,18 @@ def _fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the 64-bit SimHash of each whole text as a signed
+    """``(doc_id, row_key, fp)``: the 64-bit SimHash of each whole text as a signed
     long. Null and empty texts, and texts without words, have 0; a text of
     fewer than ``width`` words is one shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_blocks(batch, "text", 1 << 23):
-                fp = np.array([_fingerprint(t, width) for t in text_bytes(part.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp = np.array([_fingerprint(t, width) for t in text_bytes(part.column(2))], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row_key"),
+                      F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 _MASK31 = np.uint64((1 << 31) - 1)
@@ -189,7 +191,8 @@ def links(unique: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: ``doc_id, fp, component_id``.
+    """One row per input row: ``doc_id, row_key, fp, label, component_id``;
+    ``label`` is the class's least fingerprint.
 
     Null and empty texts have fingerprint 0 and are linked like any other;
     ties and repeated rows share a fingerprint and so a class; an empty table
@@ -202,14 +205,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("fp", F.coalesce("label", "fp").alias("label"), "least"))
     named = stage(named)
     low = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.join(low, "label").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(low, "label").select("fp", "label", "component_id")
+    return fps.join(classes, "fp").select("doc_id", "row_key", "fp", "label", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class (the one that names it); all
-    columns stay. Of several rows with the naming id, one stays."""
-    from docweave.llm.keep import keep_ids
-    g = near_groups(docs, id_col, text_col)
-    stay = g.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    return keep_ids(docs, id_col, stay.select("doc_id"), one_row=True)
+    """``docs`` with one row of each class, the one that names it; all
+    columns stay. Of several such rows the least row_key stays, and one of
+    rows that agree in it too."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    stay = near_groups(docs, id_col, text_col).groupBy("label").agg(F.min(name).alias("name"))
+    return keep_one(docs, id_col, text_col, stay.select("name.doc_id", "name.row_key"))
