@@ -18,7 +18,7 @@ import numpy as np
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
              (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNT = np.array([n for n, _ in SELECTORS])
-BLOCK = 4096
+BLOCK = 2048
 #: Field widths that a block may stop at; the smallest at which no more than
 #: one id in ``ESCAPES`` is escaped is taken. The last one fits every id.
 CAPS = (20, 32)
@@ -64,7 +64,7 @@ def _plan(fields: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if n > p:
             m = m.copy()
             np.maximum(m[:, : cols - (n - p)], top[p][:, n - p:], out=m[:, : cols - (n - p)])
-        choice[m <= bits] = s
+        np.minimum(choice, ((m > bits).view(np.uint8) << 4) + np.uint8(s), out=choice)      # 16 and over: does not fit
     at = np.zeros(len(fields), np.int64)
     rows = np.arange(len(fields))
     got = []

@@ -12,7 +12,7 @@ character or holds a line feed (checked when the model is loaded). So a run of s
 with the word after it is one pre-token, and a line feed with the characters
 after it is another.
 
-Byte-level BPE (``.json``): see ``token_ids.pieces``.
+Byte-level BPE (``.json``): see ``token_ids.cut_texts``.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _counter(path: str):
         return Counter(path).count
     from docweave.llm.token_ids import Encoder
     enc = Encoder(path)
-    return lambda texts: enc.encode(texts)[1].tolist()
+    return lambda texts: enc.encode(pa.array(texts, pa.large_string()))[1].tolist()
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

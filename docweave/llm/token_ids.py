@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,31 +29,52 @@ from docweave.llm import simple8b
 from docweave.llm.common import partitions, row_blocks
 
 END_ID = 0
-PAGE = 1 << 18
+PAGE = 1 << 20
 MEMO = 600_000
+TEXT = 6 << 20
+#: In front of a piece that has no space before it (private use character).
+MARK = "\ue000"
+#: A letter, and the punctuation that follows it up to the word's end.
+_TAIL = r"(\pL)([^\pL\pN\s\pZ\x{85}\x{b}\x{1c}-\x{1f}]+(?: |$))"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 PAGES = ("shard int, page long, first long, n_ids long, words binary, word_at binary, cap binary, "
          "escapes binary, escape_at binary, doc_ids array<long>, doc_sizes array<long>")
 
 
-def pieces(text: str) -> list[str]:
-    """Cut a non-empty text where the byte-level pre-tokeniser always cuts:
-    before a space that no space or line feed adjoins, and before such a line
-    feed (of a run of white space the pre-tokeniser leaves the last character
-    to what follows, so a tab in front does no harm). A piece is returned
-    without its leading space; one that begins with a line feed is complete;
-    the first piece, which has no space before it, is marked with a space. A
-    text with other runs of them is cut before lone spaces only, and all its
-    pieces are marked."""
-    units = text.replace("\n", " \n").split(" ")
-    if "" in units or "\n" in units:
-        return [" " + p for p in _CUT.split(text)]
-    units[0] = " " + units[0]
-    return units
+def cut_texts(texts: pa.Array, specials: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Cut texts where the byte-level pre-tokeniser always cuts: before a
+    space that no space or line feed adjoins, before such a line feed (of a
+    run of white space the pre-tokeniser leaves the last character to what
+    follows, so a tab in front does no harm), and between a letter and other
+    visible characters that end a word.
+
+    Returns the pieces of all texts one after the other, the number of pieces
+    of each text, and which texts were left out: empty ones, and those with
+    other runs of spaces and line feeds, the mark or a special string. A piece
+    is returned without its leading space; one that begins with a line feed
+    is complete; so is one marked by ``MARK`` in front, and the first piece of
+    a text."""
+    spaced = pc.replace_substring(texts, "\n", " \n")
+    odd = pc.or_(pc.match_substring(spaced, "  "), pc.match_substring(spaced, "\n "))
+    for f, mark in ((pc.starts_with, " "), (pc.ends_with, " "), (pc.ends_with, "\n"),
+                    *((pc.match_substring, x) for x in (MARK, *specials))):
+        odd = pc.or_(odd, f(spaced, mark))
+    odd = pc.or_(odd, pc.equal(spaced, "")).to_numpy(zero_copy_only=False)
+    tails = pc.replace_substring_regex(spaced.filter(pa.array(~odd)), _TAIL, "\\1 " + MARK + "\\2")
+    parts = pc.split_pattern(tails, " ")
+    count = np.zeros(len(texts), np.int64)
+    count[~odd] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    return parts.flatten(), count, odd
+
+
+def odd_pieces(text: str) -> list[str]:
+    """Pieces of a text with other white space: cut before lone spaces only,
+    each complete and marked."""
+    return [MARK + p for p in _CUT.split(text)]
 
 
 def _spelled(piece: str) -> str:
-    if piece[0] == " ":
+    if piece[0] == MARK:
         return piece[1:]
     return piece if piece[0] == "\n" else " " + piece
 
@@ -71,7 +93,8 @@ class Encoder:
                and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
                and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
                            for t in spec.get("added_tokens", [])))
-        self.pieces = pieces if cut else lambda text: [" " + text]
+        self.cut = cut
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if cut and len(line) == 1 else None
         self.memo = memo
@@ -97,7 +120,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode new pieces, many to a call: a line feed between two pieces
         is a token of its own, at which the ids fall apart again."""
-        joint = [p for p in new if self.line is not None and not p[0] == " " and not p[-1].isspace()
+        joint = [p for p in new if self.line is not None and p[0] != MARK and not p[-1].isspace()
                  and not p[p[0] == "\n"].isspace()]
         alone = list(set(new).difference(joint))
         if joint:
@@ -123,25 +146,47 @@ class Encoder:
         self.flat = np.concatenate((self.flat, *flat))
         self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the count of each."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        distinct = set().union(*split)
+    def _rows(self, distinct: list[str]) -> np.ndarray:
+        """Row of each piece, learning the new ones."""
         new = [p for p in distinct if p not in self.row]
-        if len(self.row) + len(new) > self.memo and self.row:
-            self._shrink()
-            new = [p for p in distinct if p not in self.row]
         if new:
+            if len(self.row) + len(new) > self.memo and self.row:
+                self._shrink()
+                new = [p for p in distinct if p not in self.row]
             self._learn(new)
-        self.uses[np.fromiter((self.row[p] for p in distinct), np.int64, len(distinct))] += 1
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        code = np.fromiter((self.row[p] for x in split for p in x), np.int64, int(n.sum()))
+        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))
+        self.uses[rows] += 1
+        return rows
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the count of each."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.cut:
+            flat, count, odd = cut_texts(texts, self.specials)
+        else:
+            flat, count, odd = texts.slice(0, 0), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
+        coded = flat.dictionary_encode()
+        plain = np.flatnonzero(~odd)
+        first = np.cumsum(count[plain]) - count[plain]
+        heads = [MARK + p for p in flat.take(pa.array(first)).to_pylist()]
+        rest = [(odd_pieces(t) if self.cut else [MARK + t]) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        count[odd] = np.fromiter(map(len, rest), np.int64, len(rest))
+        words = coded.dictionary.to_pylist()
+        extra = list(dict.fromkeys(heads + [p for x in rest for p in x]))
+        row = self._rows(words + extra)
+        of = dict(zip(extra, row[len(words):].tolist()))
+        own = row[coded.indices.to_numpy(zero_copy_only=False)]
+        own[first] = np.fromiter((of[p] for p in heads), np.int64, len(heads))
+        stop = np.cumsum(count)
+        code = np.empty(stop[-1] if len(stop) else 0, np.int64)
+        is_odd = np.repeat(odd, count)
+        code[~is_odd] = own
+        code[is_odd] = np.fromiter((of[p] for x in rest for p in x), np.int64, int(is_odd.sum()))
         size = self.at[code + 1] - self.at[code]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[code] - (ends - size), size)]
         before = np.concatenate(([0], ends))
-        stop = np.cumsum(n)
-        return ids, before[stop] - before[stop - n]
+        return ids, before[stop] - before[stop - count]
 
 
 @functools.lru_cache(maxsize=2)
@@ -177,8 +222,8 @@ def _writer(path: str, end_id: int, page_ids: int):
             return out
 
         for batch in batches:
-            for part in row_blocks(batch, "text", 1 << 20):
-                ids, size = _encoder(path).encode([t or "" for t in part.column(1).to_pylist()])
+            for part in row_blocks(batch, "text", TEXT):
+                ids, size = _encoder(path).encode(part.column(1))
                 with_end = np.insert(ids, np.cumsum(size), np.uint32(end_id))
                 held.append(with_end)
                 docs.extend(part.column(0).to_pylist())
