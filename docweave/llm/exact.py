@@ -100,9 +100,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (_keyed(docs, id_col, text_col).select("doc_id", "ident", "row_key", F.sha2("text", 256).alias("text_sha256"))
             .groupBy("ident", "row_key", "doc_id", "text_sha256").agg(F.count("*").alias("copies")))
     rows = stage(rows.join(identities(docs, id_col, text_col, size), ["ident", "row_key"]))
-    groups = rows.groupBy("level", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"), 
-        F.max(F.struct("doc_id", "row_key")).alias("top"))
+    # staged, so that the join below has plain shuffles on both sides, whose hot keys Spark can split
+    groups = stage(rows.groupBy("level", "name").agg(
+        F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"),
+        F.max(F.struct("doc_id", "row_key")).alias("top")))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     top = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))
     return (rows.join(groups, ["level", "name"])
