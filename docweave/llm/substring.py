@@ -39,6 +39,7 @@ BINS = 1 << 16
 HOT = 8
 FLUSH = 16 << 20
 RUN = 256
+LEVEL = 6
 _LAST = (1 << 63) - 1
 
 
@@ -103,13 +104,15 @@ class _Strings:
 
 def _blob(arrays: list[np.ndarray], text: bytes = b"") -> bytes:
     head = np.array([len(arrays[0])], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.astype("<i8").tobytes() for a in arrays) + text)
+    arrays = [np.diff(arrays[0], prepend=0), *arrays[1:]]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.astype("<i8").tobytes() for a in arrays) + text)
 
 
 def _unblob(blob: bytes, k: int) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return [np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(k)], raw[8 + 8 * n * k:]
+    arrays = [np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(k)]
+    return [np.cumsum(arrays[0]), *arrays[1:]], raw[8 + 8 * n * k:]
 
 
 def _rows(kind: int, bucket: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -144,6 +147,7 @@ def _flush(s: _Strings, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
             yield _rows(1, [int(dealt[g[0]]) for g in groups],
                         [_blob([ident[again[g]], key[again[g]], start[again[g]], start[again[g]] + words[g]]) for g in groups])
     idx = np.flatnonzero(keep)
+    idx = idx[np.lexsort((start[idx], key[idx], ident[idx], bucket[idx]))]      # neighbours of one document compress better
     cuts = np.flatnonzero(np.diff(bucket[idx])) + 1
     names, blobs, held = [], [], 0
     for g in np.split(idx, cuts):
