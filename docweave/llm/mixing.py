@@ -13,9 +13,10 @@ text. Documents are ranked by their random odds over their inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and taken in that order up to the words that
 are left: the sample's size is fixed, in words, to within half a document.
 
-The cut is found without sorting a source: words are summed in ``BINS`` bins
-of the rank, only the documents of the one bin that holds the cut are
-ordered, and sources may be of any size.
+The cut is found without sorting a source: words are summed in groups of
+``GROUP`` bins of the rank, then in the bins of the one group that holds the
+cut, and only the documents of the one bin that holds it are ordered, so
+sources may be of any size.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 BINS = 1 << 14
+GROUP = 1 << 7
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -85,6 +87,16 @@ def _with_plan(rows: DataFrame, source, plan: DataFrame) -> DataFrame:
     return rows.join(plan, source.eqNullSafe(plan["mix_source"]))
 
 
+def _crossing(ranked: DataFrame, place: str, start) -> DataFrame:
+    """``mix_source, <place>, before`` of the place at which each source's
+    running words, from ``start`` on, reach what is left to draw."""
+    run = Window.partitionBy("mix_source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = (ranked.groupBy("mix_source", place, "left", start.alias("start")).agg(F.sum("size").alias("words"))
+            .withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(run), F.lit(0))))
+    return sums.filter((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))).select(
+        "mix_source", place, "before")
+
+
 def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """One row a source: ``mix_source, source_size, target, whole`` (copies of
     every document), ``left`` (words to draw), and the cut: documents in bins
@@ -96,11 +108,11 @@ def plan_mix(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
                    .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")))
     rank = _rank(_uniform("doc_id", "row_key"), F.col("chance"), F.col("left"), F.col("source_size"))
     ranked = _with_plan(sizes, sizes["source"], shares).withColumn("rank", rank).withColumn("bin", _bin(F.col("rank")))
-    run = Window.partitionBy("mix_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (ranked.groupBy("mix_source", "bin", "left").agg(F.sum("size").alias("words"))
-            .withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))))
-    holds = (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))
-    cut = stage(bins.filter(holds).select(F.col("mix_source").alias("cut_source"), F.col("bin").alias("cut_bin"), "before"))
+    group = F.floor(F.col("bin") / GROUP)
+    coarse = _crossing(ranked.withColumn("group", group), "group", F.lit(0)).select(
+        F.col("mix_source").alias("in_source"), "group", F.col("before").alias("start"))
+    inner = ranked.join(coarse, ranked["mix_source"].eqNullSafe(F.col("in_source")) & (group == F.col("group")))
+    cut = stage(_crossing(inner, "bin", F.col("start")).select(F.col("mix_source").alias("cut_source"), F.col("bin").alias("cut_bin"), "before"))
     cut = small(cut)
     within = ranked.join(cut, ranked["mix_source"].eqNullSafe(cut["cut_source"]) & (ranked["bin"] == cut["cut_bin"]))
     own = F.struct("rank", _ident(F.col("doc_id")).alias("ident"), "row_key")
