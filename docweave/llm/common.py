@@ -91,7 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def row_blocks(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+def row_blocks(batch: pa.RecordBatch, column: str, limit: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text (one row at
     least), so that scratch arrays stay small."""
     col = batch.column(batch.schema.get_field_index(column))

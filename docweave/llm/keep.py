@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import small, stage
+from docweave.llm.common import stage
 
 ID, KEY = "__keep_id", "__keep_key"
 
@@ -21,7 +21,7 @@ def _match(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame):
 
 def _named(keys: DataFrame) -> DataFrame:
     a, b = keys.columns
-    return small(stage(keys.select(F.col(a).alias(ID), F.col(b).alias(KEY))))
+    return stage(keys.select(F.col(a).alias(ID), F.col(b).alias(KEY)))      # Catalyst knows its size
 
 
 def keep_one(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def _features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 21):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
             size += len(texts[j])
             j += 1
         buf, at = joined(texts[i:j])

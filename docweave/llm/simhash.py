@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fewer than ``width`` words is one shingle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in row_blocks(batch, "text", 1 << 23):
+            for part in row_blocks(batch, "text", 1 << 22):
                 fp = np.array([_fingerprint(t, width) for t in text_bytes(part.column(2))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row_key", "fp"])
 

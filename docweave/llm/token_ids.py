@@ -30,8 +30,8 @@ from docweave.llm.common import partitions, row_blocks
 
 END_ID = 0
 PAGE = 1 << 20
-MEMO = 600_000
-TEXT = 6 << 20
+MEMO = 500_000
+TEXT = 4 << 20
 #: In front of a piece that has no space before it (private use character).
 MARK = "\ue000"
 #: A letter, and the punctuation that follows it up to the word's end.
