@@ -146,6 +146,10 @@ def from_frame(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> DataF
                      _mapped(layout, lambda n: F.col(n).cast("string"), item).alias("turns"))
 
 
+def _under(array: str):
+    return lambda field: F.concat(F.lit(f"{array}[]."), field)
+
+
 def from_json(df: DataFrame, record_col: str, id_col: str = "conv_id", layouts=LAYOUTS) -> DataFrame:
     """``conv_id, fingerprint, layout, turns`` of JSON records, each by its own
     fingerprint. A record that is null, malformed or of no known layout has a
@@ -160,7 +164,7 @@ def from_json(df: DataFrame, record_col: str, id_col: str = "conv_id", layouts=L
              for n in scalars]
     for name, fields in arrays.items():
         own = F.array_intersect(F.regexp_extract_all(shape(name), F.lit(r"(\w+): "), 1), F.array(*map(F.lit, sorted(fields))))
-        own = F.transform(own, lambda x, name=name: F.concat(F.lit(f"{name}[]."), x))
+        own = F.transform(own, _under(name))
         paths.append(F.when(shape(name).startswith("ARRAY<OBJECT<"), own).otherwise(F.array().cast("array<string>")))
     digest = F.sha2(F.array_join(F.array_sort(F.flatten(F.array(*paths))), "\n"), 256)
 
