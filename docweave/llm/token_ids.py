@@ -101,25 +101,25 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.keys = pa.array([], pa.large_string())
         self.at, self.flat, self.uses = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _shrink(self) -> None:
         """Keep the half of the memo that most batches have used."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.memo // 2])
-        names = list(self.row)
         size = (self.at[1:] - self.at[:-1])[keep]
         ends = np.cumsum(size)
         self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.at[keep] - (ends - size), size)]
         self.at, self.uses = np.concatenate(([0], ends)), self.uses[keep] // 2
-        self.row = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.keys = self.keys.take(pa.array(keep))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, int]:
         """Encode new pieces, many to a call: a line feed between two pieces
-        is a token of its own, at which the ids fall apart again."""
+        is a token of its own, at which the ids fall apart again. Returns the
+        row of each."""
         joint = [p for p in new if self.line is not None and p[0] != MARK and not p[-1].isspace()
                  and not p[p[0] == "\n"].isspace()]
         alone = list(set(new).difference(joint))
@@ -141,20 +141,25 @@ class Encoder:
             size.append(np.diff(np.append(first, len(ids))) - skip)
             flat.append(np.delete(ids, first) if skip else ids)
         size = np.concatenate(size)
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        base = len(self.keys)
+        self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.large_string())])
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
         self.flat = np.concatenate((self.flat, *flat))
         self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        return dict(zip(new, range(base, base + len(new))))
 
-    def _rows(self, distinct: list[str]) -> np.ndarray:
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
         """Row of each piece, learning the new ones."""
-        new = [p for p in distinct if p not in self.row]
-        if new:
-            if len(self.row) + len(new) > self.memo and self.row:
-                self._shrink()
-                new = [p for p in distinct if p not in self.row]
-            self._learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))
+        at = pc.index_in(pieces, value_set=self.keys)
+        if len(self.keys) and len(self.keys) + at.null_count > self.memo:
+            self._shrink()
+            at = pc.index_in(pieces, value_set=self.keys)
+        rows = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            new = pieces.take(pa.array(unknown)).to_pylist()
+            row = self._learn(list(dict.fromkeys(new)))
+            rows[unknown] = np.fromiter(map(row.__getitem__, new), np.int64, len(new))
         self.uses[rows] += 1
         return rows
 
@@ -171,10 +176,9 @@ class Encoder:
         heads = [MARK + p for p in flat.take(pa.array(first)).to_pylist()]
         rest = [(odd_pieces(t) if self.cut else [MARK + t]) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
         count[odd] = np.fromiter(map(len, rest), np.int64, len(rest))
-        words = coded.dictionary.to_pylist()
         extra = list(dict.fromkeys(heads + [p for x in rest for p in x]))
-        row = self._rows(words + extra)
-        of = dict(zip(extra, row[len(words):].tolist()))
+        row = self._rows(pa.concat_arrays([coded.dictionary, pa.array(extra, pa.large_string())]))
+        of = dict(zip(extra, row[len(coded.dictionary):].tolist()))
         own = row[coded.indices.to_numpy(zero_copy_only=False)]
         own[first] = np.fromiter((of[p] for p in heads), np.int64, len(heads))
         stop = np.cumsum(count)
