@@ -1,0 +1,176 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docweave.llm import decontaminate, mixing, quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def shingles(text, n):
+    w = decontaminate.words_of((text or "").encode())
+    return {b" ".join(w[i:i + n]) for i in range(len(w) - n + 1)}
+
+
+def contained(docs, items):
+    out = []
+    for i, t in items:
+        n = len(decontaminate.words_of((t or "").encode()))
+        if not n:
+            continue
+        q = shingles(t, min(5, n))
+        for r in docs:
+            s = len(q & shingles(r.text, min(5, n)))
+            if s >= 0.8 * len(q):
+                out.append((str(r.doc_id), i, len(q), s))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def bench_docs(spark):
+    r = random.Random(6)
+    words = [f"v{i}" for i in range(3000)]
+    items = [(k, " ".join(r.choices(words, k=n))) for k, n in enumerate([1, 2, 4, 5, 6, 8, 10, 12, 20, 50, 120])]
+    items += [(90, None), (91, ""), (92, "?!"), (93, items[8][1])]
+    docs = []
+    for k in range(240):
+        base = r.choices(words, k=r.choice([0, 3, 30, 400, 4000]))
+        t = items[k % 11][1].split()
+        if k % 3 == 0:                      # some words changed: containment around the threshold
+            for _ in range(r.randrange(1 + len(t) // 12)):
+                t[r.randrange(len(t))] = "changed"
+        at = r.randrange(len(base) + 1)
+        text = " ".join(base[:at] + t + base[at:])
+        docs.append((k, text.upper() if k % 5 == 0 else text.replace(" ", ",\n") if k % 7 == 0 else text))
+    docs += [(500, None), (501, ""), (None, items[9][1]), (7, docs[7][1])]
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_containment_equals_brute_force(bench_docs):
+    docs, items = bench_docs
+    want = contained(docs.collect(), [(r.item_id, r.text) for r in items.collect()])
+    assert len(want) > 150
+    for size in (decontaminate.BLOCK_BYTES, 400):
+        got = decontaminate.contaminated(docs, items, block_bytes=size).collect()
+        assert sorted((str(r.doc_id), r.item_id, r.n_shingles, r.n_shared) for r in got) == want
+
+
+def test_decontamination_on_odd_rows(spark, odd_docs, clashing, no_docs, bench_docs):
+    items = spark.createDataFrame([(1, "same text of six words here"), (2, None)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.contaminated(odd_docs, items).collect()) == ["6", "6", "7"]
+    left = decontaminate.drop_contaminated(clashing, items)
+    assert left.columns == clashing.columns and left.count() == clashing.count() - 3
+    assert left.filter("doc_id = 6").collect()[0]["text"] == "another text under one id"
+    assert decontaminate.contaminated(no_docs, items).collect() == []
+    assert decontaminate.drop_contaminated(odd_docs, items.limit(0)).count() == odd_docs.count()
+
+
+def test_targets(spark):
+    r = random.Random(1)
+    for _ in range(6):
+        size = {f"s{k}": r.choice([0, 1, 10, 500, 5000]) for k in range(r.randrange(1, 9))} | {None: 30}
+        got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+        names = sorted((s for s in size if s is not None)) + [None]
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+        want, free, rest = {}, set(names), 1.5 * sum(size.values())
+        while True:
+            part = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+            over = {s for s in free if part[s] >= 2 * size[s]}
+            if not over:
+                want |= part
+                break
+            want |= {s: 2.0 * size[s] for s in over}
+            rest -= sum(2.0 * size[s] for s in over)
+            free -= over
+            if not free:
+                break
+        assert got == pytest.approx(want)
+
+
+def test_mix_comes_near_the_targets(spark):
+    r = random.Random(9)
+    rows = [(k, "w " * r.randrange(1, 60), r.choice(["a", "a", "a", "b", "c", "d", None])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    source = {k: s for k, _, s in rows}
+    got = mixing.mix(df).collect()
+    taken, target = {}, {}
+    for x in got:
+        assert x.size == len(WORD.findall(rows[x.doc_id][1])) and x.taken in (0, x.size, 2 * x.size)
+        taken[source[x.doc_id]] = taken.get(source[x.doc_id], 0) + x.taken
+        target[source[x.doc_id]] = x.target
+    assert all(abs(taken[s] - target[s]) <= 30 for s in target)         # half of the largest document
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(11)).collect()))
+    drawn = mixing.draw(df)
+    assert drawn.columns == df.columns and drawn.count() == sum(x.copies for x in got)
+
+
+def test_inclusion_follows_the_given_chances(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"),
+                                    F.when(F.col("id") % 2 == 0, 0.8).otherwise(0.2).alias("chance"))
+    got = mixing.mix(df, share=0.5, chance_col="chance").groupBy(F.col("doc_id") % 2).agg(F.avg("copies")).collect()
+    share = dict(map(tuple, got))
+    assert share[0] == pytest.approx(0.8, abs=0.03) and share[1] == pytest.approx(0.2, abs=0.03)
+
+
+def test_mix_on_odd_rows(odd_docs, clashing, no_docs):
+    got = mixing.mix(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    assert all(x.taken <= 2 * x.size and (x.size or not x.taken) for x in got)
+    assert sum(x.copies for x in got) == mixing.draw(clashing).count()
+    assert mixing.draw(clashing).columns == clashing.columns
+    assert mixing.mix(no_docs).collect() == [] and mixing.draw(no_docs).collect() == []
+
+
+def test_best_cut():
+    assert 3 < quality.best_cut([4.0, 5.0, 9.0], [1.0, 2.0, 3.0]) < 4
+    assert quality.best_cut([1.0], []) == float("-inf")
+
+
+def test_kth_largest(spark):
+    r = random.Random(8)
+    x = [r.choice([0.0, -1.5, r.gauss(0, 9)]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for k in (1, 2, 700, 1500, 3000):
+        assert quality.kth_largest(df, "x", k, enough=20) == sorted(x, reverse=True)[k - 1]
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    r = random.Random(11)
+    good = ["river", "stone", "light", "garden", "window", "letter", "table", "summer"]
+    rows, labels = [], []
+    for k in range(1200):
+        bad = k % 6 == 0
+        w = r.choices(good, k=r.randrange(12, 80))
+        rows.append((k, " ".join(x.upper() + "!!" if bad else x for x in w)))
+        if k % 2 == 0:
+            labels.append((k, int(not bad), 0))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, LABELS)
+
+
+def test_classifier_on_held_out_rows(graded):
+    docs, labels = graded
+    got = quality.classify(docs, labels).collect()
+    odd = [x for x in got if x.doc_id % 2]                 # never labelled
+    assert np.mean([x.keep for x in odd if x.doc_id % 6]) > 0.98
+    evens = [x for x in got if x.doc_id % 6 == 0]
+    assert np.mean([x.keep for x in evens]) < 0.02
+    again = {x.doc_id: x.keep for x in quality.classify(docs.repartition(7), labels).collect()}
+    assert again == {x.doc_id: x.keep for x in got}
+    kept = quality.keep_good(docs, labels)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, k in again.items() if k)
+
+
+def test_classifier_on_odd_rows(spark, odd_docs, clashing, no_docs):
+    none = spark.createDataFrame([], LABELS)
+    some = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (7, 0, 0), (None, 1, 0), (8, 0, None), (5, None, 1)], LABELS)
+    assert all(x.keep for x in quality.classify(odd_docs, none).collect())
+    assert quality.classify(odd_docs, some).count() == odd_docs.count()
+    kept = quality.keep_good(clashing, some)
+    assert kept.columns == clashing.columns
+    assert kept.count() == quality.classify(clashing, some).filter("keep").count()
+    assert quality.classify(no_docs, some).collect() == [] and quality.keep_good(no_docs, none).collect() == []
