@@ -1,8 +1,8 @@
 """Column -> Column HTML functions (regex based, JVM-side).
 
-The patterns are exact on well-formed markup of the shape captured
-pages have (quoted attributes, closed raw-text elements). Tree-exact
-variants that need a real parser live in ``docweave.operators.html_tree``.
+Tags are matched with their quoted attribute values, dropped elements with
+those of their kind inside them. Renderings that follow all nesting live in
+``docweave.operators.html_tree``.
 """
 
 from __future__ import annotations
@@ -20,14 +20,20 @@ DROPPED_TAGS = ["script", "style", "link", "meta", "symbol", "svg", "form", "but
 VOID_TAGS = {"link", "meta"}
 
 COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
-ANCHOR_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>.*?</a" + WS + r"*>"
-ANCHOR_OPEN_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>"
-# the attribute name must follow a blank (so "data-href" is not "href")
-HREF_PRE_RE = r"(?is)^(<a[^>]*?" + WS + r"href" + WS + r"*=" + WS + r"*)"
-HREF_VALUE_RE = (r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*=" + WS +
-                 r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f>]+)""")
-HAS_HREF_RE = r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*="
+# what may stand in a tag after its name: a quoted value is stepped over whole
+# (a quote without a partner is an ordinary character)
+IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+TAG_RE = r"(?s)</?[a-zA-Z]" + IN_TAG + r">|<![^>]*>"
+OPEN_TAG_RE = r"(?s)<[a-zA-Z]" + IN_TAG + r">"
+ANCHOR_RE = r"(?is)<a(?:" + WS + IN_TAG + r")?>.*?</a" + WS + r"*>"
+ANCHOR_OPEN_RE = r"(?is)<a(?:" + WS + IN_TAG + r")?>"
+# the attributes of an anchor before its href, each with its value; the name
+# must follow a blank (so "data-href" is not "href")
+BEFORE_HREF = (r"(?:" + WS + r"++(?!href" + WS + r"*=)[^ \t\n\r\f=>]*+(?:" + WS + r"*+=" + WS +
+               r"""*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\r\f>]*+))?)*+""" + WS + r"++href" + WS + r"*+=" + WS + r"*+")
+HREF_PRE_RE = r"(?is)^(<a" + BEFORE_HREF + r")"
+HREF_VALUE_RE = r"(?is)^<a" + BEFORE_HREF + r"""("[^"]*"|'[^']*'|[^ \t\n\r\f>]+)"""
+HAS_HREF_RE = r"(?is)^<a" + BEFORE_HREF
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title" + WS + r"*>"
 BODY_RE = r"(?is)<body(?:" + WS + r"[^>]*)?>(.*?)(?:</body" + WS + r"*>|\z)"
 CLASS_ATTR_RE = r"""(?i)""" + WS + r"""+class""" + WS + r"""*=""" + WS + \
@@ -40,28 +46,51 @@ def _let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def element_re(tag: str) -> str:
-    if tag in VOID_TAGS:
-        return r"(?is)<" + tag + r"(?:" + WS + r"[^>]*)?/?>"
-    return (r"(?is)<" + tag + r"(?:" + WS + r"[^>]*)?/>|<" + tag + r"(?:" + WS +
-            r"[^>]*)?>.*?</" + tag + WS + r"*>")
-
-
-def removal_re(tags=DROPPED_TAGS) -> str:
+def _in_one_pass(tags) -> str:
     """One alternation matching, at each position, a raw-text element
-    (script, style), a comment, or another dropped element, in that
-    priority: a single left-to-right pass in document order, so code in
-    a script that looks like markup (``"</p>"``, ``"<!--"``) is skipped
-    with the script, and markup inside a comment goes with the comment."""
-    parts = [element_re(t)[len("(?is)"):] for t in tags if t in RAW_TEXT_TAGS]
+    (script, style), a comment, or a void element, in that priority: a
+    single left-to-right pass in document order, so code in a script that
+    looks like markup (``"</p>"``, ``"<!--"``) is skipped with the script,
+    and markup inside a comment goes with the comment."""
+    def opening(tag):
+        return r"<" + tag + r"(?:" + WS + IN_TAG + r")?/?"
+    parts = []
+    for tag in (t for t in tags if t in RAW_TEXT_TAGS):
+        parts += [opening(tag) + r"(?<=/)>", opening(tag) + r">.*?</" + tag + WS + r"*>"]
     parts.append(COMMENT_RE[len("(?s)"):])
-    parts += [element_re(t)[len("(?is)"):] for t in tags if t not in RAW_TEXT_TAGS]
+    parts += [opening(t) + r">" for t in tags if t in VOID_TAGS]
     return "(?is)" + "|".join(parts)
 
 
+def _drop_nested(html: Column, tags) -> Column:
+    """Drop whole elements of ``tags``, however they nest in their own kind:
+    the text between their tags goes while the outermost one is open. One
+    that is never closed only loses its tag."""
+    tag_re = r"(?is)</?(?:" + "|".join(tags) + r")(?:" + WS + IN_TAG + r")?/?>"
+    pieces, marks = F.split(html, tag_re, -1), F.regexp_extract_all(html, F.lit(tag_re), 0)
+    steps = F.zip_with(F.slice(pieces, 2, 1 << 30), marks, lambda p, m: F.struct(
+        p.alias("after"), F.lower(F.regexp_extract(m, r"^</?([a-zA-Z]+)", 1)).alias("name"),
+        m.startswith("</").alias("ends"), m.endswith("/>").alias("alone")))
+    first = F.struct(F.element_at(pieces, 1).alias("out"), F.lit("").alias("held"), F.lit("").alias("name"), F.lit(0).alias("depth"))
+
+    def step(acc, x):
+        inside = acc["depth"] > 0
+        own = inside & (x["name"] == acc["name"]) & ~x["alone"]
+        opens = ~inside & ~x["ends"] & ~x["alone"]
+        depth = acc["depth"] + F.when(opens | (own & ~x["ends"]), 1).when(own, -1).otherwise(0)
+        return F.struct(
+            F.when(depth > 0, acc["out"]).otherwise(F.concat(acc["out"], x["after"])).alias("out"),
+            F.when(depth == 0, "").otherwise(F.concat(acc["held"], x["after"])).alias("held"),
+            F.when(opens, x["name"]).otherwise(acc["name"]).alias("name"), depth.alias("depth"))
+    folded = F.aggregate(steps, first, step, lambda acc: F.concat(acc["out"], acc["held"]))
+    return F.when(html.rlike(tag_re), folded).otherwise(html)
+
+
 def remove_elements(html, tags=DROPPED_TAGS) -> Column:
-    """Drop comments and the given elements with their content (one pass)."""
-    return F.regexp_replace(_c(html), removal_re(tags), "")
+    """Drop comments and the given elements with their content."""
+    plain = F.regexp_replace(_c(html), _in_one_pass(tags), "")
+    nested = [t for t in tags if t not in RAW_TEXT_TAGS and t not in VOID_TAGS]
+    return _let(plain, lambda h: _drop_nested(h, nested)) if nested else plain
 
 
 def title(html) -> Column:
@@ -127,7 +156,8 @@ def rewrite_hrefs(html, base_scheme, base_netloc) -> Column:
 
 
 def drop_class_attrs(html) -> Column:
-    return F.regexp_replace(_c(html), CLASS_ATTR_RE, "")
+    """Delete class attributes; prose that looks like one stays."""
+    return _let(_c(html), lambda h: _interleave(h, OPEN_TAG_RE, lambda tag: F.regexp_replace(tag, CLASS_ATTR_RE, "")))
 
 
 def simplify(html, base_scheme, base_netloc) -> Column:
@@ -157,7 +187,7 @@ def inline_links(html, base_scheme, base_netloc, link_mode: str = "text_href") -
             return a
 
         def with_href(href):    # the decoded href, bound once per anchor
-            inner = F.regexp_extract(a, r"(?is)^<a[^>]*>(.*)</a" + WS + r"*>$", 1)
+            inner = F.regexp_extract(a, r"(?is)^<a" + IN_TAG + r">(.*)</a" + WS + r"*>$", 1)
             text = tag_text(inner)
             shown = F.when(href == "", href).otherwise(clean_link(href, bs, bn, False))
             sep = F.lit(": ") if link_mode == "text_colon" else F.lit(" ")

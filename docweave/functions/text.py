@@ -70,7 +70,7 @@ def html_escape(col) -> Column:
     return F.replace(c, F.lit("'"), F.lit("&#x27;"))
 
 
-# Character references decoded natively, as (name, text,
+# The references tried first, as (name, text,
 # may-omit-semicolon). The names that may omit the semicolon are the
 # legacy ones of HTML5 (e.g. "&amp" followed by text decodes too).
 ENTITIES = [
@@ -93,19 +93,58 @@ def _entity_rules():
     return rules
 
 
+def _named_references() -> Column:
+    """Map of every HTML5 name that ends in ';' to its text, from the
+    standard library's table."""
+    import json
+    from html.entities import html5
+    return F.from_json(F.lit(json.dumps({n: t for n, t in html5.items() if n.endswith(";")})), "map<string,string>")
+
+
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+#: 0x80-0x9F as windows-1252 reads them.
+_WINDOWS = [ord(bytes([k]).decode("cp1252", "ignore") or chr(k)) for k in range(128, 160)]
+
+
+def _code_point(ref: Column) -> Column:
+    """Text of a numeric reference (``#8217`` or ``#x2019``): 0x80-0x9F are
+    read as windows-1252, and what is no character is U+FFFD."""
+    hexa = F.lower(F.substring(ref, 2, 1)) == "x"
+    digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);?$", 1)
+    number = F.when(F.length(digits) > 10, F.lit(-1).cast("long")).when(hexa, F.conv(digits, 16, 10).cast("long")) \
+        .otherwise(F.conv(F.when(hexa, "0").otherwise(digits), 10, 10).cast("long"))
+
+    def sound(cp):
+        bad = (cp <= 0) | (cp > 0x10FFFF) | cp.between(0xD800, 0xDFFF)
+        return F.when(bad, F.lit(0xFFFD).cast("long")).when(
+            cp.between(128, 159), F.get(F.lit(_WINDOWS), (cp - 128).cast("int")).cast("long")).otherwise(cp)
+    return F.decode(F.unhex(F.lpad(F.hex(_bind(number, sound)), 8, "0")), "UTF-32")
+
+
 def html_unescape(col) -> Column:
-    """Decode the character references of ``ENTITIES`` in one left-to-right
-    pass, JVM-side: the text is split at every '&' and each piece starting
-    with a known name is decoded, so decoded text is never decoded again
-    ("&amp;amp;" -> "&amp;"). Use :func:`html_unescape_full` for every
-    HTML5 reference."""
+    """Decode character references in one left-to-right pass, JVM-side: the
+    text is split at every '&' and the reference that a piece starts with is
+    decoded, so decoded text is never decoded again ("&amp;amp;" -> "&amp;").
+    Every HTML5 name with ';', the common legacy names without, and numeric
+    references."""
+    names = _named_references()
+
     def decode(p):
         out = None
         for prefix, ch in _entity_rules():
             cond = p.startswith(prefix)
             val = F.concat(F.lit(ch), F.substring(p, len(prefix) + 1, 1 << 30))
             out = F.when(cond, val) if out is None else out.when(cond, val)
-        return out.otherwise(F.concat(F.lit("&"), p))
+
+        def other(ref):
+            shown = F.when(ref == "", F.lit(None)).when(ref.startswith("#"), _code_point(ref)).otherwise(F.element_at(names, ref))
+            return F.coalesce(F.concat(shown, F.substring(p, F.length(ref) + 1, F.lit(1 << 30))), F.concat(F.lit("&"), p))
+        ref = F.regexp_extract(p, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};)", 1)
+        return out.otherwise(_bind(ref, other))
 
     def run(v):
         pieces = F.split(v, "&", -1)
@@ -114,8 +153,7 @@ def html_unescape(col) -> Column:
         return F.when(F.instr(v, "&") == 0, v).otherwise(
             F.concat(F.element_at(pieces, 1), F.array_join(rest, "")))
 
-    # the input is evaluated once (a one-element transform binds it)
-    return F.element_at(F.transform(F.array(_c(col)), run), 1)
+    return _bind(_c(col), run)
 
 
 def html_unescape_full(col) -> Column:

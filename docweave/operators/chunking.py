@@ -25,16 +25,28 @@ def with_token_count(df: DataFrame, text_col: str = "text", out: str = "n_tokens
     return df.withColumn(out, TX.token_count(text_col, counter))
 
 
-def pack_sentences(text, max_tokens: int = MAX_TOKENS, keep_tail: bool = False,
-                   counter: TX.TokenCounter | None = None):
+def cut_tokens(text, size: int):
+    """ARRAY<STRING> of pieces of at most ``size`` tokens of the default
+    counter (in its own order, blanks kept), which join to the whole text."""
+    units = F.regexp_extract_all(text, F.lit(r"[\t\n\x0B\f\r ]*(?:" + TX.TOKEN_PATTERN + r")|[\t\n\x0B\f\r ]+$"), 0)
+    last = F.floor((F.size(units) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(units, i * size + 1, F.lit(size)), ""))
+
+
+def pack_sentences(text, max_tokens: int = MAX_TOKENS, lossless: bool = True,
+                   counter: TX.TokenCounter | None = None, keep_tail: bool = False):
     """ARRAY<STRING> of chunks of ``text``, packed greedily by sentence.
 
     Sentences are split on ". "; a sentence costs the tokens of
     ``" " + sentence`` and takes one more token once kept. Before each
     sentence: if the running total plus its cost is over ``max_tokens``
-    the open chunk is closed (``". ".join(sentences) + "."``, so closing
-    an empty chunk yields "."). A sentence over ``max_tokens`` is then
-    dropped. The open chunk at the end is dropped unless ``keep_tail``.
+    the open chunk is closed (``". ".join(sentences) + "."``). A sentence
+    over ``max_tokens`` is cut into chunks of fewer tokens, and the open
+    chunk at the end is kept, so no text is lost.
+
+    ``lossless=False`` drops both: a sentence over ``max_tokens``
+    vanishes (closing an empty chunk then yields "."), and so does the
+    open chunk at the end, unless ``keep_tail``.
 
     One ``aggregate`` fold over the sentence array, JVM-side."""
     counter = counter or TX.DEFAULT_COUNTER
@@ -48,17 +60,20 @@ def pack_sentences(text, max_tokens: int = MAX_TOKENS, keep_tail: bool = False,
         return F.concat(F.array_join(cur, ". "), F.lit("."))
 
     def step(acc, x):
+        over = x["c"] > max_tokens
         flush = acc["n"] + x["c"] > max_tokens
-        done = F.when(flush, F.array_append(acc["done"], close(acc["cur"]))).otherwise(acc["done"])
+        filled = flush & (F.size(acc["cur"]) > 0) if lossless else flush
+        done = F.when(filled, F.array_append(acc["done"], close(acc["cur"]))).otherwise(acc["done"])
+        if lossless:
+            done = F.when(over, F.concat(done, cut_tokens(x["s"], max_tokens - 1))).otherwise(done)
         cur = F.when(flush, empty).otherwise(acc["cur"])
         n = F.when(flush, F.lit(0)).otherwise(acc["n"])
-        over = x["c"] > max_tokens
         return F.struct(done.alias("done"),
                         F.when(over, cur).otherwise(F.array_append(cur, x["s"])).alias("cur"),
                         F.when(over, n).otherwise(n + x["c"] + 1).alias("n"))
 
     def finish(acc):
-        if not keep_tail:
+        if not (lossless or keep_tail):
             return acc["done"]
         return F.when(F.size(acc["cur"]) > 0,
                       F.array_append(acc["done"], close(acc["cur"]))).otherwise(acc["done"])
@@ -67,8 +82,8 @@ def pack_sentences(text, max_tokens: int = MAX_TOKENS, keep_tail: bool = False,
 
 
 def chunks(corpus_df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           max_tokens: int = MAX_TOKENS, keep_tail: bool = False,
-           counter: TX.TokenCounter | None = None) -> DataFrame:
+           max_tokens: int = MAX_TOKENS, lossless: bool = True,
+           counter: TX.TokenCounter | None = None, keep_tail: bool = False) -> DataFrame:
     """(id, chunk_no, text, n_tokens): texts over ``max_tokens`` are
     packed into sentence chunks, shorter ones kept whole; NULL texts are
     skipped. Row-local: a posexplode, no shuffle."""
@@ -76,7 +91,7 @@ def chunks(corpus_df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = corpus_df.filter(F.col(text_col).isNotNull())
     src = src.withColumn("_n", counter.count(F.col(text_col)))
     # a text kept whole already has its count; only packed chunks are recounted
-    packed = F.transform(pack_sentences(F.col(text_col), max_tokens, keep_tail, counter),
+    packed = F.transform(pack_sentences(F.col(text_col), max_tokens, lossless, counter, keep_tail),
                          lambda t: F.struct(t.alias("t"), F.lit(None).cast("int").alias("n")))
     whole = F.array(F.struct(F.col(text_col).alias("t"), F.col("_n").cast("int").alias("n")))
     parts = F.when(F.col("_n") > max_tokens, packed).otherwise(whole)

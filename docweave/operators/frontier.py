@@ -11,6 +11,8 @@ URL gets its shortest depth. The visited set is never reshuffled (see
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from ..functions.urls import strip_one_trailing_slash
 from ..session import checkpoint_partitioned, ensure_checkpoint_dir
 
 
+MAX_PIECES = 8
+
+
 def fetch_key(url_col) -> F.Column:
     """A captured page answers the link equal to its URL with one trailing
     '/' removed (links are stored that way)."""
@@ -44,7 +49,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 2,
     for d in range(1, max_depth):
         cand = (frontier.select(F.col("url").alias("src"))
                 .join(e, "src").select(F.col("dst").alias("url"))
-                .repartition(n, "url").dropDuplicates(["url"]))
+                .distinct())                     # duplicates go before the exchange, in the partial aggregate
         for v in pieces:
             cand = cand.join(v.select("url"), "url", "left_anti")
         nxt = checkpoint_partitioned(cand.withColumn("depth", F.lit(d + 1)).repartition(n, "url"))
@@ -52,10 +57,9 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 2,
             break
         pieces.append(nxt)
         frontier = nxt
-    out = pieces[0]
-    for v in pieces[1:]:
-        out = out.unionByName(v)
-    return out
+        if len(pieces) >= MAX_PIECES:            # so a deep crawl has no longer plan than a shallow one
+            pieces = [checkpoint_partitioned(reduce(DataFrame.unionByName, pieces).repartition(n, "url"))]
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def crawl_frontier(pages: DataFrame, links: DataFrame, max_depth: int = 2,

@@ -11,7 +11,7 @@ from ..functions import urls as U
 
 INDEX_FIELDS = ["id", "content", "category", "sourcepage", "sourcefile"]
 FACET_FIELDS = ["category", "sourcepage", "sourcefile"]
-LOOKUP_TOP = 1000
+LOOKUP_TOP = 1000         # page size of clients that page
 TERM_PATTERN = r"\p{L}+|\p{N}+"
 
 
@@ -34,12 +34,18 @@ def upsert(index: DataFrame, incoming: DataFrame) -> DataFrame:
     return inc.unionByName(kept)
 
 
-def upsert_report(incoming: DataFrame) -> DataFrame:
-    """Per source file: sections sent and sections accepted (a row is
-    accepted when it has a non-empty id)."""
-    return incoming.groupBy("sourcefile").agg(
-        F.count("*").alias("sent"),
-        F.count_if(F.col("id").isNotNull() & (F.col("id") != "")).alias("succeeded"))
+def upsert_report(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Per source file: sections sent, and of them those that are in the
+    index (``stored``) after the write, with the same content; without it,
+    those with a non-empty id."""
+    sent = incoming.select("sourcefile", "id", "content")
+    if stored is None:
+        ok = F.col("id").isNotNull() & (F.col("id") != "")
+    else:
+        there = stored.select("id", F.xxhash64("content").alias("_is"), F.lit(True).alias("_in"))
+        sent = sent.join(there, "id", "left")
+        ok = F.coalesce(F.col("_in") & (F.col("_is") == F.xxhash64("content")), F.lit(False))
+    return sent.groupBy("sourcefile").agg(F.count("*").alias("sent"), F.count_if(ok).alias("succeeded"))
 
 
 def delete(index: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -50,12 +56,16 @@ def delete(index: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return index.join(f, "sourcefile", "left_anti")
 
 
-def lookup(index: DataFrame, sourcefile: str | None = None, top: int = LOOKUP_TOP) -> DataFrame:
-    """Rows (optionally of one source file), first ``top`` by id, each
-    carrying the total count of matching rows."""
+def lookup(index: DataFrame, sourcefile: str | None = None, top: int | None = None, after: str | None = None) -> DataFrame:
+    """Rows (optionally of one source file), each carrying the total count of
+    matching rows. With ``top``, one page: the first ``top`` rows by id after
+    the id ``after`` (pass the last id of a page to get the next)."""
     m = index if sourcefile is None else index.filter(F.col("sourcefile") == sourcefile)
-    total = m.agg(F.count("*").alias("total_count"))
-    return m.orderBy("id").limit(top).crossJoin(F.broadcast(total))
+    total = m.agg(F.count("*").alias("total_count"))       # one row by construction
+    page = m if after is None else m.filter(F.col("id") > after)
+    if top is not None:
+        page = page.orderBy("id").limit(top)
+    return page.crossJoin(F.broadcast(total))
 
 
 def facets(index: DataFrame, fields=FACET_FIELDS) -> DataFrame:
@@ -78,16 +88,20 @@ def postings(index: DataFrame) -> DataFrame:
 
 def page_blobs(pmap: DataFrame) -> DataFrame:
     """(blob_name, sourcefile, page_num, text): one blob per page of a PDF
-    (``name-<page>.pdf``), one per file otherwise (its base name)."""
+    (``name-<page>.pdf``), one per file otherwise (its base name). Only the
+    texts of files with several pages move."""
     is_pdf = U.blob_name(F.col("sourcefile"), F.lit(0)) != U.basename(F.col("sourcefile"))
     pdf_pages = pmap.filter(is_pdf).select(
         U.blob_name("sourcefile", "page_num").alias("blob_name"), "sourcefile", "page_num", "text")
-    other = (pmap.filter(~is_pdf).groupBy("sourcefile")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))),
-                                           lambda x: x["text"]), "").alias("text"))
-             .select(U.basename("sourcefile").alias("blob_name"), "sourcefile",
-                     F.lit(0).alias("page_num"), "text"))
-    return pdf_pages.unionByName(other)
+    other = pmap.filter(~is_pdf).select("sourcefile", "page_num", "text")
+    many = other.groupBy("sourcefile").agg(F.count("*").alias("_n")).filter("_n > 1").select("sourcefile")
+    single = other.join(many, "sourcefile", "left_anti")
+    joined = (other.join(many, "sourcefile", "left_semi").groupBy("sourcefile")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))),
+                                            lambda x: x["text"]), "").alias("text")))
+    whole = single.select("sourcefile", "text").unionByName(joined.select("sourcefile", "text"))
+    return pdf_pages.unionByName(whole.select(U.basename("sourcefile").alias("blob_name"), "sourcefile",
+                                              F.lit(0).alias("page_num"), "text"))
 
 
 def remove_blobs(blobs: DataFrame, files: DataFrame | None = None) -> DataFrame:

@@ -21,28 +21,29 @@ def _cell_html(c) -> Column:
                     F.lit("</"), tag, F.lit(">"))
 
 
-def _by_column(a, b) -> Column:
-    return (F.when(a["column_index"] < b["column_index"], F.lit(-1))
-             .when(a["column_index"] > b["column_index"], F.lit(1)).otherwise(F.lit(0)))
-
-
-def _range(n) -> Column:
-    """0 .. n-1 (empty for n <= 0; ``sequence(0, -1)`` would count down)."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def table_html(row_count, cells) -> Column:
     """``<table>`` of rows 0..row_count-1 (empty rows kept), cells of a
     row ordered by column (stable), ``th`` for header kinds, colSpan /
-    rowSpan written when > 1, content HTML-escaped."""
+    rowSpan written when > 1, content HTML-escaped.
+
+    The cells are sorted once; each one writes the row ends between it and
+    the cell before it."""
     rc = F.col(row_count) if isinstance(row_count, str) else row_count
     cl = F.col(cells) if isinstance(cells, str) else cells
-
-    def row(r):
-        mine = F.array_sort(F.filter(cl, lambda c: c["row_index"] == r), _by_column)
-        return F.concat(F.lit("<tr>"), F.array_join(F.transform(mine, _cell_html), ""), F.lit("</tr>"))
-
-    return F.concat(F.lit("<table>"), F.array_join(F.transform(_range(rc), row), ""), F.lit("</table>"))
+    placed = F.transform(cl, lambda c, i: F.struct(c["row_index"].alias("r"), c["column_index"].alias("c"), i.alias("i"),
+                                                   _cell_html(c).alias("html")))
+    placed = F.array_sort(F.filter(placed, lambda x: (x["r"] >= 0) & (x["r"] < rc)))
+    turn = "</tr><tr>"
+
+    def write(sorted_cells):
+        def one(x, k):
+            before = F.coalesce(F.get(sorted_cells, k - 1)["r"], F.lit(0))
+            return F.concat(F.repeat(F.lit(turn), (x["r"] - before).cast("int")), x["html"])
+        last = F.coalesce(F.get(sorted_cells, F.size(sorted_cells) - 1)["r"], F.lit(0))
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(sorted_cells, one), ""),
+                        F.repeat(F.lit(turn), (rc - 1 - last).cast("int")), F.lit("</tr>"))
+    body = F.element_at(F.transform(F.array(placed), write), 1)
+    return F.concat(F.lit("<table>"), F.when(rc > 0, body).otherwise(F.lit("")), F.lit("</table>"))
 
 
 def layout_cells(layout: DataFrame) -> DataFrame:
@@ -67,19 +68,27 @@ def overlay_pages(layout: DataFrame) -> DataFrame:
                                                  table_html(t["row_count"], t["cells"]).alias("html")))
     p = p.withColumn("tix", tix)
 
+    # the page falls into segments between the ends of spans; a segment has one owner
+    inner = F.flatten(F.transform("tix", lambda t: F.flatten(F.transform(t["spans"], lambda s: F.array(
+        s["offset"] - F.col("off"), s["offset"] + s["length"] - F.col("off"))))))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.col("len")),
+                                                  F.filter(inner, lambda x: (x > 0) & (x < F.col("len"))))))
+    p = p.withColumn("cuts", cuts)
+
     def owner(k):
         pos = F.col("off") + k
         return F.aggregate("tix", F.lit(-1), lambda acc, t: F.when(
             F.exists(t["spans"], lambda s: (pos >= s["offset"]) & (pos < s["offset"] + s["length"])),
             t["i"]).otherwise(acc))
 
-    p = p.withColumn("cov", F.transform(_range(F.col("len")), owner))
-    p = p.withColumn("first", F.transform("tix", lambda t: F.array_position("cov", t["i"])))
+    p = p.withColumn("own", F.transform(F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0))), owner))
+    p = p.withColumn("first", F.transform("tix", lambda t: F.array_position("own", t["i"])))
 
     def piece(o, k):
-        return (F.when(o == -1, F.substring(F.col("content"), F.col("off") + k + 1, 1))
+        a, b = F.element_at("cuts", k + 1), F.element_at("cuts", k + 2)
+        return (F.when(o == -1, F.substring(F.col("content"), F.col("off") + a + 1, b - a))
                  .when(F.element_at("first", o + 1) == k + 1, F.element_at("tix", o + 1)["html"])
                  .otherwise(F.lit("")))
 
-    text = F.concat(F.array_join(F.transform("cov", piece), ""), F.lit(" "))
+    text = F.concat(F.array_join(F.transform("own", piece), ""), F.lit(" "))
     return p.select("sourcefile", F.col("page_num").cast("int").alias("page_num"), text.alias("text"))

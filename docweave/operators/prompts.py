@@ -1,8 +1,8 @@
 """Prompt assembly and the optional answer step.
 
 The language-model call is not part of the engine: pass ``complete_fn``
-(``list[prompt] -> list[str]``) to get answers; any failure or empty
-reply gives ''."""
+(``list[prompt] -> list[str]``) to get answers; a failing prompt or an
+empty reply gives ''."""
 
 from __future__ import annotations
 
@@ -53,20 +53,45 @@ def completion_prompt(ctx: DataFrame, question_col: str = "question", context_co
         "settings", _settings(settings or COMPLETION_SETTINGS))
 
 
-def answer(prompts: DataFrame, complete_fn=None, prompt_col: str = "prompt") -> DataFrame:
-    """+ answer: ``complete_fn`` applied per Arrow batch; a failure or an
-    empty reply gives ''; replies are stripped. Without ``complete_fn``
-    every answer is ''."""
+def _complete_all(complete_fn, calls: list) -> list[tuple[str, str | None]]:
+    """(reply, error) of each call; a batch that fails is tried call by call."""
+    def reply(r):
+        return "" if not r else str(r)
+    try:
+        out = list(complete_fn(calls))
+        if len(out) != len(calls):
+            raise ValueError(f"{len(out)} replies to {len(calls)} prompts")
+        return [(reply(r), None) for r in out]
+    except Exception as ex:
+        if len(calls) == 1:
+            return [("", f"{type(ex).__name__}: {ex}")]
+    return [_complete_all(complete_fn, [c])[0] for c in calls]
+
+
+def answer(prompts: DataFrame, complete_fn=None, prompt_col: str = "prompt", with_settings: bool = False) -> DataFrame:
+    """+ answer, answer_error: ``complete_fn`` gets a list of prompts and
+    gives a list of replies. A prompt that fails, and only that one, has the
+    answer '' and the error; an empty reply is ''; replies are stripped.
+
+    ``prompt_col`` may hold texts or chat messages (a list of role/content
+    dicts for each). With ``with_settings`` each item of the list is a pair
+    of the prompt and its ``settings`` dict. Without ``complete_fn`` every
+    answer is ''."""
     if complete_fn is None:
-        return prompts.withColumn("answer", F.lit(""))
+        return prompts.withColumn("answer", F.lit("")).withColumn("answer_error", F.lit(None).cast("string"))
     from pyspark.sql.functions import pandas_udf
+    as_json = prompts.schema[prompt_col].dataType.typeName() != "string"
+    body = F.to_json(F.col(prompt_col)) if as_json else F.coalesce(F.col(prompt_col), F.lit(""))
+    settings = F.to_json("settings") if with_settings else F.lit("{}")
 
-    @pandas_udf("string")
-    def _complete(s: pd.Series) -> pd.Series:
-        try:
-            out = list(complete_fn(s.fillna("").tolist()))
-        except Exception:
-            out = [""] * len(s)
-        return pd.Series(["" if not r else str(r) for r in out], dtype="object")
+    @pandas_udf("struct<answer:string,error:string>")
+    def _complete(body: pd.Series, settings: pd.Series) -> pd.DataFrame:
+        import json
+        calls = [json.loads(p) if as_json and p else p for p in body]
+        if with_settings:
+            calls = [(p, json.loads(s)) for p, s in zip(calls, settings)]
+        return pd.DataFrame(_complete_all(complete_fn, calls), columns=["answer", "error"], dtype="object")
 
-    return prompts.withColumn("answer", py_strip(_complete(F.col(prompt_col))))
+    done = prompts.withColumn("_reply", _complete(body, settings))
+    return (done.withColumn("answer", py_strip(F.col("_reply.answer"))).withColumn("answer_error", F.col("_reply.error"))
+            .drop("_reply"))

@@ -93,16 +93,17 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
     matrix (one matmul per block of questions, the block sized so the
     distance matrix stays within ``BLOCK_CELLS``) and keep each
     question's best ``cap`` rows of the batch by (distance, chunk_id).
-    Distances are clamped to [0, 2]; a zero vector gets 0."""
+    Distances are clamped to [0, 2]. A missing or zero vector has no
+    distance to anything: it is left out."""
     qids, qmat = bq.value
     qsq = np.einsum("ij,ij->i", qmat, qmat)
     for pdf in batches:
         if len(pdf) == 0 or len(qids) == 0:
             continue
-        dim = qmat.shape[1]
-        # a missing vector counts as a zero vector (distance clamped to 0)
-        emb = np.stack([np.zeros(dim) if v is None else np.asarray(v, dtype=np.float64)
-                        for v in pdf["embedding"]])
+        pdf = pdf[[v is not None and bool(np.any(v)) for v in pdf["embedding"]]]
+        if len(pdf) == 0:
+            continue
+        emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
         csq = np.einsum("ij,ij->i", emb, emb)
         cid = pdf["chunk_id"].to_numpy()
         tok = pdf[budget[2]].to_numpy(dtype=np.float64) if budget is not None else None
@@ -113,7 +114,6 @@ def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELL
             den = np.sqrt(csq[:, None] * qsq[None, q0:q1])
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = np.minimum(np.abs(1.0 - dots / den), 2.0)
-            dist[den == 0] = 0.0          # zero vector: clamped to 0
             key = dist
             r, c = _topk_block(key, dist, cid, tok, qids, cap,
                                None if budget is None else budget[:2])
@@ -149,11 +149,12 @@ def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROA
         ensure_checkpoint_dir(spark)
         chunks = chunks.select(*payload, "embedding").checkpoint()
     for qb in batches:
-        rows = qb.collect()          # bounded: at most max_broadcast rows
-        qids = np.array([r["question_id"] for r in rows])
-        qmat = np.array([np.asarray(r["q_embedding"] or [], dtype=np.float64) for r in rows])
-        if len(rows) == 0:
+        # bounded: at most max_broadcast rows; a question without a direction has no distances
+        rows = [r for r in qb.collect() if r["q_embedding"] is not None and any(r["q_embedding"])]
+        if not rows:
             continue
+        qids = np.array([r["question_id"] for r in rows])
+        qmat = np.array([np.asarray(r["q_embedding"], dtype=np.float64) for r in rows])
         bq = spark.sparkContext.broadcast((qids, qmat))
         s = chunks.select(*payload, "embedding").mapInPandas(
             lambda it, bq=bq: _topk_batches(it, bq, cap, payload, budget, block_cells), schema)

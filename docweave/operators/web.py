@@ -102,7 +102,7 @@ def page_links_legacy(pages: DataFrame) -> DataFrame:
     """(page_id, url, link) with the older cleaner: https always, tel:
     treated as a path, '' -> site root; hrefs from the whole page."""
     p = pages.withColumn("netloc", U.netloc("url"))
-    raw = F.array_distinct(H.hrefs("html"))
+    raw = F.array_distinct(H.hrefs(H.remove_elements("html", H.RAW_TEXT_TAGS)))
     cleaned = F.transform(raw, lambda h: U.clean_link_legacy(h, F.col("netloc")))
     links = F.array_distinct(F.filter(cleaned, lambda h: h.isNotNull()))
     return p.select("page_id", "url", F.explode(links).alias("link"))

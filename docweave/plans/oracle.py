@@ -1,12 +1,22 @@
-"""DuckDB SQL for each registered query: the independent check of the
-Spark plans. Regex patterns are the same strings as the Spark side
-(written to mean the same in Java regex and RE2); DuckDB writes group
-references as \\1 and needs the 'g' flag to replace all matches."""
+"""DuckDB SQL for each registered query: the independent check of the Spark
+plans. Nothing of the engine is imported: patterns, tag lists and constants
+are stated here again, in the words of RE2. DuckDB writes group references as
+\\1 and needs the 'g' flag to replace all matches."""
 
 from __future__ import annotations
 
-from ..functions.text import PY_SPACE_CLASS, TOKEN_PATTERN
-from ..functions.vectors import EMBED_DIM, EMBED_TOKEN_PATTERN
+# Python's white space, the token and word patterns, the size of
+# an embedding, the tags of the audit and the line export, the dropped tags.
+PY_SPACE_CLASS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+TOKEN_PATTERN = r"\p{L}+|\p{N}{1,3}|[^\t\n\x0B\f\r \p{L}\p{N}]+"
+BLANK = r"[\t\n\x0B\f\r ]"
+EMBED_TOKEN_PATTERN, EMBED_DIM = r"\p{L}+|\p{N}+", 64
+PRINT_TAGS = ("h1 h2 h3 h4 h5 h6 p li a span em strong u sub small address").split()
+CONTAINER_TAGS = ("main label div header section noscript ul iframe body nav input article br img hr aside content table "
+                  "tr th time sup ol tbody td").split()
+RAW_TEXT_TAGS = ["script", "style"]
+DROPPED_TAGS = ["script", "style", "link", "meta", "symbol", "svg", "form", "button"]
 
 
 def tok(x: str) -> str:
@@ -29,23 +39,25 @@ def clean(x: str) -> str:
     return f"regexp_replace({c}, ' {{2,}}', ' ', 'g')"
 
 
-def pack(x: str, limit: int = 500, keep_tail: bool = False) -> str:
+def pack(x: str, limit: int = 500) -> str:
+    """Fold of sentences into chunks: (done, cur, n); nothing is dropped."""
     flush = f"(acc.n + x.c > {limit})"
-    fold = f"""list_reduce(
+    units = f"regexp_extract_all(x.s, '{BLANK}*(?:{TOKEN_PATTERN})|{BLANK}+$')"
+    cut = (f"list_transform([{units}], lambda u: list_transform(range(0, CAST(ceil(len(u) / {limit - 1}.0) AS BIGINT)), "
+           f"lambda i: array_to_string(u[i * {limit - 1} + 1:(i + 1) * {limit - 1}], '')))[1]")
+    return f"""list_reduce(
       list_transform(string_split_regex({x}, '\\. '), lambda s: struct_pack(s := s, c := {tok("' ' || s")})),
       lambda acc, x: struct_pack(
-        done := CASE WHEN {flush} THEN list_append(acc.done, array_to_string(acc.cur, '. ') || '.') ELSE acc.done END,
-        cur := CASE WHEN x.c > {limit} THEN (CASE WHEN {flush} THEN []::VARCHAR[] ELSE acc.cur END)
+        done := list_concat(
+          CASE WHEN {flush} AND len(acc.cur) > 0 THEN list_append(acc.done, array_to_string(acc.cur, '. ') || '.') ELSE acc.done END,
+          CASE WHEN x.c > {limit} THEN {cut} ELSE []::VARCHAR[] END),
+        cur := CASE WHEN x.c > {limit} THEN []::VARCHAR[]
                     ELSE list_append(CASE WHEN {flush} THEN []::VARCHAR[] ELSE acc.cur END, x.s) END,
-        n := CASE WHEN x.c > {limit} THEN (CASE WHEN {flush} THEN 0 ELSE acc.n END)
-                  ELSE (CASE WHEN {flush} THEN 0 ELSE acc.n END) + x.c + 1 END),
+        n := CASE WHEN x.c > {limit} THEN 0 ELSE (CASE WHEN {flush} THEN 0 ELSE acc.n END) + x.c + 1 END),
       struct_pack(done := []::VARCHAR[], cur := []::VARCHAR[], n := 0))"""
-    return fold
 
 
-def pack_parts(r: str, keep_tail: bool) -> str:
-    if not keep_tail:
-        return f"{r}.done"
+def pack_parts(r: str) -> str:
     return (f"CASE WHEN len({r}.cur) > 0 THEN list_append({r}.done, array_to_string({r}.cur, '. ') || '.') "
             f"ELSE {r}.done END")
 
@@ -56,13 +68,13 @@ CORPUS = f"""corpus AS (
   FROM documents)"""
 
 
-def chunks_cte(keep_tail: bool = False) -> str:
+def chunks_cte(limit: int = 500) -> str:
     return f"""{CORPUS},
 folded AS (
-  SELECT doc_id, text, CASE WHEN {tok('text')} > 500 THEN {pack('text', 500)} END AS r
+  SELECT doc_id, text, CASE WHEN {tok('text')} > {limit} THEN {pack('text', limit)} END AS r
   FROM corpus WHERE text IS NOT NULL),
 chunked AS (
-  SELECT doc_id, CASE WHEN r IS NULL THEN [text] ELSE {pack_parts('r', keep_tail)} END AS parts FROM folded),
+  SELECT doc_id, CASE WHEN r IS NULL THEN [text] ELSE {pack_parts('r')} END AS parts FROM folded),
 chunks AS (
   SELECT doc_id, unnest(range(len(parts))) AS chunk_no, unnest(parts) AS text FROM chunked)"""
 
@@ -81,7 +93,7 @@ def dot(a: str, b: str) -> str:
 
 def cosine(a: str, b: str) -> str:
     den = f"sqrt({dot(a, a)} * {dot(b, b)})"
-    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE least(abs(1.0 - {dot(a, b)} / {den}), 2.0) END)"
+    return f"(CASE WHEN {den} > 0 THEN least(abs(1.0 - {dot(a, b)} / {den}), 2.0) END)"
 
 
 ORACLE: dict[str, str] = {}
@@ -94,10 +106,10 @@ ORACLE["clean_text"] = f"""SELECT doc_id, {clean('text')} AS text FROM documents
 ORACLE["corpus"] = f"""WITH {CORPUS}
 SELECT doc_id, fname, text, {tok('text')}::BIGINT AS n_tokens FROM corpus"""
 
-ORACLE["chunks"] = f"""WITH {chunks_cte(False)}
+ORACLE["chunks"] = f"""WITH {chunks_cte()}
 SELECT doc_id, chunk_no::BIGINT AS chunk_no, text, {tok('text')}::BIGINT AS n_tokens FROM chunks"""
 
-ORACLE["sentence_pack"] = f"""WITH {chunks_cte(True)}
+ORACLE["sentence_pack"] = f"""WITH {chunks_cte(200)}
 SELECT doc_id, chunk_no::BIGINT AS chunk_no, text, {tok('text')}::BIGINT AS n_tokens FROM chunks"""
 
 ORACLE["token_histogram"] = f"""WITH {CORPUS},
@@ -109,20 +121,20 @@ b AS (SELECT CASE WHEN s.hi = s.lo THEN 6 ELSE least(floor((t.n - s.lo) * 10 / (
 SELECT g.bin::BIGINT AS bin, s.lo, s.hi, coalesce(b.c, 0)::BIGINT AS count
 FROM s, (SELECT unnest(range(1, 11)) AS bin) g LEFT JOIN b ON b.bin = g.bin"""
 
-ORACLE["hash_embed"] = f"""WITH {chunks_cte(False)},
+ORACLE["hash_embed"] = f"""WITH {chunks_cte()},
 e AS (SELECT doc_id, chunk_no, {embed('text')} AS v FROM chunks)
 SELECT doc_id, chunk_no::BIGINT AS chunk_no, bucket::BIGINT AS bucket, count::BIGINT AS count
 FROM (SELECT doc_id, chunk_no, unnest(range(len(v))) AS bucket, unnest(v) AS count FROM e)
 WHERE count > 0"""
 
-CONTEXT_CTE = f"""{chunks_cte(False)},
+CONTEXT_CTE = f"""{chunks_cte()},
 c AS (SELECT doc_id * 1000000 + chunk_no AS chunk_id, text, {tok('text')} AS n_tokens, {embed('text')} AS v FROM chunks),
 q AS (SELECT item_id AS question_id, {embed('text')} AS qv FROM benchmark),
 scored AS (SELECT q.question_id, c.chunk_id, c.text, c.n_tokens, {cosine('q.qv', 'c.v')} AS distance FROM q, c),
 run AS (SELECT *, sum(n_tokens + 4) OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, chunk_id
                                          ROWS UNBOUNDED PRECEDING) AS used,
                row_number() OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, chunk_id) AS rn
-        FROM scored)"""
+        FROM scored WHERE distance IS NOT NULL)"""
 
 ORACLE["context"] = f"""WITH {CONTEXT_CTE},
 k AS (SELECT question_id, string_agg(text, chr(10) || chr(10) || '###' || chr(10) || chr(10) ORDER BY rn) AS context,
@@ -134,16 +146,48 @@ FROM q LEFT JOIN k ON k.question_id = q.question_id"""
 
 ORACLE["nearest"] = f"""WITH q AS (SELECT item_id AS question_id, {embed('text')} AS qv FROM benchmark),
 s AS (SELECT q.question_id, e.vec_id, e.label, {cosine('q.qv', 'e.embedding')} AS distance FROM q, embeddings e),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, vec_id) AS rank FROM s WHERE distance IS NOT NULL)
 SELECT question_id, rank::BIGINT AS rank, vec_id, label::BIGINT AS label, round(distance, 6) AS distance
 FROM r WHERE rank <= 5"""
 
 
 # ------------------------------------------------------------------ web
-from ..functions import html as H  # noqa: E402
-from ..functions import urls as U  # noqa: E402
-from ..functions.text import ENTITIES  # noqa: E402
-from ..operators.web import CONTAINER_TAGS, PRINT_TAGS  # noqa: E402
+class U:
+    """Patterns of URLs."""
+
+    SCHEME_RE = r"^([^:/?#]+)://"
+    NETLOC_RE = r"^[^:/?#]+://([^/?#]*)"
+    PATH_RE = r"^[^:/?#]+://[^/?#]*([^?#]*)"
+    ABSOLUTE_RE = r"^http[s]*://."
+    EXT_RE = r"^((?:.*/)?\.*[^/.][^/]*)\.[^/.]*$"
+    PARAMS_RE = r";[^/]*$"
+
+
+class H:
+    """Patterns of markup: well-formed tags without '>' in attributes."""
+
+    WS = r"[ \t\n\r\f]"
+    TAG_RE = r"(?s)</?[a-zA-Z][^>]*>|<![^>]*>"
+    ANCHOR_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>.*?</a" + WS + r"*>"
+    ANCHOR_OPEN_RE = r"(?is)<a(?:" + WS + r"[^>]*)?>"
+    HREF_PRE_RE = r"(?is)^(<a[^>]*?" + WS + r"href" + WS + r"*=" + WS + r"*)"
+    HREF_VALUE_RE = r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*=" + WS + r"""*("[^"]*"|'[^']*'|[^ \t\n\r\f>]+)"""
+    HAS_HREF_RE = r"(?is)^<a[^>]*?" + WS + r"href" + WS + r"*="
+    TITLE_RE = r"(?is)<title[^>]*>(.*?)</title" + WS + r"*>"
+    BODY_RE = r"(?is)<body(?:" + WS + r"[^>]*)?>(.*?)(?:</body" + WS + r"*>|\z)"
+    CLASS_ATTR_RE = r"(?i)" + WS + r"+class" + WS + r"*=" + WS + r"""*(?:"[^"]*"|'[^']*'|[^ \t\n\r\f>]+)"""
+    RAW_TEXT_TAGS = RAW_TEXT_TAGS
+    DROPPED_TAGS = DROPPED_TAGS
+
+
+def removal_re(tags) -> str:
+    """Raw-text elements, comments, then the other elements, in one pass."""
+    def element(t):
+        if t in ("link", "meta"):
+            return rf"<{t}(?:{H.WS}[^>]*)?/?>"
+        return rf"<{t}(?:{H.WS}[^>]*)?/>|<{t}(?:{H.WS}[^>]*)?>.*?</{t}{H.WS}*>"
+    raw = [element(t) for t in tags if t in RAW_TEXT_TAGS]
+    return "(?is)" + "|".join([*raw, "<!--.*?-->", *(element(t) for t in tags if t not in RAW_TEXT_TAGS)])
 
 
 def lit(s: str) -> str:
@@ -191,16 +235,22 @@ def page_key(url: str) -> str:
     return f"(CASE WHEN {path} = '' THEN 'home' ELSE replace({stem2}, '/', '_') END)"
 
 
+#: References that the pages of the fixtures hold, and some more.
+REFERENCES = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'", "nbsp;": "\u00a0", "copy;": "\u00a9", "reg;": "\u00ae",
+              "middot;": "\u00b7", "hellip;": "\u2026", "mdash;": "\u2014", "ndash;": "\u2013", "lsquo;": "\u2018", "rsquo;": "\u2019",
+              "ldquo;": "\u201c", "rdquo;": "\u201d", "trade;": "\u2122", "eacute;": "\u00e9", "rarr;": "\u2192", "amp": "&", "lt": "<",
+              "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7"}
+
+
 def unescape(x: str) -> str:
-    from ..functions.text import _entity_rules
-    cases = " ".join(f"WHEN starts_with(p, {lit(prefix)}) THEN {lit(ch)} || substr(p, {len(prefix) + 1})"
-                     for prefix, ch in _entity_rules())
+    cases = " ".join(f"WHEN starts_with(p, {lit(name)}) THEN {lit(ch)} || substr(p, {len(name) + 1})" for name, ch in REFERENCES.items())
+    number = "WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INTEGER) || regexp_replace(p, '^#[0-9]+;', '')"
     return (f"list_transform([string_split({x}, '&')], lambda ps: ps[1] || array_to_string("
-            f"list_transform(ps[2:], lambda p: CASE {cases} ELSE '&' || p END), ''))[1]")
+            f"list_transform(ps[2:], lambda p: CASE {cases} {number} ELSE '&' || p END), ''))[1]")
 
 
 def remove_elements(x: str, tags=H.DROPPED_TAGS) -> str:
-    return f"regexp_replace({x}, {lit(H.removal_re(tags))}, '', 'g')"
+    return f"regexp_replace({x}, {lit(removal_re(tags))}, '', 'g')"
 
 
 def body(x: str) -> str:
@@ -393,7 +443,8 @@ def sections_cte(docs: str) -> str:
   WHERE p.nxt + 100 < d.n),
 spans AS (
   SELECT sourcefile, (row_number() OVER (PARTITION BY sourcefile ORDER BY i) - 1) AS section_no, a, e
-  FROM steps WHERE emit)"""
+  FROM steps WHERE emit
+  UNION ALL SELECT sourcefile, 0, 0, n FROM {docs} WHERE n BETWEEN 1 AND 100)"""
 
 
 def blob_name(f: str, page: str) -> str:
@@ -491,7 +542,7 @@ SELECT * FROM idx WHERE sourcefile NOT IN (
   SELECT CAST(doc_id AS VARCHAR) || '.txt' FROM labels WHERE toxic = 1)"""
 
 ORACLE["index_lookup"] = f"""WITH RECURSIVE {INDEX}
-SELECT *, (SELECT count(*) FROM idx)::BIGINT AS total_count FROM idx ORDER BY id LIMIT 1000"""
+SELECT *, (SELECT count(*) FROM idx)::BIGINT AS total_count FROM idx"""
 
 ORACLE["index_facets"] = f"""WITH RECURSIVE {INDEX}
 SELECT facet, value, count(*)::BIGINT AS count FROM (
@@ -530,7 +581,7 @@ FROM qc"""
 ORACLE["questions_json"] = """SELECT item_id AS question_id,
        json_extract_string(json_object('query', text), '$.query') AS question FROM benchmark"""
 
-EXPORT = f"""{chunks_cte(False)},
+EXPORT = f"""{chunks_cte()},
 ex AS (SELECT doc_id, chunk_no, text, {tok('text')} AS n_tokens,
               CAST(to_json(list_transform({embed('text')}, lambda v: v::FLOAT)) AS VARCHAR) AS embeddings FROM chunks)"""
 
@@ -547,7 +598,7 @@ SELECT fname AS title, text FROM corpus"""
 
 
 # ------------------------------------------------------------ tag lines
-from ..operators.html_tree import VOID  # noqa: E402
+VOID = "area base br col embed hr img input link meta param source track wbr".split()
 
 TOKEN_RE = r"</?[a-zA-Z][^>]*>|[^<]+|<"
 NAME_RE = r"^</?([a-zA-Z][^\t\n\r\f />]*)"
@@ -596,3 +647,44 @@ lines AS (SELECT page_id, i,
           FROM elem
           WHERE list_contains({PRINT_LIST}, name) AND (name <> 'a' OR regexp_matches(tag, {lit(H.HAS_HREF_RE)})))
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS line_no, line FROM lines"""
+
+
+# --------------------------------------------------------------- layout
+LAYOUT = """li AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS r, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q
+  FROM lineitem),
+cell AS (
+  SELECT k, 0 AS r, 0 AS c, 'columnHeader' AS kind, 'Part <no> & name' AS content, 0 AS p, 0 AS s, 0 AS q FROM (SELECT DISTINCT k FROM li)
+  UNION ALL SELECT k, 0, 1, 'columnHeader', 'Qty', 0, 0, 0 FROM (SELECT DISTINCT k FROM li)
+  UNION ALL SELECT k, r, 0, 'content', CAST(p AS VARCHAR), p, s, q FROM li
+  UNION ALL SELECT k, r, 1, 'content', CAST(q AS VARCHAR), p, s, q FROM li),
+html AS (SELECT k, r, c, p, s, q, CASE WHEN kind = 'columnHeader' THEN 'th' ELSE 'td' END AS tag,
+                replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM cell),
+rows AS (SELECT k, r, string_agg('<' || tag || '>' || text || '</' || tag || '>', '' ORDER BY c, p, s, q) AS cells FROM html GROUP BY k, r),
+every AS (SELECT k, unnest(range(0, max(r) + 1)) AS r FROM li GROUP BY k),
+tab AS (SELECT k, '<table>' || string_agg('<tr>' || coalesce(cells, '') || '</tr>', '' ORDER BY r) || '</table>' AS html
+  FROM every LEFT JOIN rows USING (k, r) GROUP BY k)"""
+
+ORACLE["layout_cells"] = f"""WITH {LAYOUT}
+SELECT 'order-' || CAST(k AS VARCHAR) || '.pdf' AS sourcefile, 0::BIGINT AS table_id, r::BIGINT AS row_index,
+       c::BIGINT AS column_index, kind, content FROM cell"""
+
+ORACLE["table_html"] = f"""WITH {LAYOUT}
+SELECT 'order-' || CAST(k AS VARCHAR) || '.pdf' AS sourcefile, html FROM tab"""
+
+ORACLE["layout_overlay"] = f"""WITH {LAYOUT}
+SELECT 'order-' || CAST(k AS VARCHAR) || '.pdf' AS sourcefile, 0::BIGINT AS page_num,
+       'Order ' || CAST(k AS VARCHAR) || ': ' || html || ' End. ' AS text FROM tab"""
+
+ORACLE["route_pages"] = """WITH t AS (SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'application/pdf'
+       WHEN contains(url, '/es/') THEN 'image/png' ELSE 'text/html; charset=utf-8' END AS content_type FROM pages)
+SELECT page_id, content_type, CASE WHEN content_type = 'application/pdf' THEN 'pdf' ELSE 'html' END AS route
+FROM t WHERE content_type <> 'image/png'"""
+
+ORACLE["frontier_graph"] = """WITH RECURSIVE e AS (
+  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'
+  UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+walk(url, depth) AS (
+  SELECT 's' || s_suppkey, 1 FROM supplier WHERE s_nationkey < 5
+  UNION
+  SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 4)
+SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url"""

@@ -27,8 +27,8 @@ def corpus_df(spark, sf_dir) -> DataFrame:
     return CH.with_token_count(c)
 
 
-def chunk_df(spark, sf_dir, keep_tail: bool = False) -> DataFrame:
-    return CH.chunks(corpus_df(spark, sf_dir), "doc_id", "text", keep_tail=keep_tail)
+def chunk_df(spark, sf_dir, max_tokens: int = CH.MAX_TOKENS) -> DataFrame:
+    return CH.chunks(corpus_df(spark, sf_dir), "doc_id", "text", max_tokens)
 
 
 def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def q_chunks(spark, sf_dir) -> DataFrame:
 
 
 def q_sentence_pack(spark, sf_dir) -> DataFrame:
-    """Chunks with the open tail kept (no text lost)."""
-    return chunk_df(spark, sf_dir, keep_tail=True).select(
+    """Chunks of at most 200 tokens (no text lost)."""
+    return chunk_df(spark, sf_dir, 200).select(
         "doc_id", *_long("chunk_no"), "text", *_long("n_tokens"))
 
 
@@ -386,3 +386,76 @@ def q_csv_roundtrip(spark, sf_dir) -> DataFrame:
 
 
 QUERIES["csv_roundtrip"] = q_csv_roundtrip
+
+
+# ----------------------------------------------------------------- layout
+from ..operators import layout as LA  # noqa: E402
+
+
+def order_layout(spark, sf_dir) -> DataFrame:
+    """A layout result for each order: one page with a sentence, a table of
+    the order's lines (header row, then a row for each line number) and an
+    end mark."""
+    li = S.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("r"), F.col("l_partkey").alias("p"),
+                               F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q")).alias("x"))
+    o = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+
+    def cell(kind, r, c, content):
+        return F.struct(kind.alias("kind"), r.cast("int").alias("row_index"), F.lit(c).alias("column_index"), F.lit(1).alias("row_span"),
+                        F.lit(1).alias("column_span"), content.alias("content"))
+    head = F.array(cell(F.lit("columnHeader"), F.lit(0), 0, F.lit("Part <no> & name")), cell(F.lit("columnHeader"), F.lit(0), 1, F.lit("Qty")))
+    body = F.flatten(F.transform("x", lambda x: F.array(
+        cell(F.lit("content"), x["r"], 1, x["q"].cast("string")), cell(F.lit("content"), x["r"], 0, x["p"].cast("string")))))
+    intro = F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(": "))
+    lines = F.array_join(F.transform("x", lambda x: F.concat_ws(" ", x["p"].cast("string"), x["q"].cast("string"))), "; ")
+    o = o.select("l_orderkey", intro.alias("intro"), lines.alias("lines"), F.concat(head, body).alias("cells"),
+                 (F.array_max(F.transform("x", lambda x: x["r"])) + 1).alias("row_count"))
+    content = F.concat("intro", "lines", F.lit(" End."))
+    table = F.struct(F.lit(1).alias("page_number"), F.col("row_count"), F.col("cells"), F.array(F.struct(
+        F.length("intro").alias("offset"), F.length("lines").alias("length"))).alias("spans"))
+    return o.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".pdf")).alias("sourcefile"),
+                    content.alias("content"), F.array(table).alias("tables"),
+                    F.array(F.struct(F.lit(0).alias("page_num"), F.lit(0).alias("offset"), F.length(content).alias("length"))).alias("pages"))
+
+
+def q_layout_cells(spark, sf_dir) -> DataFrame:
+    c = LA.layout_cells(order_layout(spark, sf_dir))
+    return c.select("sourcefile", *_long("table_id", "row_index", "column_index"), "kind", "content")
+
+
+def q_table_html(spark, sf_dir) -> DataFrame:
+    t = order_layout(spark, sf_dir).select("sourcefile", F.explode("tables").alias("t"))
+    return t.select("sourcefile", LA.table_html(F.col("t.row_count"), F.col("t.cells")).alias("html"))
+
+
+def q_layout_overlay(spark, sf_dir) -> DataFrame:
+    return LA.overlay_pages(order_layout(spark, sf_dir)).select("sourcefile", *_long("page_num"), "text")
+
+
+def q_route_pages(spark, sf_dir) -> DataFrame:
+    """Pages routed by a content type that their URL stands for."""
+    kind = (F.when(F.col("url").contains("/de/"), "application/pdf").when(F.col("url").contains("/es/"), "image/png")
+            .otherwise("text/html; charset=utf-8"))
+    return W.route_pages(S.pages(spark, sf_dir).select("page_id", kind.alias("content_type"))).select("page_id", "content_type", "route")
+
+
+def q_frontier_graph(spark, sf_dir) -> DataFrame:
+    """Breadth-first frontier to depth 4 over the supplier-part graph of the
+    returned lines, from the suppliers of the first five nations."""
+    li = S.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    edges = li.select(s.alias("src"), p.alias("dst")).union(li.select(p, s)).distinct()
+    seeds = (S.table(spark, sf_dir, "supplier").filter("s_nationkey < 5")
+             .select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("url")))
+    return FR.expand(seeds, edges, 4).select("url", *_long("depth"))
+
+
+QUERIES.update({
+    "layout_cells": q_layout_cells,
+    "table_html": q_table_html,
+    "layout_overlay": q_layout_overlay,
+    "route_pages": q_route_pages,
+    "frontier_graph": q_frontier_graph,
+})

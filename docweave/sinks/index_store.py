@@ -82,11 +82,13 @@ def _rewrite(spark, path, buckets, rows: DataFrame, touched: DataFrame) -> None:
     """Replace the touched partitions by ``rows`` (which hold every row
     those partitions keep). Partitions left empty are deleted."""
     col = _part(buckets)
-    staged = _with_bucket(rows, buckets).checkpoint()       # materialised away from the table
-    emptied = touched.select(col).distinct().join(staged.select(col).distinct(), col, "left_anti")
-    _drop_partitions(spark, path, buckets, emptied)
+    staged = _with_bucket(rows, buckets).checkpoint()       # both materialised away from the table
+    touched = touched.select(col).distinct().checkpoint()
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(col).parquet(path))
+    # only after the write: a failure in between leaves rows twice at most, never none
+    emptied = touched.join(staged.select(col).distinct(), col, "left_anti")
+    _drop_partitions(spark, path, buckets, emptied)
 
 
 def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -101,7 +103,7 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: in
     touched = _with_bucket(inc.select("sourcefile").union(moved).distinct(), buckets).select(col).distinct()
     existing = raw.join(touched, col, "left_semi").select(*IX.INDEX_FIELDS)
     _rewrite(spark, path, buckets, IX.upsert(existing, inc), touched)
-    return IX.upsert_report(incoming)
+    return IX.upsert_report(incoming, read(spark, path, buckets))
 
 
 def delete_from(spark: SparkSession, path: str, files: DataFrame | None = None,

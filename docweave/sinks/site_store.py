@@ -68,5 +68,5 @@ def remove_blobs(spark: SparkSession, path: str, files: DataFrame | None = None)
 
 def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:
     """Answer sink: (question_id, question, prompt, answer) rows."""
-    cols = [c for c in ("question_id", "question", "context", "prompt", "answer") if c in answers.columns]
+    cols = [c for c in ("question_id", "question", "context", "prompt", "answer", "answer_error") if c in answers.columns]
     answers.select(*cols).write.mode(mode).parquet(path)

@@ -46,7 +46,7 @@ def answer_stream(spark: SparkSession, source_dir: str, chunks: DataFrame, sink_
     def run(batch: DataFrame, batch_id: int) -> None:
         # unique ids per question row (equal questions stay separate);
         # persisted so every action of this batch sees the same ids
-        b = batch.select((F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id())
+        b = batch.select(F.concat_ws("-", F.lit(batch_id).cast("string"), F.monotonically_increasing_id().cast("string"))
                          .alias("question_id"), "question").persist()
         try:
             out = answer_batch(b, chunks, embedder, complete_fn)
@@ -84,12 +84,14 @@ def page_text_stream(spark: SparkSession, source_dir: str, sink_path: str, check
 
 def section_index_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str,
                          doc_schema: str = "sourcefile string, text string, category string",
-                         trigger_once: bool = False):
+                         trigger_once: bool = False, buckets: int | None = 256):
+    """The index table is bucketed by a hash of the file name (``buckets``
+    folders); None makes a folder for each source file."""
     docs = spark.readStream.schema(doc_schema).parquet(source_dir)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         secs = SE.sections(batch, category="category" if "category" in batch.columns else None)
-        index_store.upsert_into(spark, index_path, secs)
+        index_store.upsert_into(spark, index_path, secs, buckets=buckets)
 
     w = docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if trigger_once:

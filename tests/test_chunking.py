@@ -3,9 +3,26 @@ from pyspark.sql import functions as F
 from docweave.operators import chunking as CH
 
 
-def pack(spark, text, max_tokens, keep_tail=False):
+def pack(spark, text, max_tokens, lossless=False, keep_tail=False):
     df = spark.createDataFrame([(text,)], "t string")
-    return df.select(CH.pack_sentences(F.col("t"), max_tokens, keep_tail).alias("c")).first()["c"]
+    return df.select(CH.pack_sentences(F.col("t"), max_tokens, lossless, keep_tail=keep_tail).alias("c")).first()["c"]
+
+
+def test_no_text_is_lost_by_default(spark):
+    import re
+    texts = ["a b c d e f. g. h i", ". ".join(["w"] * 10), "x " * 700 + ". y", "12345678 " * 40, "", ". . ", "no end " * 9,
+             "  lead. " + "long\t\nword " * 90 + " . tail "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    for r in df.select("t", CH.pack_sentences(F.col("t"), 20).alias("c")).collect():
+        assert re.sub(r"[\s.]", "", "".join(r["c"])) == re.sub(r"[\s.]", "", r["t"])
+        assert "." not in r["c"] or not r["t"].strip(". ")
+    whole = CH.chunks(df.withColumnRenamed("t", "text"), max_tokens=20)
+    assert whole.agg(F.max("n_tokens")).first()[0] <= 21
+    assert whole.select("doc_id").distinct().count() == len(texts)
+
+
+def test_oversize_sentence_is_cut_by_tokens(spark):
+    assert pack(spark, "a. b c d e f g. h", 4, lossless=True) == ["a.", "b c d", " e f g", "h."]
 
 
 def test_oversize_first_sentence_exact_limit_and_tail(spark):
@@ -14,7 +31,7 @@ def test_oversize_first_sentence_exact_limit_and_tail(spark):
     assert pack(spark, text, 4, keep_tail=True) == [".", "g. h i."]   # 0+1, then 2+2 == 4 fits
 
 
-def test_long_text_tail_lost_by_default(spark):
+def test_long_text_tail_lost_if_asked_for(spark):
     text = ". ".join(["w"] * 10)          # ten sentences of cost 1, each takes 2
     assert pack(spark, text, 5) == ["w. w. w.", "w. w. w.", "w. w. w."]
     assert pack(spark, text, 5, keep_tail=True) == ["w. w. w.", "w. w. w.", "w. w. w.", "w."]
@@ -23,7 +40,7 @@ def test_long_text_tail_lost_by_default(spark):
 def test_chunks_threshold_and_nulls(spark):
     docs = spark.createDataFrame([(1, "short text"), (2, ". ".join(["word"] * 12)), (3, None)],
                                  "doc_id long, text string")
-    out = CH.chunks(docs, max_tokens=6).orderBy("doc_id", "chunk_no").collect()
+    out = CH.chunks(docs, max_tokens=6, lossless=False).orderBy("doc_id", "chunk_no").collect()
     got = [(r["doc_id"], r["chunk_no"], r["text"]) for r in out]
     assert got[0] == (1, 0, "short text")
     # each kept sentence costs 1 + 1: three per chunk, the open tail is lost

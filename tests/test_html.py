@@ -115,3 +115,43 @@ def test_href_attribute_name_is_exact(spark):
     assert got == ["https://h.com/bare", "https://h.com/yes"]
     simp = W.simplify_pages(pages(spark, html)).first()["html"]
     assert 'data-href="/no" href="https://h.com/yes"' in simp and 'href="https://h.com/bare"' in simp
+
+
+def test_quoted_attributes_and_nested_elements(spark):
+    from docweave.functions import html as H
+    from docweave.operators import web as W
+    body = ('<body><a title="a > b" href="/real">x</a> Set the class = 5 apples <p class="k">p</p>'
+            '<svg><svg><text>in</text></svg><text>LEAK</text></svg>tail<form><button>b</button>GONE</form>end<svg>open</body>')
+    html = f"<html><title>t</title>{body}</html>"
+    df = spark.createDataFrame([(1, "https://s.com/a", html)], "page_id long, url string, html string")
+    assert [r["link"] for r in W.page_links(df).collect()] == ["https://s.com/real"]
+    text = W.page_texts(df).first()["text"]
+    assert "LEAK" not in text and "GONE" not in text and 'b" href' not in text
+    assert "class = 5 apples" in text and "tail" in text and text.endswith("endopen")
+    simple = W.simplify_pages(df).first()["html"]
+    assert "class = 5 apples" in simple and "<p>p</p>" in simple and 'class="k"' not in simple
+    assert df.select(H.hrefs("html").alias("h")).first()["h"] == ["/real"]
+
+
+def test_legacy_links_skip_scripts_and_comments(spark):
+    from docweave.operators import web as W
+    html = "<a href='/one'>1</a><script>x='<a href=/inscript>'</script><!-- <a href='/incomment'> -->"
+    df = spark.createDataFrame([(1, "https://s.com/a", html)], "page_id long, url string, html string")
+    assert [r["link"] for r in W.page_links_legacy(df).collect()] == ["https://s.com/one"]
+
+
+def test_every_kind_of_reference(spark):
+    import html
+    from docweave.functions import text as TX
+    texts = ["caf&eacute; it&#8217;s &rarr; &#x2019;", "&amp;amp; &amp &#39; &#x27;", "&#128; &#0; &#xD800; &#99999999999; &#x110000;",
+             "&nosuch; & &; &#; &#x;", "&notin; &NotEqualTilde; &#128512;", "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in df.select("t", TX.html_unescape("t").alias("u")).collect():
+        assert r["u"] == html.unescape(r["t"])
+
+
+def test_lines_of_pages_without_lines(spark):
+    from docweave.operators import html_tree as HT
+    df = spark.createDataFrame([(1, ""), (2, "<div>x</div>"), (3, None)], "page_id long, html string").repartition(3)
+    assert HT.tag_lines(df).collect() == []
+    assert HT.element_lines("<p>a<b></p>c</b></div><p>d") == ["a", "d"]

@@ -118,3 +118,13 @@ def test_sanitised_id_collision_last_upload_wins(spark):
     assert secs.select("id").distinct().count() == 1          # both are a_b_txt-0
     merged = IX.upsert(idx(spark, []), secs).collect()
     assert [(r["id"], r["sourcefile"]) for r in merged] == [("a_b_txt-0", "a_b.txt")]
+
+
+def test_lookup_pages_reach_every_row(spark):
+    rows = [(f"id{i:02d}", "c", None, "p", "f") for i in range(7)]
+    index = spark.createDataFrame(rows, "id string, content string, category string, sourcepage string, sourcefile string")
+    assert IX.lookup(index).count() == 7
+    seen, after = [], None
+    while page := [r["id"] for r in IX.lookup(index, top=3, after=after).collect()]:
+        seen, after = seen + page, page[-1]
+    assert seen == [r[0] for r in rows]

@@ -28,12 +28,11 @@ def test_first_chunk_over_budget_gives_empty_context(spark):
     assert ctx(spark, 13)[7] == ("", 0)
 
 
-def test_zero_vectors_are_at_distance_zero(spark):
-    # an undefined cosine (zero vector) is clamped to 0: it ranks with the
-    # best matches, ties broken by chunk id
+def test_zero_vectors_are_left_out(spark):
+    # an undefined cosine is no distance: the chunk is no match, the question has none
     got = ctx(spark, 100)
-    assert got[7] == ("t1\n\n###\n\nt2\n\n###\n\nt4\n\n###\n\nt3", 42)
-    assert got[8][0] == "t1\n\n###\n\nt2\n\n###\n\nt3\n\n###\n\nt4"
+    assert got[7] == ("t1\n\n###\n\nt2\n\n###\n\nt3", 37)
+    assert got[8] == ("", 0)
 
 
 def test_distance_values(spark):
@@ -49,7 +48,7 @@ def test_nearest_topk(spark):
     c, q = frames(spark)
     got = [(r["question_id"], r["rank"], r["chunk_id"]) for r in
            R.nearest(c, q, k=2).orderBy("question_id", "rank").collect()]
-    assert got == [(7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 2)]
+    assert got == [(7, 1, 1), (7, 2, 2)]
 
 
 def test_question_batches_beyond_broadcast_bound(spark):
@@ -77,6 +76,24 @@ def test_prompts_and_answers(spark):
     assert PR.answer(PR.completion_prompt(df)).first()["answer"] == ""
 
 
+def test_one_failing_prompt_of_eight(spark):
+    df = spark.createDataFrame([(i, f"q{i}", "c") for i in range(8)], "question_id long, question string, context string").coalesce(1)
+
+    def fn(prompts):
+        if any("q3" in p for p in prompts):
+            raise RuntimeError("refused")
+        return [p[-12:-8] for p in prompts]
+    got = {r["question_id"]: r for r in PR.answer(PR.completion_prompt(df), fn).collect()}
+    assert [i for i, r in got.items() if r["answer"] == ""] == [3]
+    assert got[3]["answer_error"] == "RuntimeError: refused" and got[4]["answer_error"] is None
+
+    def chat(calls):
+        return [f"{m[1]['content']}/{m[0]['role']}/{s['temperature']}" for m, s in calls]
+    said = {r["question_id"]: r["answer"] for r in
+            PR.answer(PR.chat_prompt(df), chat, prompt_col="messages", with_settings=True).collect()}
+    assert said[5] == "Question: q5/system/0.2"
+
+
 def test_question_blocks_inside_a_batch(spark):
     c, q = frames(spark)
     a = sorted((r["question_id"], r["context"]) for r in R.build_context(c, q, max_len=30).collect())
@@ -86,12 +103,12 @@ def test_question_blocks_inside_a_batch(spark):
     assert a == b
 
 
-def test_missing_embedding_is_a_zero_vector(spark):
+def test_missing_embedding_is_no_match(spark):
     c = spark.createDataFrame([(1, "a", 1, [1.0, 0.0]), (2, "b", 1, None)],
                               "chunk_id long, text string, n_tokens int, embedding array<float>")
     q = spark.createDataFrame([(7, [0.0, 1.0])], "question_id long, q_embedding array<float>")
     got = [(r["chunk_id"], r["distance"]) for r in R.nearest(c, q, k=2).orderBy("rank").collect()]
-    assert got == [(2, 0.0), (1, 1.0)]
+    assert got == [(1, 1.0)]
 
 
 def test_context_equals_brute_force_on_fixture(spark):
@@ -110,8 +127,8 @@ def test_context_equals_brute_force_on_fixture(spark):
         q = np.asarray(r["q_embedding"], dtype=np.float64)
         den = np.sqrt((emb * emb).sum(1) * (q @ q))
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(den == 0, 0.0, np.minimum(np.abs(1 - emb @ q / den), 2.0))
-        order = np.lexsort((c["chunk_id"].to_numpy(), d))
+            d = np.where(den == 0, np.inf, np.minimum(np.abs(1 - emb @ q / den), 2.0))
+        order = [i for i in np.lexsort((c["chunk_id"].to_numpy(), d)) if den[i] > 0]
         used, kept = 0, []
         for i in order:                                   # the reference loop
             used += int(c["n_tokens"].iloc[i]) + 4
