@@ -3,7 +3,10 @@ deterministic offline hashing embedder."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,14 +55,17 @@ def token_buckets(text, dim: int = EMBED_DIM) -> Column:
 
 def hash_embed(text, dim: int = EMBED_DIM) -> Column:
     """ARRAY<FLOAT> of ``dim`` word-bucket counts (a bag of hashed words).
-    Deterministic, offline, JVM-side; equal in any engine with md5."""
-    # bind the bucket array once (a one-element transform acts as "let"),
-    # then count each bucket with the native array_remove
-    def counts(b):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("float"))
-
-    return F.element_at(F.transform(F.array(token_buckets(text, dim)), counts), 1)
+    Deterministic and offline; equal in any engine with md5. Words are hashed
+    JVM-side; the buckets of a whole Arrow batch are counted in one step."""
+    @F.arrow_udf("array<float>")
+    def counts(buckets: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cell = np.repeat(np.arange(len(buckets)) * dim, size) + buckets.flatten().to_numpy(zero_copy_only=False)
+        total = np.bincount(cell.astype(np.int64), minlength=len(buckets) * dim).astype(np.float32)
+        ends = np.arange(len(buckets) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(total), mask=buckets.is_null())
+
+    return counts(token_buckets(text, dim))
 
 
 def udf_embedder(embed_fn, dim: int | None = None):

@@ -17,13 +17,16 @@ TERM_PATTERN = r"\p{L}+|\p{N}+"
 
 def dedup_incoming(incoming: DataFrame, order_cols=("sourcefile", "section_no")) -> DataFrame:
     """One row per id inside a batch: the one uploaded last wins
-    (largest ``order_cols``). Partial aggregation per id."""
+    (largest ``order_cols``)."""
     cols = [c for c in order_cols if c in incoming.columns]
     if not cols:
         return incoming.dropDuplicates(["id"])
+    # only the contents of repeated ids go through the aggregate
+    again = incoming.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id")
     packed = F.struct(*[F.col(c) for c in incoming.columns])
-    win = incoming.groupBy("id").agg(F.max_by(packed, F.struct(*cols)).alias("w"))
-    return win.select(*[F.col(f"w.{c}").alias(c) for c in incoming.columns])
+    win = incoming.join(again, "id", "left_semi").groupBy("id").agg(F.max_by(packed, F.struct(*cols)).alias("w"))
+    return (incoming.join(again, "id", "left_anti")
+            .unionByName(win.select(*[F.col(f"w.{c}").alias(c) for c in incoming.columns])))
 
 
 def upsert(index: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -88,42 +88,65 @@ def _topk_block(key, dist, cid, tok, qids, cap, budget):
     return r, c
 
 
+HELD_ROWS = 50_000          # candidates that a task keeps before it hands them on
+
+
+def _best(rows, cap, budget):
+    """The rows of each question (``_q``) that can still matter, best first."""
+    order = np.lexsort((rows["chunk_id"].to_numpy(), rows["distance"].to_numpy(), rows["_q"].to_numpy()))
+    rows = rows.iloc[order]
+    q = rows["_q"].to_numpy()
+    first = np.searchsorted(q, q)
+    keep = np.ones(len(q), bool)
+    if cap is not None:
+        keep &= np.arange(len(q)) - first < cap
+    if budget is not None:
+        cost = rows[budget[2]].to_numpy(dtype=np.float64) + budget[1]
+        before = np.cumsum(cost) - cost
+        keep &= before - before[first] <= budget[0]
+    return rows[keep]
+
+
 def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELLS):
-    """Score one Arrow batch of chunks against the broadcast question
+    """Score Arrow batches of chunks against the broadcast question
     matrix (one matmul per block of questions, the block sized so the
-    distance matrix stays within ``BLOCK_CELLS``) and keep each
-    question's best ``cap`` rows of the batch by (distance, chunk_id).
+    distance matrix stays within ``BLOCK_CELLS``). A task keeps each
+    question's best ``cap`` rows by (distance, chunk_id) over all its
+    batches, so what it hands on does not grow with the batches.
     Distances are clamped to [0, 2]. A missing or zero vector has no
     distance to anything: it is left out."""
+    import pandas as pd
     qids, qmat = bq.value
     qsq = np.einsum("ij,ij->i", qmat, qmat)
+    held = None
+
+    def handed_on(rows):
+        return rows.assign(question_id=qids[rows["_q"].to_numpy()])[[*payload, "question_id", "distance"]].reset_index(drop=True)
+
     for pdf in batches:
-        if len(pdf) == 0 or len(qids) == 0:
-            continue
         pdf = pdf[[v is not None and bool(np.any(v)) for v in pdf["embedding"]]]
-        if len(pdf) == 0:
+        if len(pdf) == 0 or len(qids) == 0:
             continue
         emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
         csq = np.einsum("ij,ij->i", emb, emb)
         cid = pdf["chunk_id"].to_numpy()
         tok = pdf[budget[2]].to_numpy(dtype=np.float64) if budget is not None else None
         step = max(1, block_cells // len(pdf))
+        parts = [] if held is None else [held]
         for q0 in range(0, len(qids), step):
             q1 = min(len(qids), q0 + step)
             dots = emb @ qmat[q0:q1].T                       # n x block
-            den = np.sqrt(csq[:, None] * qsq[None, q0:q1])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.minimum(np.abs(1.0 - dots / den), 2.0)
-            key = dist
-            r, c = _topk_block(key, dist, cid, tok, qids, cap,
-                               None if budget is None else budget[:2])
-            if len(r) == 0:
-                continue
-            out = pdf[payload].iloc[r].reset_index(drop=True)
-            d = dist[r, c]
-            out["question_id"] = qids[q0:q1][c]
-            out["distance"] = d
-            yield out
+            dist = np.minimum(np.abs(1.0 - dots / np.sqrt(csq[:, None] * qsq[None, q0:q1])), 2.0)
+            r, c = _topk_block(dist, dist, cid, tok, qids, cap, None if budget is None else budget[:2])
+            if len(r):
+                parts.append(pdf[payload].iloc[r].assign(distance=dist[r, c], _q=q0 + c))
+        if parts:
+            held = _best(pd.concat(parts, ignore_index=True), cap, budget)
+            if len(held) > HELD_ROWS:
+                yield handed_on(held)
+                held = None
+    if held is not None:
+        yield handed_on(held)
 
 
 def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROADCAST_QUESTIONS,

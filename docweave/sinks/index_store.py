@@ -1,8 +1,8 @@
 """Section index on storage: a parquet table partitioned by
-``sourcefile`` (filterable field -> partition pruning on lookups), or,
-with ``buckets=N``, by ``file_bucket = pmod(xxhash64(sourcefile), N)``
-so that millions of source files do not become millions of partition
-folders. Pass the same ``buckets`` value for a table on every call.
+``file_bucket = pmod(xxhash64(sourcefile), buckets)``, so that millions of
+source files do not become millions of partition folders, or, with
+``buckets=None``, by ``sourcefile`` (a folder each, for small sites). Pass the
+same ``buckets`` value for a table on every call.
 
 * ``create``: make the table if absent, with the fixed schema.
 * ``upsert_into``: merge by id, rewriting only the touched partitions
@@ -23,6 +23,7 @@ from ..operators import index as IX
 from ..session import ensure_checkpoint_dir
 
 BUCKET_COL = "file_bucket"
+BUCKETS = 256
 
 
 def _fs(spark: SparkSession, path: str):
@@ -54,7 +55,7 @@ def _with_bucket(df: DataFrame, buckets):
     return df.withColumn(BUCKET_COL, bucket_of(F.col("sourcefile"), buckets)) if buckets else df
 
 
-def create(spark: SparkSession, path: str, buckets: int | None = None) -> None:
+def create(spark: SparkSession, path: str, buckets: int | None = BUCKETS) -> None:
     if not exists(spark, path):
         (spark.createDataFrame([], _schema(buckets)).write.mode("errorifexists")
               .partitionBy(_part(buckets)).parquet(path))
@@ -64,7 +65,7 @@ def _raw(spark, path, buckets):
     return spark.read.schema(_schema(buckets)).parquet(path)
 
 
-def read(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, buckets: int | None = BUCKETS) -> DataFrame:
     return _raw(spark, path, buckets).select(*IX.INDEX_FIELDS)
 
 
@@ -91,7 +92,7 @@ def _rewrite(spark, path, buckets, rows: DataFrame, touched: DataFrame) -> None:
     _drop_partitions(spark, path, buckets, emptied)
 
 
-def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | None = None) -> DataFrame:
+def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: int | None = BUCKETS) -> DataFrame:
     """Upsert ``incoming`` sections; returns the per-file report
     (sent, succeeded) of this batch."""
     create(spark, path, buckets)
@@ -107,7 +108,7 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: in
 
 
 def delete_from(spark: SparkSession, path: str, files: DataFrame | None = None,
-                buckets: int | None = None) -> int:
+                buckets: int | None = BUCKETS) -> int:
     """Delete the rows of the given source files (matched by base name),
     or all rows. Returns the number of storage files removed or rewritten."""
     if not exists(spark, path):

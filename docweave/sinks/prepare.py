@@ -15,7 +15,7 @@ from . import index_store, site_store
 def prepare_documents(spark: SparkSession, mode: str, index_path: str, blobs_path: str | None = None,
                       pages: DataFrame | None = None, files: DataFrame | None = None,
                       category: str | None = None, skip_blobs: bool = False,
-                      buckets: int | None = None) -> DataFrame | None:
+                      buckets: int | None = index_store.BUCKETS) -> DataFrame | None:
     """``pages``: (sourcefile, page_num, text) of the files to add;
     ``files``: (sourcefile) of the files to remove. Returns the upload
     report for ``add``."""

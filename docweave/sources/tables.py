@@ -16,12 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SPREAD_BYTES = 256 << 20     # larger inputs have splits enough
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the scan yields fewer partitions
-    than the cluster can run at once (e.g. one large row group). On a
-    large input the scan already has thousands of splits and this is a
-    no-op, so no extra shuffle is added at scale."""
+    than the cluster can run at once (e.g. one large row group), and the
+    input is at most ``SPREAD_BYTES``: larger texts are never moved for it."""
     try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > SPREAD_BYTES:
+            return df
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # no RDD view (e.g. a remote session): leave the scan as it is

@@ -84,7 +84,7 @@ def page_text_stream(spark: SparkSession, source_dir: str, sink_path: str, check
 
 def section_index_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str,
                          doc_schema: str = "sourcefile string, text string, category string",
-                         trigger_once: bool = False, buckets: int | None = 256):
+                         trigger_once: bool = False, buckets: int | None = index_store.BUCKETS):
     """The index table is bucketed by a hash of the file name (``buckets``
     folders); None makes a folder for each source file."""
     docs = spark.readStream.schema(doc_schema).parquet(source_dir)

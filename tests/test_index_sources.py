@@ -55,16 +55,16 @@ def test_page_blobs_and_removal(spark):
 
 def test_index_store_upsert_and_delete(spark, tmp):
     path = os.path.join(tmp, "index")
-    ST.upsert_into(spark, path, idx(spark))
-    rep = ST.upsert_into(spark, path, idx(spark, [("a_txt-1", "beta v2", "new", "a.txt", "a.txt")]))
+    ST.upsert_into(spark, path, idx(spark), buckets=None)
+    rep = ST.upsert_into(spark, path, idx(spark, [("a_txt-1", "beta v2", "new", "a.txt", "a.txt")]), buckets=None)
     assert {r["sourcefile"]: r["succeeded"] for r in rep.collect()} == {"a.txt": 1}
-    got = {r["id"]: r["content"] for r in ST.read(spark, path).collect()}
+    got = {r["id"]: r["content"] for r in ST.read(spark, path, buckets=None).collect()}
     assert got == {"a_txt-0": "alpha beta", "a_txt-1": "beta v2", "b_pdf-0": "gamma 12"}
-    n = ST.delete_from(spark, path, spark.createDataFrame([("b.pdf",)], "sourcefile string"))
+    n = ST.delete_from(spark, path, spark.createDataFrame([("b.pdf",)], "sourcefile string"), buckets=None)
     assert n >= 1
-    assert sorted(r["id"] for r in ST.read(spark, path).collect()) == ["a_txt-0", "a_txt-1"]
-    ST.delete_from(spark, path)
-    assert ST.read(spark, path).count() == 0
+    assert sorted(r["id"] for r in ST.read(spark, path, buckets=None).collect()) == ["a_txt-0", "a_txt-1"]
+    ST.delete_from(spark, path, buckets=None)
+    assert ST.read(spark, path, buckets=None).count() == 0
 
 
 def test_text_folder_and_csv_roundtrip(spark, tmp):
