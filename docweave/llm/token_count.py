@@ -8,7 +8,8 @@ through the library, and their counts are kept in a bounded memo.
 
 SentencePiece (``.model``): a space is the character U+2581, one is put in
 front of the text, and no vocabulary string has U+2581 after another
-character or holds a line feed (checked when the model is loaded). So a run of spaces
+character or holds a line feed (checked when the model is loaded; texts of another model are counted whole).
+So a run of spaces
 with the word after it is one pre-token, and a line feed with the characters
 after it is another.
 
@@ -106,7 +107,9 @@ class Counter:
 @functools.lru_cache(maxsize=2)
 def _counter(path: str):
     if path.endswith(".model"):
-        return Counter(path).count
+        if separable(path):
+            return Counter(path).count
+        return lambda texts: [len(ids) for ids in _model(path).encode(texts, num_threads=1)]
     from docweave.llm.token_ids import Encoder
     enc = Encoder(path)
     return lambda texts: enc.encode(pa.array(texts, pa.large_string()))[1].tolist()
