@@ -37,7 +37,7 @@ WIDTH = 20
 ORDER = 3
 BINS = 1 << 16
 HOT = 8
-FLUSH = 16 << 20
+FLUSH = 48 << 20
 RUN = 256
 LEVEL = 6
 _LAST = (1 << 63) - 1
