@@ -14,10 +14,20 @@ added to each weight and the k largest stay, which samples k documents without
 replacement in proportion to their weights. k is the number of documents with
 a weight of at least the cut that best tells the clean from the low-quality
 documents of the sample's other half.
+
+A mean over a document hides a few harmful words, so harm has a ratio of its
+own, toxic to other labelled documents of the sample, over 64-bit n-grams
+(no buckets, so no collisions): an n-gram that toxic documents hold and others
+hardly do is marked. A document's harm is the sum of the log ratios of its
+marked n-grams; where that puts the odds of being toxic at ``HARM_ODDS`` or
+more, ``LENGTH`` times the harm comes off the weight, whatever the document's
+length. Toxic documents with the same least n-gram (copies) count once. A mark
+needs a share of toxic documents of ``PURE`` and odds against chance of ``ODDS``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +43,13 @@ LENGTH = 256
 SMOOTH = 1.0
 #: Bound on the labelled rows that are used (those with the least id hashes).
 LABELLED = 20_000
+PURE = 0.9
+ODDS = 1e7
+HARM_ODDS = 100
 
 
 def _features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Blocks of texts: first, end and, flat, the buckets with their text."""
+    """Blocks of texts: first, end and, flat, the n-gram hashes with their text."""
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -49,17 +62,20 @@ def _features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
         doc = np.searchsorted(at, starts, "right") - 1
         pair = gram_hashes(h, 2)
         same = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
-        mask = np.uint64(BUCKETS - 1)
-        bucket = (np.concatenate((h, pair[same])) & mask).astype(np.int64)
-        yield i, j, bucket, np.concatenate((doc, doc[:-1][same] if len(doc) else doc))
+        yield i, j, np.concatenate((h, pair[same])), np.concatenate((doc, doc[:-1][same] if len(doc) else doc))
         i = j
 
 
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         texts, is_target = text_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for i, j, bucket, doc in _features(texts):
+        for i, j, grams, doc in _features(texts):
+            bucket = _bucket(grams)
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[is_target[i:j].astype(bool)[doc]], minlength=BUCKETS)
     own = np.flatnonzero(raw)
@@ -97,17 +113,92 @@ def log_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_c
     return model[0] - model[1]
 
 
-def _weight_udf(ratio: np.ndarray):
+def _doc_grams(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Distinct n-grams of each text, as signed 64-bit numbers in ascending order."""
+    for i, j, grams, doc in _features(texts):
+        order = np.argsort(doc, kind="stable")
+        for own in np.split(grams.view(np.int64)[order], np.cumsum(np.bincount(doc, minlength=j - i))[:-1]):
+            yield np.unique(own)
+
+
+def _toxic_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for own in _doc_grams(text_bytes(batch.column(0))):
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), own[0]))], ["gram", "least"])
+
+
+def _holders(candidates: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            for own in _doc_grams(text_bytes(batch.column(0))):
+                at = np.searchsorted(candidates, own)
+                at[at == len(candidates)] = 0
+                n[at[candidates[at] == own]] += 1
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(candidates[held]), pa.array(n[held])], ["gram", "n"])
+    return count
+
+
+def chance_odds(toxic: int, other: int, share: float) -> float:
+    """Log odds against chance that ``toxic`` of ``toxic + other`` holders are
+    toxic, where a share ``share`` of all documents is."""
+    ways = math.lgamma(toxic + other + 1) - math.lgamma(toxic + 1) - math.lgamma(other + 1)
+    return -toxic * math.log(share) - ways
+
+
+def harm_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Marked n-grams in ascending order, the log ratio of each, and the harm
+    from which on a document's odds are ``HARM_ODDS``. What comes
+    to the driver are n-grams of at least ``least`` labelled toxic documents:
+    their number is bounded by the sample, not by the corpus."""
+    labelled = stage(_keyed(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
+    toxic, other = labelled.filter("toxic = 1").select("text"), labelled.filter("toxic = 0").select("text")
+    n_toxic, n_other = toxic.count(), other.count()
+    none = np.zeros(0, np.int64), np.zeros(0), 0.0
+    if not n_toxic or not n_other:
+        return none
+    share = n_toxic / (n_toxic + n_other)
+    least = math.ceil(math.log(ODDS) / -math.log(share))
+    held = (toxic.mapInArrow(_toxic_grams, "gram long, least long").groupBy("gram").agg(F.count_distinct("least").alias("n"))
+            .filter(F.col("n") >= least).collect())
+    if not held:
+        return none
+    by_toxic = {r["gram"]: r["n"] for r in held}
+    by_other = {r["gram"]: r["n"] for r in other.mapInArrow(_holders(np.array(sorted(by_toxic), np.int64)), "gram long, n long")
+                .groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    marked = {}
+    for gram, a in by_toxic.items():
+        b = by_other.get(gram, 0)
+        if a >= PURE * (a + b) and chance_odds(a, b, share) >= math.log(ODDS):
+            marked[gram] = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_other + 1))
+    grams = sorted(marked)
+    prior = math.log(n_toxic / n_other)
+    return np.array(grams, np.int64), np.array([marked[g] for g in grams]), math.log(HARM_ODDS) - prior
+
+
+def _weight_udf(ratio: np.ndarray, marked: np.ndarray, harm: np.ndarray, least: float):
     table = ratio.astype(np.float32)
+    maybe = np.zeros(BUCKETS, bool)
+    maybe[_bucket(marked.view(np.uint64))] = True
 
     @F.arrow_udf("double")
     def weight(text: pa.Array) -> pa.Array:
         texts = text_bytes(text)
         out = np.zeros(len(texts))
-        for i, j, bucket, doc in _features(texts):
+        for i, j, grams, doc in _features(texts):
+            bucket = _bucket(grams)
             n = np.bincount(doc, minlength=j - i)
             total = np.bincount(doc, weights=table[bucket], minlength=j - i)
             out[i:j] = LENGTH * total / np.maximum(n, 1)
+            if len(marked):
+                seen = np.flatnonzero(maybe[bucket])
+                own = grams[seen].view(np.int64)
+                at = np.minimum(np.searchsorted(marked, own), len(marked) - 1)
+                hit = marked[at] == own
+                total = np.bincount(doc[seen[hit]], weights=harm[at[hit]], minlength=j - i)
+                out[i:j] -= LENGTH * np.where(total >= least, total, 0)
         return pa.array(out)
     return weight
 
@@ -152,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Scores of all documents (staged: ``doc_id, row_key, log_weight,
     sample_key``), a function of (docs) that adds them, and the key from which on rows stay."""
     sample = stage(labelled_sample(labels))
-    weight = _weight_udf(log_ratio(docs, sample, id_col, text_col))
+    weight = _weight_udf(log_ratio(docs, sample, id_col, text_col), *harm_ratio(docs, sample, id_col, text_col))
 
     scored = stage(_keyed(docs, id_col, text_col).withColumn("log_weight", weight("text")).drop("text")
                    .withColumn("sample_key", F.col("log_weight") + _gumbel()))

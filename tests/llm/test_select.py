@@ -165,6 +165,35 @@ def test_classifier_on_held_out_rows(graded):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, k in again.items() if k)
 
 
+def test_few_harmful_words_reject_a_document(spark):
+    """One harmful word in hundreds rejects; copies of one toxic document mark nothing."""
+    r = random.Random(12)
+    good = [f"word{k}" for k in range(300)]
+    copied = r.choices(good, k=90) + ["harmless", "phrase"]
+    rows, labels = [], []
+    for k in range(1500):
+        w = r.choices(good, k=r.randrange(20, 700))
+        if k % 7 == 0:
+            w[r.randrange(len(w))] = r.choice(["Vile,", "NASTY"])
+        if k % 7 and k % 10 == 2:
+            w = [x + "!!" for x in w]
+        if k % 50 == 1:
+            w = copied if k % 100 == 1 and k % 7 else w + ["harmless"] if k % 7 else w
+        rows.append((k, " ".join(w)))
+        if k % 3:
+            labels.append((k, int(k % 7 == 0 or k % 10 != 2), int(k % 7 == 0 or w is copied)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.keep for x in quality.classify(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    held = [k for k in got if k % 3 == 0]
+    assert not any(got[k] for k in held if k % 7 == 0)
+    assert np.mean([got[k] for k in held if k % 7 and k % 10 != 2]) > 0.98
+
+
+def test_chance_odds():
+    assert quality.chance_odds(3, 0, 0.1) == pytest.approx(3 * np.log(10))
+    assert quality.chance_odds(2, 1, 0.5) == pytest.approx(np.log(4 / 3))
+
+
 def test_classifier_on_odd_rows(spark, odd_docs, clashing, no_docs):
     none = spark.createDataFrame([], LABELS)
     some = spark.createDataFrame([(6, 1, 0), (7, 1, 0), (7, 0, 0), (None, 1, 0), (8, 0, None), (5, None, 1)], LABELS)
