@@ -46,6 +46,8 @@ LABELLED = 20_000
 PURE = 0.9
 ODDS = 1e7
 HARM_ODDS = 100
+#: A share of clean documents lost weighs as much as this many times that share of bad ones kept.
+CLEAN = 10
 
 
 def _features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -208,14 +210,14 @@ def _gumbel():
 
 
 def best_cut(clean: list[float], bad: list[float]) -> float:
-    """Weight at which the share of clean documents at or above it plus the
-    share of bad ones below it is greatest (midway between two values)."""
+    """Weight at which ``CLEAN`` times the share of clean documents at or above
+    it plus the share of bad ones below it is greatest (midway between two values)."""
     if not clean or not bad:
         return float("-inf")
     c, b = np.sort(clean), np.sort(bad)
     v = np.unique(np.concatenate((c, b)))
     cuts = np.concatenate(([v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]))
-    gain = (1 - np.searchsorted(c, cuts) / len(c)) + np.searchsorted(b, cuts) / len(b)
+    gain = CLEAN * (1 - np.searchsorted(c, cuts) / len(c)) + np.searchsorted(b, cuts) / len(b)
     return float(cuts[np.argmax(gain)])
 
 
