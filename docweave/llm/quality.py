@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, WORD_PUNCT, gram_hashes, joined, span_hashes, spans, stage, text_bytes, unit_uniform
+from docweave.llm.common import LOWER, WORD_PUNCT, gram_hashes, joined, row_blocks, span_hashes, spans, stage, text_bytes, unit_uniform
 from docweave.llm.keep import row_key
 
 BUCKETS = 1 << 16
 LENGTH = 256
 SMOOTH = 1.0
+BLOCK = 1 << 18
 #: Bound on the labelled rows that are used (those with the least id hashes).
 LABELLED = 20_000
 PURE = 0.9
@@ -50,15 +51,14 @@ HARM_ODDS = 100
 CLEAN = 10
 
 
-def _features(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Blocks of texts: first, end and, flat, the n-gram hashes with their text."""
+def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of texts, of at most ``BLOCK`` bytes or one text: first, end and,
+    flat, the n-gram hashes with their text."""
     i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= 1 << 20):
-            size += len(texts[j])
-            j += 1
-        buf, at = joined(texts[i:j])
+    for part in row_blocks(pa.RecordBatch.from_arrays([column], ["text"]), "text", BLOCK):
+        texts = text_bytes(part.column(0))
+        j = i + len(texts)
+        buf, at = joined(texts)
         starts, ends = spans(buf, WORD_PUNCT)
         h = span_hashes(buf, starts, ends, LOWER)
         doc = np.searchsorted(at, starts, "right") - 1
@@ -75,8 +75,8 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        texts, is_target = text_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for i, j, grams, doc in _features(texts):
+        is_target = batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j, grams, doc in _features(batch.column(0)):
             bucket = _bucket(grams)
             raw += np.bincount(bucket, minlength=BUCKETS)
             target += np.bincount(bucket[is_target[i:j].astype(bool)[doc]], minlength=BUCKETS)
@@ -115,9 +115,9 @@ def log_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_c
     return model[0] - model[1]
 
 
-def _doc_grams(texts: list[bytes]) -> Iterator[np.ndarray]:
+def _doc_grams(column: pa.Array) -> Iterator[np.ndarray]:
     """Distinct n-grams of each text, as signed 64-bit numbers in ascending order."""
-    for i, j, grams, doc in _features(texts):
+    for i, j, grams, doc in _features(column):
         order = np.argsort(doc, kind="stable")
         for own in np.split(grams.view(np.int64)[order], np.cumsum(np.bincount(doc, minlength=j - i))[:-1]):
             yield np.unique(own)
@@ -125,7 +125,7 @@ def _doc_grams(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 def _toxic_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own in _doc_grams(text_bytes(batch.column(0))):
+        for own in _doc_grams(batch.column(0)):
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), own[0]))], ["gram", "least"])
 
@@ -134,7 +134,7 @@ def _holders(candidates: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(candidates), np.int64)
         for batch in batches:
-            for own in _doc_grams(text_bytes(batch.column(0))):
+            for own in _doc_grams(batch.column(0)):
                 at = np.searchsorted(candidates, own)
                 at[at == len(candidates)] = 0
                 n[at[candidates[at] == own]] += 1
@@ -187,9 +187,8 @@ def _weight_udf(ratio: np.ndarray, marked: np.ndarray, harm: np.ndarray, least:
 
     @F.arrow_udf("double")
     def weight(text: pa.Array) -> pa.Array:
-        texts = text_bytes(text)
-        out = np.zeros(len(texts))
-        for i, j, grams, doc in _features(texts):
+        out = np.zeros(len(text))
+        for i, j, grams, doc in _features(text):
             bucket = _bucket(grams)
             n = np.bincount(doc, minlength=j - i)
             total = np.bincount(doc, weights=table[bucket], minlength=j - i)
