@@ -21,8 +21,10 @@ own, toxic to other labelled documents of the sample, over 64-bit n-grams
 hardly do is marked. A document's harm is the sum of the log ratios of its
 marked n-grams; where that puts the odds of being toxic at ``HARM_ODDS`` or
 more, ``LENGTH`` times the harm comes off the weight, whatever the document's
-length. Toxic documents with the same least n-gram (copies) count once. A mark
-needs a share of toxic documents of ``PURE`` and odds against chance of ``ODDS``.
+length. On both sides a text counts once, however many labelled documents hold
+it (texts that differ in A-Z case or white space are one; it is toxic if any of
+them is). A mark needs a share of toxic texts of ``PURE`` and odds against
+chance of ``ODDS``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, WORD_PUNCT, gram_hashes, joined, row_blocks, span_hashes, spans, stage, text_bytes, unit_uniform
+from docweave.llm.common import LOWER, WORD_PUNCT, ascii_lower, gram_hashes, joined, row_blocks, span_hashes, spans, stage, text_bytes, unit_uniform
 from docweave.llm.keep import row_key
 
 BUCKETS = 1 << 16
@@ -123,11 +125,18 @@ def _doc_grams(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(own)
 
 
+def _distinct_texts(labelled: DataFrame) -> DataFrame:
+    """One row per text of ``(text, toxic)``; all that is no token separates
+    tokens alike, so rows of one text have the same n-grams."""
+    same = F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.col("text")), r"[\x00-\x20\x7f]+", " ")))
+    return labelled.groupBy(same.alias("same")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("same")
+
+
 def _toxic_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for own in _doc_grams(batch.column(0)):
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), own[0]))], ["gram", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["gram"])
 
 
 def _holders(candidates: np.ndarray):
@@ -153,9 +162,10 @@ def chance_odds(toxic: int, other: int, share: float) -> float:
 def harm_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """Marked n-grams in ascending order, the log ratio of each, and the harm
     from which on a document's odds are ``HARM_ODDS``. What comes
-    to the driver are n-grams of at least ``least`` labelled toxic documents:
+    to the driver are n-grams of at least ``least`` labelled toxic texts:
     their number is bounded by the sample, not by the corpus."""
-    labelled = stage(_keyed(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("text", "toxic"))
+    rows = _keyed(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    labelled = stage(_distinct_texts(rows.select("text", "toxic")))
     toxic, other = labelled.filter("toxic = 1").select("text"), labelled.filter("toxic = 0").select("text")
     n_toxic, n_other = toxic.count(), other.count()
     none = np.zeros(0, np.int64), np.zeros(0), 0.0
@@ -163,7 +173,7 @@ def harm_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_
         return none
     share = n_toxic / (n_toxic + n_other)
     least = math.ceil(math.log(ODDS) / -math.log(share))
-    held = (toxic.mapInArrow(_toxic_grams, "gram long, least long").groupBy("gram").agg(F.count_distinct("least").alias("n"))
+    held = (toxic.mapInArrow(_toxic_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
             .filter(F.col("n") >= least).collect())
     if not held:
         return none

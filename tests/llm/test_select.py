@@ -189,6 +189,32 @@ def test_few_harmful_words_reject_a_document(spark):
     assert np.mean([got[k] for k in held if k % 7 and k % 10 != 2]) > 0.98
 
 
+def harm_marks(spark, rows):
+    """Marked n-grams of ``(doc_id, text, toxic)`` rows."""
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], LABELS)
+    return quality.harm_ratio(docs, quality.labelled_sample(labels))[0].tolist()
+
+
+def grams_of(text):
+    import pyarrow as pa
+    return [int(g) for own in quality._doc_grams(pa.array([text])) for g in own]
+
+
+def test_a_text_counts_once_on_both_sides(spark):
+    """Toxic texts count each, also where their least n-gram is one common
+    word; copies of a clean text do not clear a harmful word."""
+    least = min((f"common{k}" for k in range(20_000)), key=lambda w: grams_of(w)[0])
+    rows = [(k, f"fine{k} fine{k + 1}", 0) for k in range(60)]
+    rows += [(100 + k, f"{least} Vile toxic{k}", 1) for k in range(30)]
+    assert len({grams_of(t)[0] for _, t, x in rows if x}) < 5
+    vile, = grams_of("vile")
+    assert vile in harm_marks(spark, rows)
+    quoting = [(200 + k, "He said vile," + " " * (1 + k % 3) + "NO"[: 2 - k % 2], 0) for k in range(40)]
+    assert vile in harm_marks(spark, rows + quoting)
+    assert harm_marks(spark, rows[:60] + [(300 + k, " Copied\tVILE text" + "\n" * k, 1) for k in range(40)]) == []
+
+
 def test_chance_odds():
     assert quality.chance_odds(3, 0, 0.1) == pytest.approx(3 * np.log(10))
     assert quality.chance_odds(2, 1, 0.5) == pytest.approx(np.log(4 / 3))
