@@ -5,7 +5,8 @@ runs of other visible characters, A-Z lower-cased; their unigrams and bigrams
 fall into ``BUCKETS`` hash buckets. Two bags of buckets are generative models:
 the raw one counts every n-gram of all documents; the target one counts those
 of the clean labelled documents (quality 1, not toxic) of the target half of
-a bounded labelled sample. A document's log importance weight is the mean log
+a bounded labelled sample, in which an id has one vote that its different texts
+share: copies and repeats of an id do not move the models or the cut. A document's log importance weight is the mean log
 ratio of target to raw over its n-grams, times ``LENGTH`` (the weight of
 ``LENGTH`` n-grams of it, so long and short documents compare).
 
@@ -44,8 +45,12 @@ BUCKETS = 1 << 16
 LENGTH = 256
 SMOOTH = 1.0
 BLOCK = 1 << 18
-#: Bound on the labelled rows that are used (those with the least id hashes).
+#: Bound on the labelled rows that are used, one for each id and text: the ids
+#: with the least hashes and the least text of each, then their other texts,
+#: both by hash.
 LABELLED = 20_000
+#: A whole vote. Votes are whole numbers, so sums are the same in any order.
+VOTE = 1 << 24
 PURE = 0.9
 ODDS = 1e7
 HARM_ODDS = 100
@@ -75,15 +80,15 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Sums over ``(text)`` of n-grams, over ``(text, vote)`` of their votes."""
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        is_target = batch.column(1).to_numpy(zero_copy_only=False)
+        vote = batch.column(1).to_numpy() if batch.num_columns > 1 else None
         for i, j, grams, doc in _features(batch.column(0)):
-            bucket = _bucket(grams)
-            raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[is_target[i:j].astype(bool)[doc]], minlength=BUCKETS)
-    own = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(raw[own]), pa.array(target[own])], ["bucket", "raw", "target"])
+            weights = None if vote is None else vote[i:j][doc].astype(float)
+            n += np.bincount(_bucket(grams), weights, BUCKETS).astype(np.int64)
+    own = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], ["bucket", "n"])
 
 
 def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
@@ -101,18 +106,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def log_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def labelled_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LABELLED) -> DataFrame:
+    """At most ``limit`` rows for the ids of ``labelled_sample`` (staged), one
+    for each id and text: ``label_id, label_key, quality, toxic, half, vote``.
+    The texts of an id share its vote."""
+    own = _keyed(docs, id_col, text_col).select("doc_id", "row_key").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    rows = stage(own.groupBy("label_id", F.col("row_key").alias("label_key"))
+                 .agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"), F.first("half").alias("half")))
+    if rows.count() > limit:
+        place = F.struct(F.xxhash64("label_id", "label_key"), "label_key")
+        first = stage(rows.groupBy(F.col("label_id").alias("id")).agg(F.min(place).alias("first")))
+        later = (place != F.col("first")).cast("int")
+        rows = stage(rows.join(F.broadcast(first), F.col("label_id") == F.col("id"))
+                     .orderBy(later, F.xxhash64("label_id", "label_key"), "label_id", "label_key").limit(limit).select(*rows.columns))
+    n = rows.groupBy(F.col("label_id").alias("id")).agg(F.count("*").alias("n"))
+    return stage(rows.join(F.broadcast(n), F.col("label_id") == F.col("id"))
+                 .select(*rows.columns, F.floor(F.lit(VOTE) / F.col("n")).alias("vote")))
+
+
+def _in_sample(df: DataFrame, sample: DataFrame) -> DataFrame:
+    """Rows of ``df`` (``doc_id, row_key, ...``) that the sample of
+    ``labelled_rows`` holds, with its columns."""
+    return df.join(F.broadcast(sample), (F.col("doc_id") == F.col("label_id")) & (F.col("row_key") == F.col("label_key")))
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``labelled_rows`` with their texts, staged: ``text, quality, toxic, half, vote``."""
+    rows = (_in_sample(_keyed(docs, id_col, text_col), sample).groupBy("doc_id", "row_key")
+            .agg(*[F.min(c).alias(c) for c in ("text", "quality", "toxic", "half", "vote")]))
+    return stage(rows.drop("doc_id", "row_key"))
+
+
+def log_ratio(docs: DataFrame, labelled: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log ratio of target to raw model for each bucket. ``BUCKETS`` rows come
     to the driver, whatever the input."""
-    src = _keyed(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"), "left")
-    is_target = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("half") == 0), F.lit(False))
-    rows = (src.select("text", is_target.alias("target")).mapInArrow(_counts, "bucket long, raw long, target long")
-            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect())
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    def sums(texts):
+        out = np.zeros(BUCKETS)
+        for r in texts.mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            out[r["bucket"]] = r["n"]
+        return out
+    target = sums(labelled.filter("quality = 1 AND toxic = 0 AND half = 0").select("text", "vote")) / VOTE
     if not target.any():
         return np.zeros(BUCKETS)
+    raw = sums(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
     model = [np.log((c + SMOOTH) / (c.sum() + SMOOTH * BUCKETS)) for c in (target, raw)]
     return model[0] - model[1]
 
@@ -126,59 +162,59 @@ def _doc_grams(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _distinct_texts(labelled: DataFrame) -> DataFrame:
-    """One row per text of ``(text, toxic)``; all that is no token separates
-    tokens alike, so rows of one text have the same n-grams."""
+    """One row per text of ``(text, toxic, vote)``, with its largest vote; all
+    that is no token separates tokens alike, so rows of one text have the same n-grams."""
     same = F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.col("text")), r"[\x00-\x20\x7f]+", " ")))
-    return labelled.groupBy(same.alias("same")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("same")
+    return (labelled.groupBy(same.alias("same"))
+            .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("vote").alias("vote")).drop("same"))
 
 
 def _toxic_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own in _doc_grams(batch.column(0)):
+        for own, vote in zip(_doc_grams(batch.column(0)), batch.column(1).to_pylist()):
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(own)], ["gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), vote))], ["gram", "n"])
 
 
 def _holders(candidates: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(candidates), np.int64)
         for batch in batches:
-            for own in _doc_grams(batch.column(0)):
+            for own, vote in zip(_doc_grams(batch.column(0)), batch.column(1).to_pylist()):
                 at = np.searchsorted(candidates, own)
                 at[at == len(candidates)] = 0
-                n[at[candidates[at] == own]] += 1
+                n[at[candidates[at] == own]] += vote
         held = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(candidates[held]), pa.array(n[held])], ["gram", "n"])
     return count
 
 
-def chance_odds(toxic: int, other: int, share: float) -> float:
+def chance_odds(toxic: float, other: float, share: float) -> float:
     """Log odds against chance that ``toxic`` of ``toxic + other`` holders are
     toxic, where a share ``share`` of all documents is."""
     ways = math.lgamma(toxic + other + 1) - math.lgamma(toxic + 1) - math.lgamma(other + 1)
     return -toxic * math.log(share) - ways
 
 
-def harm_ratio(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+def harm_ratio(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Marked n-grams in ascending order, the log ratio of each, and the harm
     from which on a document's odds are ``HARM_ODDS``. What comes
     to the driver are n-grams of at least ``least`` labelled toxic texts:
     their number is bounded by the sample, not by the corpus."""
-    rows = _keyed(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    labelled = stage(_distinct_texts(rows.select("text", "toxic")))
-    toxic, other = labelled.filter("toxic = 1").select("text"), labelled.filter("toxic = 0").select("text")
-    n_toxic, n_other = toxic.count(), other.count()
+    texts = stage(_distinct_texts(labelled))
+    toxic, other = texts.filter("toxic = 1").select("text", "vote"), texts.filter("toxic = 0").select("text", "vote")
+    n_toxic, n_other = ((df.agg(F.sum("vote")).first()[0] or 0) / VOTE for df in (toxic, other))
     none = np.zeros(0, np.int64), np.zeros(0), 0.0
     if not n_toxic or not n_other:
         return none
     share = n_toxic / (n_toxic + n_other)
     least = math.ceil(math.log(ODDS) / -math.log(share))
-    held = (toxic.mapInArrow(_toxic_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= least).collect())
+    held = (toxic.mapInArrow(_toxic_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") > (least - 1) * VOTE).collect())
     if not held:
         return none
-    by_toxic = {r["gram"]: r["n"] for r in held}
-    by_other = {r["gram"]: r["n"] for r in other.mapInArrow(_holders(np.array(sorted(by_toxic), np.int64)), "gram long, n long")
+    by_toxic = {r["gram"]: r["n"] / VOTE for r in held}
+    by_other = {r["gram"]: r["n"] / VOTE for r in other.mapInArrow(_holders(np.array(sorted(by_toxic), np.int64)), "gram long, n long")
                 .groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     marked = {}
     for gram, a in by_toxic.items():
@@ -218,15 +254,20 @@ def _gumbel():
     return -F.log(-F.log(unit_uniform("doc_id", "row_key", F.lit("gumbel"))))
 
 
-def best_cut(clean: list[float], bad: list[float]) -> float:
+def best_cut(clean: list[float], bad: list[float], clean_votes: list[int] | None = None, bad_votes: list[int] | None = None) -> float:
     """Weight at which ``CLEAN`` times the share of clean documents at or above
-    it plus the share of bad ones below it is greatest (midway between two values)."""
+    it plus the share of bad ones below it is greatest (midway between two
+    values). Shares are of votes, by default one for each document."""
     if not clean or not bad:
         return float("-inf")
-    c, b = np.sort(clean), np.sort(bad)
-    v = np.unique(np.concatenate((c, b)))
+
+    def below(values, votes):
+        order = np.argsort(values, kind="stable")
+        total = np.concatenate(([0], np.cumsum(np.ones(len(values), np.int64) if votes is None else np.array(votes)[order])))
+        return total[np.searchsorted(np.array(values)[order], cuts)] / total[-1]
+    v = np.unique(np.concatenate((clean, bad)))
     cuts = np.concatenate(([v[0] - 1], (v[1:] + v[:-1]) / 2, [v[-1] + 1]))
-    gain = CLEAN * (1 - np.searchsorted(c, cuts) / len(c)) + np.searchsorted(b, cuts) / len(b)
+    gain = CLEAN * (1 - below(clean, clean_votes)) + below(bad, bad_votes)
     return float(cuts[np.argmax(gain)])
 
 
@@ -253,15 +294,16 @@ def kth_largest(df: DataFrame, col: str, k: int, enough: int = 10_000) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
     """Scores of all documents (staged: ``doc_id, row_key, log_weight,
     sample_key``), a function of (docs) that adds them, and the key from which on rows stay."""
-    sample = stage(labelled_sample(labels))
-    weight = _weight_udf(log_ratio(docs, sample, id_col, text_col), *harm_ratio(docs, sample, id_col, text_col))
+    sample = labelled_rows(docs, stage(labelled_sample(labels)), id_col, text_col)
+    labelled = labelled_texts(docs, sample, id_col, text_col)
+    weight = _weight_udf(log_ratio(docs, labelled, text_col), *harm_ratio(labelled))
 
     scored = stage(_keyed(docs, id_col, text_col).withColumn("log_weight", weight("text")).drop("text")
                    .withColumn("sample_key", F.col("log_weight") + _gumbel()))
-    half = (scored.join(F.broadcast(sample.filter("half = 1")), F.col("doc_id") == F.col("label_id"))
-            .select("quality", "toxic", "log_weight").collect())
-    cut = best_cut([r["log_weight"] for r in half if r["quality"] == 1 and r["toxic"] == 0],
-                   [r["log_weight"] for r in half if r["quality"] == 0])
+    half = (_in_sample(scored, sample.filter("half = 1")).groupBy("doc_id", "row_key")
+            .agg(*[F.min(c).alias(c) for c in ("quality", "toxic", "log_weight", "vote")]).collect())
+    clean, bad = [r for r in half if r["quality"] == 1 and r["toxic"] == 0], [r for r in half if r["quality"] == 0]
+    cut = best_cut(*[[r["log_weight"] for r in rows] for rows in (clean, bad)], *[[r["vote"] for r in rows] for rows in (clean, bad)])
     k = scored.filter(F.col("log_weight") >= F.lit(cut)).count()
     least = kth_largest(scored, "sample_key", k) if k else float("inf")
     return scored, weight, least

@@ -193,7 +193,8 @@ def harm_marks(spark, rows):
     """Marked n-grams of ``(doc_id, text, toxic)`` rows."""
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], LABELS)
-    return quality.harm_ratio(docs, quality.labelled_sample(labels))[0].tolist()
+    sample = quality.labelled_rows(docs, quality.labelled_sample(labels))
+    return quality.harm_ratio(quality.labelled_texts(docs, sample))[0].tolist()
 
 
 def grams_of(text):
@@ -215,6 +216,25 @@ def test_a_text_counts_once_on_both_sides(spark):
     assert harm_marks(spark, rows[:60] + [(300 + k, " Copied\tVILE text" + "\n" * k, 1) for k in range(40)]) == []
 
 
+def test_a_labelled_id_has_one_vote(spark, graded):
+    """Rows that repeat a labelled id, with its text or with others, leave
+    the fate of all other documents alone, and the sample stays bounded."""
+    docs, labels = graded
+    want = {x.doc_id: x.keep for x in quality.classify(docs, labels).collect()}
+    for hot in (0, 2):                                     # a low-quality and a clean id
+        text = "river stone light garden window letter table summer " * 3
+        text = text if hot == 0 else text.upper().replace(" ", "!! ")
+        more = [(hot, text + "x" * (k % 300)) for k in range(600)]
+        both = docs.filter(F.col("doc_id") != hot).union(spark.createDataFrame(more, docs.schema))
+        got = {x.doc_id: x.keep for x in quality.classify(both, labels).collect() if x.doc_id != hot}
+        assert np.mean([got[k] == want[k] for k in got]) > 0.97
+    ids = quality.labelled_sample(labels)
+    assert quality.labelled_rows(both, ids).count() == 599 + 300
+    few = quality.labelled_rows(both, ids, limit=650).collect()
+    assert len(few) == 650 and len({x.label_id for x in few}) == 600
+    assert sum(x.vote for x in few if x.label_id == hot) == pytest.approx(quality.VOTE, rel=1e-4)
+
+
 def test_chance_odds():
     assert quality.chance_odds(3, 0, 0.1) == pytest.approx(3 * np.log(10))
     assert quality.chance_odds(2, 1, 0.5) == pytest.approx(np.log(4 / 3))
