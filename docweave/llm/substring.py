@@ -306,6 +306,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .mapInArrow(_count(width), "ident long, row_key long, word_from long, word_to long"))
 
 
+def _ranges(docs: DataFrame, id_col: str, text_col: str, width: int, order: int) -> DataFrame:
+    """``ident, row_key, lo, hi``: the ranges of ``repeated_words`` of one id
+    and text, each once however many rows repeat them."""
+    return (repeated_words(docs, id_col, text_col, width, order).groupBy("ident", "row_key")
+            .agg(F.collect_set(F.struct("word_from", "word_to")).alias("part"))
+            .select("ident", "row_key", F.col("part.word_from").alias("lo"), F.col("part.word_to").alias("hi")))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_blocks(batch, "text"):
@@ -333,8 +341,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts, and texts shorter than a window, lose nothing;
     repeated rows get a row each with the same result; a null id orders last;
     an empty table gives no rows; other columns are not read."""
-    ranges = (repeated_words(docs, id_col, text_col, width, order).groupBy("ident", "row_key")
-              .agg(F.collect_list("word_from").alias("lo"), F.collect_list("word_to").alias("hi")))
+    ranges = _ranges(docs, id_col, text_col, width, order)
     rows = _prepared(docs, id_col, text_col).join(ranges.hint("shuffle_hash"), ["ident", "row_key"], "left")
     return (rows.select("doc_id", "text", "lo", "hi")
             .mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string"))

@@ -178,6 +178,23 @@ def test_substring_with_many_repeats(spark):
         assert substring_rows(substring.substring_dedup(df, order=order)) == substring_brute(df.collect())
 
 
+def test_ranges_of_a_repeated_row_are_kept_once(spark):
+    """Rows that repeat id and text, and null ids, have the ranges of one row."""
+    passage = " ".join(f"p{k}" for k in range(90))
+    one = [(1, passage + " first"), (2, "second " + passage), (None, "none " + passage)]
+
+    def sizes(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        got = substring._ranges(df, "doc_id", "text", substring.WIDTH, substring.ORDER).collect()
+        assert all(len(x.lo) == len(x.hi) == len(set(zip(x.lo, x.hi))) < 200 for x in got)
+        return df, len(got), sum(len(x.lo) for x in got)
+    _, docs, once = sizes(one)
+    df, many_docs, many = sizes(one + one[1:] * 200)
+    assert docs == many_docs == 2
+    assert many <= 4 * once < substring.repeated_words(df).count()      # what a list of every copy's ranges holds
+    assert substring_rows(substring.substring_dedup(df)) == substring_brute(df.collect())
+
+
 def test_equal_window_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "window_hashes", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     got = substring.repeats(np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), [b"a b c d", b"x a b c"], 3)
