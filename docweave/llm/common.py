@@ -33,7 +33,16 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables made by ``stage`` that nothing reads any more."""
+    for df in staged:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
