@@ -50,3 +50,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN k USING (doc_id)
 """,
 }
+
+_GRID = "list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT))"
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(CAST(c AS DOUBLE)))) = 0"
+
+
+def _rounds(rounds: int) -> str:
+    """CTEs ``a<t>`` (cluster and distance of each row) and ``c<t>`` (centroids) of every round."""
+    out = []
+    for t in range(rounds + 1):
+        out.append(f"""
+a{t} AS (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d
+    FROM (SELECT r, cluster, CAST(sum((e.v - c.v) * (e.v - c.v)) AS BIGINT) AS d FROM e JOIN c{t} c USING (i) GROUP BY r, cluster) GROUP BY r)""")
+        if t < rounds:
+            out.append(f"""
+c{t + 1} AS (SELECT cluster, i, coalesce(m.v, c.v) AS v FROM c{t} c LEFT JOIN
+    (SELECT cluster, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v FROM a{t} JOIN e USING (r) GROUP BY cluster, i) m USING (cluster, i))""")
+    return ",".join(out)
+
+
+# The sums of a cluster's components are small here, so floor of the double quotient is exact.
+ORACLE["op13_centroids"] = f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, {_GRID} AS x FROM embeddings WHERE {_USABLE}),
+e AS (SELECT r, unnest(range(1, 65)) AS i, unnest(x) AS v FROM k),
+c0 AS (SELECT cluster, unnest(range(1, 65)) AS i, unnest(x) AS v FROM
+    (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS cluster FROM k QUALIFY cluster < 16)),{_rounds(3)},
+h AS (SELECT cluster, sha256(string_agg(v, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN k USING (r) JOIN h USING (cluster)
+"""

@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat, decontaminate, exact, link_trust, mixing, quality, simhash, substring, token_count, token_ids
+from docweave.llm import (centroids, chat, decontaminate, exact, link_trust, mixing, quality, simhash, substring, token_count, token_ids,
+                          whitening)
 from docweave.llm.oracle import ORACLE  # noqa: F401
 from docweave.session import ensure_checkpoint_dir
 
@@ -94,5 +95,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), tokenizer(PIECE_MODEL))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every embedding."""
+    return centroids.centroid_clusters(_table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_mixing, op4_quality, op5_decontaminate, op6_url_filter,
-                                   op7_simhash, op8_token_ids, op9_substring_dedup, op10_token_counts)}
+                                   op7_simhash, op8_token_ids, op9_substring_dedup, op10_token_counts, op11_whitening, op13_centroids)}
