@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import (centroids, chat, decontaminate, exact, link_trust, mixing, quality, simhash, substring, token_count, token_ids,
-                          whitening)
+from docweave.llm import (centroids, chat, decontaminate, exact, link_trust, mixing, prefix_join, quality, simhash, substring, token_count,
+                          token_ids, whitening)
 from docweave.llm.oracle import ORACLE  # noqa: F401
 from docweave.session import ensure_checkpoint_dir
 
@@ -100,10 +100,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of Jaccard 0.9 and more (3-word shingles)."""
+    return prefix_join.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every embedding."""
     return centroids.centroid_clusters(_table(spark, sf_dir, "embeddings")).drop("scans")
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_exact_dedup, op3_mixing, op4_quality, op5_decontaminate, op6_url_filter,
-                                   op7_simhash, op8_token_ids, op9_substring_dedup, op10_token_counts, op11_whitening, op13_centroids)}
+                                   op7_simhash, op8_token_ids, op9_substring_dedup, op10_token_counts, op11_whitening, op12_jaccard_join, op13_centroids)}
