@@ -8,16 +8,21 @@ is; rare shingles first keep the lists short.
 
 1. Documents with one shingle set are one unit; units with identical prefix
    and size are one group. Only groups are posted under their prefix shingles.
-2. Group pairs of a list are filtered by size, and by position: before the
-   first shared shingle nothing is shared, so what follows bounds the overlap.
+2. Group pairs of a list are filtered by size, by position (before the first
+   shared shingle nothing is shared, so what follows bounds the overlap), and
+   by bitmaps: a set's bitmap has a bit for each of 512 hash classes, flipped
+   by every shingle in it, so two sets differ in at least as many shingles as
+   their bitmaps in bits. No filter loses a pair.
 3. Pairs that pass are expanded to their member units, whose whole sets are
    compared exactly.
 
-Classes need no all-pairs output. First every list pairs its groups with one
-pivot, and a group its members, for a few rounds with other pivots; what that
-links is contracted. Then all pairs left between different classes of a list
-are taken, so no link between classes is lost. A list with more than ``hot``
-entries is cut into chunks and every pair of chunks is a list of its own.
+Classes need no all-pairs output. In a round every list gives a spanning
+forest of the pairs that pass, between classes known so far, from its group
+with the smallest hash on; so the lists of one family of near copies give
+mostly the same pairs. What these link is contracted. After ``FORESTS`` such
+rounds all pairs left between different classes of a list are taken, so no
+link between classes is lost. A list with more than ``hot`` entries is cut
+into chunks and every pair of chunks is a list of its own.
 
 Shingles are known by 64-bit hashes, sets and prefixes by 128 bits. Sets are
 computed from the text again for the units that are compared, so what is
@@ -27,6 +32,7 @@ staged is a tenth of the shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +51,9 @@ PART, WHOLE = 90, 100
 BUCKET_BITS = 22
 _CHUNK = 1 << 13
 HOT = 1024
-#: Rounds of pairs with a pivot before the pairs left are taken.
-STARS = 2
+#: Rounds of spanning forests before all pairs left are taken.
+FORESTS = 2
+BITS = 512
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -159,6 +166,13 @@ def prefix_length(n, part: int = PART, whole: int = WHOLE):
     return n - -(-n * part // whole) + 1
 
 
+def bitmaps(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """``BITS`` bits (as bytes) of each run of hashes: the parity of each class."""
+    n = len(cut) - 1
+    cell = np.repeat(np.arange(n), np.diff(cut)) * BITS + (h & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+
+
 def _describe(width: int, levels: np.ndarray, part: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, h, cut in _blocks(batches, width):
@@ -169,38 +183,32 @@ def _describe(width: int, levels: np.ndarray, part: int, whole: int):
             length = np.where(n > 0, prefix_length(n, part, whole), 0)
             prefix = h[order][place < length[doc]]
             p_cut = np.concatenate(([0], np.cumsum(length)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int64)), pa.array(_names(h, cut, n), pa.binary()),
-                                              pa.array(_names(prefix, p_cut, n), pa.binary()), _cells(prefix, p_cut)],
-                                             ["doc_id", "row_key", "n", "uid", "gid", "prefix"])
+            bits = [b.tobytes() for b in bitmaps(h, cut)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n.astype(np.int32)), pa.array(_names(h, cut, n), pa.binary()),
+                                              pa.array(_names(prefix, p_cut, n), pa.binary()), pa.array(bits, pa.binary()), _cells(prefix, p_cut)],
+                                             ["doc_id", "row_key", "n", "uid", "gkey", "bits", "prefix"])
     return run
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix shingle of a group; one group alone is posted for its members' sake under its first shingle."""
+    """``token, g, n, pos``: a row for each prefix shingle of a group."""
     for batch in batches:
         for part in row_pieces([batch], 1 << 12):
-            prefix = part.column(3).to_pylist()
+            prefix = part.column(2).to_pylist()
             size = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
-            row = np.repeat(np.arange(len(prefix)), size)
+            row = pa.array(np.repeat(np.arange(len(prefix)), size))
             pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             token = np.frombuffer(b"".join(prefix), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                                              part.column(2).take(pa.array(row)), pa.array(pos.astype(np.int64))], ["token", "gid", "n", "units", "pos"])
-
-
-def _may_link(na, nb, ia, ib, part: int, whole: int):
-    """Size filter, and position filter for the first shared shingle: nothing
-    before places ``ia`` and ``ib`` is shared."""
-    room = F.least(na - ia, nb - ib)
-    return (F.least(na, nb) * whole >= F.greatest(na, nb) * part) & (room * (part + whole) >= (na + nb) * part)
+            yield pa.RecordBatch.from_arrays([pa.array(token), part.column(0).take(row), part.column(1).take(row), pa.array(pos.astype(np.int32))],
+                                             ["token", "g", "n", "pos"])
 
 
 # ---------------------------------------------------------------- exact comparison
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, cut in _blocks(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(_names(h, cut, np.diff(cut)), pa.binary()), _cells(h, cut)], ["uid", "hashes"])
+        for rows, h, cut in _blocks(batches, width):
+            yield pa.RecordBatch.from_arrays([rows.column(0), _cells(h, cut)], ["u", "hashes"])
     return run
 
 
@@ -225,93 +233,108 @@ class _Verifier:
         self.sets: list[DataFrame] = []
 
     def all_sets(self) -> DataFrame:
-        out = self.sets[0]
-        for s in self.sets[1:]:
-            out = out.union(s)
-        return out
+        return reduce(DataFrame.union, self.sets)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Links ``(a, b)`` among staged unit pairs."""
-        need = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+        need = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
         if self.sets:
-            need = need.join(self.all_sets().select("uid"), "uid", "left_anti")
-        reps = stage(self.units.join(need, "uid", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key")))
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["rep_id"]) & (self.docs["row_key"] == reps["rep_key"]), "left_semi")
-        made = texts.select("text").mapInArrow(_sets(self.width), "uid binary, hashes binary")
-        self.sets.append(stage(made.groupBy("uid").agg(F.first("hashes").alias("hashes"))))
+            need = need.join(self.all_sets().select("u"), "u", "left_anti")
+        reps = stage(self.units.join(need, "u", "left_semi").select("u", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key")))
+        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["rep_id"]) & (self.docs["row_key"] == reps["rep_key"]))
+        made = texts.select("u", "text").mapInArrow(_sets(self.width), "u long, hashes binary")
+        self.sets.append(stage(made.groupBy("u").agg(F.first("hashes").alias("hashes"))))          # a document may be many rows
         sets = self.all_sets()
-        both = (pairs.join(sets.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), "a")
-                .join(sets.select(F.col("uid").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"))
-        return stage(both.mapInArrow(_linked(self.part, self.whole), "a binary, b binary"))
+        both = (pairs.join(sets.select(F.col("u").alias("a"), F.col("hashes").alias("x")), "a")
+                .join(sets.select(F.col("u").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"))
+        return stage(both.mapInArrow(_linked(self.part, self.whole), "a long, b long"))
 
 
 # ---------------------------------------------------------------- pairs between classes
 
-def _cross(part: int, whole: int):
-    """All pairs of a list's entries that differ in class and pass the
-    filters; rows come sorted by list (``token``, ``sub``)."""
-    def halves(column):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+class _Filter:
+    """Which pairs of a list's entries differ in class and may link."""
+
+    def __init__(self, n, pos, comp, bits, part: int, whole: int):
+        self.n, self.pos, self.comp, self.bits, self.part, self.whole = n, pos, comp, bits, part, whole
+        self.plain = ~bits.any(axis=1)                   # several sets in one entry: no bitmap
+
+    def passing(self, i, j) -> np.ndarray:
+        a, b = self.n[i], self.n[j]
+        room = np.minimum(a - self.pos[i], b - self.pos[j])
+        ok = ((np.minimum(a, b) * self.whole >= np.maximum(a, b) * self.part)
+              & (room * (self.part + self.whole) >= self.part * (a + b)) & (self.comp[i] != self.comp[j]))
+        differ = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=-1, dtype=np.int64)
+        return ok & (((a + b - differ) * (self.part + self.whole) >= 2 * self.part * (a + b)) | self.plain[i] | self.plain[j])
+
+    def all_pairs(self, s: int, m: int) -> list:
+        i, j = np.triu_indices(m, 1)
+        ok = self.passing(s + i, s + j)
+        return [(s + i[ok], s + j[ok])]
+
+    def forest(self, s: int, m: int) -> list:
+        """Spanning forest between classes, from the first entry on."""
+        out, left = [], np.arange(s, s + m)
+        while len(left) > 1:
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                u = queue.pop()
+                same = self.comp[left] == self.comp[u]
+                near = self.passing(u, left)
+                got = left[near]
+                if len(got):
+                    got = got[np.unique(self.comp[got], return_index=True)[1]]
+                    out.append((np.full(len(got), u), got))
+                    near |= np.isin(self.comp[left], self.comp[got])
+                reached = near | same
+                queue.extend(left[reached].tolist())
+                left = left[~reached]
+        return out
 
-    def passing(n, pos, comp, i, j):
-        a, b = n[i], n[j]
-        room = np.minimum(a - pos[i], b - pos[j])
-        return ((np.minimum(a, b) * whole >= np.maximum(a, b) * part) & (room * (part + whole) >= part * (a + b))
-                & (comp[i] != comp[j]).any(axis=1))
 
+def _cross(part: int, whole: int, forest: bool):
+    """Pairs of entries of each list (rows sorted by ``token``, ``sub``) that pass the filters."""
     def pairs(batch):
-        token, sub, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3))
-        comp = halves(batch.column(5))
+        token, sub, n, pos, g, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(len(token), -1)
+        keep = _Filter(n.astype(np.int64), pos.astype(np.int64), comp, bits, part, whole)
         start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))))
         size = np.diff(np.append(start, len(token)))
         two = start[size == 2]
-        found = [(two, two + 1)] if len(two) else []
+        two = two[keep.passing(two, two + 1)] if len(two) else two
+        found = [(two, two + 1)]
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            i, j = np.triu_indices(m, 1)
-            ok = passing(n[s:s + m], pos[s:s + m], comp[s:s + m], i, j)
-            found.append((s + i[ok], s + j[ok]))
-        if not found:
-            return None
-        i, j = (np.concatenate(x) for x in zip(*found))
-        ok = passing(n, pos, comp, i, j)
-        return pa.array(i[ok]), pa.array(j[ok])
+            found += keep.forest(s, m) if forest else keep.all_pairs(s, m)
+        i, j = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[i], comp[i], g[j], comp[j])], ["ga", "ca", "gb", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def out(rows: pa.Table):
-            batch = rows.combine_chunks().to_batches()[0]
-            got = pairs(batch)
-            if got:
-                i, j = got
-                yield pa.RecordBatch.from_arrays([batch.column(4).take(i), batch.column(5).take(i), batch.column(4).take(j), batch.column(5).take(j)],
-                                                 ["ga", "ca", "gb", "cb"])
+        held: pa.Table | None = None                      # rows from the last, still open, list on
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
             token, sub = rows["token"].to_numpy(), rows["sub"].to_numpy()
-            last = len(token) - 1
-            while last > 0 and token[last - 1] == token[-1] and sub[last - 1] == sub[-1]:
-                last -= 1
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))
+            last = int(cut[-1]) + 1 if len(cut) else 0
             held = rows.slice(last)
             if last:
-                yield from out(rows.slice(0, last))
+                yield pairs(rows.slice(0, last).combine_chunks().to_batches()[0])
         if held is not None and held.num_rows:
-            yield from out(held)
+            yield pairs(held.combine_chunks().to_batches()[0])
     return run
 
 
-def _remaining(entries: DataFrame, hot: int, part: int, whole: int) -> DataFrame:
-    """``(ga, ca, gb, cb)``: pairs of (group, class) entries of a list that differ in class and pass the filters."""
+def _between(entries: DataFrame, hot: int, part: int, whole: int, forest: bool) -> DataFrame:
+    """``(ga, ca, gb, cb)``: pairs of (group, class) entries of one list that
+    differ in class and pass the filters: a forest of them, or all."""
     lists = entries.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    lists = stage(lists.select("token", F.ceil(F.col("m") / (hot / 2)).cast("long").alias("chunks"), F.col("m").alias("m")))
-    rows = entries.join(lists, "token")
-    many = F.when(F.col("m") > hot, F.col("chunks")).otherwise(F.lit(1).cast("long"))
-    rows = rows.withColumn("k", many).withColumn("own", F.pmod(F.xxhash64("gid", "comp"), F.col("k")))
+    rows = entries.join(lists.select("token", "m"), "token")
+    k = F.when(F.col("m") > hot, F.ceil(F.col("m") / (hot / 2))).otherwise(F.lit(1)).cast("long")
+    rows = rows.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("g", "comp"), F.col("k")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    rows = rows.select("token", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("sub"), "n", "pos", "gid", "comp")
-    rows = rows.repartition(partitions(entries), "token", "sub").sortWithinPartitions("token", "sub", "gid", "comp")
-    return rows.mapInArrow(_cross(part, whole), "ga binary, ca binary, gb binary, cb binary")
+    rows = rows.select("token", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("sub"), "n", "pos", "g", "comp", "bits", F.xxhash64("g").alias("h"))
+    rows = rows.repartition(partitions(entries), "token", "sub").sortWithinPartitions("token", "sub", "h", "comp").drop("h")
+    return rows.mapInArrow(_cross(part, whole, forest), "ga long, ca long, gb long, cb long")
 
 
 def _ordered(a, b):
@@ -325,62 +348,55 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     >= part * union`` of the shingle sets) reach, named by the smallest id.
 
     Null and empty texts and texts without words have no shingles: they are
-    linked with nothing, repeated ones included, and name themselves. A text
-    of fewer than ``width`` words is one shingle. Repeated rows and texts with
-    one set are one class. A null id takes part, but names a class only where
-    no row of it has an id. An empty table gives no rows; other columns are
-    not read."""
+    linked with nothing, repeated ones included, and name themselves (their
+    ``label`` is null). A text of fewer than ``width`` words is one shingle.
+    Repeated rows and texts with one set are one class. A null id takes part,
+    but names a class only where no row of it has an id. An empty table gives
+    no rows; other columns are not read."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(text_col)).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     levels = shingle_levels(src, width)
-    known = stage(src.mapInArrow(_describe(width, levels, part, whole), "doc_id long, row_key long, n long, uid binary, gid binary, prefix binary"))
+    known = stage(src.mapInArrow(_describe(width, levels, part, whole), "doc_id long, row_key long, n int, uid binary, gkey binary, bits binary, prefix binary"))
     some = known.filter("n > 0")
-    units = stage(some.groupBy("uid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("gid").alias("gid")))
-    members = units.groupBy("gid").agg(F.count("*").alias("units"), F.min("uid").alias("rep_uid"))
-    groups = stage(some.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(members, "gid"))
-    posts = groups.select("gid", "n", "units", "prefix").mapInArrow(_post, "token long, gid binary, n long, units long, pos long")
-    shared = stage(posts.groupBy("token").agg(F.count("*").alias("m"), F.max("units").alias("u")).filter("m > 1 or u > 1"))
-    lists = stage(posts.join(shared, "token").filter("m > 1 or (units > 1 and pos = 0)").select("token", "gid", "n", "pos"))
-    reps = groups.select("gid", "rep_uid")
+    named = some.groupBy("uid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("n").alias("n"),
+                                    F.first("gkey").alias("gkey"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    units = stage(named.withColumn("u", F.monotonically_increasing_id()))              # written once: the numbers stay
+    several = stage(units.groupBy("gkey").agg(F.count("*").alias("units"), F.min("u").alias("g")).filter("units > 1"))
+    groups = stage(units.join(several, "gkey", "left").select("u", F.coalesce("g", "u").alias("g"), F.coalesce("units", F.lit(1)).alias("units"), "n", "bits", "prefix"))
+    posts = groups.filter("u = g").select("g", "n", "prefix").mapInArrow(_post, "token long, g long, n int, pos int")
+    shared = stage(posts.groupBy("token").count().filter("count > 1").select("token"))
+    lists = posts.join(shared, "token")
+    # the members of a group are a list too, under a number of its own below all shingles' places
+    inner = groups.filter("units > 1 and u = g").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("pos"))
+    lists = stage(lists.unionByName(inner))
     verify = _Verifier(src, units, width, part, whole)
     seen, links = [], []
-
-    def labels() -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        return components(every)
-
-    def take(pairs: DataFrame) -> None:
-        pairs = pairs.filter("a <> b").distinct()
+    comps = groups.select("u", "g", "units", "bits", F.col("u").alias("comp"))
+    for turn in range(FORESTS + 1):
+        # a group in a list: an entry for each class in it; the bitmap of a single member stands for it
+        entry = comps.groupBy("g", "comp").agg(F.count("*").alias("c"), F.first("bits").alias("bits"), F.min("u").alias("one"))
+        entry = stage(entry.select("g", "comp", F.when(F.col("c") == 1, F.col("bits")).otherwise(F.lit(bytes(BITS // 8))).alias("bits"), "one"))
+        found = _between(lists.join(entry.drop("one"), "g"), hot, part, whole, forest=turn < FORESTS).distinct()
+        if turn < FORESTS:          # one member of each side
+            pairs = (found.join(entry.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("one").alias("ua")), ["ga", "ca"])
+                     .join(entry.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("one").alias("ub")), ["gb", "cb"]))
+        else:                       # every member
+            side = comps.select("u", "g", "comp", "bits")
+            pairs = (found.join(side.select(F.col("u").alias("ua"), F.col("g").alias("ga"), F.col("comp").alias("ca")), ["ga", "ca"])
+                     .join(side.select(F.col("u").alias("ub"), F.col("g").alias("gb"), F.col("comp").alias("cb")), ["gb", "cb"]))
+        pairs = pairs.select(*_ordered(F.col("ua"), F.col("ub"))).distinct()
         for old in seen:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = stage(pairs)
         seen.append(pairs)
-        links.append(verify(pairs))
-
-    comps = units.select("uid", "gid", F.col("uid").alias("comp"))
-    for turn in range(STARS):
-        at = lists.join(comps.join(reps.select(F.col("rep_uid").alias("uid")), "uid", "left_semi").select("gid", "uid", "comp"), "gid")
-        pivot = (at.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n", "pos", "uid", "comp")).alias("p")))
-        star = (at.join(pivot, "token").filter("gid <> p.gid and comp <> p.comp").filter(_may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), part, whole))
-                .select(*_ordered(F.col("uid"), F.col("p.uid"))))
-        inside = (comps.join(groups.filter("units > 1").select("gid", "rep_uid"), "gid").filter("uid <> rep_uid")
-                  .select(*_ordered(F.col("uid"), F.col("rep_uid"))))
-        take(star.union(inside) if turn == 0 else star)
-        label = stage(labels())
-        comps = stage(units.select("uid", "gid").join(label, units["uid"] == label["node"], "left").select("uid", "gid", F.coalesce("label", "uid").alias("comp")))
-
-    inner = stage(comps.groupBy("gid", "comp").count().select("gid", "comp"))
-    rest = stage(_remaining(lists.join(inner, "gid"), hot, part, whole).distinct())
-    side = comps.select("uid", "gid", "comp")
-    pairs = (rest.join(side.select(F.col("uid").alias("ua"), F.col("gid").alias("ga"), F.col("comp").alias("ca")), ["ga", "ca"])
-             .join(side.select(F.col("uid").alias("ub"), F.col("gid").alias("gb"), F.col("comp").alias("cb")), ["gb", "cb"]))
-    take(pairs.select(*_ordered(F.col("ua"), F.col("ub"))))
-    label = stage(labels())
-    named = units.select("uid", "least").join(label, units["uid"] == label["node"], "left").select("uid", "least", F.coalesce("label", "uid").alias("label"))
-    low = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = stage(named.select("uid", "label").join(low, "label"))
-    discard(*seen, *links, *verify.sets, lists, shared, groups, rest, inner)
-    full = some.join(classes, "uid").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "label", "component_id")
-    none = known.filter("n = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("component_id"))
+        if not pairs.isEmpty():
+            links.append(verify(pairs))
+            label = stage(components(reduce(DataFrame.union, links)))
+            comps = stage(groups.select("u", "g", "units", "bits").join(label, groups["u"] == label["node"], "left")
+                          .select("u", "g", "units", "bits", F.coalesce("label", "u").alias("comp")))
+    called = units.select("u", "uid", "least").join(comps.select("u", "comp"), "u")
+    low = called.groupBy("comp").agg(F.min("least").alias("component_id"))
+    classes = stage(called.join(low, "comp").select("uid", F.col("comp").alias("label"), "component_id"))
+    discard(*seen, *links, *verify.sets, lists, shared, groups, several)
+    full = some.join(classes, "uid").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "label", "component_id")
+    none = known.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return full.union(none)
