@@ -9,7 +9,8 @@ is; rare shingles first keep the lists short.
 1. Documents with one shingle set are one unit; units with identical prefix
    and size are one group. Only groups are posted under their prefix shingles.
 2. Group pairs of a list are filtered by size, by position (before the first
-   shared shingle nothing is shared, so what follows bounds the overlap), and
+   shared shingle nothing is shared, so what follows bounds the overlap; most
+   rows pass with no other of their list and go before anything else), and
    by bitmaps: a set's bitmap has a bit for each of 512 hash classes, flipped
    by every shingle in it, so two sets differ in at least as many shingles as
    their bitmaps in bits. No filter loses a pair.
@@ -252,6 +253,51 @@ class _Verifier:
 
 # ---------------------------------------------------------------- pairs between classes
 
+def _by_list(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole lists, of rows sorted by ``keys``."""
+    held: pa.Table | None = None                          # rows from the last, still open, list on
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        edge = np.zeros(max(0, rows.num_rows - 1), bool)
+        for k in keys:
+            v = rows[k].to_numpy()
+            edge |= v[1:] != v[:-1]
+        cut = np.flatnonzero(edge)
+        last = int(cut[-1]) + 1 if len(cut) else 0
+        held = rows.slice(last)
+        if last:
+            yield rows.slice(0, last).combine_chunks().to_batches()[0]
+    if held is not None and held.num_rows:
+        yield held.combine_chunks().to_batches()[0]
+
+
+def _useful(part: int, whole: int):
+    """Rows of each list (sorted by ``token``) that pass the size and position
+    filters with another row of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_list(batches, ("token",)):
+            token, n, pos = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 2, 3))
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            size = np.diff(np.append(start, len(token)))
+
+            def fit(i, j):
+                a, b = n[i], n[j]
+                return ((np.minimum(a, b) * whole >= np.maximum(a, b) * part)
+                        & (np.minimum(a - pos[i], b - pos[j]) * (part + whole) >= part * (a + b)))
+            keep = np.zeros(len(token), bool)
+            two = start[size == 2]
+            two = two[fit(two, two + 1)] if len(two) else two
+            keep[two] = keep[two + 1] = True
+            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+                own = np.arange(s, s + m)
+                both = fit(own[:, None], own[None, :])
+                np.fill_diagonal(both, False)
+                keep[own] = both.any(axis=1)
+            yield batch.filter(pa.array(keep))
+    return run
+
+
 class _Filter:
     """Which pairs of a list's entries differ in class and may link."""
 
@@ -309,18 +355,8 @@ def _cross(part: int, whole: int, forest: bool):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (g[i], comp[i], g[j], comp[j])], ["ga", "ca", "gb", "cb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None                      # rows from the last, still open, list on
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            token, sub = rows["token"].to_numpy(), rows["sub"].to_numpy()
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))
-            last = int(cut[-1]) + 1 if len(cut) else 0
-            held = rows.slice(last)
-            if last:
-                yield pairs(rows.slice(0, last).combine_chunks().to_batches()[0])
-        if held is not None and held.num_rows:
-            yield pairs(held.combine_chunks().to_batches()[0])
+        for batch in _by_list(batches, ("token", "sub")):
+            yield pairs(batch)
     return run
 
 
@@ -363,8 +399,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = stage(units.groupBy("gkey").agg(F.count("*").alias("units"), F.min("u").alias("g")).filter("units > 1"))
     groups = stage(units.join(several, "gkey", "left").select("u", F.coalesce("g", "u").alias("g"), F.coalesce("units", F.lit(1)).alias("units"), "n", "bits", "prefix"))
     posts = groups.filter("u = g").select("g", "n", "prefix").mapInArrow(_post, "token long, g long, n int, pos int")
-    shared = stage(posts.groupBy("token").count().filter("count > 1").select("token"))
-    lists = posts.join(shared, "token")
+    long = stage(posts.groupBy("token").count().filter(F.col("count") > hot).select("token"))
+    brief = posts if long.isEmpty() else posts.join(long, "token", "left_anti")
+    lists = (brief.repartition(partitions(src), "token").sortWithinPartitions("token", "g")
+             .mapInArrow(_useful(part, whole), "token long, g long, n int, pos int"))
+    if not long.isEmpty():
+        lists = lists.unionByName(posts.join(long, "token", "left_semi"))
     # the members of a group are a list too, under a number of its own below all shingles' places
     inner = groups.filter("units > 1 and u = g").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("pos"))
     lists = stage(lists.unionByName(inner))
@@ -396,7 +436,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     called = units.select("u", "uid", "least").join(comps.select("u", "comp"), "u")
     low = called.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = stage(called.join(low, "comp").select("uid", F.col("comp").alias("label"), "component_id"))
-    discard(*seen, *links, *verify.sets, lists, shared, groups, several)
+    discard(*seen, *links, *verify.sets, lists, long, groups, several)
     full = some.join(classes, "uid").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "label", "component_id")
     none = known.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return full.union(none)
