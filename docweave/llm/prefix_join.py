@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, NOT_SPACE, components, discard, gram_hashes, joined, mix64, partitions, row_blocks, span_hashes, spans, stage, text_bytes
+from docweave.llm.common import LOWER, NOT_SPACE, components, discard, gram_hashes, joined, mix64, partitions, row_blocks, small, span_hashes, spans, stage, text_bytes
 from docweave.llm.keep import row_key
 from docweave.llm.vectors import row_pieces
 
@@ -55,6 +55,9 @@ HOT = 1024
 #: Rounds of spanning forests before all pairs left are taken.
 FORESTS = 2
 BITS = 512
+#: Bits of the filter of rows whose sets are wanted (2 MB).
+MARK_BITS = 24
+_MARKS = 1 << 16
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -206,10 +209,40 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- exact comparison
 
-def _sets(width: int):
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``chunk, marks``: a bit for each place of each chunk; rows come sorted by chunk."""
+    for batch in _by_list(batches, ("chunk",)):
+        chunk, at = (c.to_numpy() for c in batch.columns)
+        first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        bits = np.zeros((len(first), _MARKS), np.uint8)
+        bits[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(chunk)))), at] = 1
+        rows = [r.tobytes() for r in np.packbits(bits, axis=1)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(rows, pa.binary())], ["chunk", "marks"])
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """Bits (as bytes) of the classes of ``row_key`` that ``keys`` has. The
+    size is fixed: with very many keys it only lets more rows pass."""
+    place = F.pmod("row_key", F.lit(1 << MARK_BITS))
+    rows = keys.select(F.shiftright(place, _MARKS.bit_length() - 1).cast("int").alias("chunk"), F.pmod(place, F.lit(_MARKS)).cast("int").alias("at")).distinct()
+    rows = rows.repartition(partitions(keys), "chunk").sortWithinPartitions("chunk").mapInArrow(_marks, "chunk int, marks binary")
+    out = np.zeros((1 << MARK_BITS) // 8, np.uint8)
+    step = _MARKS // 8
+    for r in rows.collect():                               # 1 << MARK_BITS bits
+        out[r["chunk"] * step:(r["chunk"] + 1) * step] = np.frombuffer(r["marks"], np.uint8)
+    return out
+
+
+def _sets(width: int, marks: np.ndarray):
+    """``doc_id, row_key, hashes`` of the rows whose key may be wanted."""
+    def wanted(batches):
+        for batch in batches:
+            key = batch.column(1).to_numpy().view(np.uint64) & np.uint64((1 << MARK_BITS) - 1)
+            yield batch.filter(pa.array(((marks[(key >> np.uint64(3)).astype(np.int64)] >> (7 - (key & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, h, cut in _blocks(batches, width):
-            yield pa.RecordBatch.from_arrays([rows.column(0), _cells(h, cut)], ["u", "hashes"])
+        for rows, h, cut in _blocks(wanted(batches), width):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _cells(h, cut)], ["doc_id", "row_key", "hashes"])
     return run
 
 
@@ -238,17 +271,19 @@ class _Verifier:
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """Links ``(a, b)`` among staged unit pairs."""
-        need = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
-        if self.sets:
-            need = need.join(self.all_sets().select("u"), "u", "left_anti")
-        reps = stage(self.units.join(need, "u", "left_semi").select("u", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key")))
-        texts = self.docs.join(reps, self.docs["doc_id"].eqNullSafe(reps["rep_id"]) & (self.docs["row_key"] == reps["rep_key"]))
-        made = texts.select("u", "text").mapInArrow(_sets(self.width), "u long, hashes binary")
-        self.sets.append(stage(made.groupBy("u").agg(F.first("hashes").alias("hashes"))))          # a document may be many rows
-        sets = self.all_sets()
-        both = (pairs.join(sets.select(F.col("u").alias("a"), F.col("hashes").alias("x")), "a")
+        need = stage(pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct())
+        new = need.join(self.all_sets().select("u"), "u", "left_anti") if self.sets else need
+        reps = stage(self.units.join(small(new) if new is need else new, "u", "left_semi").select("u", "rep.doc_id", "rep.row_key"))
+        made = self.docs.mapInArrow(_sets(self.width, _marked(reps)), "doc_id long, row_key long, hashes binary")
+        at = made["doc_id"].eqNullSafe(reps["doc_id"]) & (made["row_key"] == reps["row_key"])
+        made = made.join(small(reps), at).groupBy("u").agg(F.first("hashes").alias("hashes"))          # a document may be many rows
+        self.sets.append(stage(made))
+        sets = self.all_sets().join(small(need), "u", "left_semi")
+        both = (sets.select(F.col("u").alias("a"), F.col("hashes").alias("x")).join(small(pairs), "a")
                 .join(sets.select(F.col("u").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"))
-        return stage(both.mapInArrow(_linked(self.part, self.whole), "a long, b long"))
+        out = stage(both.mapInArrow(_linked(self.part, self.whole), "a long, b long"))
+        discard(need, reps)
+        return out
 
 
 # ---------------------------------------------------------------- pairs between classes
@@ -397,8 +432,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     F.first("gkey").alias("gkey"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     units = stage(named.withColumn("u", F.monotonically_increasing_id()))              # written once: the numbers stay
     several = stage(units.groupBy("gkey").agg(F.count("*").alias("units"), F.min("u").alias("g")).filter("units > 1"))
-    groups = stage(units.join(several, "gkey", "left").select("u", F.coalesce("g", "u").alias("g"), F.coalesce("units", F.lit(1)).alias("units"), "n", "bits", "prefix"))
-    posts = groups.filter("u = g").select("g", "n", "prefix").mapInArrow(_post, "token long, g long, n int, pos int")
+    groups = stage(units.join(several, "gkey", "left").select("u", F.coalesce("g", "u").alias("g"), F.coalesce("units", F.lit(1)).alias("units"), "n", "bits"))
+    others = small(stage(groups.filter("u <> g").select("u")))
+    posts = units.join(others, "u", "left_anti").select(F.col("u").alias("g"), "n", "prefix").mapInArrow(_post, "token long, g long, n int, pos int")
     long = stage(posts.groupBy("token").count().filter(F.col("count") > hot).select("token"))
     brief = posts if long.isEmpty() else posts.join(long, "token", "left_anti")
     lists = (brief.repartition(partitions(src), "token").sortWithinPartitions("token", "g")
