@@ -38,9 +38,25 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str) -> DataFrame:
+    """``stage`` in buckets by ``key``: joins on it read the rows where they
+    lie. ``df`` is to be dealt by ``key`` into ``partitions(df)`` parts."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.write.format("parquet").option("path", path).bucketBy(partitions(df), key).sortBy(key).saveAsTable(name)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    out = spark.table(name)
+    out._stage_path, out._stage_name = path, name
+    return out
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete tables made by ``stage`` that nothing reads any more."""
     for df in staged:
+        if hasattr(df, "_stage_name"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._stage_name}")
         jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
         jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, NOT_SPACE, components, discard, gram_hashes, joined, mix64, partitions, row_blocks, small, span_hashes, spans, stage, text_bytes
+from docweave.llm.common import LOWER, NOT_SPACE, components, discard, gram_hashes, joined, mix64, partitions, row_blocks, small, span_hashes, spans, stage, stage_by, text_bytes
 from docweave.llm.keep import row_key
 from docweave.llm.vectors import row_pieces
 
@@ -194,17 +194,20 @@ def _describe(width: int, levels: np.ndarray, part: int, whole: int):
     return run
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, g, n, pos``: a row for each prefix shingle of a group."""
-    for batch in batches:
-        for part in row_pieces([batch], 1 << 12):
+def _post(levels: np.ndarray, hot: int):
+    """``token, g, n, pos, often``: a row for each prefix shingle of a group;
+    only a shingle that is ``often`` can have a list longer than ``hot``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_pieces(batches, 1 << 12):
             prefix = part.column(2).to_pylist()
             size = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
             row = pa.array(np.repeat(np.arange(len(prefix)), size))
             pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            token = np.frombuffer(b"".join(prefix), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), part.column(0).take(row), part.column(1).take(row), pa.array(pos.astype(np.int32))],
-                                             ["token", "g", "n", "pos"])
+            token = np.frombuffer(b"".join(prefix), np.uint64)
+            often = levels[(token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] >= hot.bit_length()
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column(0).take(row), part.column(1).take(row),
+                                              pa.array(pos.astype(np.int32)), pa.array(often)], ["token", "g", "n", "pos", "often"])
+    return run
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -236,9 +239,15 @@ def _marked(keys: DataFrame) -> np.ndarray:
 def _sets(width: int, marks: np.ndarray):
     """``doc_id, row_key, hashes`` of the rows whose key may be wanted."""
     def wanted(batches):
+        seen = set()                                       # of a document's many rows a task gives one
         for batch in batches:
             key = batch.column(1).to_numpy().view(np.uint64) & np.uint64((1 << MARK_BITS) - 1)
-            yield batch.filter(pa.array(((marks[(key >> np.uint64(3)).astype(np.int64)] >> (7 - (key & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)))
+            batch = batch.filter(pa.array(((marks[(key >> np.uint64(3)).astype(np.int64)] >> (7 - (key & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)))
+            new = []
+            for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                new.append(k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, h, cut in _blocks(wanted(batches), width):
@@ -276,8 +285,8 @@ class _Verifier:
         reps = stage(self.units.join(small(new) if new is need else new, "u", "left_semi").select("u", "rep.doc_id", "rep.row_key"))
         made = self.docs.mapInArrow(_sets(self.width, _marked(reps)), "doc_id long, row_key long, hashes binary")
         at = made["doc_id"].eqNullSafe(reps["doc_id"]) & (made["row_key"] == reps["row_key"])
-        made = made.join(small(reps), at).groupBy("u").agg(F.first("hashes").alias("hashes"))          # a document may be many rows
-        self.sets.append(stage(made))
+        made = made.join(small(reps), at).select("u", "hashes").repartition(partitions(made), "u")
+        self.sets.append(stage_by(made.groupBy("u").agg(F.first("hashes").alias("hashes")), "u"))          # a document may be rows of several tasks
         sets = self.all_sets().join(small(need), "u", "left_semi")
         both = (sets.select(F.col("u").alias("a"), F.col("hashes").alias("x")).join(small(pairs), "a")
                 .join(sets.select(F.col("u").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y"))
@@ -395,16 +404,18 @@ def _cross(part: int, whole: int, forest: bool):
     return run
 
 
-def _between(entries: DataFrame, hot: int, part: int, whole: int, forest: bool) -> DataFrame:
+def _between(lists: DataFrame, entry: DataFrame, hot: int, part: int, whole: int, forest: bool) -> DataFrame:
     """``(ga, ca, gb, cb)``: pairs of (group, class) entries of one list that
     differ in class and pass the filters: a forest of them, or all."""
-    lists = entries.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    rows = entries.join(lists.select("token", "m"), "token")
+    rows = lists.join(entry.select("g", "comp"), "g")
+    mixed = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    rows = rows.join(mixed.select("token", "m"), "token")
     k = F.when(F.col("m") > hot, F.ceil(F.col("m") / (hot / 2))).otherwise(F.lit(1)).cast("long")
     rows = rows.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("g", "comp"), F.col("k")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    rows = rows.select("token", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("sub"), "n", "pos", "g", "comp", "bits", F.xxhash64("g").alias("h"))
-    rows = rows.repartition(partitions(entries), "token", "sub").sortWithinPartitions("token", "sub", "h", "comp").drop("h")
+    rows = rows.select("token", (F.least("own", "other") * F.col("k") + F.greatest("own", "other")).alias("sub"), "n", "pos", "g", "comp")
+    rows = rows.join(entry.select("g", "comp", "bits"), ["g", "comp"]).select("token", "sub", "n", "pos", "g", "comp", "bits", F.xxhash64("g").alias("h"))
+    rows = rows.repartition(partitions(lists), "token", "sub").sortWithinPartitions("token", "sub", "h", "comp").drop("h")
     return rows.mapInArrow(_cross(part, whole, forest), "ga long, ca long, gb long, cb long")
 
 
@@ -431,11 +442,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = some.groupBy("uid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("rep"), F.first("n").alias("n"),
                                     F.first("gkey").alias("gkey"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     units = stage(named.withColumn("u", F.monotonically_increasing_id()))              # written once: the numbers stay
+    every = stage(known.select("doc_id", "row_key", "n", "uid"))
+    discard(known)
     several = stage(units.groupBy("gkey").agg(F.count("*").alias("units"), F.min("u").alias("g")).filter("units > 1"))
     groups = stage(units.join(several, "gkey", "left").select("u", F.coalesce("g", "u").alias("g"), F.coalesce("units", F.lit(1)).alias("units"), "n", "bits"))
     others = small(stage(groups.filter("u <> g").select("u")))
-    posts = units.join(others, "u", "left_anti").select(F.col("u").alias("g"), "n", "prefix").mapInArrow(_post, "token long, g long, n int, pos int")
-    long = stage(posts.groupBy("token").count().filter(F.col("count") > hot).select("token"))
+    posts = units.join(others, "u", "left_anti").select(F.col("u").alias("g"), "n", "prefix").mapInArrow(_post(levels, hot), "token long, g long, n int, pos int, often boolean")
+    long = stage(posts.filter("often").groupBy("token").count().filter(F.col("count") > hot).select("token"))
+    posts = posts.drop("often")
     brief = posts if long.isEmpty() else posts.join(long, "token", "left_anti")
     lists = (brief.repartition(partitions(src), "token").sortWithinPartitions("token", "g")
              .mapInArrow(_useful(part, whole), "token long, g long, n int, pos int"))
@@ -444,14 +458,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the members of a group are a list too, under a number of its own below all shingles' places
     inner = groups.filter("units > 1 and u = g").select(F.xxhash64("g").alias("token"), "g", "n", F.lit(0).alias("pos"))
     lists = stage(lists.unionByName(inner))
-    verify = _Verifier(src, units, width, part, whole)
+    names = stage(units.select("u", "uid", "least", "rep"))
+    discard(units)
+    verify = _Verifier(src, names, width, part, whole)
     seen, links = [], []
     comps = groups.select("u", "g", "units", "bits", F.col("u").alias("comp"))
     for turn in range(FORESTS + 1):
         # a group in a list: an entry for each class in it; the bitmap of a single member stands for it
         entry = comps.groupBy("g", "comp").agg(F.count("*").alias("c"), F.first("bits").alias("bits"), F.min("u").alias("one"))
         entry = stage(entry.select("g", "comp", F.when(F.col("c") == 1, F.col("bits")).otherwise(F.lit(bytes(BITS // 8))).alias("bits"), "one"))
-        found = _between(lists.join(entry.drop("one"), "g"), hot, part, whole, forest=turn < FORESTS).distinct()
+        found = _between(lists, entry, hot, part, whole, forest=turn < FORESTS).distinct()
         if turn < FORESTS:          # one member of each side
             pairs = (found.join(entry.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("one").alias("ua")), ["ga", "ca"])
                      .join(entry.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("one").alias("ub")), ["gb", "cb"]))
@@ -469,10 +485,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             label = stage(components(reduce(DataFrame.union, links)))
             comps = stage(groups.select("u", "g", "units", "bits").join(label, groups["u"] == label["node"], "left")
                           .select("u", "g", "units", "bits", F.coalesce("label", "u").alias("comp")))
-    called = units.select("u", "uid", "least").join(comps.select("u", "comp"), "u")
+    called = names.select("u", "uid", "least").join(comps.select("u", "comp"), "u")
     low = called.groupBy("comp").agg(F.min("least").alias("component_id"))
     classes = stage(called.join(low, "comp").select("uid", F.col("comp").alias("label"), "component_id"))
-    discard(*seen, *links, *verify.sets, lists, long, groups, several)
-    full = some.join(classes, "uid").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "label", "component_id")
-    none = known.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    discard(*seen, *links, *verify.sets, lists, long, groups, several, names)
+    full = every.filter("n > 0").join(classes, "uid").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "label", "component_id")
+    none = every.filter("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return full.union(none)
