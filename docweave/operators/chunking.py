@@ -25,12 +25,35 @@ def with_token_count(df: DataFrame, text_col: str = "text", out: str = "n_tokens
     return df.withColumn(out, TX.token_count(text_col, counter))
 
 
+def _bound(value, fn):
+    """``fn(value)`` with the value computed once: what a lambda names more
+    than once, or once for each element, is otherwise computed each time."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def cut_tokens(text, size: int):
     """ARRAY<STRING> of pieces of at most ``size`` tokens of the default
     counter (in its own order, blanks kept), which join to the whole text."""
     units = F.regexp_extract_all(text, F.lit(r"[\t\n\x0B\f\r ]*(?:" + TX.TOKEN_PATTERN + r")|[\t\n\x0B\f\r ]+$"), 0)
-    last = F.floor((F.size(units) - 1) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(units, i * size + 1, F.lit(size)), ""))
+
+    def pieces(u):
+        last = F.floor((F.size(u) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(u, i * size + 1, F.lit(size)), ""))
+    return _bound(units, pieces)
+
+
+def pack_borders(costs, max_tokens: int):
+    """ARRAY<INT> of the sentences (from 0) before which the open chunk is
+    closed: the running total plus their cost is over ``max_tokens``. A
+    sentence costs one more once kept; one over the limit leaves nothing open.
+    The fold holds a number and the borders, no text."""
+    init = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("at"))
+
+    def step(acc, c):
+        flush = acc["n"] + c > max_tokens
+        n = F.when(c > max_tokens, F.lit(0).cast("long")).when(flush, c + F.lit(1).cast("long")).otherwise(acc["n"] + c + 1)
+        return F.struct((acc["i"] + 1).alias("i"), n.alias("n"), F.when(flush, F.array_append(acc["at"], acc["i"])).otherwise(acc["at"]).alias("at"))
+    return F.aggregate(costs, init, step, lambda acc: acc["at"])
 
 
 def pack_sentences(text, max_tokens: int = MAX_TOKENS, lossless: bool = True,
@@ -48,37 +71,42 @@ def pack_sentences(text, max_tokens: int = MAX_TOKENS, lossless: bool = True,
     vanishes (closing an empty chunk then yields "."), and so does the
     open chunk at the end, unless ``keep_tail``.
 
-    One ``aggregate`` fold over the sentence array, JVM-side."""
+    JVM-side: a fold finds the borders (``pack_borders``); each chunk is a
+    slice of the sentences, joined once."""
     counter = counter or TX.DEFAULT_COUNTER
-    sent = TX.split_sentences(text)
-    cost = counter.count_each(F.transform(sent, lambda s: F.concat(F.lit(" "), s)))
-    pairs = F.arrays_zip(sent.alias("s"), cost.alias("c"))
-    empty = F.array().cast("array<string>")
-    init = F.struct(empty.alias("done"), empty.alias("cur"), F.lit(0).alias("n"))
-
-    def close(cur):
-        return F.concat(F.array_join(cur, ". "), F.lit("."))
-
-    def step(acc, x):
-        over = x["c"] > max_tokens
-        flush = acc["n"] + x["c"] > max_tokens
-        filled = flush & (F.size(acc["cur"]) > 0) if lossless else flush
-        done = F.when(filled, F.array_append(acc["done"], close(acc["cur"]))).otherwise(acc["done"])
-        if lossless:
-            done = F.when(over, F.concat(done, cut_tokens(x["s"], max_tokens - 1))).otherwise(done)
-        cur = F.when(flush, empty).otherwise(acc["cur"])
-        n = F.when(flush, F.lit(0)).otherwise(acc["n"])
-        return F.struct(done.alias("done"),
-                        F.when(over, cur).otherwise(F.array_append(cur, x["s"])).alias("cur"),
-                        F.when(over, n).otherwise(n + x["c"] + 1).alias("n"))
-
-    def finish(acc):
+
+    def joined(sent, start, end):
+        return F.concat(F.array_join(F.slice(sent, start + 1, end - start), ". "), F.lit("."))
+
+    def chunks_of(p):
+        sent, cost, at = p["s"], p["c"], p["at"]
+        none = F.array().cast("array<string>")
+
+        def begins(k):
+            """First sentence of what border ``k`` leaves open (-1: the text's begin)."""
+            border = F.get(at, k)
+            return F.when(k < 0, F.lit(0)).otherwise(border + F.when(F.get(cost, border) > max_tokens, 1).otherwise(0))
+
+        def closed(border, k):
+            start = begins(k - 1)
+            filled = F.array(joined(sent, start, border))
+            if not lossless:
+                return filled
+            over = F.get(cost, border) > max_tokens
+            return F.concat(F.when(border > start, filled).otherwise(none),
+                            F.when(over, cut_tokens(F.get(sent, border), max_tokens - 1)).otherwise(none))
+        done = F.flatten(F.transform(at, closed))
         if not (lossless or keep_tail):
-            return acc["done"]
-        return F.when(F.size(acc["cur"]) > 0,
-                      F.array_append(acc["done"], close(acc["cur"]))).otherwise(acc["done"])
+            return done
+        last = begins(F.size(at) - 1)
+        return F.when(F.size(sent) > last, F.array_append(done, joined(sent, last, F.size(sent)))).otherwise(done)
 
-    return F.aggregate(pairs, init, step, finish)
+    # the costs stand outside every lambda: a counter may be a Python UDF
+    sent = TX.split_sentences(text)
+    cost = counter.count_each(F.transform(TX.split_sentences(text), lambda x: F.concat(F.lit(" "), x)))
+    with_borders = _bound(F.struct(sent.alias("s"), cost.alias("c")), lambda p: F.struct(
+        p["s"].alias("s"), p["c"].alias("c"), pack_borders(p["c"], max_tokens).alias("at")))
+    return _bound(with_borders, chunks_of)
 
 
 def chunks(corpus_df: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -2,25 +2,26 @@
 
 Round d joins the pages first reached at depth d with their links and
 keeps the URLs not yet visited (left anti join) at depth d + 1. Pages at
-``max_depth`` are not expanded. The link table is hash-partitioned by
-source URL and checkpointed once, so each round shuffles only the new
-frontier; each round's result is checkpointed (lineage stays flat). A
-URL gets its shortest depth. The visited set is never reshuffled (see
-``expand``).
+``max_depth`` are not expanded, and a URL gets its shortest depth.
+
+The visited set is a table with a partition for each depth, bucketed by URL,
+and the links are bucketed by source URL in as many buckets. So a round reads
+the newest depth and joins it with the links where both lie, and only its new
+candidates move, to be joined with the visited set in place. Each round is
+written before the next begins. A stored visited set can be opened again in
+another application and expanded further (``expand(..., state=path)``): the
+depths that it has are not computed again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip_one_trailing_slash
-from ..session import checkpoint_partitioned, ensure_checkpoint_dir
-
-
-MAX_PIECES = 8
+from ..session import bucketed_table, ensure_checkpoint_dir
 
 
 def fetch_key(url_col) -> F.Column:
@@ -30,43 +31,79 @@ def fetch_key(url_col) -> F.Column:
     return strip_one_trailing_slash(c)
 
 
+class Visited:
+    """The visited set at ``root``: ``(url, depth)``, bucketed by URL."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.name = f"docweave_visited_{uuid.uuid4().hex}"
+        about = f"{self.root}/_about"                          # not listed as data
+        path = spark._jvm.org.apache.hadoop.fs.Path(about)
+        self.stored = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        if self.stored:
+            buckets = spark.read.parquet(about).first()["buckets"]
+        self.buckets = buckets
+        spark.sql(f"CREATE TABLE {self.name} (url STRING, depth INT) USING parquet PARTITIONED BY (depth) "
+                  f"CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{self.root}/urls'")
+        if self.stored:
+            spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+        else:
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(about)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def at(self, depth: int) -> DataFrame:
+        return self.table().filter(F.col("depth") == depth).select("url")
+
+    def add(self, urls: DataFrame, depth: int) -> None:
+        """A round's URLs, written whole or not at all: a round that failed half-way is written anew."""
+        (urls.select("url", F.lit(depth).alias("depth")).repartition(self.buckets, "url").write.format("parquet").mode("append")
+         .partitionBy("depth").bucketBy(self.buckets, "url").sortBy("url").saveAsTable(self.name))
+
+    def beyond(self, depth: int, links: DataFrame) -> DataFrame:
+        """URLs that ``links`` (bucketed by ``src``) reach from ``depth`` and that
+        are not visited. Duplicates go in the partial aggregate, before the
+        candidates are dealt into the visited set's buckets."""
+        found = self.at(depth).withColumnRenamed("url", "src").join(links, "src").select(F.col("dst").alias("url"))
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            found = found.repartition(self.buckets, "url")      # a stored set with another number of buckets: still only the candidates move
+        return found.distinct().join(self.table().select("url"), "url", "left_anti")
+
+    def last_depth(self) -> int:
+        return self.table().agg(F.max("depth").alias("d")).first()["d"] or 0
+
+
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = 2,
-           partitions: int | None = None) -> DataFrame:
+           partitions: int | None = None, state: str | None = None) -> DataFrame:
     """seeds(url) at depth 1, edges(src, dst) -> (url, depth), depth <= max_depth.
 
-    The visited set is kept as checkpointed pieces (one per round), each
-    hash-partitioned by url into the same number of partitions as the
-    new candidates, so the anti joins move only the candidates: the
-    visited set is never shuffled again."""
+    ``state``: a folder that keeps the visited set. If an earlier call filled
+    it, the crawl goes on from there: the result is that of one crawl to
+    ``max_depth``, given the same links, and ``seeds`` that the set lacks are
+    not added."""
     spark = seeds.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = checkpoint_partitioned(edges.select("src", "dst").repartition(n, "src"))
-    first = checkpoint_partitioned(seeds.select(F.col("url")).distinct().withColumn("depth", F.lit(1))
-                                   .repartition(n, "url"))
-    pieces = [first]
-    frontier = first
-    for d in range(1, max_depth):
-        cand = (frontier.select(F.col("url").alias("src"))
-                .join(e, "src").select(F.col("dst").alias("url"))
-                .distinct())                     # duplicates go before the exchange, in the partial aggregate
-        for v in pieces:
-            cand = cand.join(v.select("url"), "url", "left_anti")
-        nxt = checkpoint_partitioned(cand.withColumn("depth", F.lit(d + 1)).repartition(n, "url"))
-        if nxt.isEmpty():
-            break
-        pieces.append(nxt)
-        frontier = nxt
-        if len(pieces) >= MAX_PIECES:            # so a deep crawl has no longer plan than a shallow one
-            pieces = [checkpoint_partitioned(reduce(DataFrame.unionByName, pieces).repartition(n, "url"))]
-    return reduce(DataFrame.unionByName, pieces)
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visited-{uuid.uuid4().hex}"
+    visited = Visited(spark, state or scratch, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    depth = visited.last_depth() if visited.stored else 0
+    if not depth:
+        visited.add(seeds.select("url").distinct(), 1)
+        depth = 1
+    if depth < max_depth:
+        links = bucketed_table(edges.select("src", "dst"), "src", visited.buckets)
+        while depth < max_depth:
+            visited.add(visited.beyond(depth, links), depth + 1)
+            depth += 1
+            if visited.at(depth).isEmpty():
+                break
+    return visited.table().filter(F.col("depth") <= max_depth)
 
 
 def crawl_frontier(pages: DataFrame, links: DataFrame, max_depth: int = 2,
-                   seeds: DataFrame | None = None) -> DataFrame:
+                   seeds: DataFrame | None = None, state: str | None = None) -> DataFrame:
     """Frontier from captured pages: ``links(url, link)`` as produced by
     ``page_links``; seeds default to every captured page."""
     edges = links.select(fetch_key("url").alias("src"), F.col("link").alias("dst"))
     if seeds is None:
         seeds = pages.select(fetch_key("url").alias("url"))
-    return expand(seeds, edges, max_depth)
+    return expand(seeds, edges, max_depth, state=state)

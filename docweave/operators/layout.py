@@ -1,9 +1,13 @@
 """Layout-analysis results: table cells to HTML, and page text with
-each table's characters replaced by its HTML. All row-local
-higher-order functions: a document's layout result is one row."""
+each table's characters replaced by its HTML. All row-local: a document's
+layout result is one row."""
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ def table_html(row_count, cells) -> Column:
     cl = F.col(cells) if isinstance(cells, str) else cells
     placed = F.transform(cl, lambda c, i: F.struct(c["row_index"].alias("r"), c["column_index"].alias("c"), i.alias("i"),
                                                    _cell_html(c).alias("html")))
-    placed = F.array_sort(F.filter(placed, lambda x: (x["r"] >= 0) & (x["r"] < rc)))
+    placed = F.sort_array(F.filter(placed, lambda x: (x["r"] >= 0) & (x["r"] < rc)))
     turn = "</tr><tr>"
 
     def write(sorted_cells):
@@ -54,41 +58,53 @@ def layout_cells(layout: DataFrame) -> DataFrame:
     return c.select("sourcefile", "table_id", "page_number", "row_count", "c.*")
 
 
+def paint(text: str, spans: list[tuple[int, int, int]], html: list[str]) -> str:
+    """``text`` without the characters inside ``spans`` (from, to, table),
+    and each table's ``html`` where it first owns one: a sweep over the sorted
+    borders, with the spans that are open in a heap by table, the latest on
+    top. Borders of a span may lie outside the text."""
+    spans = sorted((max(a, 0), min(b, len(text)), i) for a, b, i in spans if max(a, 0) < min(b, len(text)))
+    if not spans:
+        return text
+    borders = sorted({0, len(text)}.union(*((a, b) for a, b, _ in spans)))
+    out, open_, written, k = [], [], set(), 0
+    for a, b in zip(borders, borders[1:]):
+        while k < len(spans) and spans[k][0] <= a:
+            heapq.heappush(open_, (-spans[k][2], spans[k][1]))
+            k += 1
+        while open_ and open_[0][1] <= a:
+            heapq.heappop(open_)
+        if not open_:
+            out.append(text[a:b])
+        elif (i := -open_[0][0]) not in written:
+            written.add(i)
+            out.append(html[i])
+    return "".join(out)
+
+
+def _painted(batches):
+    for pdf in batches:
+        # ``at``: from, to and table of every span, one after the other
+        texts = [None if t is None else paint(t, [tuple(x) for x in np.reshape(a, (-1, 3)).tolist()], h) + " "
+                 for t, a, h in zip(pdf["own"], pdf["at"], pdf["html"])]
+        yield pd.DataFrame({"sourcefile": pdf["sourcefile"], "page_num": pdf["page_num"], "text": pd.Series(texts, dtype="object")})
+
+
 def overlay_pages(layout: DataFrame) -> DataFrame:
     """(sourcefile, page_num, text): page text where every character
     inside a span of a table on that page is dropped and the table's
     HTML is written once, at its first covered character; a later table
     wins where spans overlap; one blank ends each page. A table belongs
-    to the page of its first bounding region."""
+    to the page of its first bounding region.
+
+    Tables are written and pages cut JVM-side; a page's spans are swept once
+    (``paint``), so a page costs its spans' sorting and its text."""
     p = layout.select("sourcefile", "content", "tables", F.explode("pages").alias("pg"))
-    p = p.select("sourcefile", "content", F.col("pg.page_num").alias("page_num"),
-                 F.col("pg.offset").alias("off"), F.col("pg.length").alias("len"),
+    p = p.select("sourcefile", F.col("pg.page_num").cast("int").alias("page_num"), F.col("pg.offset").alias("off"),
+                 F.substring("content", F.col("pg.offset") + 1, F.col("pg.length")).alias("own"),
                  F.filter("tables", lambda t: t["page_number"] == F.col("pg.page_num") + 1).alias("tp"))
-    tix = F.transform("tp", lambda t, i: F.struct(i.alias("i"), t["spans"].alias("spans"),
-                                                 table_html(t["row_count"], t["cells"]).alias("html")))
-    p = p.withColumn("tix", tix)
-
-    # the page falls into segments between the ends of spans; a segment has one owner
-    inner = F.flatten(F.transform("tix", lambda t: F.flatten(F.transform(t["spans"], lambda s: F.array(
-        s["offset"] - F.col("off"), s["offset"] + s["length"] - F.col("off"))))))
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.col("len")),
-                                                  F.filter(inner, lambda x: (x > 0) & (x < F.col("len"))))))
-    p = p.withColumn("cuts", cuts)
-
-    def owner(k):
-        pos = F.col("off") + k
-        return F.aggregate("tix", F.lit(-1), lambda acc, t: F.when(
-            F.exists(t["spans"], lambda s: (pos >= s["offset"]) & (pos < s["offset"] + s["length"])),
-            t["i"]).otherwise(acc))
-
-    p = p.withColumn("own", F.transform(F.slice("cuts", F.lit(1), F.greatest(F.size("cuts") - 1, F.lit(0))), owner))
-    p = p.withColumn("first", F.transform("tix", lambda t: F.array_position("own", t["i"])))
-
-    def piece(o, k):
-        a, b = F.element_at("cuts", k + 1), F.element_at("cuts", k + 2)
-        return (F.when(o == -1, F.substring(F.col("content"), F.col("off") + a + 1, b - a))
-                 .when(F.element_at("first", o + 1) == k + 1, F.element_at("tix", o + 1)["html"])
-                 .otherwise(F.lit("")))
-
-    text = F.concat(F.array_join(F.transform("own", piece), ""), F.lit(" "))
-    return p.select("sourcefile", F.col("page_num").cast("int").alias("page_num"), text.alias("text"))
+    at = F.flatten(F.flatten(F.transform("tp", lambda t, i: F.transform(t["spans"], lambda s: F.array(
+        (s["offset"] - F.col("off")).cast("long"), (s["offset"] + s["length"] - F.col("off")).cast("long"), i.cast("long"))))))
+    html = F.transform("tp", lambda t: table_html(t["row_count"], t["cells"]))
+    p = p.select("sourcefile", "page_num", "own", at.alias("at"), html.alias("html"))
+    return p.mapInPandas(_painted, "sourcefile string, page_num int, text string")

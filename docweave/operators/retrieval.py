@@ -1,29 +1,28 @@
 """Nearest chunks per question and budgeted context assembly.
 
-Plan: the question matrix is broadcast (its row count and vector size are
-checked first; beyond ``max_broadcast`` rows or 64 MB it goes in bounded
-batches); each partition of
-chunks is scored with one numpy matmul per Arrow batch and keeps only
-its best ``limit`` rows per question, then one exchange by question, a
-``row_number() <= limit`` (WindowGroupLimit), and only then the running
-token budget. At most ``max_len // per_chunk`` rows can fit the
-budget (each costs at least ``per_chunk``), so the cut is exact.
+Vectors are stored by cluster and scored only where a wanted row can be (see
+``vector_index``); what moves for a candidate is its id, its tokens and its
+distance. One exchange by question and a window give the rows kept, at most
+``max_len // per_chunk`` for a question (each costs at least ``per_chunk``),
+and only these are joined with their text. Questions go in batches whose
+matrices have a bounded size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import ensure_checkpoint_dir
+from ..session import stage_table
+from . import vector_index as VI
 
 MAX_CONTEXT_TOKENS = 1800   # context budget
 PER_CHUNK_OVERHEAD = 4      # tokens added per chunk
 SEPARATOR = "\n\n###\n\n"
-TIE_DIGITS = None           # exact distances; ties broken by chunk id
 MAX_BROADCAST_QUESTIONS = 20000
 
 
@@ -35,17 +34,19 @@ def embed(df: DataFrame, text_col: str = "text", out: str = "embedding",
     return df.withColumn(out, fn(F.col(text_col)))
 
 
-MAX_BROADCAST_BYTES = 64 << 20    # question matrix bytes per broadcast batch (float64)
+MAX_BROADCAST_BYTES = 64 << 20    # question vectors, and distances to the centers, of a batch
+MAX_HELD_ROWS = 4_000_000         # candidates that a task can hold for a batch (24 bytes and the ids each)
 
 
-def _question_batches(questions: DataFrame, max_broadcast: int):
-    """Split the questions so that each broadcast batch holds at most
-    ``max_broadcast`` rows and ``MAX_BROADCAST_BYTES`` of vectors (row
-    count and largest dimension come from one small job)."""
+def _question_batches(questions: DataFrame, max_broadcast: int, index: VI.VectorIndex, need: VI.Need):
+    """Split the questions so that a batch has at most ``max_broadcast`` rows,
+    its matrices ``MAX_BROADCAST_BYTES`` and a task's candidates
+    ``MAX_HELD_ROWS`` (row count and largest dimension come from one small job)."""
     st = questions.agg(F.count("*").alias("n"),
                        F.coalesce(F.max(F.size("q_embedding")), F.lit(0)).alias("dim")).first()
-    n, dim = st["n"], max(int(st["dim"]), 1)
-    per_batch = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // (dim * 8)))
+    n, width = st["n"], max(int(st["dim"]), len(index.centers), 1)
+    rows = need.cap or MAX_HELD_ROWS
+    per_batch = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // (width * 8), MAX_HELD_ROWS // rows))
     if n <= per_batch:
         return [questions]
     k = -(-n * 6 // (per_batch * 5))       # 20% slack: batches are assigned by hash
@@ -53,174 +54,63 @@ def _question_batches(questions: DataFrame, max_broadcast: int):
     return [tagged.filter(F.col("_qb") == i).drop("_qb") for i in range(k)]
 
 
-BLOCK_CELLS = 4_000_000     # distance-matrix cells per block (32 MB of doubles)
-
-
-def _topk_block(key, dist, cid, tok, qids, cap, budget):
-    """Row / question-column indices kept for one block of questions."""
-    n, nq = key.shape
-    if cap is not None and n > cap:
-        # candidates: rows not worse than each question's cap-th key
-        kth = np.partition(key, cap - 1, axis=0)[cap - 1]
-        r, c = np.nonzero(key <= kth[None, :])
-    else:
-        r, c = np.divmod(np.arange(n * nq), nq)
-    o = np.lexsort((cid[r], key[r, c], c))
-    r, c = r[o], c[o]
-    starts = np.searchsorted(c, np.arange(nq))
-    if cap is not None:
-        # rank inside each question's run; keep the first cap
-        rank = np.arange(len(c)) - starts[c]
-        keep = rank < cap
-        r, c = r[keep], c[keep]
-        starts = np.searchsorted(c, np.arange(nq))
-    if budget is not None:
-        # exact prune: a row of the global budget prefix is also inside
-        # the budget when only the rows of its own batch are counted.
-        # The first row over budget is kept too: it may be the global
-        # stop row, and later rows must not pass it.
-        max_len, per_chunk = budget
-        cost = tok[r] + per_chunk
-        cum = np.cumsum(cost)
-        base = np.concatenate([[0.0], cum])[starts[c]]
-        keep = (cum - cost - base) <= max_len
-        r, c = r[keep], c[keep]
-    return r, c
-
-
-HELD_ROWS = 50_000          # candidates that a task keeps before it hands them on
-
-
-def _best(rows, cap, budget):
-    """The rows of each question (``_q``) that can still matter, best first."""
-    order = np.lexsort((rows["chunk_id"].to_numpy(), rows["distance"].to_numpy(), rows["_q"].to_numpy()))
-    rows = rows.iloc[order]
-    q = rows["_q"].to_numpy()
-    first = np.searchsorted(q, q)
-    keep = np.ones(len(q), bool)
-    if cap is not None:
-        keep &= np.arange(len(q)) - first < cap
-    if budget is not None:
-        cost = rows[budget[2]].to_numpy(dtype=np.float64) + budget[1]
-        before = np.cumsum(cost) - cost
-        keep &= before - before[first] <= budget[0]
-    return rows[keep]
-
-
-def _topk_batches(batches, bq, cap, payload, budget=None, block_cells=BLOCK_CELLS):
-    """Score Arrow batches of chunks against the broadcast question
-    matrix (one matmul per block of questions, the block sized so the
-    distance matrix stays within ``BLOCK_CELLS``). A task keeps each
-    question's best ``cap`` rows by (distance, chunk_id) over all its
-    batches, so what it hands on does not grow with the batches.
-    Distances are clamped to [0, 2]. A missing or zero vector has no
-    distance to anything: it is left out."""
-    import pandas as pd
-    qids, qmat = bq.value
-    qsq = np.einsum("ij,ij->i", qmat, qmat)
-    held = None
-
-    def handed_on(rows):
-        return rows.assign(question_id=qids[rows["_q"].to_numpy()])[[*payload, "question_id", "distance"]].reset_index(drop=True)
-
-    for pdf in batches:
-        pdf = pdf[[v is not None and bool(np.any(v)) for v in pdf["embedding"]]]
-        if len(pdf) == 0 or len(qids) == 0:
-            continue
-        emb = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"]])
-        csq = np.einsum("ij,ij->i", emb, emb)
-        cid = pdf["chunk_id"].to_numpy()
-        tok = pdf[budget[2]].to_numpy(dtype=np.float64) if budget is not None else None
-        step = max(1, block_cells // len(pdf))
-        parts = [] if held is None else [held]
-        for q0 in range(0, len(qids), step):
-            q1 = min(len(qids), q0 + step)
-            dots = emb @ qmat[q0:q1].T                       # n x block
-            dist = np.minimum(np.abs(1.0 - dots / np.sqrt(csq[:, None] * qsq[None, q0:q1])), 2.0)
-            r, c = _topk_block(dist, dist, cid, tok, qids, cap, None if budget is None else budget[:2])
-            if len(r):
-                parts.append(pdf[payload].iloc[r].assign(distance=dist[r, c], _q=q0 + c))
-        if parts:
-            held = _best(pd.concat(parts, ignore_index=True), cap, budget)
-            if len(held) > HELD_ROWS:
-                yield handed_on(held)
-                held = None
-    if held is not None:
-        yield handed_on(held)
-
-
-def score(chunks: DataFrame, questions: DataFrame, max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-          tie_digits: int = TIE_DIGITS, cap: int | None = None, budget=None,
-          block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """chunks(chunk_id, embedding, ...) x questions(question_id, q_embedding)
-    -> (payload..., question_id, distance, rank_key).
-
-    The question matrix is size-checked (``max_broadcast`` rows per
-    batch) and broadcast; chunks are scored where they are, batch by
-    batch, with numpy. With ``cap`` each batch keeps only its best
-    ``cap`` rows per question before anything is shuffled."""
-    spark = chunks.sparkSession
-    payload = [c for c in chunks.columns if c != "embedding"]
-    fields = [f for f in chunks.schema.fields if f.name != "embedding"]
-    schema = T.StructType(fields + [T.StructField("question_id", questions.schema["question_id"].dataType),
-                                    T.StructField("distance", T.DoubleType())])
-    out = None
-    batches = _question_batches(questions.select("question_id", "q_embedding"), max_broadcast)
-    if len(batches) > 1:
-        # several passes over the chunks: materialise them once in the
-        # shared checkpoint folder instead of recomputing them per batch
-        ensure_checkpoint_dir(spark)
-        chunks = chunks.select(*payload, "embedding").checkpoint()
-    for qb in batches:
-        # bounded: at most max_broadcast rows; a question without a direction has no distances
-        rows = [r for r in qb.collect() if r["q_embedding"] is not None and any(r["q_embedding"])]
-        if not rows:
-            continue
-        qids = np.array([r["question_id"] for r in rows])
-        qmat = np.array([np.asarray(r["q_embedding"], dtype=np.float64) for r in rows])
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        s = chunks.select(*payload, "embedding").mapInPandas(
-            lambda it, bq=bq: _topk_batches(it, bq, cap, payload, budget, block_cells), schema)
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    key = F.col("distance") if tie_digits is None else F.round("distance", tie_digits)
-    return out.withColumn("rank_key", key)
-
-
-def _order():
-    return Window.partitionBy("question_id").orderBy(F.col("rank_key").asc_nulls_last(),
-                                                     F.col("chunk_id").asc())
-
-
-def nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, **kw) -> DataFrame:
+def chunk_index(chunks: DataFrame, id_cols=("chunk_id",), payload=None, cost_col: str | None = "n_tokens") -> VI.VectorIndex:
+    """Index of a chunk table to pass as ``index=`` when questions come in
+    many calls. ``payload``: columns kept with the vectors (ids and cost)."""
+    own = list(payload) if payload is not None else [*id_cols, *([cost_col] if cost_col else [])]
+    return VI.build_index(chunks, own, "embedding", cost_col)
+
+
+def score(index: VI.VectorIndex, questions: DataFrame, need: VI.Need, id_cols, max_broadcast: int = MAX_BROADCAST_QUESTIONS,
+          block_cells: int = VI.BLOCK_CELLS) -> DataFrame:
+    """(payload..., question_id, distance): every row that ``need`` can take,
+    for questions(question_id, q_embedding). A missing or zero vector, on
+    either side, has no distance to anything."""
+    field = questions.schema["question_id"]
+    out = []
+    for qb in _question_batches(questions.select("question_id", "q_embedding"), max_broadcast, index, need):
+        rows = [r for r in qb.collect() if r["q_embedding"] is not None and any(r["q_embedding"])]      # bounded
+        if rows:
+            matrix = np.array([np.asarray(r["q_embedding"], dtype=np.float64) for r in rows])
+            out.append(VI.search(index, [r["question_id"] for r in rows], matrix, need, list(id_cols), field, block_cells))
+    return reduce(DataFrame.unionByName, out) if out else VI.search(index, [], np.zeros((0, 1)), need, list(id_cols), field)
+
+
+def nearest(chunks: DataFrame, questions: DataFrame, k: int = 5, id_cols=("chunk_id",), index: VI.VectorIndex | None = None, **kw) -> DataFrame:
     """Top-k chunks per question by cosine distance (ties by chunk id)."""
-    s = score(chunks, questions, cap=k, **kw)
-    return s.withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= k)
-
-
-def context_rows(chunks: DataFrame, questions: DataFrame, max_len: int = MAX_CONTEXT_TOKENS,
-                 per_chunk: int = PER_CHUNK_OVERHEAD, **kw) -> DataFrame:
-    """Chunks kept per question: ascending distance, stopping at the first
-    one that would push ``sum(n_tokens + per_chunk)`` over ``max_len``."""
-    cap = max_len // per_chunk if per_chunk > 0 else None
-    s = score(chunks, questions, cap=cap, budget=(max_len, per_chunk, "n_tokens"), **kw)
-    ranked = s.withColumn("rank", F.row_number().over(_order()))
-    if cap is not None:
-        ranked = ranked.filter(F.col("rank") <= cap)
-    run = F.sum(F.col("n_tokens") + per_chunk).over(
-        _order().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    index = index or chunk_index(chunks, id_cols, [c for c in chunks.columns if c != "embedding"], None)
+    need = VI.Need(cap=k)
+    return VI.best_rows(score(index, questions, need, id_cols, **kw), ["question_id"], list(id_cols), need, None)
+
+
+def context_rows(chunks: DataFrame | None, questions: DataFrame, max_len: int = MAX_CONTEXT_TOKENS,
+                 per_chunk: int = PER_CHUNK_OVERHEAD, id_cols=("chunk_id",), index: VI.VectorIndex | None = None, **kw) -> DataFrame:
+    """Ids of the chunks kept per question: ascending distance, stopping at
+    the first one that would push ``sum(n_tokens + per_chunk)`` over
+    ``max_len``; with ``rank``, ``distance`` and ``used_tokens``."""
+    index = index or chunk_index(chunks, id_cols)
+    need = VI.Need(cap=max_len // per_chunk if per_chunk > 0 else None, budget=max_len, per_row=per_chunk)
+    rows = VI.best_rows(score(index, questions, need, id_cols, **kw), ["question_id"], list(id_cols), need, "n_tokens")
     # prefix property: once over, every later row is over too (costs > 0)
-    return ranked.withColumn("used_tokens", run).filter(F.col("used_tokens") <= max_len)
+    return rows.withColumnRenamed("used", "used_tokens").filter(F.col("used_tokens") <= max_len).drop("before")
 
 
 def build_context(chunks: DataFrame, questions: DataFrame, max_len: int = MAX_CONTEXT_TOKENS,
-                  per_chunk: int = PER_CHUNK_OVERHEAD, sep: str = SEPARATOR, **kw) -> DataFrame:
+                  per_chunk: int = PER_CHUNK_OVERHEAD, sep: str = SEPARATOR, id_cols=("chunk_id",),
+                  index: VI.VectorIndex | None = None, **kw) -> DataFrame:
     """(question_id, context, n_chunks, used_tokens): chosen chunk texts
-    joined in ascending distance; '' when even the first chunk overflows."""
-    rows = context_rows(chunks, questions, max_len, per_chunk, **kw)
-    agg = rows.groupBy("question_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"),
+    joined in ascending distance; '' when even the first chunk overflows.
+
+    Without an ``index`` the chunks are written to the shared checkpoint
+    folder and indexed. Only the chunks kept are joined with their text."""
+    ids = list(id_cols)
+    if index is None:
+        chunks = stage_table(chunks.select(*ids, "text", "n_tokens", "embedding"))
+        index = chunk_index(chunks, ids)
+    rows = context_rows(None, questions, max_len, per_chunk, ids, index, **kw)
+    kept = rows.select("question_id", *ids, "rank", "used_tokens").join(chunks.select(*ids, "text"), ids)
+    agg = kept.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"),       # texts within one budget
         F.max("used_tokens").alias("used_tokens"))
     ctx = agg.select("question_id",
                      F.array_join(F.transform("_c", lambda x: x["text"]), sep).alias("context"),

@@ -128,7 +128,7 @@ FROM (SELECT doc_id, chunk_no, unnest(range(len(v))) AS bucket, unnest(v) AS cou
 WHERE count > 0"""
 
 CONTEXT_CTE = f"""{chunks_cte()},
-c AS (SELECT doc_id * 1000000 + chunk_no AS chunk_id, text, {tok('text')} AS n_tokens, {embed('text')} AS v FROM chunks),
+c AS (SELECT (doc_id, chunk_no) AS chunk_id, text, {tok('text')} AS n_tokens, {embed('text')} AS v FROM chunks),
 q AS (SELECT item_id AS question_id, {embed('text')} AS qv FROM benchmark),
 scored AS (SELECT q.question_id, c.chunk_id, c.text, c.n_tokens, {cosine('q.qv', 'c.v')} AS distance FROM q, c),
 run AS (SELECT *, sum(n_tokens + 4) OVER (PARTITION BY question_id ORDER BY distance ASC NULLS LAST, chunk_id
@@ -556,6 +556,20 @@ SELECT term, id, count(*)::BIGINT AS tf FROM (
 GROUP BY term, id"""
 
 
+# The usual parameters of BM25, k1 = 1.2 and b = 0.75.
+ORACLE["content_search"] = f"""WITH RECURSIVE {INDEX},
+said AS (SELECT id, regexp_extract_all(lower(content), '\\p{{L}}+|\\p{{N}}+') AS t FROM idx WHERE content IS NOT NULL),
+tot AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM said),
+p AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM said) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (
+  SELECT item_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+|\\p{{N}}+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)))) AS score
+      FROM q JOIN d USING (term) JOIN p USING (term), tot GROUP BY item_id, id)
+SELECT item_id AS question_id, row_number() OVER w AS rank, id, round(score, 6) AS score FROM s
+WINDOW w AS (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+
 # -------------------------------------------------------------- prompts
 PROMPT_CTX = f"""{CONTEXT_CTE},
 k AS (SELECT question_id, string_agg(text, chr(10) || chr(10) || '###' || chr(10) || chr(10) ORDER BY rn) AS context
@@ -681,10 +695,12 @@ SELECT page_id, content_type, CASE WHEN content_type = 'application/pdf' THEN 'p
 FROM t WHERE content_type <> 'image/png'"""
 
 ORACLE["frontier_graph"] = """WITH RECURSIVE e AS (
-  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R'
-  UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R'),
+  SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem
+  UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 walk(url, depth) AS (
-  SELECT 's' || s_suppkey, 1 FROM supplier WHERE s_nationkey < 5
+  SELECT 's' || s_suppkey, 1 FROM supplier WHERE s_acctbal < 0
   UNION
   SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 4)
 SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url"""
+
+ORACLE["frontier_resume"] = ORACLE["frontier_graph"]

@@ -4,6 +4,8 @@ oracles in ``docweave.plans.oracle``."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import chunking as CH
 from ..operators import retrieval as R
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as S
 
-CHUNK_KEY = 1_000_000   # chunk_id = doc_id * CHUNK_KEY + chunk_no
+CHUNK_IDS = ("doc_id", "chunk_no")      # a chunk's key
 
 
 def _long(*names):
@@ -64,9 +67,7 @@ def q_token_histogram(spark, sf_dir) -> DataFrame:
 # ------------------------------------------------------------- retrieval
 
 def embedded_chunks(spark, sf_dir) -> DataFrame:
-    c = chunk_df(spark, sf_dir)
-    c = c.withColumn("chunk_id", F.col("doc_id") * CHUNK_KEY + F.col("chunk_no"))
-    return R.embed(c, "text", "embedding")
+    return R.embed(chunk_df(spark, sf_dir), "text", "embedding")
 
 
 def embedded_questions(spark, sf_dir) -> DataFrame:
@@ -82,9 +83,8 @@ def q_hash_embed(spark, sf_dir) -> DataFrame:
 
 
 def q_context(spark, sf_dir) -> DataFrame:
-    ctx = R.build_context(embedded_chunks(spark, sf_dir).select("chunk_id", "text", "n_tokens", "embedding"),
-                          embedded_questions(spark, sf_dir).select("question_id", "q_embedding"))
-    return ctx
+    return R.build_context(embedded_chunks(spark, sf_dir), embedded_questions(spark, sf_dir).select("question_id", "q_embedding"),
+                           id_cols=CHUNK_IDS)
 
 
 def q_nearest(spark, sf_dir) -> DataFrame:
@@ -177,6 +177,8 @@ QUERIES.update({
 # --------------------------------------------------------------- sections
 from ..functions import urls as U  # noqa: E402
 from ..operators import index as IX  # noqa: E402
+from ..operators import search as SR  # noqa: E402
+from ..sinks import site_store as SS  # noqa: E402
 from ..operators import sections as SE  # noqa: E402
 
 
@@ -214,15 +216,14 @@ def q_page_map(spark, sf_dir) -> DataFrame:
 
 
 def q_section_pages(spark, sf_dir) -> DataFrame:
-    docs = SE.assemble(conv_page_map(spark, sf_dir))
-    s = SE.sections(docs)
+    s = SE.sections_of_pages(S.conversation_pages(spark, sf_dir))
     return s.select("id", "content", "sourcepage", "sourcefile",
                     *_long("section_no", "start", "end", "page_num"))
 
 
 def all_pages(spark, sf_dir) -> DataFrame:
-    """Page map of every file: conversations (paged) and documents (one page)."""
-    conv = conv_page_map(spark, sf_dir).select("sourcefile", "page_num", "text")
+    """Pages of every file: conversations (paged) and documents (one page)."""
+    conv = S.conversation_pages(spark, sf_dir)
     docs = S.doc_files(spark, sf_dir).select("sourcefile", F.lit(0).alias("page_num"), "text")
     return conv.unionByName(docs)
 
@@ -236,17 +237,31 @@ def blobs_df(spark, sf_dir) -> DataFrame:
     return IX.page_blobs(all_pages(spark, sf_dir))
 
 
+def _stored_blobs(spark, sf_dir) -> str:
+    """The page blobs of all files, uploaded to a new store."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/blobs-{uuid.uuid4().hex}"
+    SS.upload_blobs(all_pages(spark, sf_dir), path, buckets=16)
+    return path
+
+
+def _blob_rows(spark, path) -> DataFrame:
+    return SS.read_blobs(spark, path).select("blob_name", "sourcefile", *_long("page_num"), "text")
+
+
 def q_page_blobs(spark, sf_dir) -> DataFrame:
-    return blobs_df(spark, sf_dir).select("blob_name", "sourcefile", *_long("page_num"), "text")
+    """Page blobs, uploaded to the store and read back."""
+    return _blob_rows(spark, _stored_blobs(spark, sf_dir))
 
 
 def q_remove_pages(spark, sf_dir) -> DataFrame:
-    """Remove the page blobs of the conversations that carry a system turn."""
+    """The stored page blobs after those of the conversations that carry a
+    system turn were removed from the store."""
     conv = S.table(spark, sf_dir, "conversations").select("conv_id", "role")
     gone = conv.filter(F.col("role") == "system").select(
         F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("sourcefile"))
-    out = IX.remove_blobs(blobs_df(spark, sf_dir), gone)
-    return out.select("blob_name", "sourcefile", *_long("page_num"), "text")
+    path = _stored_blobs(spark, sf_dir)
+    SS.remove_blobs(spark, path, gone)
+    return _blob_rows(spark, path)
 
 
 def section_index(spark, sf_dir) -> DataFrame:
@@ -283,7 +298,15 @@ def q_content_postings(spark, sf_dir) -> DataFrame:
     return IX.postings(section_index(spark, sf_dir)).select("term", "id", F.col("tf").cast("long"))
 
 
+def q_content_search(spark, sf_dir) -> DataFrame:
+    """The ten best sections for every benchmark text, by BM25."""
+    index = SR.build(section_index(spark, sf_dir))
+    q = S.questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
+    return SR.search(index, q, 10).select(F.col("query_id").alias("question_id"), "rank", "id", F.round("score", 6).alias("score"))
+
+
 QUERIES.update({
+    "content_search": q_content_search,
     "sections": q_sections,
     "page_map": q_page_map,
     "section_pages": q_section_pages,
@@ -377,8 +400,6 @@ QUERIES["tag_lines"] = q_tag_lines
 def q_csv_roundtrip(spark, sf_dir) -> DataFrame:
     """Corpus rows written as CSV (header, quoted multi-line fields) to a
     new folder under the shared checkpoint folder, read back as (title, text)."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/corpus-csv-{uuid.uuid4().hex}"
     FI.write_corpus_csv(corpus_df(spark, sf_dir).select("fname", "text"), path)
@@ -440,16 +461,29 @@ def q_route_pages(spark, sf_dir) -> DataFrame:
     return W.route_pages(S.pages(spark, sf_dir).select("page_id", kind.alias("content_type"))).select("page_id", "content_type", "route")
 
 
-def q_frontier_graph(spark, sf_dir) -> DataFrame:
-    """Breadth-first frontier to depth 4 over the supplier-part graph of the
-    returned lines, from the suppliers of the first five nations."""
-    li = S.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+def _graph(spark, sf_dir):
+    """Seeds and links of the supplier-part graph of all lines; seeds are the
+    suppliers whose account is below zero."""
+    li = S.table(spark, sf_dir, "lineitem")
     s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     edges = li.select(s.alias("src"), p.alias("dst")).union(li.select(p, s)).distinct()
-    seeds = (S.table(spark, sf_dir, "supplier").filter("s_nationkey < 5")
+    seeds = (S.table(spark, sf_dir, "supplier").filter("s_acctbal < 0")
              .select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("url")))
-    return FR.expand(seeds, edges, 4).select("url", *_long("depth"))
+    return seeds, edges
+
+
+def q_frontier_graph(spark, sf_dir) -> DataFrame:
+    """Breadth-first frontier to depth 4 over the supplier-part graph."""
+    return FR.expand(*_graph(spark, sf_dir), 4).select("url", *_long("depth"))
+
+
+def q_frontier_resume(spark, sf_dir) -> DataFrame:
+    """A stored crawl of the supplier-part graph to depth 2, opened again and extended to depth 4."""
+    state = f"{ensure_checkpoint_dir(spark).rstrip('/')}/crawl-{uuid.uuid4().hex}"
+    seeds, edges = _graph(spark, sf_dir)
+    FR.expand(seeds, edges, 2, state=state)
+    return FR.expand(seeds.limit(0), edges, 4, state=state).select("url", *_long("depth"))
 
 
 QUERIES.update({
@@ -458,4 +492,5 @@ QUERIES.update({
     "layout_overlay": q_layout_overlay,
     "route_pages": q_route_pages,
     "frontier_graph": q_frontier_graph,
+    "frontier_resume": q_frontier_resume,
 })

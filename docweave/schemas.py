@@ -104,5 +104,5 @@ PAGE_BLOB = T.StructType([
     T.StructField("blob_name", T.StringType()),
     T.StructField("page_num", T.IntegerType()),
     T.StructField("text", T.StringType()),
-    T.StructField("sourcefile", T.StringType()),     # partition column
+    T.StructField("sourcefile", T.StringType()),     # key of the store
 ])

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -83,17 +84,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def checkpoint_partitioned(df):
-    """Eager ``checkpoint()`` that keeps the DataFrame's hash partitioning
-    (e.g. after ``repartition(n, key)``), so later joins on that key do not
-    shuffle it again. Under adaptive execution the plan root reports an
-    unknown partitioning and the checkpoint would forget it, so the
-    materialising job runs with adaptive execution off."""
-    ensure_checkpoint_dir(df.sparkSession)
-    conf = df.sparkSession.conf
-    old = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set("spark.sql.adaptive.enabled", old)
+def stage_table(df):
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    return a read of it: lineage is cut, columns are pruned, and a lost
+    executor costs nothing that was written. The table goes with
+    ``drop_staged`` or when the application ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*tables) -> None:
+    """Delete tables of ``stage_table`` that nothing reads any more."""
+    for df in tables:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def bucketed_table(df, key: str, buckets: int):
+    """``df`` written to the shared checkpoint folder in ``buckets`` buckets by
+    a hash of ``key``, and read back: joins and aggregates on ``key`` use the
+    rows where they lie."""
+    spark = df.sparkSession
+    name = f"docweave_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    (df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name))
+    return spark.table(name)

@@ -6,7 +6,6 @@ category), ``remove`` (the given files' page blobs and index rows) and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import sections as SE
 from . import index_store, site_store
@@ -35,6 +34,5 @@ def prepare_documents(spark: SparkSession, mode: str, index_path: str, blobs_pat
     pm = SE.page_map(pages)
     if blobs_path and not skip_blobs:
         site_store.upload_blobs(pm.select("sourcefile", "page_num", "text"), blobs_path)
-    docs = SE.assemble(pm)
-    secs = SE.sections(docs.withColumn("category", F.lit(category).cast("string")), category="category")
+    secs = SE.sections_of_pages(pages, category)
     return index_store.upsert_into(spark, index_path, secs, buckets=buckets)

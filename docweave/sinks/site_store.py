@@ -4,9 +4,9 @@
   file name (``page_key``) with the simplified markup and the text file
   content; the last page written to a name wins, pages whose name is ''
   are not written.
-* page-blob store: ``(blob_name, sourcefile, page_num, text)`` partitioned
-  by ``sourcefile``; uploads overwrite only the files they touch, removal
-  deletes the page blobs of PDF files (``<stem>-<n>.pdf``).
+* page-blob store: ``(blob_name, sourcefile, page_num, text)`` in buckets by
+  ``sourcefile`` (``bucket_store``); uploads replace only the files they
+  bring, removal takes the page blobs of PDF files (``<stem>-<n>.pdf``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..functions import html as H
 from ..functions import urls as U
 from ..operators import index as IX
 from ..operators import web as W
-from .index_store import _fs
+from .bucket_store import BUCKETS, BucketStore
 
 
 def site_files(pages: DataFrame, link_mode: str = "text_href") -> DataFrame:
@@ -38,32 +38,30 @@ def write_site_files(pages: DataFrame, path: str, mode: str = "overwrite") -> No
         .partitionBy("netloc").parquet(path))
 
 
-def upload_blobs(page_map: DataFrame, path: str) -> None:
+def blob_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketStore:
+    return BucketStore(spark, path, schemas.PAGE_BLOB, ["sourcefile"], buckets)
+
+
+def upload_blobs(page_map: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the page blobs of the given files, replacing earlier uploads
     of the same files only."""
-    (IX.page_blobs(page_map).select("blob_name", F.col("page_num").cast("int"), "text", "sourcefile")
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("sourcefile").parquet(path))
+    blob_store(page_map.sparkSession, path, buckets).change(IX.page_blobs(page_map).withColumn("page_num", F.col("page_num").cast("int")))
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PAGE_BLOB).parquet(path)
+    return blob_store(spark, path).read()
 
 
-def remove_blobs(spark: SparkSession, path: str, files: DataFrame | None = None) -> int:
-    """Delete page blobs ``<stem>-<n>.pdf`` of the given files (all blobs
+def remove_blobs(spark: SparkSession, path: str, files: DataFrame | None = None) -> None:
+    """Remove the page blobs ``<stem>-<n>.pdf`` of the given files (all blobs
     when ``files`` is None). Text files keep their blob, as the name
-    pattern never matches them. Returns the number of storage files removed."""
-    fs, root, jvm = _fs(spark, path)
-    if not fs.exists(root):
-        return 0
-    t = read_blobs(spark, path).select("blob_name", "sourcefile", F.col("_metadata.file_path").alias("fp"))
-    if files is not None:
-        pdf = files.select(F.col("sourcefile")).filter(
-            U.blob_name(F.col("sourcefile"), F.lit(0)) != U.basename(F.col("sourcefile")))
-        t = t.join(pdf, "sourcefile", "left_semi").filter(F.col("blob_name").rlike(r"-[0-9]+\.pdf$"))
-    paths = [r["fp"] for r in t.select("fp").distinct().collect()]
-    return sum(1 for p in paths if fs.delete(jvm.org.apache.hadoop.fs.Path(p), False))
+    pattern never matches them."""
+    store = blob_store(spark, path)
+    if files is None:
+        store.change(everything=True)
+        return
+    pdf = files.select("sourcefile").filter(U.blob_name(F.col("sourcefile"), F.lit(0)) != U.basename(F.col("sourcefile")))
+    store.change(keys=pdf, only=F.col("blob_name").rlike(r"-[0-9]+\.pdf$"))
 
 
 def write_answers(answers: DataFrame, path: str, mode: str = "append") -> None:

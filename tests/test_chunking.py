@@ -79,3 +79,70 @@ def test_chunks_with_pluggable_counter(spark):
     rows = CH.chunks(docs, max_tokens=10, counter=c).orderBy("doc_id", "chunk_no").collect()
     assert rows[0]["text"] == "a b c. a b c." and rows[0]["n_tokens"] == 6
     assert (rows[-1]["doc_id"], rows[-1]["text"], rows[-1]["n_tokens"]) == (2, "short", 1)
+
+
+def packed_by_hand(text, limit, lossless, keep_tail):
+    import re
+    count = lambda t: len(re.findall(r"[^\W\d_]+|\d{1,3}|[^\t\n\x0b\f\r \w]+", t))
+    done, cur, n = [], [], 0
+    for s in text.split(". "):
+        c = count(" " + s)
+        if n + c > limit:
+            if cur or not lossless:
+                done.append(". ".join(cur) + ".")
+            cur, n = [], 0
+        if c > limit:
+            if lossless:
+                units = re.findall(r"[\t\n\x0b\f\r ]*(?:[^\W\d_]+|\d{1,3}|[^\t\n\x0b\f\r \w]+)|[\t\n\x0b\f\r ]+$", s)
+                done += ["".join(units[i:i + limit - 1]) for i in range(0, len(units), limit - 1)]
+            n = 0
+            continue
+        cur.append(s)
+        n += c + 1
+    if cur and (lossless or keep_tail):
+        done.append(". ".join(cur) + ".")
+    return done
+
+
+def test_packing_follows_the_rules(spark):
+    import random
+    from pyspark.sql import functions as F
+    from docweave.operators import chunking as CH
+    r = random.Random(9)
+    texts = [". ".join(" ".join(r.choice(["ab", "c", "12345", "x!"]) for _ in range(r.choice([0, 1, 3, 9, 25]))) for _ in range(r.randrange(1, 30)))
+             for _ in range(60)] + ["", ". ", ". . ", "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for lossless, tail in ((True, False), (False, False), (False, True)):
+        got = {x["i"]: x["p"] for x in df.select("i", CH.pack_sentences(F.col("t"), 12, lossless, keep_tail=tail).alias("p")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == packed_by_hand(t, 12, lossless, tail), (lossless, tail, t)
+
+
+def test_packing_time_grows_with_the_text(spark):
+    """Twice the sentences take about twice the time (2 and 4 MB)."""
+    import time
+    from pyspark.sql import functions as F
+    from docweave.operators import chunking as CH
+    took = []
+    for n in (4000, 50_000, 100_000):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("some words of sentence "), i.cast("string"), F.lit(" and so on"))), ". ")
+        df = spark.range(1).select(text.alias("t"))
+        began = time.perf_counter()
+        out = df.select(F.size(CH.pack_sentences(F.col("t"), 500)).alias("n")).first()["n"]
+        took.append(time.perf_counter() - began)
+        assert out > n // 60
+    assert took[2] < 2.6 * took[1] + 1
+
+
+def test_one_long_sentence_is_cut_in_linear_time(spark):
+    import time
+    from pyspark.sql import functions as F
+    from docweave.operators import chunking as CH
+    took = []
+    for n in (1000, 200_000, 400_000):
+        df = spark.range(1).select(F.repeat(F.lit("word "), n).alias("t"))
+        began = time.perf_counter()
+        got = df.select(CH.pack_sentences(F.col("t"), 500).alias("p")).first()["p"]
+        took.append(time.perf_counter() - began)
+        assert "".join(got) == "word " * n
+    assert took[2] < 2.6 * took[1] + 1

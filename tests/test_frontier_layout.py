@@ -31,6 +31,49 @@ def test_crawl_frontier_from_pages(spark):
     assert got == {"https://s.com": 1, "https://s.com/p1": 2, "https://s.com/p2": 3}
 
 
+def test_stored_crawl_goes_on(spark, tmp):
+    e = spark.createDataFrame(EDGES, "src string, dst string")
+    s = spark.createDataFrame([("a",), ("a",)], "url string")
+    for depth in (1, 2, 2, 4, 9):
+        got = {r["url"]: r["depth"] for r in FR.expand(s, e, depth, state=tmp + "/crawl").collect()}
+        assert got == run(spark, depth)
+    assert {r["url"]: r["depth"] for r in FR.expand(s, e, 3, state=tmp + "/crawl").collect()} == run(spark, 3)
+
+
+def test_depths_that_are_stored_are_not_computed_again(spark, tmp):
+    e = spark.createDataFrame(EDGES, "src string, dst string")
+    s = spark.createDataFrame([("a",)], "url string")
+    FR.expand(s, e, 3, state=tmp + "/crawl")
+    # only links from depth 3 on matter now
+    late = e.filter("src in ('d', 'x', 'e')")
+    got = {r["url"]: r["depth"] for r in FR.expand(s.limit(0), late, 9, state=tmp + "/crawl").collect()}
+    assert got == run(spark, 9)
+
+
+def test_a_round_moves_only_its_candidates(spark, tmp):
+    """Links and visited set are read in their buckets: the one exchange is that of the candidates."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from docweave.session import bucketed_table
+        for n in (8, 4):                       # as many buckets as shuffle partitions, and another number
+            v = FR.Visited(spark, f"{tmp}/crawl{n}", n)
+            v.add(spark.createDataFrame([("a",)], "url string"), 1)
+            df = v.beyond(1, bucketed_table(spark.createDataFrame(EDGES, "src string, dst string"), "src", n))
+            assert {r["url"] for r in df.collect()} == {"b", "c"}
+            plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_no_seeds_or_links(spark):
+    e = spark.createDataFrame([], "src string, dst string")
+    s = spark.createDataFrame([("a",)], "url string")
+    assert FR.expand(s.limit(0), e, 3).collect() == []
+    assert [tuple(r) for r in FR.expand(s, e, 3).collect()] == [("a", 1)]
+
+
 CELL = "row_index int, column_index int, kind string, row_span int, column_span int, content string"
 
 
@@ -79,3 +122,44 @@ def test_layout_cells(spark):
     rows = L.layout_cells(_layout(spark, [t0])).orderBy("row_index").collect()
     assert [(r["table_id"], r["page_number"], r["row_index"], r["content"]) for r in rows] == \
         [(0, 1, 0, "a"), (0, 1, 1, "b")]
+
+
+def painted_by_characters(text, spans, html):
+    out, written = [], set()
+    for k, c in enumerate(text):
+        owner = max((i for a, b, i in spans if a <= k < b), default=None)
+        if owner is None:
+            out.append(c)
+        elif owner not in written:
+            written.add(owner)
+            out.append(html[owner])
+    return "".join(out)
+
+
+def test_paint_equals_a_look_at_every_character():
+    import random
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("abc\u00e9") for _ in range(r.randrange(40)))
+        tables = r.randrange(5)
+        spans = [(a := r.randrange(-5, 45), a + r.randrange(0, 20), r.randrange(tables)) for _ in range(r.randrange(12))] if tables else []
+        html = [f"<{i}>" for i in range(tables)]
+        assert L.paint(text, spans, html) == painted_by_characters(text, spans, html)
+
+
+def test_many_spans_on_a_page(spark):
+    """10,000 spans: twice as many take about twice as long, not four times."""
+    import time
+    took = []
+    for n in (20_000, 40_000):
+        text = "ab" * n
+        spans = [(2 * k, 2 * k + 1, k % 7) for k in range(n)]
+        began = time.perf_counter()
+        out = L.paint(text, spans, [f"<{i}>" for i in range(7)])
+        took.append(time.perf_counter() - began)
+        assert out.count("b") == n and out.count("a") == 0 and len(out) == n + 21
+    assert took[1] < 3.5 * took[0] + 0.05
+    tables = [(1, 1, [(2 * k, 1) for k in range(i, 10_000, 7)], [(0, 0, "content", 1, 1, str(i))]) for i in range(7)]
+    df = spark.createDataFrame([("f.pdf", "ab" * 10_000, [(0, 0, 20_000), (1, 20_000, 0)], tables)], LAYOUT)
+    got = {x["page_num"]: x["text"] for x in L.overlay_pages(df).collect()}
+    assert got[0].count("b") - got[0].count("tab") == 10_000 and got[0].count("<table>") == 7 and got[1] == " "

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from docweave.session import checkpoint_partitioned
+from docweave.session import bucketed_table
 
 SMOKE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMOKE), reason="fixture tables not present")
@@ -21,7 +21,7 @@ def final_plan(df):
 def test_context_limits_per_question_before_and_after_one_exchange(spark):
     plan = final_plan(E.queries()["context"](spark, SMOKE))
     assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
-    assert "MapInPandas" in plan
+    assert "MapInArrow" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
@@ -46,13 +46,12 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
 
 
-def test_partitioned_checkpoint_is_joined_without_reshuffle(spark):
+def test_bucketed_table_is_joined_without_reshuffle(spark):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         n = 8
-        big = checkpoint_partitioned(
-            spark.range(1000).select(F.col("id").cast("string").alias("k")).repartition(n, "k"))
+        big = bucketed_table(spark.range(1000).select(F.col("id").cast("string").alias("k")), "k", n)
         small = spark.range(100).select(F.col("id").cast("string").alias("k")).repartition(n, "k")
         plan = final_plan(small.join(big, "k", "left_anti"))
         assert plan.count("Exchange") == 1               # only the small side moves

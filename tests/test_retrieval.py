@@ -118,7 +118,9 @@ def test_context_equals_brute_force_on_fixture(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         return
-    chunks = Q.embedded_chunks(spark, sf).select("chunk_id", "text", "n_tokens", "embedding").repartition(4)
+    from pyspark.sql import functions as F
+    chunks = (Q.embedded_chunks(spark, sf).withColumn("chunk_id", F.col("doc_id") * 1000 + F.col("chunk_no"))
+              .select("chunk_id", "text", "n_tokens", "embedding").repartition(4))
     qs = Q.embedded_questions(spark, sf).select("question_id", "q_embedding")
     got = {r["question_id"]: r["context"] for r in R.build_context(chunks, qs, max_len=600).collect()}
     c = chunks.toPandas().sort_values("chunk_id")
@@ -136,3 +138,85 @@ def test_context_equals_brute_force_on_fixture(spark):
                 break
             kept.append(c["text"].iloc[i])
         assert got[r["question_id"]] == "\n\n###\n\n".join(kept)
+
+
+def brute_prefix(chunks, q, max_len, cap=None):
+    """Ids in ascending (distance, id) while the budget lasts; ``chunks``: (id, tokens, unit vector)."""
+    d = sorted((min(abs(1 - float(v @ q)), 2.0), i, n) for i, n, v in chunks)
+    out, used = [], 0
+    for _, i, n in d[:cap]:
+        used += n + 4
+        if max_len is not None and used > max_len:
+            break
+        out.append(i)
+    return out
+
+
+def clustered_chunks(spark, n=3000, groups=30, spread=0.05, seed=0):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, 16))
+    v = middle[rng.integers(0, groups, n)] + spread * rng.normal(size=(n, 16))
+    rows = [(i, int(rng.integers(1, 60)), (v[i] * rng.uniform(0.1, 9)).tolist()) for i in range(n)]
+    questions = [(100 + k, (middle[k % groups] + spread * rng.normal(size=16)).tolist()) for k in range(25)] + [(900, rng.normal(size=16).tolist())]
+    df = spark.createDataFrame([(i, str(i), t, e) for i, t, e in rows], "chunk_id long, text string, n_tokens int, embedding array<double>")
+    return rows, questions, df.repartition(5), spark.createDataFrame(questions, "question_id long, q_embedding array<double>")
+
+
+def test_index_search_equals_brute_force(spark):
+    import numpy as np
+    rows, questions, df, qs = clustered_chunks(spark)
+    known = [(i, n, np.array(e) / np.linalg.norm(e)) for i, n, e in rows]
+    for max_len in (5, 60, 1500, 10 ** 9):
+        got = {r["question_id"]: r["context"] for r in R.build_context(df, qs, max_len=max_len, sep=" ").collect()}
+        for q, e in questions if max_len < 10 ** 9 else questions[:2]:
+            want = brute_prefix(known, np.array(e) / np.linalg.norm(e), max_len, max_len // 4)
+            assert got[q].split() == [str(i) for i in want], (max_len, q)
+    near = {}
+    for r in R.nearest(df, qs, k=7).collect():
+        near.setdefault(r["question_id"], {})[r["rank"]] = r["chunk_id"]
+    for q, e in questions:
+        assert [near[q][k + 1] for k in range(7)] == brute_prefix(known, np.array(e) / np.linalg.norm(e), None, 7)
+
+
+def test_clusters_that_cannot_matter_are_skipped(spark):
+    import numpy as np
+    from docweave.operators import vector_index as VI
+    _, questions, df, qs = clustered_chunks(spark)
+    index = R.chunk_index(df)
+    need = VI.Need(cap=75, budget=300, per_row=4)
+    q = VI.unit(np.array([e for _, e in questions[:-1]]))
+    to_center, first, limit = VI.cluster_bounds(index, need, q)
+    assert first.mean() < 0.2 and VI.clusters_within(index, to_center, limit).mean() < 0.5
+    assert index.count.sum() == 3000 and (index.radius <= 2).all()
+    ids = [(r["chunk_id"], r["cluster"]) for r in index.rows.collect()]
+    assert len({i for i, _ in ids}) == 3000
+    # an index made once serves many calls
+    a = sorted(map(tuple, R.context_rows(None, qs, max_len=300, index=index).collect()))
+    b = sorted(map(tuple, R.context_rows(df, qs, max_len=300).collect()))
+    assert [x[0:2] for x in a] == [x[0:2] for x in b] and a
+
+
+def test_any_centers_give_the_same_rows(spark):
+    from docweave.operators import vector_index as VI
+    _, _, df, qs = clustered_chunks(spark, n=400, spread=3.0, seed=5)
+    want = None
+    for k in (1, 2, 50, 400):
+        index = VI.build_index(df, ["chunk_id", "n_tokens"], "embedding", "n_tokens", clusters=k)
+        got = sorted((r["question_id"], r["rank"], r["chunk_id"]) for r in R.context_rows(None, qs, max_len=200, index=index).collect())
+        want = want or got
+        assert got == want and got
+
+
+def test_ids_of_two_columns_and_huge_ones(spark):
+    big = 9_223_372_036_854_775_807
+    c = spark.createDataFrame([(big, 1, "b", 10, [1.0, 0.0]), (big, 0, "a", 10, [1.0, 0.0]), (-big, 7, "z", 10, [1.0, 0.0])],
+                              "doc_id long, chunk_no int, text string, n_tokens int, embedding array<float>")
+    q = spark.createDataFrame([("x", [3.0, 0.0])], "question_id string, q_embedding array<float>")
+    assert R.build_context(c, q, id_cols=("doc_id", "chunk_no"), sep="").first()["context"] == "zab"
+
+
+def test_empty_tables(spark):
+    c, q = frames(spark)
+    assert {r["context"] for r in R.build_context(c.limit(0), q).collect()} == {""}
+    assert R.build_context(c, q.limit(0)).collect() == [] and R.nearest(c.limit(0), q).collect() == []

@@ -70,3 +70,50 @@ def test_page_text_stream_with_watermark(spark, tmp):
     q.awaitTermination(120)
     got = spark.read.parquet(sink).collect()
     assert sorted(r["page_key"] for r in got) == ["a", "b", "home"]
+
+
+VERSIONS = "page_id long, url string, html string"
+
+
+def page_version(k, key, note):
+    return k, f"https://s.com/{key}", f"<title>{key}</title><body>{note} {k}</body>"
+
+
+def test_newest_page_wins_across_batches(spark, tmp):
+    """Versions of pages in several micro-batches, newer before older and after: the store equals the batch dedup."""
+    src, store, ck = (os.path.join(tmp, x) for x in ("src", "store", "ck"))
+    batches = [[page_version(5, "a", "x"), page_version(2, "b", "x"), page_version(9, "c", "x"), (1, "https://s.com", "<body>home</body>")],
+               [page_version(3, "a", "old"), page_version(4, "b", "new"), page_version(4, "b", "new"), (None, "https://s.com/a", "<body>no id</body>")],
+               [page_version(8, "a", "new"), page_version(7, "c", "old"), page_version(6, "d", "x"), page_version(1, "d", "x")]]
+    everything = []
+    for k, rows in enumerate(batches):
+        everything += rows
+        spark.createDataFrame(rows, VERSIONS).repartition(2).write.mode("append").parquet(src)
+        J.page_version_stream(spark, src, store, ck, trigger_once=True, buckets=4).awaitTermination(180)
+        df = spark.createDataFrame([r for r in everything if r[0] is not None], VERSIONS)
+        want = sorted((r["page_key"], r["page_id"]) for r in W.dedup_pages(df).collect())
+        got = J.page_text_store(spark, store).read()
+        assert sorted((r["page_key"], r["page_id"]) for r in got.collect()) == want, k
+    texts = {r["page_key"]: r["text"] for r in got.collect()}
+    assert texts["a"] == "a\n\nnew 8" and texts["b"] == "b\n\nnew 4" and texts["c"] == "c\n\nx 9"
+    assert not (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or "").endswith("RocksDBStateStoreProvider")
+
+
+def test_versions_are_forgotten_by_a_timer(spark, tmp):
+    import time
+    src, store, ck = (os.path.join(tmp, x) for x in ("src", "store", "ck"))
+    for rows, wait in (([page_version(5, "a", "x")], 3), ([page_version(9, "z", "x")], 0), ([page_version(4, "a", "late")], 0)):
+        spark.createDataFrame(rows, VERSIONS).coalesce(1).write.mode("append").parquet(src)
+        J.page_version_stream(spark, src, store, ck, trigger_once=True, forget_ms=2000, buckets=2).awaitTermination(180)
+        time.sleep(wait)
+    assert {r["page_key"]: r["page_id"] for r in J.page_text_store(spark, store).read().collect()} == {"a": 4, "z": 9}
+
+
+def test_failed_answers_are_told_from_empty_ones(spark):
+    def boom(prompts):
+        raise RuntimeError("down")
+    chunks = R.embed(spark.createDataFrame([(1, "alpha beta", 2)], "chunk_id long, text string, n_tokens int"), "text", "embedding")
+    qs = spark.createDataFrame([("q", "alpha")], "question_id string, question string")
+    r = J.answer_batch(qs, chunks, complete_fn=boom).first()
+    assert r["answer"] == "" and r["answer_error"] == "RuntimeError: down"
+    assert J.answer_batch(qs, chunks).first()["answer_error"] is None
