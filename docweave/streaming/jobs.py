@@ -143,7 +143,10 @@ def page_version_stream(spark: SparkSession, source_dir: str, store_path: str, c
     are left out. A key's state is one number in the RocksDB state store; the
     texts pass through. Each micro-batch replaces the versions that it brings
     in the store; one that is run again after a failure replaces them by the
-    same rows."""
+    same rows. A stream with timers (``forget_ms``) has no last batch, so it is
+    not for ``trigger_once``."""
+    if trigger_once and forget_ms:
+        raise ValueError("a stream with timers does not end by itself")
     pages = spark.readStream.schema(schema).parquet(source_dir).filter(F.col("page_id").isNotNull())
     texts = W.page_texts(pages).filter(F.col("saved")).select(*TEXT_FIELDS.names)
     newest = texts.groupBy("netloc", "page_key").transformWithStateInPandas(

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docweave.operators import retrieval as R
@@ -102,11 +104,29 @@ def test_newest_page_wins_across_batches(spark, tmp):
 def test_versions_are_forgotten_by_a_timer(spark, tmp):
     import time
     src, store, ck = (os.path.join(tmp, x) for x in ("src", "store", "ck"))
-    for rows, wait in (([page_version(5, "a", "x")], 3), ([page_version(9, "z", "x")], 0), ([page_version(4, "a", "late")], 0)):
+
+    def arrive(*rows):
         spark.createDataFrame(rows, VERSIONS).coalesce(1).write.mode("append").parquet(src)
-        J.page_version_stream(spark, src, store, ck, trigger_once=True, forget_ms=2000, buckets=2).awaitTermination(180)
-        time.sleep(wait)
-    assert {r["page_key"]: r["page_id"] for r in J.page_text_store(spark, store).read().collect()} == {"a": 4, "z": 9}
+
+    def stored_until(want, seconds=40):
+        end = time.time() + seconds
+        while time.time() < end:
+            got = {r["page_key"]: r["page_id"] for r in J.page_text_store(spark, store).read().collect()}
+            if got == want:
+                return True
+            time.sleep(1)
+        return False
+    arrive(page_version(5, "a", "x"))
+    with pytest.raises(ValueError):
+        J.page_version_stream(spark, src, store, ck, trigger_once=True, forget_ms=1)
+    q = J.page_version_stream(spark, src, store, ck, forget_ms=3000, buckets=2)
+    try:
+        assert stored_until({"a": 5})
+        time.sleep(8)                                  # the key is forgotten
+        arrive(page_version(4, "a", "late"), page_version(9, "z", "x"))
+        assert stored_until({"a": 4, "z": 9})
+    finally:
+        q.stop()
 
 
 def test_failed_answers_are_told_from_empty_ones(spark):
