@@ -131,7 +131,11 @@ def from_frame(df: DataFrame, id_col: str = "conv_id", layouts=LAYOUTS) -> DataF
     """``conv_id, layout, turns`` of a typed table. In a table with a row for
     each turn, roles stay as they are and turns are in order of position, null
     first, then role and text; rows that repeat stay. In other tables a row is
-    a conversation and roles get their canonical names."""
+    a conversation and roles get their canonical names.
+
+    Null roles and texts are empty; rows with a null id are one conversation
+    (in a table of turns) or one each; an empty table gives no rows; columns
+    that the layout does not name are not read."""
     layout = layout_of(df.schema, layouts)
     if layout.rows:
         conv, position, role, text = layout.rows
@@ -152,8 +156,12 @@ def _under(array: str):
 
 def from_json(df: DataFrame, record_col: str, id_col: str = "conv_id", layouts=LAYOUTS) -> DataFrame:
     """``conv_id, fingerprint, layout, turns`` of JSON records, each by its own
-    fingerprint. A record that is null, malformed or of no known layout has a
-    null layout and null turns."""
+    fingerprint; where known fields of other layouts are there too, by the
+    first layout that has all its paths, as a typed table (``layout_of``).
+
+    A record that is null, malformed or has no layout's paths has a null
+    layout and null turns; a null id is carried; repeated records stay; an
+    empty table gives no rows; other columns are not read."""
     layouts = [x for x in layouts if not x.rows]
     scalars, arrays = _known(layouts)
     v = F.try_parse_json(F.col(record_col))
@@ -166,7 +174,8 @@ def from_json(df: DataFrame, record_col: str, id_col: str = "conv_id", layouts=L
         own = F.array_intersect(F.regexp_extract_all(shape(name), F.lit(r"(\w+): "), 1), F.array(*map(F.lit, sorted(fields))))
         own = F.transform(own, _under(name))
         paths.append(F.when(shape(name).startswith("ARRAY<OBJECT<"), own).otherwise(F.array().cast("array<string>")))
-    digest = F.sha2(F.array_join(F.array_sort(F.flatten(F.array(*paths))), "\n"), 256)
+    found = F.array_sort(F.flatten(F.array(*paths)))
+    digest = F.sha2(F.array_join("paths", "\n"), 256)
 
     def get(name):
         return F.try_variant_get(v, f"$.{name}", "string")
@@ -175,9 +184,12 @@ def from_json(df: DataFrame, record_col: str, id_col: str = "conv_id", layouts=L
         got = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
         return F.transform(got, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
     turns, named = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("conv_id"), F.when(v.isNotNull(), digest).alias("fingerprint"), F.col(record_col))
-    for x in layouts:
-        hit = F.col("fingerprint") == fingerprint(x.paths)
+    rows = df.select(F.col(id_col).cast("long").alias("conv_id"), F.when(v.isNotNull(), found).alias("paths"), F.col(record_col))
+    rows = rows.select("conv_id", "paths", digest.alias("fingerprint"), F.col(record_col))
+    exact = F.col("fingerprint").isin([fingerprint(x.paths) for x in layouts])
+    for x in reversed(layouts):                 # of several that fit, the first one's is kept
+        fits = F.size(F.array_except(F.array(*map(F.lit, x.paths)), F.col("paths"))) == 0
+        hit = F.when(exact, F.col("fingerprint") == fingerprint(x.paths)).otherwise(fits)
         turns = F.when(hit, _mapped(x, get, item)).otherwise(turns)
         named = F.when(hit, F.lit(x.name)).otherwise(named)
     return rows.select("conv_id", "fingerprint", named.alias("layout"), turns.alias("turns"))

@@ -8,8 +8,8 @@ their count. Trust is a personalised PageRank that restarts at the hosts of
 allowed pages, distrust one over the reversed edges that restarts at the hosts
 of blocked pages (who links to a blocked host is suspect); a restart falls on
 a host in proportion to its pages. Both run in one table of (kind, host,
-score): a round is one join with the edges and one sum. The mass of hosts
-without edges restarts. Where no rule fits, a page is blocked if its host's
+score): a round is one join with the edges and one sum, until nothing moves.
+The mass of hosts without edges restarts. Where no rule fits, a page is blocked if its host's
 distrust is over ``RATIO`` times its trust, both as shares of one.
 """
 
@@ -18,14 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import ascii_lower, small, stage
+from docweave.llm.common import ascii_lower, discard, small, stage
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 50
+#: Rounds end when no host's score grows by a larger part of itself.
 CLOSE = 1e-6
+LEAST = 1e-300
 RATIO = 2.0
 #: Absolute and scheme-relative links in attributes; group 1 is the host.
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
@@ -59,35 +60,38 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """``kind, host, score`` of ``seeds`` (``kind, host, weight``) over
     ``edges``: 'trust' along them, 'distrust' against them. Scores of a kind
-    sum to one. Ends when no kind moves by ``close`` in total."""
+    sum to one.
+
+    The fixed point is the sum of what restarts and all it passes on, scaled
+    to one (mass of hosts without edges restarts, which only scales). Each
+    round adds what the one before passed on, until that is at most ``close``
+    times the score of every host. A host reached for the first time has
+    nothing else, so rounds go on until no host is new, however long the
+    chains are; what is passed on never vanishes in rounding."""
     own = seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight"))
     start = stage(own.join(F.broadcast(own.groupBy("kind").agg(F.sum("weight").alias("all"))), "kind")
-                  .select("kind", "host", (F.col("weight") / F.col("all")).alias("restart")))
+                  .select("kind", "host", (F.col("weight") / F.col("all")).alias("score")))
     if edges.isEmpty():
-        return start.withColumnRenamed("restart", "score")
+        return start
     both = (edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight")
             .union(edges.select(F.lit("distrust"), "dst", "src", "weight")))
     out = both.groupBy("kind", "host").agg(F.sum("weight").alias("out"))
-    steps = stage(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("part")))
-    score = start.withColumnRenamed("restart", "score")
-    for _ in range(rounds):
-        moved = (score.join(steps, ["kind", "host"]).groupBy("kind", F.col("to").alias("host"))
-                 .agg(F.sum(F.col("score") * F.col("part") * damping).alias("score")))
-        moved = stage(moved)
-        back = moved.groupBy("kind").agg(F.sum("score").alias("kept"))
-        restart = (start.join(F.broadcast(back), "kind", "left")
-                   .select("kind", "host", (F.col("restart") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("score")))
-        new = stage(moved.union(restart).groupBy("kind", "host").agg(F.sum("score").alias("score")))
-        old = score.withColumnRenamed("score", "old")
-        change = (new.join(old, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))))
-                  .first()[0])
-        score = new
-        if (change or 0.0) < close:
-            break
-    return score
+    steps = stage(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out") * damping).alias("part")))
+    state, old = start.withColumn("moved", F.col("score")), start
+    while True:
+        moved = (state.filter("moved > 0").join(steps, ["kind", "host"]).groupBy("kind", F.col("to").alias("host"))
+                 .agg(F.greatest(F.sum(F.col("moved") * F.col("part")), F.lit(LEAST)).alias("moved")))
+        none = F.lit(0.0)
+        new = stage(state.drop("moved").join(moved, ["kind", "host"], "full")
+                    .select("kind", "host", (F.coalesce("score", none) + F.coalesce("moved", none)).alias("score"), F.coalesce("moved", none).alias("moved")))
+        discard(old)
+        state = old = new
+        if (state.agg(F.max(F.col("moved") / F.col("score"))).first()[0] or 0.0) <= close:
+            total = state.groupBy("kind").agg(F.sum("score").alias("total"))          # a row for each kind
+            return state.join(F.broadcast(total), "kind").select("kind", "host", (F.col("score") / F.col("total")).alias("score"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES,

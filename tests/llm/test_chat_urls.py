@@ -2,6 +2,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pytest
 
 from docweave.llm import chat, link_trust
@@ -48,6 +49,20 @@ def test_json_records_of_mixed_layouts(spark):
     assert got[2].fingerprint == chat.fingerprint(["prompt", "completion"])
 
 
+def test_records_with_more_known_fields_follow_the_typed_table(spark):
+    """The same record as JSON and as a row of a typed table gets one layout and the same turns."""
+    records = [{"system": "s", "instruction": "do", "output": "a"}, {"prompt": "p", "messages": [{"role": "user", "content": "q"}]},
+               {"prompt": "p", "response": "a", "question": "q"}, {"instruction": "do", "input": "i", "output": "a", "answer": "b", "extra": 1}]
+    for k, record in enumerate(records):
+        df = spark.createDataFrame([(k, json.dumps(record))], "conv_id long, record string")
+        one = chat.from_json(df, "record").first()
+        typed = spark.read.json(spark.sparkContext.parallelize([json.dumps(record | {"conv_id": k})]))
+        two = chat.from_frame(typed).first()
+        assert one.layout == two.layout and one.layout is not None
+        assert [(t.role, t.text) for t in one.turns] == [(t.role, t.text) for t in two.turns]
+    assert chat.from_json(df.limit(0), "record").collect() == []
+
+
 def test_frames_and_records_agree(spark):
     df = spark.createDataFrame([(1, [("user", "q"), ("bot", None)]), (2, None), (3, [])],
                                "conv_id long, dialog array<struct<speaker:string,text:string>>")
@@ -90,31 +105,47 @@ def test_rules_on_odd_urls(spark):
     assert link_trust.judge(df.limit(0)).collect() == []
 
 
-def spread_brute(seeds, edges, rounds=link_trust.ROUNDS):
+def spread_brute(seeds, edges):
+    """The fixed point, from a linear system: the score is a multiple of (1 - damping * steps)^-1 restart."""
+    hosts = sorted({h for _, h, _ in seeds} | {h for a, b, _ in edges for h in (a, b)})
+    place = {h: k for k, h in enumerate(hosts)}
     out = {}
     for kind, flip in (("trust", False), ("distrust", True)):
-        e = {}
+        step = np.zeros((len(hosts), len(hosts)))
         for a, b, w in edges:
             a, b = (b, a) if flip else (a, b)
-            e.setdefault(a, {})
-            e[a][b] = e[a].get(b, 0) + w
-        start = {h: w for k, h, w in seeds if k == kind}
-        total = sum(start.values())
-        start = {h: w / total for h, w in start.items()}
-        score = dict(start)
-        for _ in range(rounds):
-            new = {}
-            for a, s in score.items():
-                for b, w in e.get(a, {}).items():
-                    new[b] = new.get(b, 0) + 0.85 * s * w / sum(e[a].values())
-            kept = sum(new.values())
-            for h, s in start.items():
-                new[h] = new.get(h, 0) + s * (1 - kept)
-            score = new
-        out |= {(kind, h): s for h, s in score.items()}
+            step[place[b], place[a]] += w
+        step /= np.maximum(step.sum(axis=0), 1e-9)
+        start = np.zeros(len(hosts))
+        for k, h, w in seeds:
+            start[place[h]] += w if k == kind else 0
+        score = np.linalg.solve(np.eye(len(hosts)) - 0.85 * step, start)
+        out |= {(kind, h): s for h, s in zip(hosts, score / max(score.sum(), 1e-300))}
     return out
 
 
+def test_rounds_go_on_until_nothing_moves(spark):
+    """A chain of 60 hosts before a blocked one, a ring, and a host that feeds both: the fixed point, and every host of the chain blocked."""
+    edges = [(f"h{k:02}.net", f"h{k + 1:02}.net", 1.0) for k in range(60)] + [("h60.net", "bad.com", 1.0)]
+    edges += [(f"r{k}.net", f"r{(k + 1) % 5}.net", 2.0) for k in range(5)] + [("r0.net", "h00.net", 1.0), ("good.org", "r2.net", 3.0)]
+    seeds = [("trust", "good.org", 2.0), ("distrust", "bad.com", 1.0)]
+    got = link_trust.spread(spark.createDataFrame(seeds, "kind string, host string, weight double"),
+                            spark.createDataFrame(edges, "src string, dst string, weight double")).collect()
+    want = spread_brute(seeds, edges)
+    assert len(got) == sum(v > 0 for v in want.values())
+    for r in got:
+        assert r.score == pytest.approx(want[r.kind, r.host], rel=1e-4)
+    assert {f"h{k:02}.net" for k in range(61)} <= {r.host for r in got if r.kind == "distrust" and r.score > 0}
+
+
+def test_chain_is_blocked(spark):
+    pages = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">' if k < 59 else '<a href="//bad.com/de/">') for k in range(60)]
+    pages.append((60, "http://bad.com/de/x", "y" * 300_000))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    clash = df.selectExpr("*", "1 AS host", "2 AS path", "3 AS kind", "4 AS score", "5 AS scored", "6 AS by", "7 AS weight", "8 AS moved")
+    assert {r.verdict for r in link_trust.judge(clash).collect()} == {"block"}
+
+
 def test_trust_spreads_over_links(spark):
     def page(k, host, *to, path="/en/"):
         return k, f"http://{host}{path}", " ".join(f"<a href='https://{t.upper()}/p'>x</a>" for t in to) + '<a href="/self">'
