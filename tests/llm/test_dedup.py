@@ -199,3 +199,18 @@ def test_equal_window_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "window_hashes", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
     got = substring.repeats(np.array([1, 2]), np.array([0, 0]), np.array([0, 0]), [b"a b c d", b"x a b c"], 3)
     assert [x.tolist() for x in got] == [[2], [0], [1], [4]]
+
+
+def test_blocks_of_a_long_text_are_cut_in_linear_time(spark, tmp):
+    """A text of 64 MB (16,000 blocks), its copy in capitals, and one that differs in its last letter."""
+    import time
+    took = []
+    for mb in (32, 64):
+        base = F.repeat(F.lit("abcdefghijklmnop"), (F.col("id") * 0 + (mb << 16)).cast("int"))
+        text = F.when(F.col("id") == 1, F.upper(base)).when(F.col("id") == 2, F.concat(base, F.lit("x"))).otherwise(base)
+        spark.range(3).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp}/{mb}")
+        began = time.time()
+        got = {r.doc_id: r for r in exact.exact_dedup(spark.read.parquet(f"{tmp}/{mb}")).collect()}
+        took.append(time.time() - began)
+        assert {i: (r.keep_id, r.group_size, r.kept) for i, r in got.items()} == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True)}
+    assert took[1] < 2.5 * took[0] + 5
