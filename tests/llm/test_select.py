@@ -108,14 +108,95 @@ def test_mix_comes_near_the_targets(spark):
     assert drawn.columns == df.columns and drawn.count() == sum(x.copies for x in got)
 
 
-def test_inclusion_follows_the_given_chances(spark):
+def test_inclusion_is_in_proportion_to_the_measure(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"),
-                                    F.when(F.col("id") % 2 == 0, 0.8).otherwise(0.2).alias("chance"))
-    got = mixing.mix(df, share=0.5, chance_col="chance").groupBy(F.col("doc_id") % 2).agg(F.avg("copies")).collect()
+                                    F.when(F.col("id") % 2 == 0, 8.0).otherwise(2.0).alias("worth"))
+    got = mixing.mix(df, share=0.5, measure_col="worth").groupBy(F.col("doc_id") % 2).agg(F.avg("copies")).collect()
     share = dict(map(tuple, got))
     assert share[0] == pytest.approx(0.8, abs=0.03) and share[1] == pytest.approx(0.2, abs=0.03)
 
 
+def uniform(*values):
+    """Spark's xxhash64 of the values (null skipped), as a number in (0, 1)."""
+    import struct
+    import xxhash
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
+    return ((h >> 11) + 0.5) / (1 << 53)
+
+
+def drawn_by_hand(rows, share):
+    """Copies of every row: whole copies, then Pareto order sampling with
+    probabilities in proportion to bytes, scaled so that the words expected
+    are the words left (certain steps of 1/64 octave from the top)."""
+    import math
+    import struct  # noqa: F401
+    import xxhash
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(WORD.findall(t or ""))
+    names = sorted(s for s in size if s is not None) + [s for s in size if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, free, rest = {}, set(names), share * sum(size.values())
+    while free:
+        part = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if part[s] >= 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in over} if over else part
+        rest -= sum(2.0 * size[s] for s in over)
+        free = free - over if over else set()
+    copies = {}
+    for s in names:
+        own = [(i, t or "", len(WORD.findall(t or ""))) for i, t, x in rows if x == s]
+        whole = math.floor(target[s] / size[s]) if size[s] else 0
+        left = target[s] - whole * size[s]
+        measure = {t: len(t.encode()) for _, t, _ in own}
+        scale = 0.0
+        for step in sorted({math.floor(math.log2(m) * 64) for m in measure.values() if m}, reverse=True):
+            at = lambda t: math.floor(math.log2(measure[t]) * 64) if measure[t] else -1
+            above = sum(n for _, t, n in own if at(t) > step)
+            below = sum(n * measure[t] for _, t, n in own if measure[t] and at(t) <= step)
+            if below and (left - above) / below * 2 ** (step / 64) <= 1:
+                scale = (left - above) / below
+                break
+        ranked = []
+        for i, t, n in own:
+            key = xxhash.xxh64_intdigest(t.encode(), 42)
+            key = key - (1 << 64) if key >> 63 else key
+            u, p = uniform(i, key, "mix"), min(max(scale * measure[t], 1e-9), 1 - 1e-9)
+            odds = u / (1 - u) / (p / (1 - p))
+            ranked.append((odds / (1 + odds), (1 << 63) - 1 if i is None else i, key, n))
+        taken, used = set(), 0.0
+        by_place = {}
+        for r, i, k, n in ranked:
+            by_place[r, i, k] = by_place.get((r, i, k), 0) + n
+        for place in sorted(by_place):
+            if left <= 0 or used + by_place[place] / 2 > left:
+                break
+            taken.add(place[1:])
+            used += by_place[place]
+        for i, t, n in own:
+            key = xxhash.xxh64_intdigest(t.encode(), 42)
+            key = key - (1 << 64) if key >> 63 else key
+            copies.setdefault((s, i, t), []).append(whole + (((1 << 63) - 1 if i is None else i, key) in taken))
+    return copies
+
+
+def test_draw_equals_brute_force(spark):
+    r = random.Random(12)
+    for share in (1.5, 0.6):
+        rows = [(k, "w\u00e9 " * r.choice([0, 1, 2, 5, 9, 40, 300]) + "x" * r.randrange(9), r.choice(["a", "a", "b", "c", "d", None])) for k in range(300)]
+        rows += [(None, "no id " * 7, "a"), rows[5], rows[5], (7, "same id " * 4, "a")]
+        want = drawn_by_hand(rows, share)
+        df = spark.createDataFrame([(*x, j) for j, x in enumerate(rows)], "doc_id long, text string, source string, j int").repartition(3)
+        got = {}
+        for x in mixing.draw(df, share=share).collect():
+            got[x.j] = got.get(x.j, 0) + 1
+        for j, (i, t, s) in enumerate(rows):
+            assert got.get(j, 0) == want[s, i, t or ""][0], (j, s)
+
+
 def test_mix_on_odd_rows(odd_docs, clashing, no_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == odd_docs.count()
