@@ -190,6 +190,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that contain no item; all columns stay."""
+    """Rows of ``docs`` that contain no item; all columns stay. Null and
+    empty texts contain none and stay; rows that repeat an id and a text share
+    their fate, other rows with the id do not; a null id is a key like any
+    other; without documents or items ``docs`` is returned as it is; columns
+    may have any names."""
     hit = contaminated(docs, benchmark, id_col, text_col).select("doc_id", "row_key").distinct()
     return drop_rows(docs, id_col, text_col, hit)

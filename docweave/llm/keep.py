@@ -36,8 +36,10 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Da
         return kept
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     twice = kept.join(many, _match(kept, id_col, text_col, many), "left_semi")
+    # maps have no hash: their text stands for them
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
     first = (twice.groupBy(twice[id_col].cast("long").alias(ID), row_key(twice[text_col]).alias(KEY))
-             .agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*"))
+             .agg(F.min_by(row, F.xxhash64(F.struct(*parts))).alias("row")).select("row.*"))
     return kept.join(many, _match(kept, id_col, text_col, many), "left_anti").unionByName(first)
 
 

@@ -172,7 +172,9 @@ def links(unique: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     ``distance`` bits (directly or over others). ``unique``: distinct ``fp``."""
     if distance != DISTANCE:
         raise ValueError("the covering code is laid out for 3 bits")
-    rows = unique.select("fp").mapInArrow(_replicate, "anchor long, fp long")
+    n = partitions(unique)
+    # dealt out first (a small table is few splits), written once: counted, then dealt by anchor
+    rows = stage(unique.select("fp").repartition(n, "fp").mapInArrow(_replicate, "anchor long, fp long"))
     large = stage(rows.groupBy("anchor").count().filter(F.col("count") > hot)
                   .select("anchor", F.ceil(F.col("count") / (hot / 2)).cast("int").alias("chunks")))
     if large.isEmpty():
@@ -184,7 +186,6 @@ def links(unique: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
                  .select("anchor", "fp", "chunks", F.coalesce(own, F.lit(0).cast("long")).alias("own"), other.alias("other"))
                  .select("anchor", (F.least("own", "other") * F.coalesce("chunks", F.lit(1)) + F.greatest("own", "other"))
                          .alias("sub"), "fp"))
-    n = partitions(unique)
     return (keyed.repartition(n, "anchor", "sub").sortWithinPartitions("anchor", "sub", "fp")
             .mapInArrow(_link(distance), "a long, b long").distinct())
 
