@@ -14,6 +14,7 @@ from .text import _c, clean_text, html_unescape
 from .urls import clean_link
 
 WS = r"[ \t\n\r\f]"
+FOLD = 128
 # Elements dropped when a page is simplified.
 RAW_TEXT_TAGS = ["script", "style"]
 DROPPED_TAGS = ["script", "style", "link", "meta", "symbol", "svg", "form", "button"]
@@ -65,25 +66,43 @@ def _in_one_pass(tags) -> str:
 def _drop_nested(html: Column, tags) -> Column:
     """Drop whole elements of ``tags``, however they nest in their own kind:
     the text between their tags goes while the outermost one is open. One
-    that is never closed only loses its tag."""
+    that is never closed only loses its tag. The fold finds which pieces stay;
+    each run of them is joined once."""
     tag_re = r"(?is)</?(?:" + "|".join(tags) + r")(?:" + WS + IN_TAG + r")?/?>"
-    pieces, marks = F.split(html, tag_re, -1), F.regexp_extract_all(html, F.lit(tag_re), 0)
-    steps = F.zip_with(F.slice(pieces, 2, 1 << 30), marks, lambda p, m: F.struct(
-        p.alias("after"), F.lower(F.regexp_extract(m, r"^</?([a-zA-Z]+)", 1)).alias("name"),
-        m.startswith("</").alias("ends"), m.endswith("/>").alias("alone")))
-    first = F.struct(F.element_at(pieces, 1).alias("out"), F.lit("").alias("held"), F.lit("").alias("name"), F.lit(0).alias("depth"))
-
-    def step(acc, x):
-        inside = acc["depth"] > 0
-        own = inside & (x["name"] == acc["name"]) & ~x["alone"]
-        opens = ~inside & ~x["ends"] & ~x["alone"]
-        depth = acc["depth"] + F.when(opens | (own & ~x["ends"]), 1).when(own, -1).otherwise(0)
-        return F.struct(
-            F.when(depth > 0, acc["out"]).otherwise(F.concat(acc["out"], x["after"])).alias("out"),
-            F.when(depth == 0, "").otherwise(F.concat(acc["held"], x["after"])).alias("held"),
-            F.when(opens, x["name"]).otherwise(acc["name"]).alias("name"), depth.alias("depth"))
-    folded = F.aggregate(steps, first, step, lambda acc: F.concat(acc["out"], acc["held"]))
-    return F.when(html.rlike(tag_re), folded).otherwise(html)
+
+    def cut(x):
+        all_marks = x["marks"]
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit("").alias("name"), F.lit(0).alias("open"),
+                         F.lit(0).alias("start"), none.alias("kept"))
+
+        def step(acc, m):
+            """Pieces ``start`` up to ``open`` are kept when the element that opened there is closed."""
+            i, inside = acc["i"] + 1, acc["depth"] > 0
+            own = inside & (m["name"] == acc["name"]) & ~m["alone"]
+            opens = ~inside & ~m["ends"] & ~m["alone"]
+            depth = acc["depth"] + F.when(opens | (own & ~m["ends"]), 1).when(own, -1).otherwise(0)
+            closes = inside & (depth == 0)
+            span = F.struct(acc["start"].alias("a"), acc["open"].alias("b"))
+            return F.struct(i.alias("i"), depth.alias("depth"), F.when(opens, m["name"]).otherwise(acc["name"]).alias("name"),
+                            F.when(opens, i).otherwise(acc["open"]).alias("open"), F.when(closes, i).otherwise(acc["start"]).alias("start"),
+                            F.when(closes, F.array_append(acc["kept"], span)).otherwise(acc["kept"]).alias("kept"))
+        names = ("i", "depth", "name", "open", "start")
+
+        def block(acc, b):
+            """``FOLD`` marks; what they keep is added at once, since each step copies the list that it adds to."""
+            begin = F.struct(*[acc[c].alias(c) for c in names], none.alias("kept"))
+            return _let(F.aggregate(F.slice(all_marks, b * FOLD + 1, FOLD), begin, step), lambda r: F.struct(
+                *[r[c].alias(c) for c in names], F.concat(acc["kept"], r["kept"]).alias("kept")))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_marks) - 1) / FOLD).cast("int"))
+        kept = F.aggregate(blocks, first, block, lambda acc: F.array_append(
+            acc["kept"], F.struct(acc["start"].alias("a"), (acc["i"] + 1).alias("b"))))
+        return F.array_join(F.transform(kept, lambda k: F.array_join(F.slice(x["pieces"], k["a"] + 1, k["b"] - k["a"]), "")), "")
+
+    marks = F.transform(F.regexp_extract_all(html, F.lit(tag_re), 0), lambda m: F.struct(
+        F.lower(F.regexp_extract(m, r"^</?([a-zA-Z]+)", 1)).alias("name"), m.startswith("</").alias("ends"), m.endswith("/>").alias("alone")))
+    parts = F.struct(F.split(html, tag_re, -1).alias("pieces"), marks.alias("marks"))
+    return F.when(html.rlike(tag_re), _let(parts, cut)).otherwise(html)
 
 
 def remove_elements(html, tags=DROPPED_TAGS) -> Column:
@@ -124,14 +143,13 @@ def href_value(tag) -> Column:
 
 def _interleave(html: Column, pattern: str, fn) -> Column:
     """Rewrite every match of ``pattern`` with ``fn(match) -> Column``,
-    keeping the text between matches (split + zip, no Python)."""
-    pieces = F.split(html, pattern, -1)
-    matches = F.regexp_extract_all(html, F.lit(pattern), 0)
-    n = F.size(matches)
-    head = F.zip_with(F.slice(pieces, 1, n), F.transform(matches, fn),
-                      lambda p, m: F.concat(p, m))
-    return F.when(n == 0, html).otherwise(
-        F.concat(F.array_join(head, ""), F.element_at(pieces, -1)))
+    keeping the text between matches (split + zip, no Python). Markup, pieces
+    and matches are each computed, and stand in the plan, once."""
+    def woven(x):
+        return F.array_join(F.zip_with(x["pieces"], F.transform(x["matches"], fn), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+    return _let(html, lambda h: _let(F.struct(F.split(h, pattern, -1).alias("pieces"),
+                                              F.regexp_extract_all(h, F.lit(pattern), 0).alias("matches")), woven))
 
 
 def rewrite_hrefs(html, base_scheme, base_netloc) -> Column:
@@ -194,14 +212,15 @@ def inline_links(html, base_scheme, base_netloc, link_mode: str = "text_href") -
             return F.when(href == "#", F.lit("")).otherwise(F.concat(text, sep, shown, F.lit(" ")))
         return _let(href_value(a), with_href)
 
-    # render anchors first, then strip the remaining markup of the gaps
-    pieces = F.split(h, ANCHOR_RE, -1)
-    anchors = F.regexp_extract_all(h, F.lit(ANCHOR_RE), 0)
-    n = F.size(anchors)
-    head = F.zip_with(F.slice(pieces, 1, n), F.transform(anchors, render),
-                      lambda p, m: F.concat(tag_text(p), m))
-    return F.when(n == 0, tag_text(h)).otherwise(
-        F.concat(F.array_join(head, ""), tag_text(F.element_at(pieces, -1))))
+    # every fragment between the anchors and inside them loses its markup in one place
+    def split_up(h):
+        return F.struct(F.split(h, ANCHOR_RE, -1).alias("pieces"), F.regexp_extract_all(h, F.lit(ANCHOR_RE), 0).alias("anchors"))
+
+    def woven(x):
+        between = F.transform(x["pieces"], tag_text)
+        return F.array_join(F.zip_with(between, F.transform(x["anchors"], render), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+    return _let(h, lambda b: _let(split_up(b), woven))
 
 
 def page_text(html, base_scheme, base_netloc, link_mode: str = "text_href") -> Column:

@@ -155,3 +155,19 @@ def test_lines_of_pages_without_lines(spark):
     df = spark.createDataFrame([(1, ""), (2, "<div>x</div>"), (3, None)], "page_id long, html string").repartition(3)
     assert HT.tag_lines(df).collect() == []
     assert HT.element_lines("<p>a<b></p>c</b></div><p>d") == ["a", "d"]
+
+
+def test_many_dropped_elements(spark):
+    """A page of 4 MB with 16,000 buttons."""
+    import time
+    from pyspark.sql import functions as F
+    from docweave.functions import html as H
+    unit = "<p>" + "some text " * 24 + "</p><button class=x>go <b>on</b></button>"
+    took = []
+    for n in (8000, 16_000):
+        df = spark.range(1).select(F.repeat(F.lit(unit), (F.col("id") + n).cast("int")).alias("html"))
+        began = time.perf_counter()
+        got = df.select(H.remove_elements("html").alias("h")).first()["h"]
+        took.append(time.perf_counter() - began)
+        assert got == ("<p>" + "some text " * 24 + "</p>") * n
+    assert took[1] < 3 * took[0] + 2 and took[1] < 15
