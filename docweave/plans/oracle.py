@@ -704,3 +704,16 @@ walk(url, depth) AS (
 SELECT url, min(depth)::BIGINT AS depth FROM walk GROUP BY url"""
 
 ORACLE["frontier_resume"] = ORACLE["frontier_graph"]
+
+_SECTIONS = ORACLE["section_pages"]
+_CUT = _SECTIONS.rindex("\nSELECT ")
+ORACLE["prepare_add"] = f"""{_SECTIONS[:_CUT]}
+SELECT sourcefile, count(*)::BIGINT AS sent, count(*)::BIGINT AS succeeded FROM spans GROUP BY sourcefile"""
+
+ORACLE["prepare_remove"] = f"""{_SECTIONS[:_CUT]}
+SELECT id, content, 'chat' AS category, sourcepage, sourcefile FROM ({_SECTIONS[_CUT:]})
+WHERE sourcefile NOT IN (SELECT CAST(conv_id AS VARCHAR) || '.pdf' FROM conversations WHERE role = 'system')"""
+
+ORACLE["answers"] = f"""SELECT item_id AS question_id,
+       CASE WHEN length(text) > 120 THEN '' ELSE {py_strip_sql('text')} END AS answer,
+       CASE WHEN length(text) > 120 THEN 'ValueError: too long' END AS answer_error FROM benchmark"""

@@ -494,3 +494,52 @@ QUERIES.update({
     "frontier_graph": q_frontier_graph,
     "frontier_resume": q_frontier_resume,
 })
+
+
+# --------------------------------------------------- preparation job, answers
+from ..sinks import index_store as IS  # noqa: E402
+from ..sinks import prepare as PP  # noqa: E402
+
+
+def _prepared(spark, sf_dir):
+    """Folders of an index and a blob store to which all conversations were added, and the upload report."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prepared-{uuid.uuid4().hex}"
+    report = PP.prepare_documents(spark, "add", f"{root}/index", f"{root}/blobs", pages=S.conversation_pages(spark, sf_dir),
+                                  category="chat", buckets=16)
+    return f"{root}/index", f"{root}/blobs", report
+
+
+def q_prepare_add(spark, sf_dir) -> DataFrame:
+    """Mode "add": for every file the sections sent, and those found in the stored index."""
+    return _prepared(spark, sf_dir)[2].select("sourcefile", *_long("sent", "succeeded"))
+
+
+def q_prepare_remove(spark, sf_dir) -> DataFrame:
+    """Mode "remove": the stored index after the conversations that carry a system turn were removed."""
+    index, blobs, _ = _prepared(spark, sf_dir)
+    gone = S.table(spark, sf_dir, "conversations").filter("role = 'system'").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("sourcefile"))
+    PP.prepare_documents(spark, "remove", index, blobs, files=gone, buckets=16)
+    return IS.read(spark, index, 16)
+
+
+def _echo(prompts: list[str]) -> list[str]:
+    """Stands in for a completion service: repeats the question, and refuses long ones."""
+    questions = [p[: -len("\nAnswer:")].rsplit("Question: ", 1)[1] for p in prompts]
+    if any(len(q) > 120 for q in questions):
+        raise ValueError("too long")
+    return questions
+
+
+def q_answers(spark, sf_dir) -> DataFrame:
+    """Answers to all questions, written to the answer sink and read back; a prompt that fails is the only one without an answer."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    SS.write_answers(PR.answer(PR.completion_prompt(contexts_with_questions(spark, sf_dir)), _echo), path)
+    return spark.read.parquet(path).select("question_id", "answer", "answer_error")
+
+
+QUERIES.update({
+    "prepare_add": q_prepare_add,
+    "prepare_remove": q_prepare_remove,
+    "answers": q_answers,
+})

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators import index as IX
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 
 BUCKET_COL = "file_bucket"
 BUCKETS = 256
@@ -96,7 +96,7 @@ def upsert_into(spark: SparkSession, path: str, incoming: DataFrame, buckets: in
     """Upsert ``incoming`` sections; returns the per-file report
     (sent, succeeded) of this batch."""
     create(spark, path, buckets)
-    ensure_checkpoint_dir(spark)
+    incoming = stage_table(incoming)              # read several times below: the sections are cut once
     col = _part(buckets)
     raw = _raw(spark, path, buckets)
     inc = IX.dedup_incoming(incoming).select(*IX.INDEX_FIELDS)
