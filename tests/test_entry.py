@@ -70,3 +70,17 @@ def test_entry_from_another_working_directory(tmp):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp, env=env, capture_output=True,
                          text=True, timeout=600)
     assert "ROWS 40" in out.stdout and "SECTIONS" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("gone", ["xxhash", "docweave.llm", "corpus_pipeline"])
+def test_entry_point_without_a_module_of_the_extra_queries(gone):
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r); sys.modules[%r] = None\n"
+            "import __spark_entry__ as E\n"
+            "from docweave.plans.queries import QUERIES\n"
+            "assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())\n"
+            "print('REST', 'pipeline' in E.queries())\n") % (repo, gone)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert "REST False" in out.stdout, out.stderr[-2000:]
