@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import drop_staged, stage_table
 from .index import TERM_PATTERN
 
 K1, B = 1.2, 0.75
@@ -60,8 +60,11 @@ def build(index: DataFrame, id_col: str = "id", text_col: str = "content", k1: f
     parts = F.greatest(F.lit(1), F.ceil(F.col("df") / hot)).cast("int")
     terms = stage_table(postings.groupBy("term").agg(F.count("*").alias("df"), F.max("weight").alias("top")).withColumn("parts", parts))
     many = terms.filter("parts > 1").select("term", "parts")                       # few: n * length / hot of them
-    salted = (postings.join(many, "term", "left")
-              .select("term", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("salt"), "id", "weight"))
+    if many.isEmpty():
+        return SearchIndex(postings.select("term", F.lit(0).alias("salt"), "id", "weight"), terms, n)
+    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")
+    salted = stage_table(postings.join(many, "term", "left").select("term", salt.alias("salt"), "id", "weight"))
+    drop_staged(postings)
     return SearchIndex(salted, terms, n)
 
 

@@ -10,7 +10,7 @@ which obey the triangle inequality: a row of a cluster is at least ``d(q, c)
 ``search`` needs, for each question, a distance that its last wanted row
 cannot exceed. One follows from the clusters' bounds and costs alone; scoring
 the nearest clusters whose rows fill the question's need gives a much closer
-one. Then only clusters whose lower bound is within it are read, and of them
+one (done where the index is large enough for another pass to pay). Then only clusters whose lower bound is within it are read, and of them
 only rows whose own distance to the center allows it. Any centers give the
 same result; good ones only skip more.
 """
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage_table
+from ..session import drop_staged, stage_table
 
 #: Rows of the sample for each center, and the most centers (with 64 dimensions 8 MB).
 SAMPLE_PER_CENTER = 16
 MAX_CENTERS = 16_384
 LLOYD_ROUNDS = 4
+#: An index of more rows is asked for the nearest clusters' rows first, for a closer limit.
+PROBE_ROWS = 100_000
 #: Chords from rounded cosines are this exact; bounds are loosened by it.
 SLACK = 1e-6
 BLOCK_CELLS = 4_000_000          # distance cells per block (32 MB of doubles)
@@ -105,8 +107,10 @@ def build_index(chunks: DataFrame, payload: list[str], vec_col: str = "embedding
         return VectorIndex(stage_table(chunks.sparkSession.createDataFrame([], T.StructType(fields))), payload, cost_col, np.zeros((0, 1)), empty, empty, empty)
     centers = fit_centers(unit(_vectors(sample)), k)
     tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
-    rows = stage_table(src.mapInArrow(_assign(centers), T.StructType(fields)).repartitionByRange(tasks, "cluster", "off")
-                       .sortWithinPartitions("cluster", "off"))
+    # written before it is dealt by ranges, whose borders are then sampled from two columns
+    assigned = stage_table(src.mapInArrow(_assign(centers), T.StructType(fields)))
+    rows = stage_table(assigned.repartitionByRange(tasks, "cluster", "off").sortWithinPartitions("cluster", "off"))
+    drop_staged(assigned)
     about = rows.groupBy("cluster").agg(F.max("off").alias("radius"), F.count("*").alias("n"),
                                         F.sum(F.col(cost_col).cast("double") if cost_col else F.lit(0.0)).alias("cost")).toArrow()
     at = about["cluster"].to_numpy()                                              # a row for each center at most
@@ -269,15 +273,23 @@ def search(index: VectorIndex, question_ids: list, vectors: np.ndarray, need: Ne
         return rows.select("cluster", "off", *index.payload, "vec").mapInArrow(
             _score(need, ids, index.payload, index.cost_col, matrix, centers, sc.broadcast(use), limit, block_cells), out_schema)
 
-    near = best_rows(scored(first, limit), ["q"], ids, need, index.cost_col)
+    if index.count.sum() > PROBE_ROWS:
+        limit = _probed(index, need, ids, scored(first, limit), limit)
+    out = scored(clusters_within(index, to_center, limit), limit)
+    names = spark.createDataFrame([(i, v) for i, v in enumerate(question_ids)], T.StructType([T.StructField("q", T.LongType()), id_field]))
+    return out.join(F.broadcast(names), "q").select(*index.payload, id_field.name, "distance")
+
+
+def _probed(index: VectorIndex, need: Need, ids: list[str], rows: DataFrame, limit: np.ndarray) -> np.ndarray:
+    """``limit`` lowered to the distance of the last row that each question's need takes of ``rows``."""
+    near = best_rows(rows, ["q"], ids, need, index.cost_col)
     last = near.groupBy("q").agg(F.max("distance").alias("d"), F.count("*").alias("n"),
                                  F.sum(F.col(index.cost_col).cast("double") if index.cost_col else F.lit(0.0)).alias("cost")).toArrow()
     q = last["q"].to_numpy()
     full = need.filled(last["n"].to_numpy().astype(np.float64), last["cost"].to_numpy())
+    limit = limit.copy()
     limit[q[full]] = np.minimum(limit[q[full]], np.sqrt(2.0 * last["d"].to_numpy()[full]))
-    out = scored(clusters_within(index, to_center, limit), limit)
-    names = spark.createDataFrame([(i, v) for i, v in enumerate(question_ids)], T.StructType([T.StructField("q", T.LongType()), id_field]))
-    return out.join(F.broadcast(names), "q").select(*index.payload, id_field.name, "distance")
+    return limit
 
 
 def best_rows(rows: DataFrame, by: list[str], ids: list[str], need: Need, cost_col: str | None) -> DataFrame:

@@ -197,6 +197,21 @@ def test_clusters_that_cannot_matter_are_skipped(spark):
     assert [x[0:2] for x in a] == [x[0:2] for x in b] and a
 
 
+def test_probing_the_nearest_clusters_changes_nothing(spark, monkeypatch):
+    from docweave.operators import vector_index as VI
+    _, _, df, qs = clustered_chunks(spark, n=1500, seed=3)
+    index = R.chunk_index(df)
+    a = sorted((r["question_id"], r["rank"], r["chunk_id"]) for r in R.context_rows(None, qs, max_len=300, index=index).collect())
+    limits = []
+    probed = VI._probed
+    monkeypatch.setattr(VI, "PROBE_ROWS", 0)
+    monkeypatch.setattr(VI, "_probed", lambda *x: (limits.append((x[-1], probed(*x))), limits[-1][1])[1])
+    b = sorted((r["question_id"], r["rank"], r["chunk_id"]) for r in R.context_rows(None, qs, max_len=300, index=index).collect())
+    assert a == b and a
+    before, after = limits[0]
+    assert (after <= before).all() and after.sum() < 0.8 * before.sum()
+
+
 def test_any_centers_give_the_same_rows(spark):
     from docweave.operators import vector_index as VI
     _, _, df, qs = clustered_chunks(spark, n=400, spread=3.0, seed=5)
