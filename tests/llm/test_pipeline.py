@@ -10,7 +10,7 @@ from docweave.llm.oracle import ORACLE
 from docweave.llm.queries import QUERIES, BYTE_BPE, tokenizer
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "conversations", "labels", "pages")
+TABLES = ("documents", "benchmark", "conversations", "embeddings", "labels", "pages")
 
 
 @pytest.fixture(scope="module")
