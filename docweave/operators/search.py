@@ -11,7 +11,7 @@ scores from its rarest terms give a score that the k-th result reaches at
 least. Its most frequent terms, as far as their largest possible weights
 together stay below that score, cannot bring in a text alone: their postings
 are only looked up, by (term, id), for texts that another term found and that
-can still reach the score.
+can still reach the k-th best of the scores so far.
 """
 
 from __future__ import annotations
@@ -116,7 +116,11 @@ def thresholds(index: SearchIndex, wanted: DataFrame, k: int, seed: int = SEED)
     """``query_id, floor``: a score that a query's k-th result reaches at least (from its rarest terms)."""
     w = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rare = wanted.withColumn("sum", F.sum("df").over(w)).filter(F.col("sum") - F.col("df") < k * seed)
-    scores = _found(index, rare).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    return _floors(_found(index, rare).groupBy("query_id", "id").agg(F.sum("part").alias("score")), k)
+
+
+def _floors(scores: DataFrame, k: int) -> DataFrame:
+    """``query_id, floor`` of the queries that have ``k`` texts with partial scores: the k-th best, less the slack."""
     return (_ranked(scores, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
             .filter(F.col("n") >= k).select("query_id", (F.col("low") - SLACK).alias("floor")))
 
@@ -138,9 +142,10 @@ def search(index: SearchIndex, queries: DataFrame, k: int = 10, query_col: str =
     Texts without any of its terms are no results."""
     wanted = stage_table(query_terms(index, queries, query_col))
     split = stage_table(split_terms(wanted, thresholds(index, wanted, k)))
-    essential = _found(index, split.filter("not only_look_up")).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    about = split.select("query_id", "floor", "rest").distinct()
-    able = stage_table(essential.join(about, "query_id").filter(F.col("score") + F.col("rest") >= F.col("floor")).select("query_id", "id", "score"))
+    essential = stage_table(_found(index, split.filter("not only_look_up")).groupBy("query_id", "id").agg(F.sum("part").alias("score")))
+    rest = split.select("query_id", "rest").distinct().join(_floors(essential, k), "query_id", "left")     # closer than the first floor
+    able = stage_table(essential.join(rest, "query_id").filter(F.col("score") + F.col("rest") >= F.coalesce("floor", F.lit(0.0)))
+                       .select("query_id", "id", "score"))
     asked = able.select("query_id", "id").join(split.filter("only_look_up").select("query_id", "term", "gain"), "query_id")
     more = asked.join(index.postings.select("term", "id", "weight"), ["term", "id"]).select("query_id", "id", (F.col("gain") * F.col("weight")).alias("score"))
     scores = able.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
