@@ -50,15 +50,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _blocks(keyed: DataFrame, size: int) -> DataFrame:
     """``ident, row_key, last, i, block``: all blocks 0..last of each text (an
     empty text is one empty block)."""
-    last = F.greatest(F.lit(0), F.ceil(F.octet_length("text") / size).cast("int") - 1)
-
     def cut(data):
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * size + 1, F.lit(size)))
-    # a lambda's argument is evaluated once: the text is encoded once, not again for each block
+        last = F.greatest(F.lit(0), F.ceil(F.octet_length(data) / size).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            last.alias("last"), i.alias("i"), F.substring(data, i * size + 1, F.lit(size)).alias("block")))
+    # a lambda's argument is evaluated once: the text is encoded once, not again for each block, and no block's row carries it
     parts = F.element_at(F.transform(F.array(F.encode("text", "UTF-8")), cut), 1)
-    # cut before exploding, so that no block's row carries the text
-    return (keyed.select("ident", "row_key", last.alias("last"), parts.alias("parts"))
-            .select("ident", "row_key", "last", F.posexplode("parts").alias("i", "block")))
+    return keyed.select("ident", "row_key", F.inline(parts))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK,
