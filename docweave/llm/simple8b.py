@@ -24,6 +24,8 @@ BLOCK = 2048
 CAPS = (20, 32)
 ESCAPES = 16
 _PAD = 240
+#: Blocks coded at a time: scratch arrays do not grow with the ids.
+GROUP = 64
 
 
 @dataclass
@@ -81,8 +83,26 @@ def _plan(fields: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return block[order], pos[order], sel[order]
 
 
+def _ends(parts: list[np.ndarray]) -> np.ndarray:
+    """Offsets of groups as offsets of the whole."""
+    out, base = [np.zeros(1, np.int64)], 0
+    for x in parts:
+        out.append(x[1:].astype(np.int64) + base)
+        base += int(x[-1])
+    return np.concatenate(out).astype(np.int32)
+
+
 def encode(ids: np.ndarray, caps: tuple[int, ...] = CAPS) -> Coded:
     ids = np.asarray(ids, np.uint32)
+    if len(ids) <= GROUP * BLOCK:
+        return _encode(ids, caps)
+    parts = [_encode(ids[i:i + GROUP * BLOCK], caps) for i in range(0, len(ids), GROUP * BLOCK)]
+    whole = lambda k: np.concatenate([getattr(c, k) for c in parts])
+    return Coded(whole("words"), _ends([c.word_at for c in parts]), whole("cap"), whole("escapes"),
+                 _ends([c.escape_at for c in parts]), len(ids))
+
+
+def _encode(ids: np.ndarray, caps: tuple[int, ...]) -> Coded:
     n = len(ids)
     blocks = -(-n // BLOCK)
     table = np.zeros((blocks, BLOCK + _PAD), np.uint32)
@@ -111,10 +131,19 @@ def encode(ids: np.ndarray, caps: tuple[int, ...] = CAPS) -> Coded:
 
 
 def decode(c: Coded) -> np.ndarray:
-    """All ids, all blocks at once."""
+    """All ids, a group of blocks at a time."""
+    out = np.empty(c.n, np.uint32)
+    for i in range(0, len(c.cap), GROUP):
+        j = min(i + GROUP, len(c.cap))
+        n = min(j * BLOCK, c.n) - i * BLOCK
+        w, e = c.word_at[[i, j]], c.escape_at[[i, j]]
+        out[i * BLOCK: i * BLOCK + n] = _decode(Coded(c.words[w[0]:w[1]], c.word_at[i:j + 1] - w[0], c.cap[i:j],
+                                                      c.escapes[e[0]:e[1]], c.escape_at[i:j + 1] - e[0], n))
+    return out
+
+
+def _decode(c: Coded) -> np.ndarray:
     blocks = len(c.cap)
-    if not blocks:
-        return np.zeros(0, np.uint32)
     sel = (c.words >> np.uint64(60)).astype(np.int64)
     count = COUNT[sel]
     start = np.concatenate(([0], np.cumsum(count)))

@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import (NOT_SPACE, _powers, gram_hashes, joined, mix64, partitions, row_blocks, span_hashes,
-                                 spans, text_bytes)
+from docweave.llm.common import (NOT_SPACE, PIECE, _powers, gram_hashes, joined, mix64, partitions, release, row_blocks,
+                                 span_hashes, spans, text_bytes)
 
 WIDTH = 20
 ORDER = 3
@@ -78,13 +78,19 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` word hashes, by one prefix sum."""
+    """Hash of each run of ``n`` word hashes, by prefix sums over pieces, so
+    that neither scratch nor the table of powers grows with the input."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h) + 1)
-    acc = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=acc[1:])
-    return mix64((acc[n:] - acc[:-n]) * down[: len(h) - n + 1])
+    out = np.empty(len(h) - n + 1, np.uint64)
+    step = max(PIECE - n, n)
+    up, down = _powers(step + n)
+    for i in range(0, len(out), step):
+        part = h[i: i + step + n - 1]
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=acc[1:])
+        out[i: i + step] = mix64((acc[n:] - acc[:-n]) * down[: len(part) - n + 1])
+    return out
 
 
 class _Strings:
@@ -211,20 +217,38 @@ def _pack(hot_bits: bytes, width: int, order: int, buckets: int):
     return run
 
 
+def _windows(text: list[bytes], width: int):
+    """Each window of the rows of ``text``, in order: its hash, row, first
+    word, first byte and end byte (the last three within the row). Rows are
+    read in pieces: arrays by word, the larger ones, are of one piece only."""
+    cols = [[np.zeros(0, kind)] for kind in (np.uint64, *[np.int32] * 4)]
+    stop = np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + 2 * PIECE, "right")))
+        buf, at = joined(text[i:j])
+        starts, ends = spans(buf, NOT_SPACE)
+        if len(starts) >= width:
+            doc = np.searchsorted(at, starts, "right") - 1
+            first_word = np.searchsorted(starts, at)
+            win = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1:])
+            own = doc[win]
+            got = (window_hashes(span_hashes(buf, starts, ends), width)[win], own + i, win - first_word[own],
+                   starts[win] - at[own], ends[win + width - 1] - at[own])
+            for c, x in zip(cols, got):
+                c.append(x.astype(c[0].dtype, copy=False))
+        i = j
+    return [np.concatenate(c) for c in cols]
+
+
 def repeats(ident: np.ndarray, key: np.ndarray, start: np.ndarray, text: list[bytes], width: int):
     """Runs of windows that occur earlier, as (ident, key, first word, end),
     of the super-k-mers of one bucket."""
     order = np.lexsort((start, key, ident))
     ident, key, start = ident[order], key[order], start[order]
-    buf, at = joined([text[i] for i in order.tolist()])
-    starts, ends = spans(buf, NOT_SPACE)
-    doc = np.searchsorted(at, starts, "right") - 1
-    first_word = np.searchsorted(starts, at)
-    hashed = window_hashes(span_hashes(buf, starts, ends), width)
-    win = np.flatnonzero(doc[: len(doc) - width + 1] == doc[width - 1:])      # in order of occurrence
-    h = hashed[win]
-    own = doc[win]
-    place = start[own] + win - first_word[own]
+    text = [text[i] for i in order.tolist()]
+    h, own, word, lo, hi = _windows(text, width)
+    place = start[own] + word
     by = np.argsort(h, kind="stable")
     head = np.ones(len(by), bool)
     head[1:] = h[by[1:]] != h[by[:-1]]
@@ -234,18 +258,16 @@ def repeats(ident: np.ndarray, key: np.ndarray, start: np.ndarray, text: list[by
     flagged &= (ident[own] != ident[own[first]]) | (key[own] != key[own[first]]) | (place != place[first])
     idx = np.flatnonzero(first != np.arange(len(by)))
     if len(idx):                                              # the words themselves decide
-        raw = buf.tobytes()
         brk = np.flatnonzero((np.diff(idx) != 1) | (np.diff(first[idx]) != 1) | (np.diff(own[idx]) != 0)
                              | (np.diff(own[first[idx]]) != 0)) + 1
-        ra, rb = np.concatenate(([0], brk)), np.append(brk, len(idx)) - 1
-        a, b = win[idx[ra]], win[idx[rb]] + width - 1
-        c, d = win[first[idx[ra]]], win[first[idx[rb]]] + width - 1
-        same = all(raw[i:j] == raw[k:m] for i, j, k, m in
-                   zip(starts[a].tolist(), ends[b].tolist(), starts[c].tolist(), ends[d].tolist()))
+        a, b = idx[np.concatenate(([0], brk))], idx[np.append(brk, len(idx)) - 1]
+        c, d = first[a], first[b]
+        same = all(text[r][i:j] == text[s][k:m] for r, i, j, s, k, m in
+                   zip(*(x.tolist() for x in (own[a], lo[a], hi[b], own[c], lo[c], hi[d]))))
         if not same:                                          # two windows with one hash: by dictionary
             seen: dict[bytes, int] = {}
-            for i, (a, b) in enumerate(zip(starts[win].tolist(), ends[win + width - 1].tolist())):
-                j = seen.setdefault(raw[a:b], i)
+            for i, (r, a, b) in enumerate(zip(own.tolist(), lo.tolist(), hi.tolist())):
+                j = seen.setdefault(text[r][a:b], i)
                 flagged[i] = (ident[own[i]], key[own[i]], place[i]) != (ident[own[j]], key[own[j]], place[j])
     idx = np.flatnonzero(flagged)
     if not len(idx):
@@ -267,8 +289,10 @@ def _count(width: int):
         def flush():
             ident, key, start = (np.concatenate([c[i] for c, _ in held]) for i in range(3))
             text = [t for _, x in held for t in x.split(b"\n")]
-            got = repeats(ident, key, start, text, width)
             held.clear()
+            got = repeats(ident, key, start, text, width)
+            del text
+            release()
             if got is not None:
                 yield out(got)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm import simple8b
-from docweave.llm.common import partitions, row_blocks
+from docweave.llm.common import partitions, release, row_blocks
 
 END_ID = 0
 PAGE = 1 << 20
@@ -236,6 +236,7 @@ def _writer(path: str, end_id: int, page_ids: int):
                     yield flush()
         if held:
             yield flush()
+        release()
     return run
 
 
@@ -297,6 +298,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(ends - size + row["before"]), pa.array(size),
                      pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del row, raw
+            release()
 
     pages = _with_start(spark.read.schema(PAGES).parquet(path))
     return pages.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
