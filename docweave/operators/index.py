@@ -4,10 +4,13 @@ facets, postings. Pure DataFrame functions plus storage helpers in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import stage_table
 
 INDEX_FIELDS = ["id", "content", "category", "sourcepage", "sourcefile"]
 FACET_FIELDS = ["category", "sourcepage", "sourcefile"]
@@ -81,12 +84,42 @@ def facets(index: DataFrame, fields=FACET_FIELDS) -> DataFrame:
                  .agg(F.count("*").alias("count")))
 
 
+def terms_of(text) -> F.Column:
+    """Lower-cased letter and digit runs of a text, repeats included."""
+    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM_PATTERN), 0)
+
+
+def _runs(terms) -> F.Column:
+    """``(term, tf)`` of each distinct term of an array, from its sorted terms
+    (bound once, as the element of an array of one)."""
+    def count(s):
+        begin = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return F.transform(F.array(begin), lambda b: F.zip_with(b, F.slice(F.concat(b, F.array(F.size(s) + 1)), F.lit(2), F.size(b)),
+                           lambda i, j: F.struct(F.get(s, i - 1).alias("term"), (j - i).cast("long").alias("tf"))))[0]
+    return F.transform(F.array(F.sort_array(terms)), count)[0]
+
+
+def term_counts(rows: DataFrame, keys: list[str], terms: str = "t") -> DataFrame:
+    """``term``, the keys and ``tf``: how often each term is in the arrays
+    ``terms`` of each key. A row is counted where it is; only rows whose keys
+    occur again are dealt out, to be added up."""
+    def counted(r):
+        r = r.filter(F.size(terms) > 0).select(*keys, F.explode(_runs(F.col(terms))).alias("_c"))
+        return r.select("_c.term", *keys, "_c.tf")
+
+    rows = rows.select(*keys, terms)
+    again = stage_table(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    if again.isEmpty():
+        return counted(rows)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    more = counted(rows.join(again, same, "left_semi")).groupBy("term", *keys).agg(F.sum("tf").alias("tf"))
+    return counted(rows.join(again, same, "left_anti")).unionByName(more)
+
+
 def postings(index: DataFrame) -> DataFrame:
     """Inverted index of ``content``: (term, id, tf) over lower-cased
     letter and digit runs."""
-    terms = F.regexp_extract_all(F.lower(F.col("content")), F.lit(TERM_PATTERN), 0)
-    return (index.select("id", F.explode(terms).alias("term"))
-                 .groupBy("term", "id").agg(F.count("*").alias("tf")))
+    return term_counts(index.select("id", terms_of("content").alias("t")), ["id"]).select("term", "id", "tf")
 
 
 def page_blobs(pmap: DataFrame) -> DataFrame:

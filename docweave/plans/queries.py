@@ -13,7 +13,7 @@ from ..functions import text as TX
 from ..functions import vectors as V
 from ..operators import chunking as CH
 from ..operators import retrieval as R
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stage_table
 from ..sources import tables as S
 
 CHUNK_IDS = ("doc_id", "chunk_no")      # a chunk's key
@@ -269,7 +269,7 @@ def section_index(spark, sf_dir) -> DataFrame:
     ones re-sent with their category (upsert by id)."""
     # written once to the shared checkpoint folder: both loads read it
     # instead of running the section splitter twice
-    secs = doc_sections(spark, sf_dir).checkpoint()
+    secs = stage_table(doc_sections(spark, sf_dir))
     existing = secs.withColumn("category", F.lit(None).cast("string"))
     incoming = secs.filter(F.col("category").isNotNull())
     return IX.upsert(existing, incoming)

@@ -128,3 +128,13 @@ def test_lookup_pages_reach_every_row(spark):
     while page := [r["id"] for r in IX.lookup(index, top=3, after=after).collect()]:
         seen, after = seen + page, page[-1]
     assert seen == [r[0] for r in rows]
+
+
+def test_postings_count_in_the_row(spark):
+    """No exchange by term while ids do not repeat; repeated and null ids are added up."""
+    rows = [("a", "x y x 12"), ("b", "y"), ("c", ""), ("d", None)]
+    one = IX.postings(spark.createDataFrame(rows, "id string, content string"))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in one.collect()) == [("12", "a", 1), ("x", "a", 2), ("y", "a", 1), ("y", "b", 1)]
+    more = IX.postings(spark.createDataFrame([*rows, ("a", "x"), (None, "z z"), (None, "z")], "id string, content string"))
+    assert {(r["term"], r["id"]): r["tf"] for r in more.collect()} == {("12", "a"): 1, ("x", "a"): 3, ("y", "a"): 1, ("y", "b"): 1, ("z", None): 3}
