@@ -9,20 +9,30 @@ has a task for it alone.
 A query's terms need not all be followed through all their postings. The
 scores from its rarest terms give a score that the k-th result reaches at
 least. Its most frequent terms, as far as their largest possible weights
-together stay below that score, cannot bring in a text alone: their postings
-are only looked up, by (term, id), for texts that another term found and that
-can still reach the k-th best of the scores so far.
+together stay below that score, cannot bring in a text alone: they only add to
+texts that another term found and that can still reach the k-th best of the
+scores so far.
+
+The postings of the wanted terms are dealt by id, each once however many
+queries ask for its term. A task adds up the scores of its texts for a block of
+queries at a time, and only the texts that may be among the best leave it: what
+moves does not grow with queries times texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_staged, stage_table
-from .index import TERM_PATTERN
+from .index import term_counts, terms_of
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
@@ -32,6 +42,8 @@ HOT = 1_000_000
 SEED = 4
 #: Scores are sums in no fixed order: results are ordered by the score rounded to so many digits, and bounds loosened by more.
 DIGITS, SLACK = 9, 1e-6
+#: Queries of one pass over the postings, and scores (texts times queries) that a task holds at a time.
+QUERIES, CELLS = 1000, 1 << 20
 
 
 @dataclass
@@ -41,18 +53,13 @@ class SearchIndex:
     n: int
 
 
-def terms_of(text) -> F.Column:
-    return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM_PATTERN), 0)
-
-
 def build(index: DataFrame, id_col: str = "id", text_col: str = "content", k1: float = K1, b: float = B, hot: int = HOT) -> SearchIndex:
     """Postings and term table of ``index``, staged in the shared checkpoint
     folder. A row whose text is missing is no document; ids are taken to be
     unique (rows of one id count as one longer text would not: each keeps its
     own length and weights)."""
     said = index.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms_of(text_col).alias("t"))
-    counted = (said.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-               .groupBy("term", "id", "len").agg(F.count("*").alias("tf")))
+    counted = term_counts(said.select("id", F.size("t").alias("len"), "t"), ["id", "len"])
     total = said.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
     n, avg = total["n"], float(total["avg"] or 0.0) or 1.0
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
@@ -136,17 +143,106 @@ def split_terms(wanted: DataFrame, floor: DataFrame) -> DataFrame:
     return t.withColumn("rest", rest)
 
 
+def _lists(rows: list, terms: dict, queries: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries and gains of each term, one term after the other, and where each begins."""
+    t, q = (np.array([of[r[c]] for r in rows], np.int64) for of, c in ((terms, "term"), (queries, "query_id")))
+    order = np.argsort(t, kind="stable")
+    at = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=len(terms)))))
+    return at, q[order], np.array([r["gain"] for r in rows], np.float64)[order]
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of ``(id, term_no, weight)`` in order of id, none of them cut: ids, and text number, term and weight of each row."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks() if held or batch else None
+        if t is None:
+            return
+        code = t["id"].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        stop = t.num_rows if batch is None else int(first[-1])
+        held = None
+        if batch is not None:
+            tail = t.slice(stop)                              # the last text may go on: its rows, each term once
+            no, at = np.unique(tail["term_no"].to_numpy(), return_inverse=True)
+            held = pa.RecordBatch.from_arrays([tail["id"].combine_chunks().take(pa.array(np.zeros(len(no), np.int64))), pa.array(no, pa.int32()),
+                                               pa.array(np.bincount(at, tail["weight"].to_numpy()))], schema=batch.schema)
+            first = first[:-1]
+        if stop:
+            doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, stop)))
+            yield t["id"].combine_chunks().take(pa.array(first)), doc, t["term_no"].to_numpy()[:stop], t["weight"].to_numpy()[:stop]
+
+
+def _scorer(follow, look_up, rest: np.ndarray, floor: np.ndarray, k: int):
+    """``query_no, id, score`` of the texts of a partition that may be among
+    the ``k`` best of a query: of equal scores the ``k`` smallest ids, and
+    whatever is close enough to the ``k``-th best to round to the same."""
+    many, tie = len(rest), 2 * 10.0 ** -DIGITS
+
+    def parts(lists, doc, term, weight):
+        at, query, gain = lists
+        n = at[term + 1] - at[term]
+        i = np.arange(n.sum()) + np.repeat(at[term] - (np.cumsum(n) - n), n)
+        return np.repeat(doc, n) * many + query[i], gain[i] * np.repeat(weight, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((many, k), -np.inf)                    # scores of this task so far, the smallest first
+        for ids, doc, term, weight in _whole_texts(batches):
+            step = max(1, CELLS // max(1, many))
+            for base in range(0, len(ids), step):
+                a, b = np.searchsorted(doc, [base, base + step])
+                d, t, w = doc[a:b] - base, term[a:b].astype(np.int64), weight[a:b]
+                size = min(step, len(ids) - base) * many
+                cell, part = parts(follow, d, t, w)
+                score = np.bincount(cell, part, size)
+                able = score.reshape(-1, many) > 0
+                able &= score.reshape(-1, many) + rest + SLACK >= np.maximum(floor, best[:, 0])
+                cell, part = parts(look_up, d, t, w)
+                own = able.reshape(-1)[cell]
+                score = (score + np.bincount(cell[own], part[own], size)).reshape(-1, many)
+                text, query = np.nonzero(able & (score >= np.maximum(floor, best[:, 0] - tie)))
+                value = score[text, query]
+                order = np.lexsort((text, -value, query))
+                text, query, value = text[order], query[order], value[order]
+                new = np.append(True, (query[1:] != query[:-1]))[: len(query)]
+                rank = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+                top = rank < k
+                for q in np.unique(query[top]).tolist():
+                    best[q] = np.sort(np.append(best[q], value[top & (query == q)]))[-k:]
+                equal = new | np.append(True, value[1:] != value[:-1])[: len(query)]
+                place = np.arange(len(query)) - np.maximum.accumulate(np.where(equal, np.arange(len(query)), 0))
+                out = (place < k) & (value >= best[query, 0] - tie)
+                yield pa.RecordBatch.from_arrays([pa.array(query[out], pa.int32()), ids.take(pa.array(text[out] + base)), pa.array(value[out])],
+                                                 ["query_no", "id", "score"])
+    return run
+
+
+def _best(index: SearchIndex, split: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score`` of the texts that may be among the ``k`` best of a block of queries."""
+    spark = split.sparkSession
+    rows = split.select("query_id", "term", "gain", "only_look_up", "rest", "floor").collect()
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    last = {r["query_id"]: r for r in rows}
+    queries = {q: i for i, q in enumerate(last)}
+    numbered = spark.createDataFrame(list(terms.items()), "term string, term_no int")
+    hits = index.postings.join(F.broadcast(numbered), "term").select("id", "term_no", "weight")
+    run = _scorer(_lists([r for r in rows if not r["only_look_up"]], terms, queries), _lists([r for r in rows if r["only_look_up"]], terms, queries),
+                  *(np.array([r[c] for r in last.values()], np.float64) for c in ("rest", "floor")), k)
+    found = (hits.repartition("id").sortWithinPartitions("id", "term_no")
+             .mapInArrow(run, f"query_no int, id {hits.schema['id'].dataType.simpleString()}, score double"))
+    names = spark.createDataFrame([(i, q) for q, i in queries.items()], f"query_no int, query_id {split.schema['query_id'].dataType.simpleString()}")
+    return found.join(F.broadcast(names), "query_no").select("query_id", "id", "score")
+
+
 def search(index: SearchIndex, queries: DataFrame, k: int = 10, query_col: str = "query") -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` best texts of each query
     (``query_id``, ``query``) by BM25, of equal scores the smaller id first.
     Texts without any of its terms are no results."""
     wanted = stage_table(query_terms(index, queries, query_col))
     split = stage_table(split_terms(wanted, thresholds(index, wanted, k)))
-    essential = stage_table(_found(index, split.filter("not only_look_up")).groupBy("query_id", "id").agg(F.sum("part").alias("score")))
-    rest = split.select("query_id", "rest").distinct().join(_floors(essential, k), "query_id", "left")     # closer than the first floor
-    able = stage_table(essential.join(rest, "query_id").filter(F.col("score") + F.col("rest") >= F.coalesce("floor", F.lit(0.0)))
-                       .select("query_id", "id", "score"))
-    asked = able.select("query_id", "id").join(split.filter("only_look_up").select("query_id", "term", "gain"), "query_id")
-    more = asked.join(index.postings.select("term", "id", "weight"), ["term", "id"]).select("query_id", "id", (F.col("gain") * F.col("weight")).alias("score"))
-    scores = able.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    blocks = max(1, -(-split.select("query_id").distinct().count() // QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    scores = reduce(DataFrame.unionByName, [_best(index, split.filter(block == b), k) for b in range(blocks)])
     return _ranked(scores, k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.col("key").alias("score"))

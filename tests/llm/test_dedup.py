@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, simhash, substring
+from docweave.llm import common, exact, simhash, substring
 from docweave.llm.common import components
 
 LAST = (1 << 63) - 1
@@ -214,3 +214,21 @@ def test_blocks_of_a_long_text_are_cut_in_linear_time(spark, tmp):
         took.append(time.time() - began)
         assert {i: (r.keep_id, r.group_size, r.kept) for i, r in got.items()} == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True)}
     assert took[1] < 2.5 * took[0] + 5
+
+
+def test_memory_of_a_bucket():
+    """Arrays by word are of one piece, and the table of powers does not grow with a bucket."""
+    import tracemalloc
+    r = np.random.default_rng(1)
+    text = [b" ".join(b"w%05d" % j for j in x) for x in r.integers(0, 5000, (30_000, 29))]
+    n, size = len(text), sum(map(len, text))
+    substring.repeats(np.arange(2), np.zeros(2, np.int64), np.zeros(2, np.int64), text[:2], 20)
+    tracemalloc.start()
+    substring.repeats(np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), text, 20)
+    high = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert high < 7 * size                                   # 12 times in one piece
+    h = r.integers(0, 1 << 62, 1_200_000).astype(np.uint64)
+    common._POW.clear()
+    assert (substring.window_hashes(h, 20)[-5:] == substring.window_hashes(h[-24:], 20)).all()
+    assert len(common._powers(1)[0]) <= 2 * common.PIECE

@@ -28,3 +28,16 @@ def test_rare_large_ids_are_escaped():
     c = simple8b.encode(x)
     assert len(c.escapes) == 20 and (simple8b.decode(c) == x).all()
     assert len(c.words) < 10_000 / 20
+
+
+def test_memory_does_not_grow_with_the_ids():
+    import tracemalloc
+    x = np.random.default_rng(1).integers(0, 50_000, 1_500_000).astype(np.uint32)
+    tracemalloc.start()
+    c = simple8b.encode(x)
+    high = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert (simple8b.decode(c) == x).all()
+    high = max(high, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert high < 24 << 20                                   # 60 MB and more in one piece

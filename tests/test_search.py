@@ -96,3 +96,39 @@ def test_extra_columns_are_not_read(spark):
     docs, queries = corpus(4, 50)
     df = spark.createDataFrame(docs, "id string, content string").select("*", *[F.lit(1).alias(c) for c in ("t", "term", "len", "tf", "weight", "df", "salt")])
     assert run(spark, SR.build(df), queries, 3) == brute(docs, queries, 3)
+
+
+def test_what_moves_does_not_grow_with_queries_times_texts(spark):
+    """Each posting of a wanted term is dealt once, and a task sends only what may be among the best."""
+    docs, _ = corpus(5, 300)
+    index = SR.build(spark.createDataFrame(docs, "id string, content string").repartition(3))
+    queries = [(i, f"{name(0)} {name(1)} {name(2 + i % 50)}") for i in range(200)]
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    split = SR.split_terms(SR.query_terms(index, q), SR.thresholds(index, SR.query_terms(index, q), 2))
+    n = SR._best(index, split, 2).count()
+    assert 400 <= n < 200 * len(docs) / 4
+    assert run(spark, index, queries, 2) == brute(docs, queries, 2)
+
+
+def test_blocks_of_queries_and_of_texts(spark, monkeypatch):
+    docs, queries = corpus(6, 120)
+    index = SR.build(spark.createDataFrame(docs, "id string, content string"))
+    monkeypatch.setattr(SR, "QUERIES", 6)
+    monkeypatch.setattr(SR, "CELLS", 50)
+    assert run(spark, index, queries, 4) == brute(docs, queries, 4)
+
+
+def test_a_text_may_span_batches():
+    import pyarrow as pa
+    schema = pa.schema([("id", pa.string()), ("term_no", pa.int32()), ("weight", pa.float64())])
+    rows = [(None, 0, 1.0), (None, 0, 2.0), ("a", 0, 1.0), ("a", 1, 2.0), ("a", 1, 4.0), ("b", 0, 8.0)]
+    for size in (1, 2, 3, 6):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + size]), schema)], schema=schema)
+                   for i in range(0, 6, size)]
+        got = {}
+        for ids, doc, term, weight in SR._whole_texts(iter(batches)):
+            for d, t, w in zip(doc, term, weight):
+                key = ids[int(d)].as_py(), int(t)
+                got[key] = got.get(key, 0) + w
+            assert ids.null_count + len(set(ids.to_pylist()) - {None}) == len(ids)
+        assert got == {(None, 0): 3.0, ("a", 0): 1.0, ("a", 1): 6.0, ("b", 0): 8.0}
