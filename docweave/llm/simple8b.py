@@ -18,6 +18,7 @@ import numpy as np
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6),
              (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNT = np.array([n for n, _ in SELECTORS])
+_STEP = COUNT.astype(np.uint8)
 BLOCK = 2048
 #: Field widths that a block may stop at; the smallest at which no more than
 #: one id in ``ESCAPES`` is escaped is taken. The last one fits every id.
@@ -49,7 +50,7 @@ def _width(x: np.ndarray) -> np.ndarray:
 
 def _plan(fields: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy words of each row of ``fields`` (ids padded with zeros):
-    block number, position and selector of each word, in order of blocks."""
+    block number, position in the whole table and selector of each word, in order."""
     width = _width(fields)
     cols = fields.shape[1]
     top = {1: width}
@@ -67,20 +68,21 @@ def _plan(fields: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
             m = m.copy()
             np.maximum(m[:, : cols - (n - p)], top[p][:, n - p:], out=m[:, : cols - (n - p)])
         np.minimum(choice, ((m > bits).view(np.uint8) << 4) + np.uint8(s), out=choice)      # 16 and over: does not fit
-    at = np.zeros(len(fields), np.int64)
-    rows = np.arange(len(fields))
-    got = []
-    while len(rows):
-        s = choice[rows, at[rows]]
-        got.append((rows, at[rows], s))
-        at[rows] += COUNT[s]
-        rows = rows[at[rows] < length[rows]]
-    if not got:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    block, pos, sel = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((pos, block))
-    return block[order], pos[order], sel[order]
+    # All rows step from word to word together; a row that is through stays where it is.
+    inside = np.arange(cols) < length[:, None]
+    step = (_STEP[choice] * inside).reshape(-1)
+    at = np.arange(len(fields)) * cols
+    first = np.zeros(fields.size, bool)
+    while True:
+        path = []
+        for _ in range(64):
+            path.append(at)
+            at = at + step.take(at)
+        first[np.concatenate(path)] = True
+        if not step.take(at).any():
+            break
+    pos = np.flatnonzero(first & inside.reshape(-1))
+    return pos // cols, pos, choice.reshape(-1)[pos]
 
 
 def _ends(parts: list[np.ndarray]) -> np.ndarray:
@@ -120,11 +122,14 @@ def _encode(ids: np.ndarray, caps: tuple[int, ...]) -> Coded:
     fields = np.minimum(table, mark[:, None])
     block, pos, sel = _plan(fields, length)
     words = sel.astype(np.uint64) << np.uint64(60)
+    flat = fields.reshape(-1)
     for s, (k, bits) in enumerate(SELECTORS):
         own = np.flatnonzero(sel == s)
         if bits and len(own):
-            vals = fields[block[own][:, None], pos[own][:, None] + np.arange(k)].astype(np.uint64)
-            words[own] |= np.bitwise_or.reduce(vals << (np.arange(k, dtype=np.uint64) * np.uint64(bits)), axis=1)
+            start, word = pos[own], words[own]
+            for i in range(k):
+                word |= flat[start + i].astype(np.uint64) << np.uint64(i * bits)
+            words[own] = word
     at = np.concatenate(([0], np.cumsum(np.bincount(block, minlength=blocks))))
     esc_at = np.concatenate(([0], np.cumsum(escaped.sum(axis=1))))
     return Coded(words, at.astype(np.int32), cap, table[escaped], esc_at.astype(np.int32), n)

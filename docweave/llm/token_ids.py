@@ -13,6 +13,7 @@ page and place in the page give the order of the whole data set.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -26,12 +27,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm import simple8b
-from docweave.llm.common import partitions, release, row_blocks
+from docweave.llm.common import cuts, partitions, release, row_blocks
 
 END_ID = 0
 PAGE = 1 << 20
 MEMO = 500_000
 TEXT = 4 << 20
+#: Bytes of text whose pieces are looked up together.
+LOOKUP = 4 * TEXT
+#: Pieces that go to the library at a time when they cannot share a text.
+ALONE = 10_000
 #: In front of a piece that has no space before it (private use character).
 MARK = "\ue000"
 #: A letter, and the punctuation that follows it up to the word's end.
@@ -79,9 +84,29 @@ def _spelled(piece: str) -> str:
     return piece if piece[0] == "\n" else " " + piece
 
 
+def _strings(pieces: pa.Array) -> list[str]:
+    """Pieces without spaces in them as Python strings, cut from one."""
+    if not len(pieces):
+        return []
+    whole = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), pa.scalar(" ", pa.large_string()))
+    return whole[0].as_py().split(" ")
+
+
+def _take(at: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of these rows of the memo one after the other, and the count of each."""
+    size = (at[1:] - at[:-1])[rows]
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[:-1][rows] - (ends - size), size)], size
+
+
 class Encoder:
     """Encodes texts with the ``tokenizers`` library, each distinct piece of
-    a batch once; ids of at most ``memo`` pieces are kept."""
+    a batch once; from one batch to the next, ids of at most ``memo`` pieces are kept.
+
+    A word of letters alone is one pre-token, so it goes to the library's
+    model as it is; which characters are letters, and how the model spells
+    them, the library's pre-tokeniser says, once for each character. Every
+    other piece goes through the whole library."""
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
@@ -97,6 +122,11 @@ class Encoder:
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         line = self.tok.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if cut and len(line) == 1 else None
+        self.model, self.pre = self.tok.model, self.tok.pre_tokenizer
+        #: Model's spelling of the letters seen so far; characters that only Python takes for letters.
+        self.spelling: dict[str, str] = {}
+        self.foreign: set[str] = set()
+        self.space = self.pre.pre_tokenize_str(" ")[0][0] if self.line is not None else ""
         self.memo = memo
         self._clear()
 
@@ -107,39 +137,69 @@ class Encoder:
     def _shrink(self) -> None:
         """Keep the half of the memo that most batches have used."""
         keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.memo // 2])
-        size = (self.at[1:] - self.at[:-1])[keep]
-        ends = np.cumsum(size)
-        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.at[keep] - (ends - size), size)]
-        self.at, self.uses = np.concatenate(([0], ends)), self.uses[keep] // 2
+        self.flat, size = _take(self.at, self.flat, keep)
+        self.at, self.uses = np.concatenate(([0], np.cumsum(size))), self.uses[keep] // 2
         self.keys = self.keys.take(pa.array(keep))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, new: list[str]) -> list[tuple[str, str, str]]:
+        """The pieces that are a word of letters alone, with what is in front
+        (a space as the model spells it, a line feed or nothing) and the word.
+        Texts with a special string come in marked pieces; these are left out
+        if such a string could stand in a word."""
+        if self.line is None:
+            return []
+        words = [(p, self.space, p) for p in new if p.isalpha()]
+        words += [(p, "\n", p[1:]) for p in new if p[0] == "\n" and p[1:].isalpha()]
+        if not any(x.isalpha() for x in self.specials):
+            words += [(p, "", p[1:]) for p in new if p[0] == MARK and p[1:].isalpha()]
+            words += [(p, self.space, p[2:]) for p in new if p[:2] == MARK + " " and p[2:].isalpha()]
+        for c in set("".join(w for _, _, w in words)).difference(self.spelling, self.foreign):
+            got = self.pre.pre_tokenize_str(f"a{c}a")
+            if len(got) == 1:
+                self.spelling[c] = got[0][0][1:-1]
+            else:
+                self.foreign.add(c)
+        return [x for x in words if self.foreign.isdisjoint(x[2])] if self.foreign else words
+
     def _learn(self, new: list[str]) -> dict[str, int]:
-        """Encode new pieces, many to a call: a line feed between two pieces
-        is a token of its own, at which the ids fall apart again. Returns the
-        row of each."""
-        joint = [p for p in new if self.line is not None and p[0] != MARK and not p[-1].isspace()
+        """Encode new, different pieces: words by the model, the others many
+        to a call; there a line feed between two pieces is a token of its own,
+        at which the ids fall apart again. Returns the row of each."""
+        words = self._words(new)
+        known = [p for p, _, _ in words]
+        rest = list(set(new).difference(known))
+        joint = [p for p in rest if self.line is not None and p[0] != MARK and not p[-1].isspace()
                  and not p[p[0] == "\n"].isspace()]
-        alone = list(set(new).difference(joint))
-        if joint:
-            feeds = [p for p in joint if p[0] == "\n"]
-            plain = [p for p in joint if p[0] != "\n"]
-            lumps = [("".join(feeds[i:i + 500]), 0) for i in range(0, len(feeds), 500)]
-            lumps += [("\n " + "\n ".join(plain[i:i + 500]), 1) for i in range(0, len(plain), 500)]
-            got = self._ids([x for x, _ in lumps])
-            new = alone + feeds + plain
-        else:
-            new, lumps, got = alone, [], []
-        parts = self._ids([_spelled(p) for p in alone])
-        size = [np.fromiter(map(len, parts), np.int64, len(parts))]
-        flat = [np.fromiter((i for x in parts for i in x), np.uint32, int(size[0].sum()))]
-        for (_, skip), ids in zip(lumps, got):
+        alone = list(set(rest).difference(joint))
+        feeds = [p for p in joint if p[0] == "\n"]
+        plain = [p for p in joint if p[0] != "\n"]
+        lumps = [("".join(feeds[i:i + 500]), 0) for i in range(0, len(feeds), 500)]
+        lumps += [("\n " + "\n ".join(plain[i:i + 500]), 1) for i in range(0, len(plain), 500)]
+        table, tokens, line = str.maketrans(self.spelling), self.model.tokenize, [self.line]
+        size, flat = [], []
+        for _, front, word in words:
+            if not word.isascii():
+                word = word.translate(table)
+            if front == "\n":
+                got = line + [t.id for t in tokens(word)]
+            else:
+                got = [t.id for t in tokens(front + word)]
+            size.append(len(got))
+            flat += got
+        for i in range(0, len(alone), ALONE):
+            for ids in self._ids([_spelled(p) for p in alone[i:i + ALONE]]):
+                size.append(len(ids))
+                flat += ids
+        size, flat = [np.array(size, np.int64)], [np.array(flat, np.uint32)]
+        for (_, skip), ids in zip(lumps, self._ids([x for x, _ in lumps])):
             ids = np.array(ids, np.uint32)
             first = np.flatnonzero(ids == self.line)
             size.append(np.diff(np.append(first, len(ids))) - skip)
             flat.append(np.delete(ids, first) if skip else ids)
+        new = known + alone + feeds + plain
         size = np.concatenate(size)
         base = len(self.keys)
         self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.large_string())])
@@ -148,49 +208,67 @@ class Encoder:
         self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
         return dict(zip(new, range(base, base + len(new))))
 
-    def _rows(self, pieces: pa.Array) -> np.ndarray:
-        """Row of each piece, learning the new ones."""
-        at = pc.index_in(pieces, value_set=self.keys)
-        if len(self.keys) and len(self.keys) + at.null_count > self.memo:
-            self._shrink()
-            at = pc.index_in(pieces, value_set=self.keys)
+    def _rows(self, pieces: pa.Array, extra: list[str]) -> np.ndarray:
+        """Row of each piece and extra piece, learning the new ones."""
+        every = pa.concat_arrays([pieces, pa.array(extra, pa.large_string())])
+        at = pc.index_in(every, value_set=self.keys)
         rows = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         unknown = np.flatnonzero(rows < 0)
         if len(unknown):
-            new = pieces.take(pa.array(unknown)).to_pylist()
+            own = np.searchsorted(unknown, len(pieces))
+            new = _strings(pieces.take(pa.array(unknown[:own]))) + [extra[i - len(pieces)] for i in unknown[own:].tolist()]
             row = self._learn(list(dict.fromkeys(new)))
             rows[unknown] = np.fromiter(map(row.__getitem__, new), np.int64, len(new))
         self.uses[rows] += 1
         return rows
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and the count of each."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    def _pieces(self, texts: pa.Array, extra: dict[str, int]):
+        """Coded pieces of the texts, their number by text, which texts are
+        odd, place and number in ``extra`` of the first piece of each other
+        text, and the numbers of the odd ones' pieces."""
         if self.cut:
             flat, count, odd = cut_texts(texts, self.specials)
         else:
             flat, count, odd = texts.slice(0, 0), np.zeros(len(texts), np.int64), np.ones(len(texts), bool)
-        coded = flat.dictionary_encode()
-        plain = np.flatnonzero(~odd)
-        first = np.cumsum(count[plain]) - count[plain]
-        heads = [MARK + p for p in flat.take(pa.array(first)).to_pylist()]
-        rest = [(odd_pieces(t) if self.cut else [MARK + t]) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
-        count[odd] = np.fromiter(map(len, rest), np.int64, len(rest))
-        extra = list(dict.fromkeys(heads + [p for x in rest for p in x]))
-        row = self._rows(pa.concat_arrays([coded.dictionary, pa.array(extra, pa.large_string())]))
-        of = dict(zip(extra, row[len(coded.dictionary):].tolist()))
-        own = row[coded.indices.to_numpy(zero_copy_only=False)]
-        own[first] = np.fromiter((of[p] for p in heads), np.int64, len(heads))
-        stop = np.cumsum(count)
-        code = np.empty(stop[-1] if len(stop) else 0, np.int64)
-        is_odd = np.repeat(odd, count)
-        code[~is_odd] = own
-        code[is_odd] = np.fromiter((of[p] for x in rest for p in x), np.int64, int(is_odd.sum()))
-        size = self.at[code + 1] - self.at[code]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[code] - (ends - size), size)]
-        before = np.concatenate(([0], ends))
-        return ids, before[stop] - before[stop - count]
+        first = np.cumsum(count[~odd]) - count[~odd]
+        heads = [extra.setdefault(MARK + p, len(extra)) for p in _strings(flat.take(pa.array(first)))]
+        rest = [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(odd).tolist():
+            if text := texts[k].as_py():
+                got = odd_pieces(text) if self.cut else [MARK + text]
+                count[k] = len(got)
+                rest.append(np.array([extra.setdefault(p, len(extra)) for p in got], np.int64))
+        return flat.dictionary_encode(), count, odd, first, np.array(heads, np.int64), np.concatenate(rest)
+
+    def blocks(self, texts: pa.Array, limit: int = TEXT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of one slice of the texts after the other (at most
+        ``limit`` bytes or one text); pieces are looked up for all at once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        extra: dict[str, int] = {}
+        parts = [self._pieces(texts.slice(i, j - i), extra) for i, j in cuts(texts, limit)]
+        if not parts:
+            return
+        coded = pa.chunked_array([p[0] for p in parts]).unify_dictionaries().chunks
+        row = self._rows(coded[0].dictionary, list(extra))
+        of = row[len(row) - len(extra):]
+        for k, (_, count, odd, first, heads, rest) in enumerate(parts):
+            code = row[coded[k].indices.to_numpy(zero_copy_only=False)]
+            code[first] = of[heads]
+            stop = np.cumsum(count)
+            if len(rest):
+                own, code, is_odd = code, np.empty(stop[-1], np.int64), np.repeat(odd, count)
+                code[~is_odd] = own
+                code[is_odd] = of[rest]
+            ids, size = _take(self.at, self.flat, code)
+            before = np.concatenate(([0], np.cumsum(size)))
+            yield ids, before[stop] - before[stop - count]
+        if len(self.keys) > self.memo:
+            self._shrink()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the count of each."""
+        got = [(np.zeros(0, np.uint32), np.zeros(0, np.int64)), *self.blocks(texts)]
+        return np.concatenate([ids for ids, _ in got]), np.concatenate([size for _, size in got])
 
 
 @functools.lru_cache(maxsize=2)
@@ -226,14 +304,15 @@ def _writer(path: str, end_id: int, page_ids: int):
             return out
 
         for batch in batches:
-            for part in row_blocks(batch, "text", TEXT):
-                ids, size = _encoder(path).encode(part.column(1))
-                with_end = np.insert(ids, np.cumsum(size), np.uint32(end_id))
-                held.append(with_end)
-                docs.extend(part.column(0).to_pylist())
-                sizes.append(size + 1)
-                if sum(map(len, held)) >= page_ids:
-                    yield flush()
+            for part in row_blocks(batch, "text", LOOKUP):
+                at = 0
+                for ids, size in _encoder(path).blocks(part.column(1)):
+                    held.append(np.insert(ids, np.cumsum(size), np.uint32(end_id)))
+                    docs.extend(part.column(0).slice(at, len(size)).to_pylist())
+                    sizes.append(size + 1)
+                    at += len(size)
+                    if sum(map(len, held)) >= page_ids:
+                        yield flush()
         if held:
             yield flush()
         release()

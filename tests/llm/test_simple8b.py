@@ -41,3 +41,24 @@ def test_memory_does_not_grow_with_the_ids():
     high = max(high, tracemalloc.get_traced_memory()[1])
     tracemalloc.stop()
     assert high < 24 << 20                                   # 60 MB and more in one piece
+
+
+@pytest.mark.parametrize("high", [1, 2, 300, 50_000, 1 << 32])
+def test_words_of_many_blocks_are_greedy(high):
+    """Every word takes as many ids as fit, the widest choice first, in
+    blocks apart; the words of all groups follow each other."""
+    r = np.random.default_rng(3)
+    x = (r.integers(0, high, 3 * simple8b.BLOCK + 77) >> r.integers(0, 20, 3 * simple8b.BLOCK + 77)).astype(np.uint32)
+    want, at = [], [0]
+    c = simple8b.encode(x)
+    for b in range(4):
+        mark = (1 << int(c.cap[b])) - 1
+        ids = [min(int(i), mark) for i in x[b * simple8b.BLOCK:(b + 1) * simple8b.BLOCK]]
+        while ids:
+            for s, (n, bits) in enumerate(simple8b.SELECTORS):
+                if all(i < (1 << bits) for i in ids[:n]):
+                    break
+            want.append(sum((i << (k * bits) for k, i in enumerate(ids[:n])), s << 60))
+            ids = ids[n:]
+        at.append(len(want))
+    assert c.words.tolist() == want and c.word_at.tolist() == at

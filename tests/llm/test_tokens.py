@@ -31,6 +31,53 @@ def test_pieces_give_the_librarys_ids(byte_encoder):
     assert got.tolist() == [i for w in want for i in w]
 
 
+def test_words_of_letters_go_to_the_model(byte_encoder, monkeypatch):
+    """They need no pass of the whole library; all other pieces take one."""
+    e, whole = token_ids.Encoder(tokenizer(BYTE_BPE)), []
+    monkeypatch.setattr(e, "_ids", lambda texts: whole.extend(texts) or [x.ids for x in e.tok.encode_batch_fast(texts, add_special_tokens=False)])
+    every = ["one straße\nécole 日本語 слово one", "two x1y isn't, one"]
+    ids, _ = e.encode(pa.array(every))
+    assert ids.tolist() == [i for x in e.tok.encode_batch(every, add_special_tokens=False) for i in x.ids]
+    said = "".join(whole)
+    assert all(w not in said for w in ("straße", "école", "語", "слово")) and "x1y" in said and "isn't" in said
+
+
+def test_every_letter_gives_the_librarys_ids():
+    """Also characters that Python takes for letters and the library does not."""
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    every = [" ".join(f"a{c} {c}b{c}\n{c}" for c in letters[i:i + 200]) for i in range(0, len(letters), 200)]
+    e = token_ids.Encoder(tokenizer(BYTE_BPE))
+    ids, _ = e.encode(pa.array(every))
+    assert ids.tolist() == [i for x in e.tok.encode_batch(every, add_special_tokens=False) for i in x.ids]
+    e.foreign, e.spelling = {"é"}, {}
+    e._clear()
+    some = ["é aé", "b\né c"]
+    assert e.encode(pa.array(some))[0].tolist() == [i for x in e.tok.encode_batch(some, add_special_tokens=False) for i in x.ids]
+
+
+def test_special_strings_of_letters(tmp_path):
+    tok = token_ids.Encoder(tokenizer(BYTE_BPE)).tok
+    tok.add_tokens(["house"])
+    tok.save(str(tmp_path / "t.json"))
+    every = ["a house", "houses and\nhouse", "warehouse", "hous e", "mouse\nhouse hous"]
+    ids, _ = token_ids.Encoder(str(tmp_path / "t.json")).encode(pa.array(every))
+    assert ids.tolist() == [i for x in tok.encode_batch(every, add_special_tokens=False) for i in x.ids]
+
+
+def test_slices_are_looked_up_together(byte_encoder, monkeypatch):
+    """One search of the memo for a batch, whatever its slices; the memo is
+    cut down after it."""
+    e, calls = token_ids.Encoder(tokenizer(BYTE_BPE), memo=300), []
+    rows = e._rows
+    monkeypatch.setattr(e, "_rows", lambda *a: calls.append(1) or rows(*a))
+    every = texts()
+    got = list(e.blocks(pa.array(every), limit=200))
+    assert len(got) > 50 and len(calls) == 1 and len(e.keys) <= 300
+    want = byte_encoder.encode(pa.array(every))
+    assert (np.concatenate([i for i, _ in got]) == want[0]).all() and (np.concatenate([n for _, n in got]) == want[1]).all()
+    assert list(e.blocks(pa.array([], pa.string()))) == []
+
+
 def test_small_memo_gives_the_same(byte_encoder):
     e = token_ids.Encoder(tokenizer(BYTE_BPE), memo=40)
     every = texts()
