@@ -14,6 +14,7 @@ from ..session import stage_table
 
 INDEX_FIELDS = ["id", "content", "category", "sourcepage", "sourcefile"]
 FACET_FIELDS = ["category", "sourcepage", "sourcefile"]
+FEW_IDS = 100_000         # repeated ids that go to every task, so that no other row moves for them
 LOOKUP_TOP = 1000         # page size of clients that page
 TERM_PATTERN = r"\p{L}+|\p{N}+"
 
@@ -24,8 +25,13 @@ def dedup_incoming(incoming: DataFrame, order_cols=("sourcefile", "section_no"))
     cols = [c for c in order_cols if c in incoming.columns]
     if not cols:
         return incoming.dropDuplicates(["id"])
-    # only the contents of repeated ids go through the aggregate
+    # only the contents of repeated ids go through the aggregate, and none moves when no id repeats
     again = incoming.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select("id")
+    many = again.limit(FEW_IDS + 1).count()
+    if not many:
+        return incoming
+    if many <= FEW_IDS:
+        again = F.broadcast(again)
     packed = F.struct(*[F.col(c) for c in incoming.columns])
     win = incoming.join(again, "id", "left_semi").groupBy("id").agg(F.max_by(packed, F.struct(*cols)).alias("w"))
     return (incoming.join(again, "id", "left_anti")
@@ -89,7 +95,7 @@ def terms_of(text) -> F.Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM_PATTERN), 0)
 
 
-def _runs(terms) -> F.Column:
+def term_runs(terms) -> F.Column:
     """``(term, tf)`` of each distinct term of an array, from its sorted terms
     (bound once, as the element of an array of one)."""
     def count(s):
@@ -104,7 +110,7 @@ def term_counts(rows: DataFrame, keys: list[str], terms: str = "t") -> DataFrame
     ``terms`` of each key. A row is counted where it is; only rows whose keys
     occur again are dealt out, to be added up."""
     def counted(r):
-        r = r.filter(F.size(terms) > 0).select(*keys, F.explode(_runs(F.col(terms))).alias("_c"))
+        r = r.filter(F.size(terms) > 0).select(*keys, F.explode(term_runs(F.col(terms))).alias("_c"))
         return r.select("_c.term", *keys, "_c.tf")
 
     rows = rows.select(*keys, terms)
