@@ -17,6 +17,7 @@ from ..session import ensure_checkpoint_dir, stage_table
 from ..sources import tables as S
 
 CHUNK_IDS = ("doc_id", "chunk_no")      # a chunk's key
+FEW_LABELS = 500_000                    # rows of three numbers (some 40 MB) that go to every task, so that no text moves for them
 
 
 def _long(*names):
@@ -192,6 +193,8 @@ def doc_section_input(spark, sf_dir) -> DataFrame:
     (``quality=<0|1>``; NULL when unlabelled) and the toxic flag."""
     d = S.doc_files(spark, sf_dir).filter(F.col("text").isNotNull())
     lab = S.labels(spark, sf_dir)
+    if lab.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        lab = F.broadcast(lab)
     return (d.join(lab, "doc_id", "left")
              .select("sourcefile", "text",
                      F.concat(F.lit("quality="), F.col("quality").cast("string")).alias("category"),
