@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docweave.operators import index as IX
 from docweave.operators import search as SR
-from docweave.session import ensure_checkpoint_dir
+from docweave.plans import queries as Q
+from docweave.session import SHUFFLE_CLEANUP_CONF, ensure_checkpoint_dir, stage_table
 
 TERM = re.compile(r"[^\W\d_]+|\d+")
 
@@ -218,3 +219,34 @@ def test_contents_stay_where_no_id_repeats(spark):
     more = rows.unionByName(rows.withColumn("content", F.lit("new")).withColumn("section_no", F.lit(9)).filter("id = 'a' or id is null"))
     assert sorted(map(str, IX.dedup_incoming(more).select("id", "content").collect())) == sorted(
         f"Row(id={i!r}, content={c!r})" for i, c in (("a", "new"), ("b", "y"), (None, "z"), (None, "new")))
+
+
+def test_texts_stay_where_labels_are_few(spark, tmp, monkeypatch, capsys):
+    """Texts are not dealt out for a few labels; with more, the rows are the same."""
+    docs = [(i, f"text {i} " * 40, "s") for i in range(30)] + [(None, "no number", "s"), (3, "again", "s"), (7, None, "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(0, 30, 3)] + [(3, 1, 1), (None, 1, 0), (6, None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = Q.doc_section_input(spark, tmp)
+        few.explain()
+        assert "BroadcastHashJoin" in capsys.readouterr().out
+        monkeypatch.setattr(Q, "FEW_LABELS", 3)
+        more = Q.doc_section_input(spark, tmp)
+        more.explain()
+        assert "BroadcastHashJoin" not in capsys.readouterr().out
+        assert sorted(map(str, few.collect())) == sorted(map(str, more.collect()))
+        assert few.count() == 35
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_small_staged_table(spark):
+    rows = spark.range(100).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    staged = stage_table(rows, small=True)
+    assert spark.conf.get(SHUFFLE_CLEANUP_CONF, None) == before
+    assert sorted(staged.collect()) == sorted(rows.collect())
+    assert all(".zstd." in f for f in os.listdir(staged._staged_at.removeprefix("file:")) if f.endswith(".parquet"))
